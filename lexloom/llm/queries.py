@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, ngram_join, quality, secrets
+from . import bpe, decontaminate, ngram_join, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", F.col("passes").cast("int").alias("predicted"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False, with_digests=True)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_ngram_join": op2_ngram_join,
     "op3_quality": op3_quality,
+    "op7_bpe": op7_bpe,
     "op8_decontaminate": op8_decontaminate,
 }
 
