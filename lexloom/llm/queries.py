@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, ngram_join, quality, secrets
+from . import bpe, decontaminate, ngram_join, pii, quality, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +51,25 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    every = F.concat("base", F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))))
+    found = found.withColumn("every", every)
+    return found.select(F.col("id").alias("doc_id"), *(_number("base", k) for k in ("email", "ip", "card", "phone")), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("every").alias("spans"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_ngram_join": op2_ngram_join,
     "op3_quality": op3_quality,
     "op7_bpe": op7_bpe,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pii": op9_pii,
+    "op10_urls": op10_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {}
