@@ -13,7 +13,7 @@ from .common import map_batches, stash, text_id
 TRAIN_ROWS = 20_000
 
 
-def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, fn: Callable[[str], list[float]], folder: str, *, rows: int = TRAIN_ROWS) -> DataFrame:
+def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, fn: Callable[[str], list], folder: str, *, rows: int = TRAIN_ROWS, kind: str = "double") -> DataFrame:
     """(id, y, x): `fn` of the labelled texts outside the held-out fold.
 
     Only ids and labels of at most `rows` rows travel, as a broadcast; texts are read once, where they lie.
@@ -32,7 +32,7 @@ def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds:
             use = [(i, t) for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True) if i in label]
             yield {"id": [i for i, _ in use], "y": [label[i] for i, _ in use], "x": [fn(t or "") for _, t in use]}
 
-    return stash(map_batches(text_id(documents, "doc_id", "text"), run, "id long, y int, x array<double>"), folder, f"train-{target}")
+    return stash(map_batches(text_id(documents, "doc_id", "text"), run, f"id long, y int, x array<{kind}>"), folder, f"train-{target}")
 
 
 def is_held_out(column: str, folds: int, held_out: int):
