@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_corpus, queries_evaluate, queries_mix, queries_pairs, queries_stream, queries_tokens
+
 FLAGSHIP = "corpus_quality_gate"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (queries_corpus, queries_pairs, queries_mix, queries_tokens, queries_evaluate, queries_stream)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
