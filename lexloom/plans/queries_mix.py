@@ -1,4 +1,170 @@
-"""Queries."""
+"""Queries of mixing, ordering and windows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T
+from ..operators import mix as M
+from .common import one_line, table
+from .queries_pairs import SQL_PAIRS, _pairs
+
+_WS = "len(regexp_extract_all(text, '\\S+'))"
+
+
+def prefix_to_target(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return M.prefix_until(docs, "doc_id", T.n_words("text", "space"), 20_000).select("doc_id")
+
+
+_PREFIX = f"select doc_id from (select doc_id, sum({_WS}) over (order by doc_id) - {_WS} as before from documents) where before < 20000"
+
+
+def chat_mix_ratio(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("seq"), "text")
+    chat = _pairs(spark, d).select("seq", F.col("response").alias("text"))
+    return M.word_share(M.mix_to_ratio(base, chat, "seq", 0.1), "tag").select("tag", "blocks", "words")
+
+
+_MIX = f"""with b as (select doc_id as seq, {_WS} as w from documents where doc_id < 200), t as (select sum(w) * 0.1::double / (1 - 0.1::double) as target from b),
+c as (select seq, len(regexp_extract_all(response, '\\S+')) as w from {SQL_PAIRS}), p as (select w from (select w, sum(w) over (order by seq) - w as before from c), t where before < target)
+select 'base' as tag, count(*) as blocks, sum(w)::bigint as words from b union all select 'chat', count(*), sum(w)::bigint from p"""
+
+
+def domain_word_share(spark: SparkSession, d: str) -> DataFrame:
+    return M.word_share(table(spark, d, "documents"), "source")
+
+
+_SHARE = f"select source, count(*) as blocks, sum({_WS})::bigint as words, sum({_WS}) / sum(sum({_WS})) over () as share from documents group by 1"
+
+
+def stride_sample(spark: SparkSession, d: str) -> DataFrame:
+    return M.stride_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 10)
+
+
+_STRIDE = "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as k, count(*) over () as n from documents) where k % (n // 10) = 0 order by doc_id limit 10"
+
+
+def tail_split(spark: SparkSession, d: str) -> DataFrame:
+    return M.tail_split(table(spark, d, "documents").select("doc_id"), "doc_id", 0.05)
+
+
+_TAIL = "select doc_id, case when row_number() over (order by doc_id) <= trunc(count(*) over () * (1 - 0.05::double))::bigint then 'train' else 'validation' end as split from documents"
+
+
+def hold_out_last(spark: SparkSession, d: str) -> DataFrame:
+    return M.hold_out_last(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+_LAST = "select split, count(*) as n, sum(doc_id)::bigint as ids from (select doc_id, case when row_number() over (partition by source order by doc_id desc) = 1 then 'held_out' else 'train' end as split from documents) group by 1"
+
+
+def seeded_order(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", M.seeded_key(42, "doc_id").alias("k"))
+    return docs.orderBy("k").limit(50)
+
+
+_SEEDED = "select doc_id, md5('42|' || doc_id) as k from documents order by k limit 50"
+
+
+def group_numbering(spark: SparkSession, d: str) -> DataFrame:
+    return M.group_ids(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "id")
+
+
+_NUMBER = "select doc_id, source || '-' || lpad((row_number() over (partition by source order by doc_id))::varchar, 3, '0') as id from documents"
+
+
+def repeat_rows(spark: SparkSession, d: str) -> DataFrame:
+    return M.repeat_rows(table(spark, d, "benchmark").select("item_id"), F.col("item_id") % 3 + 1).groupBy("copy").agg(F.count("*").alias("n"))
+
+
+_REPEAT = "select copy, count(*) as n from (select unnest(range(1, item_id % 3 + 2)) as copy from benchmark) group by 1"
+
+
+def no_adjacent_dups(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items, each a few times, spread so that none follows itself; told by the longest run, which must be 1."""
+    rows = M.repeat_rows(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item")), F.col("item").cast("long") % 4 + 1)
+    placed = M.spread(rows, "item").withColumn("g", F.lit(0))
+    from ..operators.corpus import longest_equal_run
+
+    n = placed.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"))
+    return longest_equal_run(placed, "g", "place", "item").join(n, "g").select("longest", "n", "items")
+
+
+_SPREAD = "select 1::bigint as longest, sum(item_id % 4 + 1)::bigint as n, count(*) as items from benchmark"
+
+
+def next_token_windows(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(M.token_windows(ids, 8, 5)).alias("k", "p"))
+    return rows.select("item_id", "k", F.array_join(F.col("p.x").cast("array<string>"), ",").alias("x"), F.array_join(F.col("p.y").cast("array<string>"), ",").alias("y"))
+
+
+_WINDOWS = """select item_id, (k - 1)::int as k, array_to_string(ids[s + 1:s + 8], ',') as x, array_to_string(ids[s + 2:s + 9], ',') as y from (select item_id, ids, unnest(range(0, len(ids) - 8, 5)) as s, generate_subscripts(range(0, len(ids) - 8, 5), 1) as k
+from (select item_id, list_transform(string_split(text, ' '), lambda w: length(w)) as ids from benchmark) where len(ids) > 8)"""
+
+
+def sft_loss_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids are word lengths here; 901 stands for the answer's marker, 902 for the end."""
+    ids = lambda c: F.transform(F.slice(F.split(T.one_line(c), " "), 1, 12), lambda w: F.length(w))
+    rows = _pairs(spark, d).select("seq", F.concat(ids("instruction"), F.array(F.lit(901)), ids("response"), F.array(F.lit(902))).alias("ids"))
+    out = M.loss_rows(rows, "ids", 20, [901], [902])
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("seq", text("x").alias("x"), text("y").alias("y"), F.array_join(F.col("w").cast("array<int>").cast("array<string>"), ",").alias("w"))
+
+
+_LOSS_IDS = f"list_concat(list_transform(string_split({one_line('instruction')}, ' ')[1:12], lambda w: length(w)), [901], list_transform(string_split({one_line('response')}, ' ')[1:12], lambda w: length(w)), [902])"
+_LOSS = f"""with r as (select seq, ({_LOSS_IDS})[1:21] as i from {SQL_PAIRS}), m as (select seq, i, list_position(i, 901) - 1 as a, list_position(i, 902) - 1 as e from r),
+f as (select seq, i, a, e, case when e is null then len(i) - 2 else least(len(i) - 2, e - 1) end as l from m where a is not null and a < len(i) - 1),
+p as (select *, list_concat(i, list_transform(range(0, 21 - len(i)), lambda x: 0)) as z from f)
+select seq, array_to_string(z[1:20], ',') as x, array_to_string(z[2:21], ',') as y,
+array_to_string(list_transform(range(0, 20), lambda q: case when e is not null and q >= greatest(a, e - 1) and q <= l then 2 when q = a then 8 when q >= a and q <= l then 1 else 0 end), ',') as w from p"""
+
+
+def arithmetic_grid(spark: SparkSession, d: str) -> DataFrame:
+    return M.arithmetic_grid(spark, 12).select("kind", "instruction", "response")
+
+
+_GRID = """with g as (select a, b from range(1, 13) x(a), range(1, 13) y(b))
+select 'add' as kind, format('What is {} + {}?', a, b) as instruction, format('{} plus {} equals {}.', a, b, a + b) as response from g
+union all select 'sub', format('What is {} - {}?', a, b), format('{} minus {} equals {}.', a, b, a - b) from g where a >= b
+union all select 'mul', format('What is {} * {}?', a, b), format('{} times {} equals {}.', a, b, a * b) from g"""
+
+_TEMPLATES = ("What is {}?", "Explain {} briefly.", "Why does {} matter?")
+
+
+def template_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as concepts, regions as their domains."""
+    c = table(spark, d, "nation").select(F.col("n_name").alias("concept"), F.col("n_nationkey").alias("k"))
+    t = spark.createDataFrame([(k, t) for k, t in enumerate(_TEMPLATES)], "t int, template string")
+    rows = M.template_rows(c, t).withColumn("n", F.col("k") * len(_TEMPLATES) + F.col("t")).withColumn("answers", F.array(*map(F.lit, ("yes", "no"))))
+    return M.cyclic_answers(rows, "n", "answers").select("instruction", "answer")
+
+
+_TEMPLATE = f"""select replace(t, '{{}}', n_name) as instruction, (['yes', 'no'])[(n_nationkey * 3 + i - 1) % 2 + 1] as answer from nation, (select unnest({list(_TEMPLATES)}) as t, generate_subscripts({list(_TEMPLATES)}, 1) as i)"""
+
+
+def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_name").alias("concept"), F.col("n_regionkey").alias("domain"), F.when(F.col("n_nationkey") % 2 == 0, "NOWHERE").alias("related"), F.lit(None).cast("string").alias("contrast"))
+    return M.hard_negatives(n).select("concept", F.array_join("negatives", ",").alias("negatives"))
+
+
+_NEGATIVES = """with r as (select n_name as c, n_regionkey as g, row_number() over (partition by n_regionkey order by n_name) - 1 as k, count(*) over (partition by n_regionkey) as n, n_nationkey % 2 = 0 as rel from nation),
+o as (select a.c, a.rel, b.c as o, (b.k - a.k + a.n) % a.n as step from r a join r b on a.g = b.g and a.c <> b.c)
+select c as concept, array_to_string(list_slice(list_concat(case when bool_and(rel) then ['NOWHERE'] else []::varchar[] end, list(o order by step)), 1, 3), ',') as negatives from o group by c"""
+
+
+def running_word_total(spark: SparkSession, d: str) -> DataFrame:
+    return M.running_total(table(spark, d, "documents").select("doc_id", T.n_words("text", "space").alias("w")), "doc_id", "w").select("doc_id", "total")
+
+
+_TOTAL = f"select doc_id, (sum({_WS}) over (order by doc_id))::bigint as total from documents"
+
+QUERIES = {f.__name__: f for f in (
+    prefix_to_target, chat_mix_ratio, domain_word_share, stride_sample, tail_split, hold_out_last, seeded_order, group_numbering, repeat_rows, no_adjacent_dups, next_token_windows, sft_loss_weights, arithmetic_grid,
+    template_questions, hard_negatives, running_word_total,
+)}
+ORACLE_SQL = {
+    "prefix_to_target": _PREFIX, "chat_mix_ratio": _MIX, "domain_word_share": _SHARE, "stride_sample": _STRIDE, "tail_split": _TAIL, "hold_out_last": _LAST, "seeded_order": _SEEDED, "group_numbering": _NUMBER, "repeat_rows": _REPEAT,
+    "no_adjacent_dups": _SPREAD, "next_token_windows": _WINDOWS, "sft_loss_weights": _LOSS, "arithmetic_grid": _GRID, "template_questions": _TEMPLATE, "hard_negatives": _NEGATIVES, "running_word_total": _TOTAL,
+}
