@@ -1,4 +1,247 @@
-"""Queries."""
+"""Queries of scoring, contamination, routing, checkpoints and numbers."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import lexicon as L, text as T
+from ..operators import evaluate as E
+from .common import ascii_words, ngrams, one_line, table
+from .queries_pairs import SQL_PAIRS, _pairs
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """A pair's response as the reference; its first part and some of the question as the answer."""
+    p = _pairs(spark, d).withColumn("generated", F.concat(F.expr("substr(response, 1, cast(40 * (seq % 7) AS INT))"), F.lit(" "), F.substring("instruction", 1, 60)))
+    return p.withColumn("reference", F.col("response")).withColumn("keywords", E.expected_keywords(F.lit("erth/ion; de"), "response")).withColumn("bucket", F.concat(F.lit("b"), (F.col("conv_id") % 5).cast("string")))
+
+
+_STOP = str(list(L.KEYWORD_STOPWORDS))
+_ANSWERS = f"""(select *, array_to_string(gw, ' ') as gk from (select seq, domain, 'b' || (conv_id % 5) as bucket, substr(response, 1, (40 * (seq % 7))::int) || ' ' || substr(instruction, 1, 60) as generated, response as reference, {ascii_words("substr(response, 1, (40 * (seq % 7))::int) || ' ' || substr(instruction, 1, 60)")} as gw,
+{ascii_words('response')} as rw from {SQL_PAIRS}))"""
+_KEYWORDS = f"""(select k.* exclude (words), list_slice(list_concat(['erth', 'ion', 'de'], list_transform(list_sort(list_transform(map_entries(firsts), lambda e: [lpad(e.value::varchar, 6, '0'), e.key])), lambda x: x[2])), 1, 10) as keywords from
+(select a.*, list_filter(rw, lambda w: length(w) >= 4 and not list_contains({_STOP}, w) and w not in ('erth', 'ion', 'de')) as words, map_from_entries(list_transform(list_distinct(list_filter(rw, lambda w: length(w) >= 4 and not list_contains({_STOP}, w) and w not in ('erth', 'ion', 'de'))), lambda w: (w, list_position(rw, w)))) as firsts from {_ANSWERS} a) k)"""
+
+
+def expected_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("seq", F.array_join("keywords", ",").alias("keywords"))
+
+
+_EXPECTED = f"select seq, array_to_string(keywords, ',') as keywords from {_KEYWORDS}"
+
+_F1 = """case when len(gw) = 0 or len(rw) = 0 or c = 0 then 0.0 else 2 * (c / len(gw)) * (c / len(rw)) / ((c / len(gw)) + (c / len(rw))) end"""
+_COMMON = "coalesce(list_sum(list_transform(list_distinct(list_intersect(gw, rw)), lambda w: least(len(list_filter(gw, lambda x: x = w)), len(list_filter(rw, lambda x: x = w))))), 0)"
+
+
+def token_f1(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("seq", F.round(T.token_f1("generated", "reference"), 9).alias("f1"))
+
+
+_TOKEN_F1 = f"select seq, round({_F1}, 9) as f1 from (select *, {_COMMON} as c from {_ANSWERS})"
+
+_SCORED = f"""(select *, {L.SCORE_RECALL} * keyword_recall + {L.SCORE_OVERLAP} * overlap + {L.SCORE_SANE} * (length_sane and not empty and not repetition)::int + {L.SCORE_GROUNDED} * (1 - hallucination::int) as score from
+(select *, empty or repetition or (overlap < 0.12 and len(gw) >= 8) as hallucination from
+(select seq, domain, bucket, gw, matched / greatest(len(keywords), 1) as keyword_recall, {_F1} as overlap, len(gw) < 4 as empty, len(g) > len(list_distinct(g)) as repetition,
+len(gw) >= 4 and len(gw) <= greatest(160, greatest(len(rw), 1) * 3) and len(gw) >= greatest(4, trunc(greatest(len(rw), 1) * 0.15::double)::int) as length_sane from
+(select *, {_COMMON} as c, {ngrams('gw', 3)} as g, len(list_filter(keywords, lambda k: contains(' ' || gk || ' ', ' ' || k || ' '))) as matched from {_KEYWORDS}))))"""
+
+
+def general_score(spark: SparkSession, d: str) -> DataFrame:
+    s = E.score_answers(_answers(spark, d))
+    return s.select("seq", F.round("keyword_recall", 6).alias("keyword_recall"), F.round("overlap", 6).alias("overlap"), "length_sane", "repetition", "empty", "hallucination", F.round("score", 6).alias("score"))
+
+
+_GENERAL = f"select seq, round(keyword_recall, 6) as keyword_recall, round(overlap, 6) as overlap, length_sane, repetition, empty, hallucination, round(score, 6) as score from {_SCORED}"
+
+
+def grouped_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = E.grouped_summary(E.score_answers(_answers(spark, d)), ("bucket", "domain"))
+    return s.select(F.coalesce("bucket", F.lit("*")).alias("bucket"), F.coalesce("domain", F.lit("*")).alias("domain"), "count", *(F.round(c, 6).alias(c) for c in ("keyword_recall", "overlap", "length_sane_rate", "repetition_rate", "empty_rate", "hallucination_rate", "score")))
+
+
+_SUMMARY = f"""select coalesce(bucket, '*') as bucket, coalesce(domain, '*') as domain, count(*) as count, round(avg(keyword_recall), 6) as keyword_recall, round(avg(overlap), 6) as overlap, round(avg(length_sane::int), 6) as length_sane_rate,
+round(avg(repetition::int), 6) as repetition_rate, round(avg(empty::int), 6) as empty_rate, round(avg(hallucination::int), 6) as hallucination_rate, round(avg(score), 6) as score from {_SCORED} group by grouping sets ((), (bucket), (domain))"""
+
+
+def heldout_split(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d)
+    return E.held_out(p, "domain", F.substring(T.word_key("instruction"), 1, 4), "seq", 10, 42).groupBy("domain", "split").agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
+
+
+_HELD = f"""with p as (select seq, domain, substr(array_to_string({ascii_words('instruction')}, ' '), 1, 4) as k from {SQL_PAIRS}), f as (select domain, k, min(seq) as seq from p where k <> '' group by 1, 2),
+e as (select *, row_number() over (partition by domain order by md5('42|' || seq)) as n from f), x as (select * from e where n <= 10)
+select domain, split, count(*) as n, sum(seq)::bigint as ids from (select p.domain, p.seq, case when p.seq in (select seq from x) then 'eval' when p.k in (select k from x) then 'dropped' else 'train' end as split from p) group by 1, 2"""
+
+
+def train_eval_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold no benchmark item's opening words."""
+    key = lambda c: F.array_join(F.slice(T.words(c, "ascii"), 1, 2), " ")
+    items = table(spark, d, "benchmark").select(key("text").alias("k"))
+    return table(spark, d, "documents").select("doc_id", key("text").alias("k")).join(items, "k", "left_anti").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+_TWO = lambda c: f"array_to_string(({ascii_words(c)})[1:2], ' ')"
+_ANTI = f"select count(*) as n, sum(doc_id)::bigint as ids from (select doc_id, {_TWO('text')} as k from documents) where k not in (select {_TWO('text')} from benchmark)"
+
+_LINE = lambda c: one_line(f"lower({c})")
+
+
+def exact_line_match(spark: SparkSession, d: str) -> DataFrame:
+    out = E.lines(table(spark, d, "benchmark"), "item_id").select("item_id", F.col("key").alias("text"))
+    return E.line_matches(out, E.lines(table(spark, d, "documents"), "doc_id"), "text").groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+_ALL = lambda t, i: f"(select {i}, {_LINE('l')} as key from (select {i}, unnest(string_split(text, chr(10))) as l from {t}) where length(regexp_replace(l, '^\\s+|\\s+$', '', 'g')) >= 20)"
+_LINES = f"select item_id, count(*) as n from {_ALL('benchmark', 'item_id')} where key in (select key from {_ALL('documents', 'doc_id')}) group by 1"
+
+
+def exact_paragraph_match(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs: middle parts of benchmark items, and very short ones; the corpus: documents' paragraphs."""
+    b = table(spark, d, "benchmark").select("item_id", F.expr("substr(text, 10, case when item_id % 5 = 0 then 12 else 90 end)").alias("text"))
+    return E.paragraph_matches(b, E.paragraphs(table(spark, d, "documents"), "doc_id"), "text").select("item_id")
+
+
+_PARAGRAPHS = f"""with b as (select item_id, {_LINE("substr(text, 10, case when item_id % 5 = 0 then 12 else 90 end)")} as key from benchmark), p as (select {_LINE('text')} as p from documents)
+select item_id from b where key <> '' and exists (select 1 from p where contains(p, key))"""
+
+
+def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a whole benchmark item, on one line and folded."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    docs = E.paragraphs(table(spark, d, "documents").select("doc_id", T.one_line("text").alias("text")), "doc_id")
+    return E.paragraph_matches(b, docs, "text").select("item_id")
+
+
+_OVERLAP = f"select item_id from benchmark where exists (select 1 from (select {_LINE('text')} as p from documents) where contains(p, {_LINE('benchmark.text')}))"
+
+
+def nearest_similarity(spark: SparkSession, d: str) -> DataFrame:
+    out = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("text"))
+    corpus = E.lines(table(spark, d, "benchmark"), "item_id").select("key", F.col("item_id").alias("s"))
+    return E.nearest_line(out, corpus, "item_id", "text")
+
+
+def memorisation_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs as outputs: flags by number, repetition measured."""
+    p = _pairs(spark, d).select("source", (F.col("seq") % 5 == 0).alias("paragraph"), (F.col("seq") % 4 == 0).alias("line"), ((F.col("seq") % 10) / 10.0).cast("double").alias("nearest"), T.repeated_share(T.ngrams(T.words(F.lower("response"), "unicode"), 4), 0).alias("repetition"))
+    return E.memorisation_risk(p, "source").select("source", "n", F.round("paragraph_rate", 6).alias("paragraph_rate"), F.round("nearest", 6).alias("nearest"), "risk")
+
+
+_RISK = f"""with p as (select source, (seq % 5 = 0)::int as p, (seq % 4 = 0)::int as l, (seq % 10) / 10.0::double as s, {ngrams("w", 4)} as g from (select *, regexp_extract_all(lower(response), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') as w from {SQL_PAIRS})),
+m as (select source, count(*) as n, avg(p) as pr, avg(l) as lr, avg(s) as s, avg(case when len(g) > 0 then (len(g) - len(list_distinct(g))) / len(g) else 0 end) as r from p group by 1),
+k as (select *, case when pr >= 0.34 then 2 when pr > 0 then 1 else 0 end + (lr >= 0.34)::int + case when s >= 0.9 then 2 when s >= 0.8 then 1 else 0 end + (r >= 0.2)::int as k from m)
+select source, n, round(pr, 6) as paragraph_rate, round(s, 6) as nearest, case when k >= 4 then 'high' when k >= 2 then 'moderate' else 'low' end as risk from k"""
+
+
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as concepts; their first words of six letters on as phrases, the first one primary."""
+    w = F.slice(F.array_distinct(F.filter(T.words("text", "ascii"), lambda x: F.length(x) >= 6)), 1, 3)
+    return table(spark, d, "benchmark").select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("concept"), F.posexplode(w).alias("k", "phrase")).select("concept", "phrase", (F.col("k") == 0).alias("primary"), F.lit(False).alias("anchor"))
+
+
+def idf_weights(spark: SparkSession, d: str) -> DataFrame:
+    return E.phrase_weights(_profiles(spark, d)).select("phrase", F.round("weight", 9).alias("weight"))
+
+
+_PHRASES = f"""(select 'c' || item_id as concept, unnest(x) as phrase, generate_subscripts(x, 1) - 1 as k from (select item_id, list_slice(list_transform(list_sort(list_transform(list_distinct(w), lambda v: [lpad(list_position(w, v)::varchar, 6, '0'), v])), lambda v: v[2]), 1, 3) as x
+from (select item_id, list_filter({ascii_words('text')}, lambda v: length(v) >= 6) as w from benchmark)))"""
+_IDF_W = f"(select phrase, ln((1 + (select count(distinct concept) from {_PHRASES})) / (1 + count(distinct concept))) + 1.0 as weight from {_PHRASES} group by 1)"
+_IDF = f"select phrase, round(weight, 9) as weight from {_IDF_W}"
+
+
+def _routes(spark: SparkSession, d: str) -> DataFrame:
+    p = _profiles(spark, d)
+    answers = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("answer", F.array_join(F.slice(T.words("text", "ascii"), 1, 60), " "))
+    return E.route(answers, p, E.phrase_weights(p))
+
+
+def routing_predict(spark: SparkSession, d: str) -> DataFrame:
+    return _routes(spark, d).select("id", "predicted", F.round("score", 6).alias("score"))
+
+
+_ROUTE = f"""with a as (select doc_id as id, list_slice({ascii_words('text')}, 1, 60) as w from documents), t as (select id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos, array_to_string(w, ' ') as key from a),
+h as (select id, concept, phrase, min(pos) as pos, any_value(key) as key, bool_or(k = 0) as pr from t join {_PHRASES} p on p.phrase = t.word group by 1, 2, 3),
+s as (select id, concept, weight * (1.0 + 2.0 / (1.0 + (strpos(key, h.phrase) - 1) / 24.0::double)) * case when pr then 3.0 else 1.0 end as s, case when pr then pos end as rank from h join {_IDF_W} w on w.phrase = h.phrase),
+c as (select id, concept, sum(s) as score, min(rank) as rank, count(*) as n from s group by 1, 2),
+b as (select *, row_number() over (partition by id order by rank is not null desc, rank, score desc, n desc, concept desc) as r from c)
+select a.id, coalesce(concept, '__unknown__') as predicted, round(coalesce(score, 0.0), 6) as score from a left join b on b.id = a.id and r = 1"""
+
+
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    r = _routes(spark, d).withColumn("expected", F.concat(F.lit("c"), (F.col("id") % 40).cast("string")))
+    return E.confusion(r, "expected", "predicted")
+
+
+_R = f"(select 'c' || (id % 40) as expected, predicted from ({_ROUTE}))"
+_CONFUSION = f"select expected, predicted, count(*) as n from {_R} group by 1, 2"
+
+
+def top_confusions(spark: SparkSession, d: str) -> DataFrame:
+    r = _routes(spark, d).withColumn("expected", F.concat(F.lit("c"), (F.col("id") % 40).cast("string")))
+    return E.top_confusions(r, "expected", "predicted")
+
+
+_TOP = f"select expected, predicted, count(*) as n from {_R} where expected <> predicted group by 1, 2 order by n desc, expected, predicted limit 15"
+
+
+def checkpoint_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as checkpoints, documents as their prompt results."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("checkpoint"), (F.col("doc_id") % 3 == 0).alias("repeated"), (F.col("doc_id") % 4 / 4.0).cast("double").alias("topic"), F.size(E.suspicious_words("text")).alias("gibberish"), (F.col("doc_id") % 5 == 0).alias("drift"), (F.col("doc_id") % 2 == 0).alias("chat_prompt"), (F.col("doc_id") % 6 == 0).alias("chat_ok"), F.lit(1.0).alias("val_loss"))
+    s = E.checkpoint_scores(docs)
+    return s.join(E.recommend(s).withColumn("best", F.lit(True)), "checkpoint", "left").select("checkpoint", "repetitions", "drifts", "chat", F.round("topic", 9).alias("topic"), F.coalesce("best", F.lit(False)).alias("best"), "gibberish")
+
+
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The largest inner product of the first ten vectors with the others."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    q = v.where("id < 10").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return v.crossJoin(F.broadcast(q)).where("id <> query_id").groupBy("query_id").agg(F.max_by("id", F.struct(F.round(dot, 9), -F.col("id"))).alias("nearest"))
+
+
+_COSINE = """select query_id, arg_max(id, round(s, 9)) as nearest from (select q.vec_id as query_id, e.vec_id as id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) as s from embeddings e, embeddings q where q.vec_id < 10 and e.vec_id <> q.vec_id) group by 1"""
+
+
+def embedding_attention(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    w = E.attention(v, v.where("id < 5").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+    return w.groupBy("query_id").agg(F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
+
+
+_ATTENTION = """with z as (select q.vec_id as query_id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) / sqrt(64.0) as z from embeddings e, embeddings q where q.vec_id < 5),
+s as (select query_id, exp(z) as e from z) select query_id, round(sum(e) / sum(e), 6) as total, round(max(e) / sum(e), 6) as largest from s group by 1"""
+
+
+def param_count(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select((F.col("n_nationkey").cast("long") * 100 + 1000).alias("vocab"), (F.col("n_nationkey").cast("long") * 8 + 64).alias("d"), (F.col("n_nationkey") % 5 + 2).cast("long").alias("layers"), F.lit(256).cast("long").alias("block"), (F.col("n_nationkey") % 2 == 0).alias("learned"), (F.col("n_nationkey") % 3 == 0).alias("tied"), F.lit(True).alias("bias"))
+    return E.parameter_counts(n.withColumn("d_ff", F.col("d") * 4)).select("vocab", "parameters")
+
+
+_PARAMS = """with c as (select n_nationkey * 100 + 1000 as v, n_nationkey * 8 + 64 as d, n_nationkey % 5 + 2 as l, (n_nationkey * 8 + 64) * 4 as f, n_nationkey % 2 = 0 as learned, n_nationkey % 3 = 0 as tied from nation)
+select v::bigint as vocab, (v * d + case when learned then 256 * d else 0 end + l * (4 * d * d + 4 * d) + l * (2 * d * f + f + d) + (2 * l + 1) * 2 * d + case when tied then 0 else d * v + v end)::bigint as parameters from c"""
+
+
+def linear_gradient(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 100000).alias("y"))
+    return E.linear_gradient(li, "x", "y", 0.7, 0.1).select(*(F.round(c, 9).alias(c) for c in ("mse", "dw", "db")))
+
+
+_LINEAR = "select round(avg(e * e), 9) as mse, round(avg(2 * e * x), 9) as dw, round(avg(2 * e), 9) as db from (select l_quantity / 50 as x, 0.7::double * (l_quantity / 50) + 0.1::double - l_extendedprice / 100000 as e from lineitem)"
+
+
+def contract_violations(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"has_text": F.col("text") != "", "even_id": F.col("doc_id") % 2 == 0, "known_language": F.col("lang").isin("en", "fr")}
+    return E.violations(table(spark, d, "documents"), **rules)
+
+
+_VIOLATIONS = """select rule, n from (select 'even_id' as rule, count(*) filter (doc_id % 2 <> 0) as n from documents union all select 'known_language', count(*) filter (lang not in ('en', 'fr')) from documents union all select 'has_text', count(*) filter (text = '') from documents) where n > 0"""
+
+QUERIES = {f.__name__: f for f in (
+    expected_keywords, token_f1, general_score, grouped_summary, heldout_split, train_eval_antijoin, exact_line_match, exact_paragraph_match, benchmark_overlap, nearest_similarity, memorisation_risk, idf_weights, routing_predict,
+    confusion_matrix, top_confusions, checkpoint_rank, cosine_topk, embedding_attention, param_count, linear_gradient, contract_violations,
+)}
+ORACLE_SQL = {
+    "expected_keywords": _EXPECTED, "token_f1": _TOKEN_F1, "general_score": _GENERAL, "grouped_summary": _SUMMARY, "heldout_split": _HELD, "train_eval_antijoin": _ANTI, "exact_line_match": _LINES, "exact_paragraph_match": _PARAGRAPHS,
+    "benchmark_overlap": _OVERLAP, "memorisation_risk": _RISK, "idf_weights": _IDF, "routing_predict": _ROUTE, "confusion_matrix": _CONFUSION, "top_confusions": _TOP, "cosine_topk": _COSINE, "embedding_attention": _ATTENTION,
+    "param_count": _PARAMS, "linear_gradient": _LINEAR, "contract_violations": _VIOLATIONS,
+}

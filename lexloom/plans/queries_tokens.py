@@ -1,4 +1,100 @@
-"""Queries."""
+"""Queries of vocabularies and byte-pair merges."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import tokens as K
+from .common import table
+
+_W = "(select unnest(regexp_extract_all(text, '\\S+')) as word from {})"
+_MIXED = r"\n|[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]"
+
+
+def word_freq(spark: SparkSession, d: str) -> DataFrame:
+    return K.word_frequency(table(spark, d, "documents")).where("n >= 20")
+
+
+_FREQ = f"select word, count(*) as n from {_W.format('documents')} group by 1 having n >= 20"
+
+
+def pair_counts_step0(spark: SparkSession, d: str) -> DataFrame:
+    return K.pair_counts(K.word_frequency(table(spark, d, "benchmark")))
+
+
+_PAIRS = f"""with f as (select word, count(*) as n from {_W.format('benchmark')} group by 1), s as (select n, list_append(string_split(word, ''), '</w>') as s from f),
+p as (select n, unnest(list_zip(s[:-2], s[2:])) as p from s) select p[1] as "left", p[2] as "right", sum(n)::bigint as n from p group by 1, 2"""
+
+
+def vocab_by_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return K.vocabulary_by_first_seen(table(spark, d, "benchmark"), "item_id")
+
+
+_SEEN = f"""with t as (select item_id, unnest(regexp_extract_all(text, '{_MIXED}')) as token, generate_subscripts(regexp_extract_all(text, '{_MIXED}'), 1) as p from benchmark),
+f as (select token, min(item_id * 100000 + p) as first from t group by 1) select token, (row_number() over (order by first) + 1)::int as id from f union all select '<PAD>', 0 union all select '<UNK>', 1"""
+
+
+def vocab_sorted(spark: SparkSession, d: str) -> DataFrame:
+    chars = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("token")).where("token <> ''")
+    return K.vocabulary_sorted(chars)
+
+
+_SORTED = "select token, (row_number() over (order by token) - 1)::int as id from (select distinct unnest(string_split(text, '')) as token from documents) where token <> ''"
+
+
+def unk_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents that the benchmark's vocabulary lacks."""
+    known = K.word_frequency(table(spark, d, "benchmark")).select("word", F.lit(1).alias("k"))
+    w = K.word_frequency(table(spark, d, "documents")).join(known, "word", "left")
+    return w.agg(F.sum("n").alias("words"), F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)).alias("unknown"))
+
+
+_UNK = f"select count(*) as words, count(*) filter (k.word is null) as unknown from {_W.format('documents')} w left join (select distinct word from {_W.format('benchmark')}) k on k.word = w.word"
+
+
+def skipped_chars_top20(spark: SparkSession, d: str) -> DataFrame:
+    known = K.vocabulary_sorted(table(spark, d, "benchmark").select(F.explode(F.split("text", "")).alias("token")).where("token <> ''"))
+    c = K.coverage(table(spark, d, "documents"), known).select("character", F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("character")), 4, "0")).alias("code"), "n")
+    return c.orderBy(F.desc("n"), "character").limit(20)
+
+
+_SKIPPED = """select c as character, 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0') as code, count(*) as n from (select unnest(string_split(regexp_replace(text, '\\s', '', 'g'), '')) as c from documents)
+where c <> '' and c not in (select distinct unnest(string_split(text, '')) from benchmark) group by 1, 2 order by n desc, c limit 20"""
+
+
+def _merges(spark: SparkSession, d: str) -> K.Merges:
+    return K.learn_merges(K.word_frequency(table(spark, d, "benchmark")), 200)
+
+
+def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
+    m = _merges(spark, d)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(m.pairs)], "rank int, left string, right string")
+
+
+def bpe_encode_counts(spark: SparkSession, d: str) -> DataFrame:
+    return K.token_counts(table(spark, d, "documents"), "doc_id", _merges(spark, d))
+
+
+def bpe_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded and decoded words of the benchmark that come back unchanged, counted."""
+    words = K.word_frequency(table(spark, d, "benchmark")).where("word rlike '^[a-z]+$'")
+    coded = K.encode_words(words, _merges(spark, d)).withColumn("back", K.decode_tokens("tokens"))
+    return coded.agg(F.count("*").alias("words"), F.count_if(F.col("word") == F.col("back")).alias("same"))
+
+
+_DECODE = f"select count(*) as words, count(*) as same from (select distinct word from {_W.format('benchmark')}) where regexp_full_match(word, '[a-z]+')"
+
+
+def token_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens a word of two vocabularies over the benchmark."""
+    f = K.word_frequency(table(spark, d, "benchmark"))
+    rows = []
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    for target in (80, 200):
+        c = K.token_counts(docs, "doc_id", K.learn_merges(f, target)).agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
+        rows.append(c.withColumn("target", F.lit(target)))
+    return rows[0].union(rows[1])
+
+
+QUERIES = {f.__name__: f for f in (word_freq, pair_counts_step0, vocab_by_first_seen, vocab_sorted, unk_rate, skipped_chars_top20, bpe_merges, bpe_encode_counts, bpe_decode, token_ratio)}
+ORACLE_SQL = {"word_freq": _FREQ, "pair_counts_step0": _PAIRS, "vocab_by_first_seen": _SEEN, "vocab_sorted": _SORTED, "unk_rate": _UNK, "skipped_chars_top20": _SKIPPED, "bpe_decode": _DECODE}
