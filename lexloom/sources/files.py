@@ -125,15 +125,16 @@ def assign_shards(df: DataFrame, seq: str, size: str, most: int) -> DataFrame:
         shard, used, held = 0, 0, 0
         for b in batches:
             out = []
-            for n in b["size"].tolist():
+            for n in b["_size"].tolist():
                 if held and used + n > most:
                     shard, used, held = shard + 1, 0, 0
                 used, held = used + n, held + 1
                 out.append(shard)
-            yield pd.DataFrame({"seq": b["seq"], "shard": out})
+            yield pd.DataFrame({"_seq": b["_seq"], "shard": out})
 
-    pairs = df.select(F.col(seq).alias("seq"), F.col(size).alias("size")).coalesce(1).sortWithinPartitions("seq")
-    return df.join(pairs.mapInPandas(fill, f"seq {df.schema[seq].dataType.simpleString()}, shard long"), df[seq] == F.col("seq")).drop("seq")
+    pairs = df.select(F.col(seq).alias("_seq"), F.col(size).alias("_size")).coalesce(1).sortWithinPartitions("_seq")
+    filled = pairs.mapInPandas(fill, f"_seq {df.schema[seq].dataType.simpleString()}, shard long")
+    return df.join(filled, F.col(seq) == F.col("_seq")).drop("_seq")
 
 
 def write_shards(df: DataFrame, path: str, seq: str, most: int) -> None:
