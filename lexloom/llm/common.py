@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: shared folders, Arrow mapping, word hashing."""
+"""Shared plumbing of the training-data operators: shared folders, Arrow mapping, hashing."""
 
 from __future__ import annotations
 

@@ -9,9 +9,9 @@ The plan, in order; every step is exact, and nothing is capped:
    classes more than one band apart cannot link.
 4. Candidate pairs meet hashed bitmap signatures: bits of one set that the other lacks bound the overlap
    from above. What the bound leaves is intersected exactly, as sorted arrays.
-5. First only pairs with a few leaders of each group are tried, and linked into components. Then all pairs of
-   groups that still hold different components are tried, in tiles of bounded size. So a group of n copies
-   costs about n pairs, and no link between different components is missed.
+5. Of small groups all pairs are tried. Of large ones first only pairs with a few leaders, which are linked
+   into components; then all pairs of large groups that still hold different components, in tiles of bounded
+   size. So a group of n copies costs about n pairs, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHash, discard, map_batches, mix64, shared_dir, small_batches, stash, text_id
+from .common import discard, map_batches, mix64, shared_dir, small_batches, stash, text_id
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -37,21 +38,77 @@ SEEK_LIMIT = 1 << 21
 FLUSH = 1 << 20
 #: Leader families: a group's members are first compared with so many of them.
 LEADERS = 3
+#: Members of a small group, whose pairs are all tried at once.
+SMALL = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
-_KEY = np.dtype([("key", "<u8"), ("fp", "S12"), ("band", "u1")])
+_KEY = np.dtype([("key", "<u8"), ("fp", "V12"), ("band", "u1"), ("hot", "u1")])
 
 
-def shingles(text: str | None, hashes: WordHash, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of k-word shingles; fewer words: the sequence as one; none: empty."""
-    w = text.encode().lower().split() if text else []
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-    n = max(1, len(h) - k + 1)
-    acc = np.full(n, len(h) if len(h) < k else k, np.uint64)
-    for j in range(min(k, len(h))):
-        acc = acc * _P + h[j : j + n]
-    return np.unique(mix64(acc))
+class Shingler:
+    """Whole texts to sorted distinct 64-bit shingle hashes, without a Python step a word.
+
+    A word's hash is a polynomial of random values of its bytes, taken as a difference of running sums; powers
+    of the base and of its inverse are kept up to the longest stretch. The base has no weak low powers.
+    """
+
+    STRETCH = 1 << 18
+    BASE = 0x9E3779B97F4A7C1B  # odd, 3 modulo 8
+    SPACE = np.zeros(256, bool)
+    SPACE[[32, *range(9, 14)]] = True
+
+    def __init__(self, k: int = WORDS):
+        self.k = k
+        self.value = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.value[65:91] = self.value[97:123]  # A-Z count as a-z
+        n = self.STRETCH + 1
+        self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, b, np.uint64)), dtype=np.uint64) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    def words(self, text: str) -> np.ndarray:
+        """A hash for each word, in order."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if len(raw) <= self.STRETCH:
+            return self._stretch(raw)
+        out, at = [], 0
+        while at < len(raw):
+            end = min(len(raw), at + self.STRETCH)
+            if end < len(raw):
+                gaps = np.flatnonzero(self.SPACE[raw[at:end]])
+                if len(gaps):
+                    end = at + int(gaps[-1]) + 1
+                else:  # a word longer than a stretch: hashed by itself
+                    gaps = np.flatnonzero(self.SPACE[raw[end:]])
+                    end = end + int(gaps[0]) if len(gaps) else len(raw)
+                    low = raw[at:end].tobytes().lower()
+                    out.append(np.array([xxhash.xxh3_64_intdigest(low)], np.uint64))
+                    at = end
+                    continue
+            out.append(self._stretch(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _stretch(self, raw: np.ndarray) -> np.ndarray:
+        inside = np.empty(len(raw) + 2, bool)
+        inside[0] = inside[-1] = False
+        inside[1:-1] = ~self.SPACE[raw]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edge[::2], edge[1::2]
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.value[raw] * self.up[: len(raw)], out=total[1:])
+        return mix64((total[end] - total[begin]) * self.down[begin])
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        h = self.words(text) if text else np.zeros(0, np.uint64)
+        if not len(h):
+            return h
+        k = min(self.k, len(h))
+        n = len(h) - k + 1
+        acc = np.full(n, k, np.uint64)
+        for j in range(k):
+            acc *= _P
+            acc += h[j : j + n]
+        acc = mix64(acc)
+        acc.sort()
+        return acc if n == 1 else acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 def need(n: int) -> int:
@@ -65,9 +122,9 @@ def band(n: int) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of at least four bits a shingle, in a power of two of them, so that larger ones fold."""
+    """A bitmap of at least eight bits a shingle, in a power of two of them, so that larger ones fold."""
     bits = 256
-    while bits < 4 * len(s) and bits < 1 << 20:
+    while bits < 8 * len(s) and bits < 1 << 20:
         bits *= 2
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -123,21 +180,21 @@ def _frequent(rows: DataFrame, folder: str, k: int) -> tuple[np.ndarray, np.ndar
     tiles = _tiles(spark)
 
     def collect(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes, local, held, size = WordHash(), _Local(), [], 0
+        cut, local, held, size = Shingler(k), _Local(), [], 0
 
         def flush() -> dict:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             tile = (key % np.uint64(tiles)).astype(np.int64)
             order = np.argsort(tile, kind="stable")
-            cut = np.searchsorted(tile[order], np.arange(tiles + 1))
-            parts = [order[cut[t] : cut[t + 1]] for t in range(tiles)]
+            ends = np.searchsorted(tile[order], np.arange(tiles + 1))
+            parts = [order[ends[t] : ends[t + 1]] for t in range(tiles)]
             held.clear()
             use = [t for t in range(tiles) if len(parts[t])]
             return {"tile": use, "keys": [key[parts[t]].tobytes() for t in use], "counts": [np.minimum(n[parts[t]], 65535).astype("<u2").tobytes() for t in use]}
 
         for b in batches:
             for t in b["text"].to_pylist():
-                s = shingles(t, hashes, k)
+                s = cut(t)
                 if len(s) and local.new(_fingerprint(s)):
                     held.append(s[: 2 * (len(s) - need(len(s)) + 1)] >> np.uint64(24))
                     size += len(held[-1])
@@ -176,21 +233,21 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
 
     def collect(batches: Iterator[dict]) -> Iterator[dict]:
         hot_key, hot_n = hot.value
-        hashes, local, held, size = WordHash(), _Local(), [], 0
+        cut, local, held, size = Shingler(k), _Local(), [], 0
 
         def flush() -> dict:
             e, tile = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             order = np.argsort(tile, kind="stable")
-            cut = np.searchsorted(tile[order], np.arange(tiles + 1))
-            use = np.flatnonzero(np.diff(cut))
+            ends = np.searchsorted(tile[order], np.arange(tiles + 1))
+            use = np.flatnonzero(np.diff(ends))
             held.clear()
             none = [None] * len(use)
-            return {"tile": use.tolist(), "entries": [e[order[cut[t] : cut[t + 1]]].tobytes() for t in use], "id": none, "n": none, "fp": none, "sig": none}
+            return {"tile": use.tolist(), "entries": [e[order[ends[t] : ends[t + 1]]].tobytes() for t in use], "id": none, "n": none, "fp": none, "sig": none}
 
         for b in batches:
             out = {c: [] for c in blank}
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                s = shingles(t, hashes, k)
+                s = cut(t)
                 n = len(s)
                 fp = _fingerprint(s) if n else None
                 new = n > 0 and i is not None and local.new(fp)
@@ -200,7 +257,7 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
                     continue
                 first = n - need(n) + 1
                 key = s >> np.uint64(24)
-                part = np.zeros(first, np.uint64)
+                part, share = np.zeros(first, np.uint64), 0
                 if len(hot_key):
                     at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
                     is_hot = hot_key[at] == key
@@ -208,9 +265,9 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
                     # holders of a very frequent shingle gather in several tiles; step 5 brings them together
                     parts = np.where(is_hot[order], hot_n[at[order]] // (16 * TILE_ROWS), 0).astype(np.uint64)
                     part = np.uint64(int.from_bytes(fp[12:], "little")) % (parts + np.uint64(1))
-                    key = key[order]
+                    key, share = key[order], int(255 * is_hot[order].mean())
                 e = np.empty(first, _KEY)
-                e["key"], e["fp"], e["band"] = mix64(key[:first]), fp[:12], band(n)
+                e["key"], e["fp"], e["band"], e["hot"] = mix64(key[:first]), np.void(fp[:12]), band(n), share
                 tile = ((e["key"] + part * _P) % np.uint64(tiles)).astype(np.int64)
                 held.append((e, tile))
                 size += len(e)
@@ -221,73 +278,123 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
         if held:
             yield flush()
 
+    empty: dict[str, list] = {c: [] for c in ("id", "n", "fp", "sig", "pairs", "key", "fps", "bands", "hots")}
+
     def group(batches: Iterator[dict]) -> Iterator[dict]:
         parts: list[np.ndarray] = []
         for b in batches:
             own = [np.frombuffer(x, _KEY) for x in b["entries"].drop_null().to_pylist()]
             parts += own
             text = b["entries"].is_null()
-            if pa.compute.any(text).as_py():
+            if pc.any(text).as_py():
                 got = {c: b[c].filter(text) for c in ("id", "n", "fp", "sig")}
                 none = [None] * len(got["id"])
-                yield {"id": got["id"], "n": got["n"], "fp": got["fp"], "sig": got["sig"], "key": none, "fps": none, "bands": none}
+                yield {c: none for c in empty} | got
         if not parts:
             return
-        e = np.concatenate(parts)
+        e = np.unique(np.concatenate(parts))
         parts.clear()
-        e = e[np.argsort(e["key"], kind="stable")]
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(e["key"]) != 0, [True]]))
-        out: dict[str, list] = {"id": [], "n": [], "fp": [], "sig": [], "key": [], "fps": [], "bands": []}
-        for lo, hi in zip(cut[:-1][np.diff(cut) > 1], cut[1:][np.diff(cut) > 1], strict=True):
-            own = np.unique(e[lo:hi])
-            own = own[np.lexsort((own["fp"], own["band"]))]
-            if len(own) < 2:
-                continue
-            for at in range(0, len(own), TILE_ROWS):
-                piece = own[at : at + TILE_ROWS]
-                for c in ("id", "n", "fp", "sig"):
+        cut = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1], [True]]))
+        lo, m = cut[:-1], np.diff(cut)
+        # small groups: all pairs of neighbouring bands, once a task
+        pairs = [np.zeros(0, "V24")]
+        for size in range(2, SMALL + 1):
+            at = lo[m == size]
+            if len(at):
+                i, j = np.triu_indices(size, 1)
+                x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]
+                near = np.abs(x["band"].astype(np.int16) - y["band"]) <= 1
+                pairs.append(np.unique(_ordered(x["fp"][near], y["fp"][near])))
+        pairs = np.unique(np.concatenate(pairs))
+        for at in range(0, len(pairs), 1 << 15):
+            yield empty | {"pairs": [pairs[at : at + (1 << 15)].tobytes()]} | {c: [None] for c in empty if c != "pairs"}
+        out = {c: [] for c in empty}
+        for at, size in zip(lo[m > SMALL], m[m > SMALL], strict=True):
+            own = e[at : at + size]
+            own = own[np.argsort(own["band"], kind="stable")]
+            for k in range(0, size, TILE_ROWS):
+                piece = own[k : k + TILE_ROWS]
+                for c in ("id", "n", "fp", "sig", "pairs"):
                     out[c].append(None)
-                out["key"].append(int(piece["key"][0].astype(np.int64)))
-                out["fps"].append(np.ascontiguousarray(piece["fp"]).tobytes())
-                out["bands"].append(piece["band"].tobytes())
-            if len(out["key"]) >= 2000:
+                for c, v in (("key", int(piece["key"][0].astype(np.int64))), ("fps", piece["fp"].tobytes()), ("bands", piece["band"].tobytes()), ("hots", piece["hot"].tobytes())):
+                    out[c].append(v)
+            if len(out["key"]) >= 500:
                 yield out
-                out = {c: [] for c in out}
+                out = {c: [] for c in empty}
         if out["key"]:
             yield out
 
     sent = map_batches(rows, collect, "tile int, entries binary, id long, n long, fp binary, sig binary").repartition(tiles // 4, "tile")
-    return map_batches(sent, group, "id long, n long, fp binary, sig binary, key long, fps binary, bands binary")
+    return map_batches(sent, group, "id long, n long, fp binary, sig binary, pairs binary, key long, fps binary, bands binary, hots binary")
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs of class keys as 24 bytes, the smaller first."""
+    both = np.stack([np.ascontiguousarray(x).view(np.uint8).reshape(-1, 12), np.ascontiguousarray(y).view(np.uint8).reshape(-1, 12)], 1)
+    differs = both[:, 0] != both[:, 1]
+    at = differs.argmax(1)
+    rows = np.arange(len(both))
+    swap = both[rows, 0, at] > both[rows, 1, at]
+    both[swap] = both[swap][:, ::-1]
+    return np.ascontiguousarray(both).reshape(-1, 24).view("V24").ravel()
 
 
 def _members(fps: bytes) -> list[bytes]:
     return [fps[i : i + 12] for i in range(0, len(fps), 12)]
 
 
-def _leader_pairs(groups: DataFrame) -> DataFrame:
-    """Each member with its group's leader of one family, band by band: about one pair a member."""
+def _sent(pairs: np.ndarray, buckets: int) -> dict:
+    """24-byte pairs dealt over buckets by their own bytes, packed: a row for each bucket."""
+    pairs = np.unique(pairs)
+    b = np.frombuffer(pairs.tobytes(), "<u4").reshape(-1, 6)
+    at = (b[:, 0] ^ b[:, 3]) % buckets
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(buckets + 1))
+    use = np.flatnonzero(np.diff(ends))
+    return {"bucket": use.tolist(), "pairs": [pairs[order[ends[k] : ends[k + 1]]].tobytes() for k in use]}
+
+
+def _distinct(packed: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): the packed pairs, each once, whichever groups brought them."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        got = [np.frombuffer(p, "V24") for b in batches for p in b["pairs"].to_pylist()]
+        pairs = np.unique(np.concatenate(got)) if got else np.zeros(0, "V24")
+        for at in range(0, len(pairs), 1 << 15):
+            own = pairs[at : at + (1 << 15)].tobytes()
+            yield {"a": [own[i : i + 12] for i in range(0, len(own), 24)], "b": [own[i + 12 : i + 24] for i in range(0, len(own), 24)]}
+
+    return map_batches(packed.repartition(buckets, "bucket"), run, "a binary, b binary")
+
+
+def _first_pairs(gathered: DataFrame) -> DataFrame:
+    """All pairs of small groups; of large ones each member with leaders: about one pair a member.
+
+    A group's leader is the member whose prefix is the most frequent, the least edited one of a family of
+    copies; ties fall differently in each of LEADERS families of groups.
+    """
+
+    buckets = max(1, _tiles(gathered.sparkSession) // 4)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            pairs: set[tuple[bytes, bytes]] = set()
-            for key, fps, bands in zip(b["key"].to_pylist(), b["fps"].to_pylist(), b["bands"].to_pylist(), strict=True):
-                own, at = _members(fps), np.frombuffer(bands, np.uint8)
-                order = sorted(range(len(own)), key=lambda i: own[i][key % LEADERS :])
+            found = [np.frombuffer(p, "V24") for p in b["pairs"].drop_null().to_pylist()]
+            for key, fps, bands, hots in zip(*(b[c].to_pylist() for c in ("key", "fps", "bands", "hots")), strict=True):
+                if key is None:
+                    continue
+                own, at, hot = _members(fps), np.frombuffer(bands, np.uint8).astype(np.int64), hots
                 covered = np.zeros(len(own), bool)
-                for i in order:
+                for i in sorted(range(len(own)), key=lambda i: (-hot[i], own[i][key % LEADERS :])):
                     if covered.all():
                         break
-                    if covered[i]:
-                        continue
-                    near = np.abs(at.astype(np.int64) - int(at[i])) <= 1
-                    for j in np.flatnonzero(near).tolist():
-                        if j != i:
-                            pairs.add((own[i], own[j]))
-                    covered |= near
-            yield {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
+                    if not covered[i]:
+                        near = np.abs(at - at[i]) <= 1
+                        found.append(np.frombuffer(b"".join(own[i] + own[j] for j in np.flatnonzero(near).tolist() if j != i), "V24"))
+                        covered |= near
+            if found:
+                yield _sent(np.concatenate(found), buckets)
 
-    pairs = map_batches(groups.select("key", "fps", "bands"), run, "a binary, b binary")
-    return pairs.distinct()
+    return _distinct(map_batches(gathered.select("pairs", "key", "fps", "bands", "hots"), run, "bucket int, pairs binary"), buckets)
 
 
 def _bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -326,7 +433,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
         some = rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
 
     def arrays(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes, seek = WordHash(), ids.value if ids else None
+        cut, seek = Shingler(k), ids.value if ids else None
         for b in batches:
             i = b["id"]
             if seek is not None:
@@ -334,7 +441,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
                 at = np.minimum(np.searchsorted(seek, v), max(len(seek) - 1, 0))
                 hit = pa.array(seek[at] == v if len(seek) else np.zeros(len(v), bool))
                 b = {c: x.filter(hit) for c, x in b.items()}
-            got = [(n, shingles(t, hashes, k)) for n, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True)]
+            got = [(n, cut(t)) for n, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True)]
             got = [(n, s) for n, s in got if len(s)]
             yield {"rep": [n for n, _ in got], "fp12": [_fingerprint(s)[:12] for _, s in got], "arr": [s.tobytes() for _, s in got]}
 
@@ -364,7 +471,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
 
 def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components within a group that the bitmaps leave; large groups meet tile by tile."""
-    spark = groups.sparkSession
+    buckets = max(1, _tiles(groups.sparkSession) // 4)
 
     def unpack(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -407,19 +514,19 @@ def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> Da
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, held = None, []
         for b in batches:
-            pairs: set[tuple[bytes, bytes]] = set()
+            pairs: list[bytes] = []
             for key, i, j, *row in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "fp12", "label", "n", "sig")), strict=True):
                 if (key, i, j) != at:
                     if len(held) > 1:
-                        pairs.update(compare(held))
+                        pairs += [min(p) + max(p) for p in compare(held)]
                     at, held = (key, i, j), []
                 held.append((key, *row))
-            yield {"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}
-        if len(held) > 1:
-            pairs = set(compare(held))
-            yield {"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}
+            if pairs:
+                yield _sent(np.frombuffer(b"".join(pairs), "V24"), buckets)
+        if len(held) > 1 and (pairs := [min(p) + max(p) for p in compare(held)]):
+            yield _sent(np.frombuffer(b"".join(pairs), "V24"), buckets)
 
-    return map_batches(own.select("key", "i", "j", "fp12", "label", "n", "sig"), run, "a binary, b binary").distinct()
+    return _distinct(map_batches(own.select("key", "i", "j", "fp12", "label", "n", "sig"), run, "bucket int, pairs binary"), buckets)
 
 
 def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -436,11 +543,12 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     rows = text_id(documents, doc_id, text)
     hot = spark.sparkContext.broadcast(_frequent(rows, folder, words))
     all_rows = stash(_gather(rows, hot, words), folder, "gathered")
-    texts = all_rows.where("key IS NULL").select("id", "n", "fp", "sig")
-    groups = all_rows.where("key IS NOT NULL").select("key", "fps", "bands")
+    texts = all_rows.where("key IS NULL AND pairs IS NULL").select("id", "n", "fp", "sig")
+    gathered = all_rows.where("key IS NOT NULL OR pairs IS NOT NULL")
+    groups = all_rows.where("key IS NOT NULL").select("key", "fps")
     classes = texts.where("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig", ignorenulls=True).alias("sig"), F.count("*").alias("copies"))
     classes = stash(classes.withColumn("fp12", F.substring("fp", 1, 12)), folder, "classes")
-    first = _bound(_leader_pairs(groups), classes)
+    first = _bound(_first_pairs(gathered), classes)
     links = _verified(rows, stash(first, folder, "first"), classes, folder, "v1", words)
     labels = connected_components(links, folder, "c1")
     rest = stash(_cross_pairs(groups, classes, labels), folder, "rest")
@@ -454,3 +562,15 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     out = texts.select("id", "n", "fp").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).join(told, ["fp", "part"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), "fp")
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One row of each component: of the smallest doc_id. Texts without words, and rows of a null id, all stay.
+
+    Ids of the rows to drop are what travels: as a broadcast up to SEEK_LIMIT of them, else by a shuffle. Rows
+    that repeat the smallest id itself stay.
+    """
+    gone = jaccard_components(documents).where("n_shingles > 0 AND id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    gone = stash(gone, shared_dir(documents.sparkSession), "gone")
+    side = F.broadcast(gone) if gone.count() <= SEEK_LIMIT else gone
+    return documents.join(side, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
