@@ -11,13 +11,14 @@ from .queries_pairs import SQL_PAIRS, _pairs
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """A pair's response as the reference; its first part and some of the question as the answer."""
-    p = _pairs(spark, d).withColumn("generated", F.concat(F.expr("substr(response, 1, cast(40 * (seq % 7) AS INT))"), F.lit(" "), F.substring("instruction", 1, 60)))
+    """A pair's response as the reference; the response, the question or both as the answer, in turn."""
+    both = F.concat_ws(" ", "instruction", "response")
+    p = _pairs(spark, d).withColumn("generated", F.when(F.col("seq") % 3 == 0, F.col("instruction")).when(F.col("seq") % 3 == 1, F.col("response")).otherwise(both))
     return p.withColumn("reference", F.col("response")).withColumn("keywords", E.expected_keywords(F.lit("erth/ion; de"), "response")).withColumn("bucket", F.concat(F.lit("b"), (F.col("conv_id") % 5).cast("string")))
 
 
 _STOP = str(list(L.KEYWORD_STOPWORDS))
-_ANSWERS = f"""(select *, array_to_string(gw, ' ') as gk from (select seq, domain, 'b' || (conv_id % 5) as bucket, substr(response, 1, (40 * (seq % 7))::int) || ' ' || substr(instruction, 1, 60) as generated, response as reference, {ascii_words("substr(response, 1, (40 * (seq % 7))::int) || ' ' || substr(instruction, 1, 60)")} as gw,
+_ANSWERS = f"""(select *, array_to_string(gw, ' ') as gk from (select seq, domain, 'b' || (conv_id % 5) as bucket, case when seq % 3 = 0 then instruction when seq % 3 = 1 then response else instruction || ' ' || response end as generated, response as reference, {ascii_words("case when seq % 3 = 0 then instruction when seq % 3 = 1 then response else instruction || ' ' || response end")} as gw,
 {ascii_words('response')} as rw from {SQL_PAIRS}))"""
 _KEYWORDS = f"""(select k.* exclude (words), list_slice(list_concat(['erth', 'ion', 'de'], list_transform(list_sort(list_transform(map_entries(firsts), lambda e: [lpad(e.value::varchar, 6, '0'), e.key])), lambda x: x[2])), 1, 10) as keywords from
 (select a.*, list_filter(rw, lambda w: length(w) >= 4 and not list_contains({_STOP}, w) and w not in ('erth', 'ion', 'de')) as words, map_from_entries(list_transform(list_distinct(list_filter(rw, lambda w: length(w) >= 4 and not list_contains({_STOP}, w) and w not in ('erth', 'ion', 'de'))), lambda w: (w, list_position(rw, w)))) as firsts from {_ANSWERS} a) k)"""
@@ -65,23 +66,22 @@ round(avg(repetition::int), 6) as repetition_rate, round(avg(empty::int), 6) as
 
 def heldout_split(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
-    return E.held_out(p, "domain", F.substring(T.word_key("instruction"), 1, 4), "seq", 10, 42).groupBy("domain", "split").agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
+    return E.held_out(p, "domain", T.word_key("instruction"), "seq", 10, 42).groupBy("domain", "split").agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
 
 
-_HELD = f"""with p as (select seq, domain, substr(array_to_string({ascii_words('instruction')}, ' '), 1, 4) as k from {SQL_PAIRS}), f as (select domain, k, min(seq) as seq from p where k <> '' group by 1, 2),
+_HELD = f"""with p as (select seq, domain, array_to_string({ascii_words('instruction')}, ' ') as k from {SQL_PAIRS}), f as (select domain, k, min(seq) as seq from p where k <> '' group by 1, 2),
 e as (select *, row_number() over (partition by domain order by md5('42|' || seq)) as n from f), x as (select * from e where n <= 10)
 select domain, split, count(*) as n, sum(seq)::bigint as ids from (select p.domain, p.seq, case when p.seq in (select seq from x) then 'eval' when p.k in (select k from x) then 'dropped' else 'train' end as split from p) group by 1, 2"""
 
 
 def train_eval_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold no benchmark item's opening words."""
-    key = lambda c: F.array_join(F.slice(T.words(c, "ascii"), 1, 2), " ")
-    items = table(spark, d, "benchmark").select(key("text").alias("k"))
-    return table(spark, d, "documents").select("doc_id", key("text").alias("k")).join(items, "k", "left_anti").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    """Documents that are no benchmark item, by their words."""
+    items = table(spark, d, "benchmark").select(T.word_key("text").alias("k"))
+    return table(spark, d, "documents").select("doc_id", T.word_key("text").alias("k")).join(items, "k", "left_anti").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-_TWO = lambda c: f"array_to_string(({ascii_words(c)})[1:2], ' ')"
-_ANTI = f"select count(*) as n, sum(doc_id)::bigint as ids from (select doc_id, {_TWO('text')} as k from documents) where k not in (select {_TWO('text')} from benchmark)"
+_WORD_KEY = lambda c: f"array_to_string({ascii_words(c)}, ' ')"
+_ANTI = f"select count(*) as n, sum(doc_id)::bigint as ids from (select doc_id, {_WORD_KEY('text')} as k from documents) where k not in (select {_WORD_KEY('text')} from benchmark)"
 
 _LINE = lambda c: one_line(f"lower({c})")
 
@@ -96,13 +96,13 @@ _LINES = f"select item_id, count(*) as n from {_ALL('benchmark', 'item_id')} whe
 
 
 def exact_paragraph_match(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs: middle parts of benchmark items, and very short ones; the corpus: documents' paragraphs."""
-    b = table(spark, d, "benchmark").select("item_id", F.expr("substr(text, 10, case when item_id % 5 = 0 then 12 else 90 end)").alias("text"))
-    return E.paragraph_matches(b, E.paragraphs(table(spark, d, "documents"), "doc_id"), "text").select("item_id")
+    """Outputs: all lines of benchmark items, short ones too; the corpus: documents' paragraphs."""
+    b = E.lines(table(spark, d, "benchmark"), "item_id", least=1).select("item_id", F.col("key").alias("text")).distinct()
+    return E.paragraph_matches(b, E.paragraphs(table(spark, d, "documents"), "doc_id"), "text").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
-_PARAGRAPHS = f"""with b as (select item_id, {_LINE("substr(text, 10, case when item_id % 5 = 0 then 12 else 90 end)")} as key from benchmark), p as (select {_LINE('text')} as p from documents)
-select item_id from b where key <> '' and exists (select 1 from p where contains(p, key))"""
+_PARAGRAPHS = f"""with b as (select distinct item_id, {_LINE('l')} as key from (select item_id, unnest(string_split(text, chr(10))) as l from benchmark)), p as (select {_LINE('text')} as p from documents)
+select item_id, count(*) as n from b where key <> '' and exists (select 1 from p where contains(p, key)) group by 1"""
 
 
 def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ _OVERLAP = f"select item_id from benchmark where exists (select 1 from (select {
 
 
 def nearest_similarity(spark: SparkSession, d: str) -> DataFrame:
-    out = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("text"))
+    out = table(spark, d, "benchmark").select("item_id", "text")
     corpus = E.lines(table(spark, d, "benchmark"), "item_id").select("key", F.col("item_id").alias("s"))
     return E.nearest_line(out, corpus, "item_id", "text")
 
@@ -151,7 +151,7 @@ _IDF = f"select phrase, round(weight, 9) as weight from {_IDF_W}"
 
 def _routes(spark: SparkSession, d: str) -> DataFrame:
     p = _profiles(spark, d)
-    answers = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("answer", F.array_join(F.slice(T.words("text", "ascii"), 1, 60), " "))
+    answers = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("answer", F.col("text"))
     return E.route(answers, p, E.phrase_weights(p))
 
 
@@ -159,7 +159,7 @@ def routing_predict(spark: SparkSession, d: str) -> DataFrame:
     return _routes(spark, d).select("id", "predicted", F.round("score", 6).alias("score"))
 
 
-_ROUTE = f"""with a as (select doc_id as id, list_slice({ascii_words('text')}, 1, 60) as w from documents), t as (select id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos, array_to_string(w, ' ') as key from a),
+_ROUTE = f"""with a as (select doc_id as id, {ascii_words('text')} as w from documents), t as (select id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos, array_to_string(w, ' ') as key from a),
 h as (select id, concept, phrase, min(pos) as pos, any_value(key) as key, bool_or(k = 0) as pr from t join {_PHRASES} p on p.phrase = t.word group by 1, 2, 3),
 s as (select id, concept, weight * (1.0 + 2.0 / (1.0 + (strpos(key, h.phrase) - 1) / 24.0::double)) * case when pr then 3.0 else 1.0 end as s, case when pr then pos end as rank from h join {_IDF_W} w on w.phrase = h.phrase),
 c as (select id, concept, sum(s) as score, min(rank) as rank, count(*) as n from s group by 1, 2),
@@ -192,23 +192,23 @@ def checkpoint_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The largest inner product of the first ten vectors with the others."""
+    """The largest inner product of every hundredth vector with the others."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    q = v.where("id < 10").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return v.crossJoin(F.broadcast(q)).where("id <> query_id").groupBy("query_id").agg(F.max_by("id", F.struct(F.round(dot, 9), -F.col("id"))).alias("nearest"))
 
 
-_COSINE = """select query_id, arg_max(id, round(s, 9)) as nearest from (select q.vec_id as query_id, e.vec_id as id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) as s from embeddings e, embeddings q where q.vec_id < 10 and e.vec_id <> q.vec_id) group by 1"""
+_COSINE = """select query_id, arg_max(id, round(s, 9)) as nearest from (select q.vec_id as query_id, e.vec_id as id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) as s from embeddings e, embeddings q where q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) group by 1"""
 
 
 def embedding_attention(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    w = E.attention(v, v.where("id < 5").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+    w = E.attention(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
     return w.groupBy("query_id").agg(F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
 
 
-_ATTENTION = """with z as (select q.vec_id as query_id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) / sqrt(64.0) as z from embeddings e, embeddings q where q.vec_id < 5),
+_ATTENTION = """with z as (select q.vec_id as query_id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) / sqrt(64.0) as z from embeddings e, embeddings q where q.vec_id % 100 = 0),
 s as (select query_id, exp(z) as e from z) select query_id, round(sum(e) / sum(e), 6) as total, round(max(e) / sum(e), 6) as largest from s group by 1"""
 
 

@@ -21,12 +21,12 @@ _PREFIX = f"select doc_id from (select doc_id, sum({_WS}) over (order by doc_id)
 
 
 def chat_mix_ratio(spark: SparkSession, d: str) -> DataFrame:
-    base = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("seq"), "text")
+    base = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text")
     chat = _pairs(spark, d).select("seq", F.col("response").alias("text"))
-    return M.word_share(M.mix_to_ratio(base, chat, "seq", 0.1), "tag").select("tag", "blocks", "words")
+    return M.word_share(M.mix_to_ratio(base, chat, "seq", 0.02), "tag").select("tag", "blocks", "words")
 
 
-_MIX = f"""with b as (select doc_id as seq, {_WS} as w from documents where doc_id < 200), t as (select sum(w) * 0.1::double / (1 - 0.1::double) as target from b),
+_MIX = f"""with b as (select doc_id as seq, {_WS} as w from documents), t as (select sum(w) * 0.02::double / (1 - 0.02::double) as target from b),
 c as (select seq, len(regexp_extract_all(response, '\\S+')) as w from {SQL_PAIRS}), p as (select w from (select w, sum(w) over (order by seq) - w as before from c), t where before < target)
 select 'base' as tag, count(*) as blocks, sum(w)::bigint as words from b union all select 'chat', count(*), sum(w)::bigint from p"""
 
@@ -106,19 +106,19 @@ from (select item_id, list_transform(string_split(text, ' '), lambda w: length(w
 
 def sft_loss_weights(spark: SparkSession, d: str) -> DataFrame:
     """Token ids are word lengths here; 901 stands for the answer's marker, 902 for the end."""
-    ids = lambda c: F.transform(F.slice(F.split(T.one_line(c), " "), 1, 12), lambda w: F.length(w))
+    ids = lambda c: F.transform(F.split(T.one_line(c), " "), lambda w: F.length(w))
     rows = _pairs(spark, d).select("seq", F.concat(ids("instruction"), F.array(F.lit(901)), ids("response"), F.array(F.lit(902))).alias("ids"))
-    out = M.loss_rows(rows, "ids", 20, [901], [902])
+    out = M.loss_rows(rows, "ids", 64, [901], [902])
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return out.select("seq", text("x").alias("x"), text("y").alias("y"), F.array_join(F.col("w").cast("array<int>").cast("array<string>"), ",").alias("w"))
 
 
-_LOSS_IDS = f"list_concat(list_transform(string_split({one_line('instruction')}, ' ')[1:12], lambda w: length(w)), [901], list_transform(string_split({one_line('response')}, ' ')[1:12], lambda w: length(w)), [902])"
-_LOSS = f"""with r as (select seq, ({_LOSS_IDS})[1:21] as i from {SQL_PAIRS}), m as (select seq, i, list_position(i, 901) - 1 as a, list_position(i, 902) - 1 as e from r),
+_LOSS_IDS = f"list_concat(list_transform(string_split({one_line('instruction')}, ' '), lambda w: length(w)), [901], list_transform(string_split({one_line('response')}, ' '), lambda w: length(w)), [902])"
+_LOSS = f"""with r as (select seq, ({_LOSS_IDS})[1:65] as i from {SQL_PAIRS}), m as (select seq, i, list_position(i, 901) - 1 as a, list_position(i, 902) - 1 as e from r),
 f as (select seq, i, a, e, case when e is null then len(i) - 2 else least(len(i) - 2, e - 1) end as l from m where a is not null and a < len(i) - 1),
-p as (select *, list_concat(i, list_transform(range(0, 21 - len(i)), lambda x: 0)) as z from f)
-select seq, array_to_string(z[1:20], ',') as x, array_to_string(z[2:21], ',') as y,
-array_to_string(list_transform(range(0, 20), lambda q: case when e is not null and q >= greatest(a, e - 1) and q <= l then 2 when q = a then 8 when q >= a and q <= l then 1 else 0 end), ',') as w from p"""
+p as (select *, list_concat(i, list_transform(range(0, 65 - len(i)), lambda x: 0)) as z from f)
+select seq, array_to_string(z[1:64], ',') as x, array_to_string(z[2:65], ',') as y,
+array_to_string(list_transform(range(0, 64), lambda q: case when e is not null and q >= greatest(a, e - 1) and q <= l then 2 when q = a then 8 when q >= a and q <= l then 1 else 0 end), ',') as w from p"""
 
 
 def arithmetic_grid(spark: SparkSession, d: str) -> DataFrame:

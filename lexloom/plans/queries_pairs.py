@@ -26,14 +26,13 @@ _TURNS = f"select conv_id, turn, sha256(instruction) as i, sha256(response) as r
 
 
 def _keys(df: DataFrame) -> DataFrame:
-    return df.withColumn("a", F.substring(T.dedupe_key("instruction"), 1, 3)).withColumn("b", F.substring(T.dedupe_key("response"), 1, 3))
+    return df.withColumn("a", F.md5(T.dedupe_key("instruction"))).withColumn("b", F.md5(T.dedupe_key("response")))
 
 
-_SQL_KEYS = f"(select *, substr({fold(one_line('instruction'))}, 1, 3) as a, substr({fold(one_line('response'))}, 1, 3) as b from {SQL_PAIRS})"
+_SQL_KEYS = f"(select *, md5({fold(one_line('instruction'))}) as a, md5({fold(one_line('response'))}) as b from {SQL_PAIRS})"
 
 
 def pair_clean_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Keys are cut to three letters, so that they collide often."""
     return P.greedy_pairs(_keys(_pairs(spark, d)), "seq", "a", "b").select("seq", "verdict")
 
 

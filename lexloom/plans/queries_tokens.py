@@ -12,10 +12,10 @@ _MIXED = r"\n|[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]"
 
 
 def word_freq(spark: SparkSession, d: str) -> DataFrame:
-    return K.word_frequency(table(spark, d, "documents")).where("n >= 20")
+    return K.word_frequency(table(spark, d, "documents"))
 
 
-_FREQ = f"select word, count(*) as n from {_W.format('documents')} group by 1 having n >= 20"
+_FREQ = f"select word, count(*) as n from {_W.format('documents')} group by 1"
 
 
 def pair_counts_step0(spark: SparkSession, d: str) -> DataFrame:
