@@ -164,11 +164,10 @@ def pair_domain(c: str | Column, source: str | Column | None = None) -> Column:
 def language_confidence(c: str | Column) -> Column:
     """English markers among the words, and ASCII among the characters, weighted; 0 without a word."""
     c = col(c)
-    w = words(c, "latin")
-    markers = F.array(*map(F.lit, L.ENGLISH_MARKERS))
-    hits = F.size(F.filter(w, lambda x: F.array_contains(markers, x)))
+    n = n_words(c, "latin")
+    hits = F.regexp_count(F.lower(c), F.lit(rf"(?<![a-z'])(?:{'|'.join(L.ENGLISH_MARKERS)})(?![a-z'])"))
     ascii_share = F.length(F.regexp_replace(c, r"[^\x00-\x7F]", "")) / F.greatest(F.length(c), F.lit(1))
-    return F.when(F.size(w) > 0, F.least(F.lit(1.0), L.MARKER_WEIGHT * hits / F.size(w) + L.ASCII_WEIGHT * ascii_share)).otherwise(0.0)
+    return F.when(n > 0, F.least(F.lit(1.0), L.MARKER_WEIGHT * hits / n + L.ASCII_WEIGHT * ascii_share)).otherwise(0.0)
 
 
 def language(c: str | Column) -> Column:

@@ -8,8 +8,11 @@ from ..functions import lexicon as L, text as T
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `cleaned`; rows that have nothing left, or filler text, go."""
-    return df.withColumn("cleaned", T.clean_text(text)).where((F.col("cleaned") != "") & ~F.regexp_like("cleaned", F.lit(L.LOREM)))
+    """Adds `cleaned`; rows that have nothing left, or filler text, go.
+
+    The one-item explode keeps the filter from being pushed below, where it would clean each text once more.
+    """
+    return df.withColumn("cleaned", F.explode(F.array(T.clean_text(text)))).where((F.col("cleaned") != "") & ~F.regexp_like("cleaned", F.lit(L.LOREM)))
 
 
 def keep_first(df: DataFrame, key: str | Column, seq: str) -> DataFrame:
