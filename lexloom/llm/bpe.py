@@ -22,12 +22,12 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, sha256_hex, small_batches
+from .common import map_batches, remember, sha256_hex, small_batches
 
 #: The vocabulary file; a parameter everywhere below.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces and neighbour pairs that a worker remembers; a piece longer than LONG is never remembered.
-PIECES, PAIRS, LONG = 250_000, 1 << 20, 64
+PIECES, PAIRS, LONG = 200_000, 1 << 19, 64
 #: Bytes of a text that the decoder takes at once.
 CHUNK = 1 << 16
 
@@ -230,6 +230,8 @@ _PLAIN_CONTROL = frozenset("\x1c\x1d\x1e\x1f")
 
 @cache
 def transducer(path: str = TOKENIZER) -> Transducer:
+    """One of each file in a process; a worker drops it when other stages need the room."""
+    remember(transducer.cache_clear)
     return Transducer(path)
 
 
@@ -261,7 +263,7 @@ def encode_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
                     out["decoded_sha256"].append(h.hexdigest())
             yield out
 
-    return map_batches(rows, run, "id long, n_tokens long" + ", ids binary" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests)
+    return map_batches(rows, run, "id long, n_tokens long" + ", ids binary" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests, keeps=True)
 
 
 def decode_documents(encoded: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -273,4 +275,4 @@ def decode_documents(encoded: DataFrame, *, tokenizer: str = TOKENIZER) -> DataF
         for b in batches:
             yield {"id": b["id"], "text": ["".join(t.decode(x or b"")) for x in b["ids"].to_pylist()]}
 
-    return map_batches(encoded.select("id", "ids"), run, "id long, text string")
+    return map_batches(encoded.select("id", "ids"), run, "id long, text string", keeps=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,11 +45,34 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with columns as a dict of Arrow arrays in, and dicts of lists or arrays out."""
+#: What to forget when a worker, which outlives its stage, goes on to work that doesn't need it.
+_REMEMBERED: list[Callable[[], None]] = []
+
+
+def remember(forget: Callable[[], None]) -> None:
+    """Tell that this worker keeps something between tasks, and how to drop it."""
+    if forget not in _REMEMBERED:
+        _REMEMBERED.append(forget)
+
+
+def _make_room() -> None:
+    while _REMEMBERED:
+        _REMEMBERED.pop()()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, *, keeps: bool = False) -> DataFrame:
+    """mapInArrow with columns as a dict of Arrow arrays in, and dicts of lists or arrays out.
+
+    Unless `keeps`, a task first drops what earlier stages left in its worker, so that a long pipeline needs no
+    more memory than its largest stage.
+    """
     target = pa.schema(_arrow_fields(df.sparkSession, schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _make_room()
         for out in fn({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches):
             cols = [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in ((out[f.name], f) for f in target)]
             yield pa.RecordBatch.from_arrays(cols, schema=target)

@@ -35,7 +35,7 @@ TILE_ROWS = 4096
 #: Class keys that a scan may get as a broadcast; more are joined with a shuffle.
 SEEK_LIMIT = 1 << 21
 #: Shingles that a task gathers before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Leader families: a group's members are first compared with so many of them.
 LEADERS = 3
 #: Members of a small group, whose pairs are all tried at once.

@@ -17,7 +17,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, shared_dir, small_batches, stash
+from .common import map_batches, remember, shared_dir, small_batches, stash
 from .labelled import TRAIN_ROWS, is_held_out, training_texts
 
 #: The fold that never trains, of so many; score from which a text counts as toxic.
@@ -124,6 +124,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, folder: str, *, rows:
     train = stash(train.dropDuplicates(["y", "x"]), folder, "toxic-distinct").coalesce(8)
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
+        remember(_remembered.cache_clear)
         total = np.zeros((2, BUCKETS), np.int32)
         n = np.zeros(2, np.int64)
         mentions: dict[str, int] = {}
