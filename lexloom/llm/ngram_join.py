@@ -225,11 +225,17 @@ def _frequent(rows: DataFrame, folder: str, k: int) -> tuple[np.ndarray, np.ndar
     return got["key"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(np.int64)
 
 
+def _parts(n: np.ndarray) -> np.ndarray:
+    """Tiles beyond the first over which the holders of a shingle with so many are dealt."""
+    return n // (16 * TILE_ROWS)
+
+
 def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
     """Rows of two kinds: a text's (id, n, fp, sig), and groups (key, members) of classes that share a prefix shingle."""
     spark = rows.sparkSession
     tiles = _tiles(spark)
     blank = {"tile": [], "entries": [], "id": [], "n": [], "fp": [], "sig": []}
+    split = mix64(hot.value[0][_parts(hot.value[1]) > 0])
 
     def collect(batches: Iterator[dict]) -> Iterator[dict]:
         hot_key, hot_n = hot.value
@@ -263,7 +269,7 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
                     is_hot = hot_key[at] == key
                     order = np.argsort(is_hot, kind="stable")[:first]
                     # holders of a very frequent shingle gather in several tiles; step 5 brings them together
-                    parts = np.where(is_hot[order], hot_n[at[order]] // (16 * TILE_ROWS), 0).astype(np.uint64)
+                    parts = np.where(is_hot[order], _parts(hot_n[at[order]]), 0).astype(np.uint64)
                     part = np.uint64(int.from_bytes(fp[12:], "little")) % (parts + np.uint64(1))
                     key, share = key[order], int(255 * is_hot[order].mean())
                 e = np.empty(first, _KEY)
@@ -296,10 +302,12 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
         parts.clear()
         cut = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1], [True]]))
         lo, m = cut[:-1], np.diff(cut)
+        # a part of a dealt shingle, however small, keeps its key, by which step 5 joins the parts
+        keyed = (m > SMALL) | np.isin(e["key"][lo], split)
         # small groups: all pairs of neighbouring bands, once a task
         pairs = [np.zeros(0, "V24")]
         for size in range(2, SMALL + 1):
-            at = lo[m == size]
+            at = lo[(m == size) & ~keyed]
             if len(at):
                 i, j = np.triu_indices(size, 1)
                 x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]
@@ -309,7 +317,7 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
         for at in range(0, len(pairs), 1 << 15):
             yield empty | {"pairs": [pairs[at : at + (1 << 15)].tobytes()]} | {c: [None] for c in empty if c != "pairs"}
         out = {c: [] for c in empty}
-        for at, size in zip(lo[m > SMALL], m[m > SMALL], strict=True):
+        for at, size in zip(lo[keyed], m[keyed], strict=True):
             own = e[at : at + size]
             own = own[np.argsort(own["band"], kind="stable")]
             for k in range(0, size, TILE_ROWS):

@@ -104,6 +104,25 @@ def test_jaccard_components(spark, monkeypatch, small):
     assert [r.component_id for r in got if r.id is None] == [None]
 
 
+def test_parts_of_a_dealt_shingle_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_FROM", 8)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 1)
+    rng = random.Random(9)
+    cut, notice = ngram_join.Shingler(), ["license"] * 4
+    while len(notice) < 12:  # shingles of small hashes, so that all are counted as frequent
+        word = f"l{rng.randrange(10_000)}"
+        if cut(" ".join([*notice[-4:], word]))[0] < 1 << 62:
+            notice.append(word)
+    notice = " ".join(notice)
+    rows = [(100 + k, " ".join(f"w{rng.randrange(10_000)}" for _ in range(30)) + " " + notice) for k in range(300)]
+    # two of these share all but one shingle, and in their prefixes only one of the notice
+    rows += [(k, f"{notice} end{k}") for k in range(8)]
+    hot = ngram_join._frequent(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"), shared_dir(spark), 5)
+    assert (ngram_join._parts(hot[1]) > 0).sum() == 8
+    got = ngram_join.jaccard_components(docs(spark, rows).repartition(3)).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_keep_one_and_empty_table(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, None), (5, ""), (9, "other words stand here in this row")]
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs(spark, rows)).collect()) == [1, 2, 5, 9]
