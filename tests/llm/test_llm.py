@@ -57,6 +57,16 @@ def test_secret_novelty_reports_incompressible_strings():
     assert secrets.scan(long) == []
 
 
+def test_secrets_of_any_characters_and_no_words():
+    rng = random.Random(12)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789"):
+        for n in (16, 20, 23, 40):
+            key = "".join(rng.choice(letters) for _ in range(n))
+            assert any(key == f"session cookie {key} sent"[s["start"] : s["end"]] for s in secrets.scan(f"session cookie {key} sent")), key
+    words = "src/main/java/org/example/service/UserService authentication_token_provider Geschwindigkeitsbegrenzung anticonstitutionnellement internationalization SESSION_COOKIE_SAMESITE ------------------------"
+    assert all(secrets.scan(f"session cookie {w} was sent") == [] for w in words.split())
+
+
 # -- op2
 
 
