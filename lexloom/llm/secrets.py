@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, small_batches
 
 KINDS = ("assign", "access", "hex", "novel")
-#: Characters on each side of a candidate that prime the compressor; bytes a character from which it is novel.
-CONTEXT, NOVEL = 512, 0.75
+#: Characters on each side of a candidate that prime the compressor; share of its alphabet's entropy from which it is novel.
+CONTEXT, NOVEL = 512, 0.9
 #: Bits a character by which even chances must beat words: above what words in their texts reach, below random strings.
 MARGIN = 0.4
 #: Length of a candidate string, and how far behind a sensitive word it may begin.
@@ -82,6 +82,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands on both sides of a string, without its other copies, whole ones across the limits too."""
+    own, reach = text[start:end], CONTEXT + end - start
+    before, after = text[max(0, start - reach) : start], text[end : end + reach]
+    if own in before or own in after:
+        return before.replace(own, " ")[-CONTEXT:], after.replace(own, " ")[:CONTEXT]
+    return before[-CONTEXT:], after[:CONTEXT]
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
     """Compressed bytes that a candidate adds, a character, to a compressor primed with identifiers and what is around."""
     prime = zstandard.ZstdCompressionDict((_IDENTIFIERS + before + after).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -161,9 +170,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         last = c.end()
         if any(s < c.end() and c.start() < e for s, e, _ in taken):
             continue
-        before, after = text[max(0, c.start() - CONTEXT) : c.start()], text[c.end() : c.end() + CONTEXT]
+        before, after = _around(text, c.start(), c.end())
         n = novelty(c[0], before, after)
-        if n >= NOVEL and not _is_words(c[0], f"{before} {after}"):
+        if 8 * n >= NOVEL * math.log2(_alphabet(c[0])) and not _is_words(c[0], f"{before} {after}"):
             out.append((c.start(), c.end(), n))
     return out
 
@@ -172,7 +181,7 @@ def scan(text: str | None) -> list[dict]:
     """All spans of a whole text by start, then kind; offsets in code points, end exclusive; null: none."""
     text = text or ""
     base = base_spans(text)
-    spans = [{"kind": k, "start": s, "end": e, "novelty": novelty(text[s:e], text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT])} for s, e, k in base]
+    spans = [{"kind": k, "start": s, "end": e, "novelty": novelty(text[s:e], *_around(text, s, e))} for s, e, k in base]
     spans += [{"kind": "novel", "start": s, "end": e, "novelty": n} for s, e, n in novel_spans(text, base)]
     return sorted(spans, key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"]))
 

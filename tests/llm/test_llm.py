@@ -67,6 +67,17 @@ def test_secrets_of_any_characters_and_no_words():
     assert all(secrets.scan(f"session cookie {w} was sent") == [] for w in words.split())
 
 
+def test_secrets_of_small_alphabets_and_repeated_keys():
+    rng = random.Random(13)
+    for letters, n in (("0123456789ABCDEF", 96), ("0123456789ABCDEF", 128), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 256), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 512)):
+        key = "".join(rng.choice(letters) for _ in range(n))
+        text = f"session cookie {key} sent"
+        assert [text[s["start"] : s["end"]] for s in secrets.scan(text)] == [key]
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    text = f"Authorization bearer {key} sent, and once more: bearer {key} sent"
+    assert [text[s["start"] : s["end"]] for s in secrets.scan(text)] == [key, key]
+
+
 # -- op2
 
 
