@@ -2,8 +2,8 @@
 
 An entity is the normalised value of a base match. A term reveals it as far as their pointwise mutual
 information reaches the entity's own information: PMI(t, e) / IC(e), with document frequencies over the whole
-corpus. Terms at or above the threshold, seen with the entity in enough different contexts, get a span where
-they stand beside the entity.
+corpus. A term at or above the threshold, seen with the entity in enough different texts, gets a span wherever
+it stands.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, shared_dir, small_batches, stash
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity that make its context; letters of a term; share of the entity's information
-#: that a term must carry; different contexts that must show both; chance of the entity given the term.
-AROUND, LETTERS, DISCLOSE, CONTEXTS, ODDS = 6, 4, 0.8, 3, 0.5
-#: Terms whose counts a task hands on at once.
-FLUSH = 100_000
+#: Letters of a term; share of the entity's information that a term must carry; different texts that must show
+#: both; chance of the entity given the term.
+LETTERS, DISCLOSE, CONTEXTS, ODDS = 2, 0.8, 3, 0.5
+#: Terms whose counts a task hands on at once; disclosing terms that go round the texts at once.
+FLUSH, BLOCK_TERMS = 100_000, 1 << 21
+#: Terms whose verdict a task remembers; documents from which a term's counts go to every task.
+KNOWN, HOT = 100_000, 5_000
 
 # The base patterns. Quantifiers are possessive where that can't change a match, so that time stays linear.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,8 +34,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{%d,}" % LETTERS)
-_SPACE = re.compile(r"\S+")
+# Chinese and Japanese have no spaces: their terms are the pieces of two and three characters, or one that stands alone.
+_UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TERM = re.compile(r"[^\W\d_%s]{%d,}|[%s]+" % (_UNSPACED, LETTERS, _UNSPACED))
+_RUN = re.compile(f"[{_UNSPACED}]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -95,36 +99,60 @@ def _hash(s: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(s))
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """The terms around each base span, with their places: what may reveal its entity."""
-    out = []
-    covered = [(s, e) for s, e, _ in spans]
-    for s, e, kind in spans:
-        left = text[max(0, s - 40 * AROUND) : s]
-        right = text[e : e + 40 * AROUND]
-        lw = list(_SPACE.finditer(left))[-AROUND:]
-        rw = list(_SPACE.finditer(right))[:AROUND]
-        lo = s - len(left) + (lw[0].start() if lw else len(left))
-        hi = e + (rw[-1].end() if rw else 0)
-        entity = _hash(_entity(kind, text[s:e]))
-        around = _hash(text[lo:s].lower() + "\0" + text[e:hi].lower())
-        for m in _TERM.finditer(text, lo, hi):
-            if not any(a < m.end() and m.start() < b for a, b in covered):
-                out.append({"term": _hash(m[0].lower()), "entity": entity, "context": around, "start": m.start(), "end": m.end()})
+def _pieces(run: str) -> list[tuple[int, int]]:
+    """Places of the terms within a match of _TERM."""
+    if len(run) < 3 or not _RUN.match(run):
+        return [(0, len(run))]
+    return [(k, k + n) for n in (2, 3) for k in range(len(run) - n + 1)]
+
+
+def terms_of(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    """The different terms of a whole text outside its base spans."""
+    if spans:
+        parts, last = [], 0
+        for s, e, _ in sorted(spans):
+            parts.append(text[last : max(s, last)])
+            last = max(last, e)
+        text = "\n".join([*parts, text[last:]])
+    if text.isascii() or not _RUN.search(text):
+        return {word.lower() for word in set(_TERM.findall(text))}
+    return {run[s:e].lower() for run in set(_TERM.findall(text)) for s, e in _pieces(run)}
+
+
+def term_spans(text: str, spans: list[tuple[int, int, str]], telling: set[str]) -> list[tuple[int, int]]:
+    """Every occurrence of the terms outside base spans, by start."""
+    out, at = [], 0
+    for s, e in [*((x["start"], x["end"]) for x in _merged([(s, e) for s, e, _ in spans])), (len(text), len(text))]:
+        for m in _TERM.finditer(text[at:s]):
+            out += [(at + m.start() + i, at + m.start() + j) for i, j in _pieces(m[0]) if m[0][i:j].lower() in telling]
+        at = e
+    return sorted(out)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans by start, overlapping ones as one."""
+    out: list[dict] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1]["end"]:
+            out[-1]["end"] = max(e, out[-1]["end"])
+        else:
+            out.append({"start": s, "end": e})
     return out
 
 
 BASE = "array<struct<kind:string,start:long,end:long>>"
-NEAR = "array<struct<term:long,entity:long,context:long,start:long,end:long>>"
+TERMS = "array<struct<start:long,end:long>>"
 
 
 def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclose: float = DISCLOSE, min_contexts: int = CONTEXTS, odds: float = ODDS) -> DataFrame:
     """(id, base, terms) per row: base spans by kind and start, and spans of disclosing terms by start.
 
     One pass reads whole texts and counts, for every term of the corpus, the documents that hold it (summed in
-    each task before they travel). Only contexts of entities move besides; a hot entity's counts are summed
-    before the shuffle, and its rows are dealt over parts when they meet their verdicts.
-    Null and empty texts: no spans. Repeated rows count as documents, but not as different contexts; each gets
+    each task before they travel). Only texts with entities move besides, as term and entity hashes, once for
+    all copies; of their pairs only those whose document counts can still reach `min_contexts` and `odds`. A
+    hot entity's pairs are summed before the shuffle. Another pass marks every occurrence of the disclosing terms,
+    whichever text it is in and however far from an entity; they go round in blocks of BLOCK_TERMS.
+    Null and empty texts: no spans. Repeated rows count as documents, but not as different texts; each gets
     its spans. Empty table: no rows.
     """
     spark = documents.sparkSession
@@ -132,52 +160,98 @@ def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     folder = shared_dir(spark)
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def read_texts(batches: Iterator[dict]) -> Iterator[dict]:
         counts: Counter[str] = Counter()
-        none: dict[str, list] = {"id": [], "real": [], "base": [], "near": [], "terms": [], "counts": []}
+        none: dict[str, list] = {"docs": [], "context": [], "entities": [], "terms": [], "counts": []}
+        docs = 0
+
+        def hashes(terms) -> np.ndarray:
+            return np.array([_hash(t) for t in terms], np.int64)
 
         def flush() -> dict:
             items = list(counts.items())
             counts.clear()
-            h = np.array([_hash(t) for t, _ in items], np.int64)
-            return none | {"id": [None], "real": [False], "base": [[]], "near": [[]], "terms": [h], "counts": [np.array([n for _, n in items], np.int64)]}
+            return {"docs": [docs], "context": [None], "entities": [[]], "terms": [hashes(t for t, _ in items)], "counts": [np.array([n for _, n in items], np.int64)]}
 
         for b in batches:
             out = {k: [] for k in none}
-            for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for t in b["text"].to_pylist():
                 t = t or ""
+                docs += 1
                 spans = base_spans(t)
-                counts.update(set(_TERM.findall(t.lower())))
-                for k, v in zip(none, (i, True, [{"kind": k, "start": s, "end": e} for s, e, k in spans], contexts(t, spans), [], []), strict=True):
-                    out[k].append(v)
+                terms = terms_of(t, spans)
+                counts.update(terms)
+                if spans:
+                    for k, v in zip(none, (0, _hash(t.lower()), list({_hash(_entity(kind, t[s:e])) for s, e, kind in spans}), hashes(terms), []), strict=True):
+                        out[k].append(v)
                 if len(counts) >= FLUSH:
                     yield flush()
+                    docs = 0
             yield out
-        if counts:
+        if docs:
             yield flush()
 
-    schema = f"id long, real boolean, base {BASE}, near {NEAR}, terms array<long>, counts array<long>"
-    read = stash(map_batches(rows, run, schema), folder, "read")
-    texts = read.where("real")
-    near = texts.where(F.size("near") > 0).withColumn("row", F.monotonically_increasing_id())
-    near = stash(near.select("id", "row", "base", "near"), folder, "near")
-    pairs = near.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    joint = pairs.groupBy("term", "entity").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
-    joint = stash(joint, folder, "joint")
-    total = texts.count()
-    held = pairs.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"))
-    wanted = joint.select("term").distinct()
-    known = read.where("NOT real").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n")).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    judged = joint.join(held, "entity").join(known, "term")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    shared = F.log(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
-    telling = judged.where((information > 0) & (shared >= disclose * information) & (F.col("n_both") >= odds * F.col("n_term")))
+    read = stash(map_batches(rows, read_texts, "docs long, context long, entities array<long>, terms array<long>, counts array<long>"), folder, "read")
+    total = float(max(read.agg(F.sum("docs")).collect()[0][0] or 0, 1))
+    near = read.where("context IS NOT NULL").groupBy("context").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    near = stash(near, folder, "near")
+    # entities in too few different texts can't be given away; nor by a term in too many
+    held = near.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("c")).where(F.col("c") >= min_contexts).drop("c")
+    held = stash(held, folder, "held")
+    most = held.agg(F.max("n_entity")).collect()[0][0] or 0
     parts = 32
-    telling = stash(telling.select("term", "entity"), folder, "telling").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    hit = pairs.withColumn("part", F.pmod("row", F.lit(parts)).cast("int")).join(telling, ["term", "entity", "part"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    with_near = near.join(hit, "row", "left").select("id", "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long>>")).alias("terms"))
-    without = texts.where(F.size("near") == 0).select("id", "base", F.array().cast("array<struct<start:long,end:long>>").alias("terms"))
-    return with_near.unionByName(without)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    part = F.pmod("context", F.lit(parts)).cast("int")
+    known = read.where("context IS NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n_term"))
+    known = stash(known.where((F.col("n_term") >= min_contexts) & (F.col("n_term") * odds <= most)), folder, "known")
+    who = near.select("context", "copies", part.alias("part"), F.explode("entities").alias("entity")).join(held.withColumn("part", spread), ["entity", "part"]).select("context", "copies", "entity", "n_entity")
+    who = stash(who, folder, "who")
+    said = near.select("context", "terms").join(who.groupBy("context").agg(F.max("n_entity").alias("limit")), "context").select("context", "limit", F.explode("terms").alias("term"))
+    # there are few terms of HOT documents and more, so that they need no shuffle, which would gather each in one task
+    hot = known.where(F.col("n_term") >= HOT).select("term", F.col("n_term").alias("n_hot"))
+    said = said.join(F.broadcast(hot), "term", "left")
+    rare = said.where("n_hot IS NULL").join(known.where(F.col("n_term") < HOT), "term").select("context", "limit", "term", "n_term")
+    said = rare.union(said.where("n_hot IS NOT NULL").select("context", "limit", "term", F.col("n_hot").alias("n_term"))).where(F.col("n_term") * odds <= F.col("limit"))
+    pairs = said.select("context", "term", "n_term").join(who, "context").where(F.col("n_term") * odds <= F.col("n_entity"))
+    judged = pairs.groupBy("term", "entity", "n_term", "n_entity").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
+    information = F.log(F.lit(total) / F.col("n_entity"))
+    shared = F.log(F.col("n_both") * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
+    telling = judged.where((information > 0) & (shared >= disclose * information) & (F.col("n_both") >= odds * F.col("n_term")))
+    telling = stash(telling.select("term").distinct(), folder, "telling")
+    blocks = max(1, -(-telling.count() // BLOCK_TERMS))
+
+    def marker(seek, first: bool):
+        def mark(batches: Iterator[dict]) -> Iterator[dict]:
+            keys, verdicts = seek.value, {}
+            for b in batches:
+                texts = [t or "" for t in b["text"].to_pylist()]
+                if first:
+                    found = [base_spans(t) for t in texts]
+                    b |= {"base": [[{"kind": k, "start": s, "end": e} for s, e, k in spans] for spans in found]}
+                    terms: list[list[dict]] = [[] for _ in texts]
+                else:
+                    found = [[(x["start"], x["end"], x["kind"]) for x in spans] for spans in b["base"].to_pylist()]
+                    terms = b["terms"].to_pylist()
+                for k, (t, spans) in enumerate(zip(texts, found, strict=True) if len(keys) else ()):
+                    own = terms_of(t, spans)
+                    if new := [w for w in own if w not in verdicts]:
+                        if len(verdicts) + len(new) > KNOWN:
+                            verdicts.clear()
+                            new = list(own)
+                        h = np.array([_hash(w) for w in new], np.int64)
+                        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        verdicts.update(zip(new, (keys[at] == h).tolist(), strict=True))
+                    if hit := {w for w in own if verdicts[w]}:
+                        terms[k] = _merged([(x["start"], x["end"]) for x in terms[k]] + term_spans(t, spans, hit))
+                yield b | {"terms": terms}
+
+        return mark
+
+    out = rows
+    for k in range(blocks):
+        keys = telling.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).toPandas()["term"].to_numpy(np.int64)
+        out = map_batches(out, marker(spark.sparkContext.broadcast(np.sort(keys)), k == 0), f"id long, text string, base {BASE}, terms {TERMS}")
+    return out.select("id", "base", "terms")
 
 
 def sanitise(text: str, spans: list[tuple[int, int, str]]) -> str:

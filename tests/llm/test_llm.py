@@ -371,6 +371,19 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    rng = random.Random(4)
+    plain = ["river", "stone", "window", "garden", "letter", "morning", "paper", "bridge"]
+    words = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    rows = [(k, words(20)) for k in range(200)]
+    rows += [(300 + k, f"Zanthorp {words(30)} 山田 {words(30)} Bo {words(30)} ann@mail.example.com, Zanthorp") for k in range(6)]
+    rows += [(400, f"{words(9)} Zanthorp alone"), (401, f"{words(9)} zubble bob@mail.example.com once")]
+    got = {r.id: r for r in pii.find_pii(docs(spark, rows)).collect()}
+    for k in range(300, 306):
+        assert [dict(rows)[k][s.start : s.end] for s in got[k].terms] == ["Zanthorp", "山田", "Bo", "Zanthorp"]
+    assert [dict(rows)[400][s.start : s.end] for s in got[400].terms] == ["Zanthorp"] and not got[401].terms and not got[0].terms
+
+
 # -- op10
 
 
