@@ -106,18 +106,21 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     def tile(ids: np.ndarray, v: np.ndarray, qid: np.ndarray, qv: np.ndarray) -> Iterator[dict]:
         want = min(len(ids), max(LEAST, top + 1, int(share * len(ids))))
         forest = Forest(v, largest, trees)
+        repeats = len(np.unique(ids)) < len(ids)
         unit = qv / np.sqrt((qv**2).sum(1))[:, None]
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         for i, at in enumerate(forest.search(unit, want)):
             at = at[ids[at] != qid[i]]
             score = v[at] @ qv[i]
-            use = best(score, ids[at], top + 8)
-            seen: dict[int, float] = {}
-            for vec, s in zip(ids[at][use].tolist(), score[use].tolist(), strict=True):
-                seen.setdefault(vec, s)
-            out["query_id"] += [int(qid[i])] * len(seen)
-            out["vec_id"] += list(seen)
-            out["score"] += list(seen.values())
+            vec = ids[at]
+            if repeats:  # each id with its best score alone, before the largest are taken
+                order = np.lexsort((-score, vec))
+                order = order[np.concatenate([[True], vec[order][1:] != vec[order][:-1]])] if len(order) else order
+                vec, score = vec[order], score[order]
+            use = best(score, vec, top)
+            out["query_id"] += [int(qid[i])] * len(use)
+            out["vec_id"] += vec[use].tolist()
+            out["score"] += score[use].tolist()
         yield out
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:

@@ -232,6 +232,12 @@ def test_nearest_is_exact_on_few_and_good_on_many(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_behind_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0, k / 100]) for k in range(60)] + [(k, [8.0 - k / 10, 1.0]) for k in range(2, 19)] + [(k, [0.5, float(k)]) for k in range(21, 40)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 0] == [*range(1, 19), 21, 22]
+
+
 # -- op5
 
 
