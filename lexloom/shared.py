@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The checkpoint folder used only where the session names none (tests, notebooks).
-FALLBACK_DIR = "/tmp/lexloom-checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir."""
+    """A new folder below spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder will do only if driver and executors are one process; a cluster
+    without the setting is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or FALLBACK_DIR).rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/lexloom-checkpoints"
+    return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stash(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
     """Write a table there and read it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    df.write.mode("overwrite").options(**options).parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of the shared folder that no later stage reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(conf).delete(path, True)
