@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,37 +11,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows handed to Python at once; texts can be long, so batches stay short.
-BATCH_ROWS = 256
+from ..shared import discard, shared_dir, stash
 
-#: The checkpoint folder used only where the session names none (tests, notebooks).
-FALLBACK_DIR = "/tmp/lexloom-checkpoints"
+__all__ = ["discard", "shared_dir", "stash"]
 
+#: Rows and bytes of a batch that an operator sees at once. Spark's own batches may be larger (up to its
+#: spark.sql.execution.arrow.maxBytesPerBatch); they are cut here, so that no session setting is touched.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, so that a worker's memory follows a few texts, not a partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or FALLBACK_DIR).rstrip('/')}/lexloom-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, folder: str, *names: str) -> None:
-    """Delete tables of the shared folder that no later stage reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        path.getFileSystem(conf).delete(path, True)
+def cut_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows, and of at most `size` bytes but for single larger rows."""
+    for whole in batches:
+        stack = [whole.slice(k, rows) for k in range(0, whole.num_rows, rows)][::-1]
+        del whole
+        while stack:
+            b = stack.pop()
+            if b.num_rows > 1 and b.nbytes > size:
+                half = b.num_rows // 2
+                stack += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
 
 
 #: What to forget when a worker, which outlives its stage, goes on to work that doesn't need it.
@@ -62,9 +51,11 @@ def _make_room() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, *, keeps: bool = False) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, *, keeps: bool = False, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow with columns as a dict of Arrow arrays in, and dicts of lists or arrays out.
 
+    `fn` gets batches of at most `rows` rows and about `size` bytes, whatever the session's settings.
+
     Unless `keeps`, a task first drops what earlier stages left in its worker, so that a long pipeline needs no
     more memory than its largest stage.
     """
@@ -73,7 +64,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
             _make_room()
-        for out in fn({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches):
+        for out in fn({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in cut_batches(batches, rows, size)):
             cols = [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in ((out[f.name], f) for f in target)]
             yield pa.RecordBatch.from_arrays(cols, schema=target)
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, map_batches, mix64, shared_dir, small_batches, stash, text_id
+from .common import discard, map_batches, mix64, shared_dir, stash, text_id
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -546,7 +546,6 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     Empty table: no rows. Texts of any length are used whole.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     folder = shared_dir(spark)
     rows = text_id(documents, doc_id, text)
     hot = spark.sparkContext.broadcast(_frequent(rows, folder, words))

@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, shared_dir, small_batches, stash
+from .common import map_batches, shared_dir, stash
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Letters of a term; share of the entity's information that a term must carry; different texts that must show
@@ -156,7 +156,6 @@ def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     its spans. Empty table: no rows.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     folder = shared_dir(spark)
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 

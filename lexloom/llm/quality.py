@@ -10,7 +10,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, shared_dir, small_batches, text_id
+from .common import map_batches, shared_dir, text_id
 from .labelled import TRAIN_ROWS, is_held_out, isotonic, training_texts
 
 #: The fold that never trains, of so many.
@@ -129,7 +129,6 @@ def score_quality(documents: DataFrame, model: QualityModel, carry: tuple[str, .
 
     Null texts count as empty ones; empty texts get the score of their (all zero) statistics.
     """
-    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
     kept = [f for f in rows.schema if f.name.startswith("c_")]
@@ -146,7 +145,6 @@ def score_quality(documents: DataFrame, model: QualityModel, carry: tuple[str, .
 def classify_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, held_out, score, passes) per document row. An empty table gives no rows."""
     folder = shared_dir(documents.sparkSession)
-    small_batches(documents.sparkSession)
     scored = score_quality(text_id(documents, "doc_id", "text").withColumnRenamed("id", "doc_id"), fit_quality(documents, labels, folder))
     return scored.withColumn("held_out", is_held_out("id", FOLDS, HELD_OUT))
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, small_batches
+from .common import map_batches
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Characters on each side of a candidate that prime the compressor; share of its alphabet's entropy from which it is novel.
@@ -195,7 +195,6 @@ def find_secrets(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     Null and empty texts: no spans. Repeated rows: each its own. Long texts are scanned whole; the patterns
     take time in proportion to a text's length.
     """
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -219,7 +218,6 @@ def redact(text: str, spans: list[dict], mark: str = "[SECRET]") -> str:
 
 def redact_secrets(documents: DataFrame) -> DataFrame:
     """documents with secrets replaced; n_chars follows a changed text; clean rows stay as they are."""
-    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
