@@ -1,9 +1,10 @@
 """WARC archives through a chunked record table.
 
-Writing: each task streams its rows into one gzip-per-record archive in the shared folder; a manifest, written
-with Spark's commit protocol, names the archives of successful tasks only, so files of lost attempts are never
-read. Reading: archives stream back as rows (record, chunk number), with the digest carried along and given on
-a record's last chunk; no record is ever held whole.
+Writing: a page's payload becomes rows (record, chunk number, bytes) of bounded size, with the digest that the
+JVM computes; each task streams those rows into one gzip-per-record archive in the shared folder, with a running
+digest of its own. A manifest, written with Spark's commit protocol, names the archives of successful tasks only,
+so files of lost attempts are never read. Reading: archives stream back as rows (record, chunk number), with the
+digest carried along and given on a record's last chunk; no record is ever held whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_batches, shared_dir, small_batches, stash
+from .common import map_batches, shared_dir, stash
 
 #: Bytes of a payload in one chunk row; bytes that the reader asks a file for.
 CHUNK, READ = 1 << 20, 1 << 18
@@ -29,7 +30,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _open_fs(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
+    """The store and the path in it, by the names that Hadoop's connectors have too."""
+    scheme, found, rest = uri.partition(":/")
+    if not found:
+        return fs.FileSystem.from_uri(f"file://{uri}")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:/{rest}"
+    elif scheme == "dbfs":  # mounted on every node
+        uri = f"file:///dbfs/{rest.lstrip('/')}"
+    elif scheme == "file":
+        uri = f"file:///{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 def digest_text(sha1: bytes) -> str:
@@ -44,21 +55,26 @@ def _head(kind: str, record: int | None, target: str, digest: str, size: int, bl
     return ("\r\n".join([*lines, f"Content-Length: {block}"]) + "\r\n\r\n").encode()
 
 
-def write_record(out, kind: str, record: int | None, target: str | None, payload: memoryview, refers: int | None) -> str:
-    """One record as a gzip member of its own, piece by piece; gives the payload's digest."""
-    h = hashlib.sha1()
-    for k in range(0, len(payload), CHUNK):
-        h.update(payload[k : k + CHUNK])
-    digest = digest_text(h.digest())
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    body = payload if kind == RESPONSE else memoryview(b"")
-    target = "".join(c for c in target or "" if c not in "\r\n")
-    pack = zlib.compressobj(6, wbits=31)
-    out.write(pack.compress(_head(kind, record, target, digest, len(payload), len(http) + len(body), refers) + http))
-    for k in range(0, len(body), CHUNK):
-        out.write(pack.compress(body[k : k + CHUNK]))
-    out.write(pack.compress(b"\r\n\r\n") + pack.flush())
-    return digest
+class RecordWriter:
+    """One record as a gzip member of its own, from chunks that come one by one; nothing but a chunk is held."""
+
+    def __init__(self, out, kind: str, record: int | None, target: str | None, size: int, digest: str, refers: int | None):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+        target = "".join(c for c in target or "" if c not in "\r\n")
+        self.out, self.kind, self.record, self.digest, self.left = out, kind, record, digest, size if kind == RESPONSE else 0
+        self.hash, self.pack = hashlib.sha1(), zlib.compressobj(6, wbits=31)
+        self.out.write(self.pack.compress(_head(kind, record, target, digest, size, len(http) + self.left, refers) + http))
+
+    def add(self, chunk: bytes) -> None:
+        self.hash.update(chunk)
+        self.left -= len(chunk)
+        self.out.write(self.pack.compress(chunk))
+
+    def close(self) -> None:
+        """Ends the record; its chunks must have been all, and those of the digest in its header."""
+        if self.left or self.kind == RESPONSE and digest_text(self.hash.digest()) != self.digest:
+            raise ValueError(f"record {self.record}: its chunks don't agree with its size and digest")
+        self.out.write(self.pack.compress(b"\r\n\r\n") + self.pack.flush())
 
 
 def _unpacked(source, read: int) -> Iterator[bytes]:
@@ -170,35 +186,55 @@ def with_types(pages: DataFrame, *, page_id: str, html: str, url: str | None, le
     return typed.select("id", "url", "html", F.when(F.col("refers_to").isNull(), RESPONSE).otherwise(REVISIT).alias("type"), "refers_to")
 
 
-def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", html: str = "html", url: str | None = "url", least: int = 0) -> DataFrame:
+def chunk_rows(typed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(id, url, type, refers_to, size, digest, number, chunks, bytes): the payloads of `with_types` in rows of bounded size.
+
+    A record's rows follow each other in order of their numbers; a revisit, or an empty payload, has one row
+    without bytes. digest is the payload's SHA-1 (binary).
+    """
+    raw = typed.select("id", "url", "type", "refers_to", F.encode("html", "UTF-8").alias("raw"))
+    sized = raw.select("*", F.length("raw").cast("long").alias("size"), F.unhex(F.sha1("raw")).alias("digest"))
+    sized = sized.withColumn("chunks", F.when(F.col("type") == RESPONSE, F.greatest(F.ceil(F.col("size") / chunk), F.lit(1))).otherwise(1).cast("int"))
+    rows = sized.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    piece = F.when(F.col("type") == RESPONSE, F.substring("raw", F.col("number") * chunk + 1, F.lit(chunk)))
+    return rows.select("id", "url", "type", "refers_to", "size", "digest", "number", "chunks", piece.alias("bytes"))
+
+
+def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", html: str = "html", url: str | None = "url", least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write all pages as WARC records below `folder`; gives the manifest (path, records, bytes) as a table.
 
-    Null html counts as empty. Null urls: no target. Rows that repeat an id with an equal payload are responses
-    (or revisits) alike. An empty table: no archive.
+    Null html counts as empty. Null urls: no target. Null ids: records without a number. Rows that repeat an id
+    with an equal payload are responses (or revisits) alike; rows that repeat it with another payload are records
+    of their own. An empty table: no archive.
     """
-    small_batches(pages.sparkSession, 64)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        path, out, n = f"{folder}/archives/part-{uuid.uuid4().hex}.warc.gz", None, 0
+        path, out, record, n = f"{folder}/archives/part-{uuid.uuid4().hex}.warc.gz", None, None, 0
         for b in batches:
-            for i, u, h, kind, refers in zip(*(b[c].to_pylist() for c in ("id", "url", "html", "type", "refers_to")), strict=True):
+            told = (b[c].to_pylist() for c in ("id", "url", "type", "refers_to", "size", "digest", "number", "chunks"))
+            for i, u, kind, refers, size, digest, number, chunks, data in zip(*told, b["bytes"], strict=True):
                 if out is None:
                     store, name = _open_fs(path)
                     store.create_dir(name.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(name)
-                write_record(out, kind, i, u, memoryview(h.encode()), refers)
-                n += 1
+                if not number:
+                    record = RecordWriter(out, kind, i, u, size, digest_text(digest), refers)
+                if data.is_valid:
+                    record.add(data.as_buffer())
+                if number + 1 == chunks:
+                    record.close()
+                    n += 1
         if out is not None:
             size = out.tell()
             out.close()
             yield {"path": [path], "records": [n], "bytes": [size]}
 
-    return stash(map_batches(with_types(pages, page_id=page_id, html=html, url=url, least=least), run, "path string, records long, bytes long"), folder, "manifest")
+    typed = with_types(pages, page_id=page_id, html=html, url=url, least=least)
+    return stash(map_batches(chunk_rows(typed, chunk), run, "path string, records long, bytes long"), folder, "manifest")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, *, chunk: int = CHUNK, with_bytes: bool = True) -> DataFrame:
     """The chunk table of the archives in a manifest: (id, type, refers_to, chunk, so_far, digest[, bytes])."""
-    small_batches(spark, 16)
     columns = ["id", "type", "refers_to", "chunk", "so_far", "digest", *["bytes"] * with_bytes]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -222,7 +258,12 @@ def read_archives(spark: SparkSession, manifest: DataFrame, *, chunk: int = CHUN
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """(id, payload_bytes, digest, type, refers_to) per page, from archives written and read again."""
+    """(id, payload_bytes, digest, type, refers_to) per page row, from archives written and read again.
+
+    Null html: an empty payload; equal payloads, empty ones too, are one group. Null ids stay null, and only a
+    group without any id has no response but them. Repeated rows: each its own record. Payloads of any size pass
+    in chunks. Empty table: no rows.
+    """
     spark = pages.sparkSession
     manifest = write_archives(pages, folder or shared_dir(spark))
     last = read_archives(spark, manifest, with_bytes=False).where(F.col("digest").isNotNull())
