@@ -11,25 +11,28 @@ bytes back.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import math
 import re
 import sys
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, remember, sha256_hex, small_batches
+from .common import map_batches, remember
 
 #: The vocabulary file; a parameter everywhere below.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces and neighbour pairs that a worker remembers; a piece longer than LONG is never remembered.
 PIECES, PAIRS, LONG = 200_000, 1 << 19, 64
-#: Bytes of a text that the decoder takes at once.
-CHUNK = 1 << 16
+#: Ids that are handed on at once; characters of a text that are cut into pieces at once, and of these the ones in
+#: which a gap is looked for first.
+CHUNK, WINDOW, GAP = 1 << 16, 1 << 16, 1 << 10
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -39,12 +42,21 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _check(spec: dict) -> None:
+    """Only files of the kind that this transducer follows: byte-level BPE, nothing done to the text before."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = [k for k in ("single_word", "lstrip", "rstrip", "normalized") if any(a.get(k) for a in spec["added_tokens"])]
+    if spec.get("normalizer") or model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("ignore_merges") or model.get("dropout") or odd:
+        raise ValueError("this vocabulary file normalises text, splits it in another way, or has other than plain added tokens")
+
+
 class Transducer:
     """Encoder and decoder of one byte-level vocabulary file."""
 
     def __init__(self, path: str = TOKENIZER):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         alphabet = _byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
@@ -154,36 +166,61 @@ class Transducer:
         return out[::-1]
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of one piece as little-endian 32-bit integers, remembered while there is room."""
+        """Ids of one short piece as little-endian 32-bit integers, remembered while there is room."""
         got = self.pieces.get(piece)
-        if got is None and (got := self.older.get(piece)) is not None:
-            self.pieces[piece] = got
-        elif got is None:
-            raw = piece.encode()
-            chunks = [raw] if len(raw) <= LONG else (raw[k : k + 4 * self.lookahead] for k in range(0, len(raw), 4 * self.lookahead))
-            got = np.fromiter(self.stream(chunks), "<u4").tobytes()
-            if len(raw) <= LONG:
-                if len(self.pieces) >= PIECES:
-                    self.older, self.pieces = self.pieces, {}
-                self.pieces[piece] = got
+        if got is None and (got := self.older.get(piece)) is None:
+            got = np.fromiter(self.stream([piece.encode()]), "<u4").tobytes()
+        if len(self.pieces) >= PIECES:
+            self.older, self.pieces = self.pieces, {}
+        self.pieces[piece] = got
         return got
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers; added tokens in it count as themselves."""
-        if self.splitter is None or not any(a in text for a in self.added):
-            return self._plain(text)
-        return b"".join(np.uint32(self.added[part]).tobytes() if part in self.added else self._plain(part) for part in self.splitter.split(text))
+    def _long_piece(self, piece: str) -> Iterator[bytes]:
+        """Ids of a piece of any length in parts, while its bytes still come."""
+        size = 4 * self.lookahead
+        stream = self.stream(piece[k : k + size].encode() for k in range(0, len(piece), size))
+        while part := np.fromiter(islice(stream, CHUNK), "<u4").tobytes():
+            yield part
 
-    def _plain(self, text: str) -> bytes:
-        known, missing = self.pieces, self._piece
-        return b"".join([known.get(p) or missing(p) for p in pieces(text)])
+    def parts(self, text: str) -> Iterator[bytes]:
+        """Ids of a whole text as little-endian unsigned 32-bit integers, a window of text at a time.
+
+        Added tokens in it count as themselves. Beside the text itself, only a window's pieces are ever held.
+        """
+        at = 0
+        while at < len(text):  # added tokens first: text between them is cut on its own
+            m = self.splitter.search(text, at) if self.splitter else None
+            end = m.start() if m else len(text)
+            for start, stop in windows(text, at, end):
+                if stop - start > WINDOW:
+                    for m_ in piece_matches(text[start:stop]):
+                        yield from (self._long_piece(m_[0]) if len(m_[0]) > LONG else [self._piece(m_[0])])
+                    continue
+                known, missing = self.pieces, self._piece
+                own = pieces(text[start:stop])
+                if max(map(len, own), default=0) <= LONG:
+                    yield b"".join([known.get(p) or missing(p) for p in own])
+                else:
+                    for p in own:
+                        yield from (self._long_piece(p) if len(p) > LONG else [known.get(p) or missing(p)])
+            if m:
+                yield np.uint32(self.added[m[0]]).tobytes()
+                end = m.end()
+            at = end
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        return b"".join(self.parts(text))
 
     def decode(self, ids: bytes) -> Iterator[str]:
         """Text of ids in parts; bytes that aren't UTF-8 become U+FFFD, as a lossy conversion has it."""
+        yield from self.decoded(ids[k : k + 4 * CHUNK] for k in range(0, len(ids), 4 * CHUNK))
+
+    def decoded(self, parts: Iterable[bytes]) -> Iterator[str]:
+        """Text of ids that come in parts: a byte-to-text state machine that holds at most three bytes back."""
         machine, bytes_of = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of
-        for k in range(0, len(ids), 4 * CHUNK):
-            part = np.frombuffer(ids[k : k + 4 * CHUNK], "<u4").tolist()
-            yield machine.decode(b"".join([bytes_of[i] for i in part]))
+        for part in parts:
+            yield machine.decode(b"".join([bytes_of[i] for i in np.frombuffer(part, "<u4").tolist()]))
         yield machine.decode(b"", final=True)
 
 
@@ -217,11 +254,35 @@ def _exact():
     return regex.compile(EXACT.replace(r"\s", r"[\t-\r\x20\x85\p{Z}]").replace(r"[^[\t-\r\x20\x85\p{Z}]", r"[^\t-\r\x20\x85\p{Z}").replace(r"\S", r"[^\t-\r\x20\x85\p{Z}]"))
 
 
+def _pattern(text: str):
+    odd = not text.isascii() and _odd_characters().search(text) or text.isascii() and not _PLAIN_CONTROL.isdisjoint(text)
+    return _exact() if odd else _FAST
+
+
 def pieces(text: str) -> list[str]:
     """The pieces that merges never cross."""
-    if not text.isascii() and _odd_characters().search(text) or text.isascii() and not _PLAIN_CONTROL.isdisjoint(text):
-        return _exact().findall(text)
-    return _FAST.findall(text)
+    return _pattern(text).findall(text)
+
+
+def piece_matches(text: str) -> Iterator:
+    """The same, one by one."""
+    return _pattern(text).finditer(text)
+
+
+#: The last character of a piece that surely ends there: a space comes, then another letter or digit.
+_GAP = re.compile(r"\w(?=\x20\w)")
+
+
+def windows(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a text that are cut into pieces on their own: WINDOW characters and on to the next gap."""
+    while end - start > WINDOW:
+        m = _GAP.search(text, start + WINDOW - 1 - GAP, end)
+        if not m or m.end() >= end:
+            break
+        yield start, m.end()
+        start = m.end()
+    if start < end:
+        yield start, end
 
 
 #: ASCII characters that one library calls blank and the other doesn't.
@@ -238,37 +299,44 @@ def transducer(path: str = TOKENIZER) -> Transducer:
 def encode_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, with_ids: bool = True, with_digests: bool = False) -> DataFrame:
     """(id, n_tokens, ids) per row, and on request the digests of ids and of the text decoded from them.
 
-    ids is a binary of little-endian unsigned 32-bit integers, which `decode_documents` turns back. Null texts
-    count as empty ones: no tokens. Each row by itself, one pass, no shuffle; a worker holds the vocabulary, a
-    bounded memory of pieces, and one batch of texts.
+    ids is a binary of little-endian unsigned 32-bit integers, which `decode_documents` turns back. Null and empty
+    texts: no tokens. Repeated rows: each its own. Very long texts go through window by window; without ids in
+    the result, nothing of a text's size is built beside the text itself. Each row by itself, one pass, no
+    shuffle; a worker holds the vocabulary, a bounded memory of pieces, and one batch of texts.
     """
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        import hashlib
-
         t = transducer(tokenizer)
         for b in batches:
-            ids = [t.encode(x or "") for x in b["text"].to_pylist()]
-            out = {"id": b["id"], "n_tokens": [len(x) // 4 for x in ids]}
-            if with_ids:
-                out["ids"] = ids
-            if with_digests:
-                out["ids_sha256"], out["decoded_sha256"] = [sha256_hex(x) for x in ids], []
-                for x in ids:
-                    h = hashlib.sha256()
-                    for part in t.decode(x):
-                        h.update(part.encode())
-                    out["decoded_sha256"].append(h.hexdigest())
-            yield out
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")}
+            for x in b["text"].to_pylist():
+                sizes, kept, of_ids, of_text = [0], [], hashlib.sha256(), hashlib.sha256()
+
+                def seen(x: str = x or "", sizes: list = sizes, kept: list = kept, of_ids=of_ids) -> Iterator[bytes]:
+                    for part in t.parts(x):
+                        sizes[0] += len(part) // 4
+                        if with_ids:
+                            kept.append(part)
+                        if with_digests:
+                            of_ids.update(part)
+                        yield part
+
+                if with_digests:
+                    for part in t.decoded(seen()):
+                        of_text.update(part.encode())
+                else:
+                    for _ in seen():
+                        pass
+                for c, v in zip(out, (sizes[0], b"".join(kept), of_ids.hexdigest(), of_text.hexdigest()), strict=True):
+                    out[c].append(v)
+            yield {"id": b["id"]} | out
 
     return map_batches(rows, run, "id long, n_tokens long" + ", ids binary" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests, keeps=True)
 
 
 def decode_documents(encoded: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, text) from (id, ids); null ids: empty text."""
-    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         t = transducer(tokenizer)
