@@ -1,9 +1,10 @@
 """Toxicity: logistic regression on hashed word parts, regularised by counterfactual swaps of identity terms.
 
 A text's margin is a bias plus the sum, over its distinct words, of the weights of each word's parts. Only
-parts whose share among toxic and other training texts differs far beyond chance carry a weight. For every
-identity term the training sentences are also thought with the next term of its group, or with the term added:
-the change of the margin is penalised, so that a group's mention alone doesn't move a score.
+parts whose share among toxic and other training texts differs far beyond chance carry a weight. Every labelled
+text that holds an identity term is also taken with that term swapped, for the next one of its group and for a
+word of no group; the change of the margin between the two is penalised, so that a group's mention alone doesn't
+move a score.
 """
 
 from __future__ import annotations
@@ -17,24 +18,28 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, remember, shared_dir, small_batches, stash
+from .common import map_batches, remember, shared_dir, stash
 from .labelled import TRAIN_ROWS, is_held_out, training_texts
 
 #: The fold that never trains, of so many; score from which a text counts as toxic.
 FOLDS, HELD_OUT, TOXIC = 4, 2, 0.3
-#: Hash buckets; standard errors of a part's difference; parts kept at most; ridge; penalty of a swap.
+#: Hash buckets; standard errors of a part's difference; parts kept at most (the most telling ones; a parameter of
+#: `fit_toxicity`); ridge; penalty of a swap.
 BUCKETS, FAR, PARTS, RIDGE, SWAP = 1 << 18, 4.0, 8192, 2e-4, 5.0
 #: Words a worker remembers.
 WORDS = 300_000
 
-# Identity terms by group; each is swapped with the next of its group.
+# Identity terms by group, and a word of no group that may stand in their place.
 IDENTITY = (
-    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrants", "refugees", "foreigners", "locals"), ("old", "young", "elderly"), ("deaf", "blind", "disabled", "autistic"), ("african", "european", "american", "mexican", "chinese", "indian", "arab"),
-    ("femmes", "hommes"), ("mujeres", "hombres"), ("frauen", "männer"),
+    (("women", "men", "girls", "boys"), "people"), (("woman", "man", "girl", "boy"), "person"), (("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), "local"),
+    (("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), "people"), (("black", "white", "asian", "latino"), "other"), (("gay", "straight", "lesbian", "bisexual", "transgender"), "other"),
+    (("immigrants", "refugees", "foreigners", "locals"), "people"), (("old", "young", "elderly"), "other"), (("deaf", "blind", "disabled", "autistic"), "other"),
+    (("african", "european", "american", "mexican", "chinese", "indian", "arab"), "local"), (("femmes", "hommes"), "gens"), (("mujeres", "hombres"), "gente"), (("frauen", "männer"), "leute"),
 )
 
+#: What each term is swapped for.
+SWAPS = {a: (b, neutral) for group, neutral in IDENTITY for a, b in zip(group, (*group[1:], group[0]), strict=True)}
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,25 +81,18 @@ class _WordWeight(dict):
         return w
 
 
-def _identity_pairs(places: dict[int, int], mentions: dict[str, int], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Margin changes of swapped or added identity terms as sparse rows (row, place, value), with the row's weight in the value."""
-    row, col, val, k = [], [], [], 0
-    for group in IDENTITY:
-        for a, b in zip(group, (*group[1:], group[0]), strict=True):
-            for change in ({a: -1.0, b: 1.0}, {a: 1.0}):
-                strength = np.sqrt((1 + mentions.get(a, 0)) / max(rows, 1))
-                for word, sign in change.items():
-                    for p in parts(word):
-                        if p in places:
-                            row.append(k)
-                            col.append(places[p])
-                            val.append(sign * strength)
-                k += 1
-    return np.array(row, np.int64), np.array(col, np.int64), np.array(val)
-
-
-def _descend(indptr: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, pairs, size: int, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Adam on the mean log loss, ridge and swap penalty."""
+def swapped(found: set[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """Counterfactuals of a text's words: for each identity term and what it is swapped for, words gone and words new."""
+    for a in sorted(found & SWAPS.keys()):
+        for b in SWAPS[a]:
+            yield [a], [b] if b not in found else []
+
+
+def _descend(indptr: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, pairs, size: int, swap: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Adam on the mean log loss, the ridge, and the squared margin changes of swapped texts, summed over all of them.
+
+    pairs: sparse rows (row, place, value) of what each swap changes.
+    """
     row = np.repeat(np.arange(len(y)), np.diff(indptr))
     prow, pcol, pval = pairs
     prows = int(prow.max(initial=-1)) + 1
@@ -105,7 +103,7 @@ def _descend(indptr: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray
         miss = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
         g = np.bincount(col, val * miss[row], size) + RIDGE * w
         if prows:
-            g += SWAP * np.bincount(pcol, pval * np.bincount(prow, pval * w[pcol], prows)[prow], size)
+            g += swap / len(y) * np.bincount(pcol, pval * np.bincount(prow, pval * w[pcol], prows)[prow], size)
         g = np.append(g, miss.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -114,11 +112,12 @@ def _descend(indptr: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray
     return w, bias
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, folder: str, *, rows: int = TRAIN_ROWS) -> ToxicModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, folder: str, *, rows: int = TRAIN_ROWS, most_parts: int = PARTS, swap: float = SWAP) -> ToxicModel:
     """Fit on a bounded sample of labelled rows (parameter `rows`) outside the held-out fold; equal texts count once.
 
     Class counts of parts are summed within partitions; of the texts only the kept parts reach the driver, at
-    most `rows` x PARTS small numbers. With no or one label: no weights, and the labels' mean as every score.
+    most `rows` x `most_parts` small numbers. With one label: no weights, and the labels' mean as every score;
+    without any labelled row every score is 0. `swap` weighs the counterfactual penalty (0: none).
     """
     train = training_texts(documents, labels, "toxic", FOLDS, HELD_OUT, lambda t: sorted(words(t)), folder, rows=rows, kind="string")
     train = stash(train.dropDuplicates(["y", "x"]), folder, "toxic-distinct").coalesce(8)
@@ -127,63 +126,61 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, folder: str, *, rows:
         remember(_remembered.cache_clear)
         total = np.zeros((2, BUCKETS), np.int32)
         n = np.zeros(2, np.int64)
-        mentions: dict[str, int] = {}
-        terms = {w for g in IDENTITY for w in g}
         for b in batches:
             for y, x in zip(b["y"].to_pylist(), b["x"].to_pylist(), strict=True):
                 n[y] += 1
                 if x:
                     total[y, np.unique(np.concatenate([_remembered(w) for w in x]))] += 1
-                for w in terms.intersection(x):
-                    mentions[w] = mentions.get(w, 0) + 1
-        yield {"n": [n.tobytes()], "total": [total.tobytes()], "mentions": [[{"w": w, "n": k} for w, k in mentions.items()]]}
+        yield {"n": [n.tobytes()], "total": [total.tobytes()]}
 
-    got = map_batches(train, count, "n binary, total binary, mentions array<struct<w:string,n:long>>").collect()
+    got = map_batches(train, count, "n binary, total binary").collect()
     n = sum((np.frombuffer(r.n, np.int64) for r in got), np.zeros(2, np.int64)).astype(float)
     total = sum((np.frombuffer(r.total, np.int32).reshape(2, -1) for r in got), np.zeros((2, BUCKETS), np.int64))
-    mentions: dict[str, int] = {}
-    for r in got:
-        for x in r.mentions:
-            mentions[x.w] = mentions.get(x.w, 0) + x.n
     if not n.all():
-        mean = (n[1] + 0.5) / (n.sum() + 1) if n.sum() else 0.0
-        return ToxicModel({}, float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6))))
+        mean = n[1] / n.sum() if n.sum() else 0.0
+        return ToxicModel({}, float(np.log(max(mean, 1e-12) / max(1 - mean, 1e-12))))
     share = total / n[:, None]
     pooled = total.sum(0) / n.sum()
     far = np.abs(share[1] - share[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n[0] + 1 / n[1]))
     kept = np.flatnonzero((far >= FAR) & (total.sum(0) >= 5))
-    kept = kept[np.argsort(-far[kept], kind="stable")][:PARTS]
-    places = {int(p): k for k, p in enumerate(kept)}
+    kept = kept[np.argsort(-far[kept], kind="stable")][:most_parts]
     place_of = np.full(BUCKETS, -1, np.int32)
     place_of[kept] = np.arange(len(kept))
 
+    def places(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = place_of[np.concatenate([np.zeros(0, np.int32), *(_remembered(w) for w in found)])]
+        return np.unique(at[at >= 0], return_counts=True)
+
     def pick(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {"y": [], "col": [], "val": []}
+            out: dict[str, list] = {"y": [], "col": [], "val": [], "swaps": []}
             for y, x in zip(b["y"].to_pylist(), b["x"].to_pylist(), strict=True):
-                at = place_of[np.concatenate([np.zeros(0, np.int32), *(_remembered(w) for w in x)])]
-                c, v = np.unique(at[at >= 0], return_counts=True)
-                for k, z in zip(out, (y, c.tobytes(), v.astype(np.int32).tobytes()), strict=True):
+                c, v = places(x)
+                swaps = []
+                for gone, new in swapped(set(x)) if swap else ():
+                    (c0, v0), (c1, v1) = places(gone), places(new)
+                    swaps.append({"col": np.concatenate([c0, c1]).astype("<i4").tobytes(), "val": np.concatenate([-v0, v1]).astype("<i4").tobytes()})
+                for k, z in zip(out, (y, c.tobytes(), v.astype(np.int32).tobytes(), swaps), strict=True):
                     out[k].append(z)
             yield out
 
-    rows_ = map_batches(train, pick, "y int, col binary, val binary").toPandas()
-    cols = [np.frombuffer(c, np.int32) for c in rows_["col"]]
-    indptr = np.concatenate([[0], np.cumsum([len(c) for c in cols])])
-    col = np.concatenate([*cols, np.zeros(0, np.int32)])
-    val = np.concatenate([*(np.frombuffer(c, np.int32) for c in rows_["val"]), np.zeros(0, np.int32)]).astype(float)
-    w, bias = _descend(indptr, col, val, rows_["y"].to_numpy(float), _identity_pairs(places, mentions, len(rows_)), len(kept))
+    rows_ = map_batches(train, pick, "y int, col binary, val binary, swaps array<struct<col:binary,val:binary>>").toPandas()
+    ints = lambda parts: np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, "<i4") for x in parts)])
+    starts = lambda parts: np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts], dtype=np.int64)]).astype(np.int64)
+    swaps = [s for own in rows_["swaps"] for s in own]
+    pairs = np.repeat(np.arange(len(swaps)), np.diff(starts([s["col"] for s in swaps]))), ints(s["col"] for s in swaps), ints(s["val"] for s in swaps).astype(float)
+    w, bias = _descend(starts(rows_["col"]), ints(rows_["col"]), ints(rows_["val"]).astype(float), rows_["y"].to_numpy(float), pairs, len(kept), swap)
     return ToxicModel({int(p): float(x) for p, x in zip(kept, w, strict=True)}, float(bias))
 
 
-def classify_toxicity(documents: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> DataFrame:
+def classify_toxicity(documents: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, most_parts: int = PARTS, swap: float = SWAP) -> DataFrame:
     """(id, score, toxic, held_out) per document row, in one pass over whole texts.
 
-    Null and empty texts have no words and get the bias alone. Repeated rows: each its own. Empty table: none.
+    Null and empty texts have no words and get the bias alone. Repeated rows: each its own; rows of a null id are
+    scored and never train. Very long texts: their distinct words are held, nothing else. Empty table: no rows.
     """
     spark = documents.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(fit_toxicity(documents, labels, shared_dir(spark), rows=rows))
+    sent = spark.sparkContext.broadcast(fit_toxicity(documents, labels, shared_dir(spark), rows=rows, most_parts=most_parts, swap=swap))
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
