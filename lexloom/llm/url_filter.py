@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, small_batches
+from .common import map_batches
 
 #: Hash buckets; lengths of character n-grams; ridge; probability of "block" from which a URL is blocked.
 BUCKETS, GRAMS, RIDGE, BLOCK = 1 << 14, (3, 4, 5), 0.05, 0.5
+#: Labelled URLs that a model learns from, at most.
+LABELLED_ROWS = 20_000
 
 #: Rules by host and path; a rule fits its host and all subdomains, and paths that start with its path.
 RULES = (
@@ -19,23 +21,24 @@ RULES = (
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
 
-#: The labelled URLs that the model learns from: (url, 1 for block).
-LABELLED = tuple(
-    [(u, 1) for u in (
-        "http://free-bets.example.com/en/1", "https://www.free-bets.example.org/es/88?page=2", "http://casino-win.example.net/de/5", "https://m.casino-win.example.org/fr/91.html",
-        "http://cheap-pills.example.com/es/12", "https://blog.cheap-pills.example.net/en/430/", "http://adult-x.example.org/en/77", "https://adult-x.example.com/fr/260#top",
-        "http://spam-farm.example.net/de/31", "https://www.spam-farm.example.org/en/9", "http://ads-track.example.com/fr/3?utm_source=feed", "https://m.ads-track.example.net/es/610",
-        "http://online-casino-bonus.example.org/play", "http://best-poker-bets.example.net/join", "http://buy-viagra-pills.example.com/shop", "http://hot-adult-cams.example.org/live",
-        "http://track-ads-pixel.example.net/p.gif", "http://link-farm-spam.example.com/links", "http://win-big-slots.example.org/jackpot", "http://payday-loans-cheap.example.net/apply",
-    )]
-    + [(u, 0) for u in (
-        "https://www.example.com/en/about", "http://news.example.org/fr/2024/05", "https://docs.example.net/de/handbuch.html", "http://ththin.example.com/es/17?page=2",
-        "https://blog.tionsh.example.net/en/52", "http://m.theron.example.org/fr/8/", "https://ththen.example.com/de/640.html", "http://www.thered.example.net/es/510#top",
-        "https://library.example.org/en/books/12", "http://weather.example.com/en/today", "https://school.example.net/fr/cours", "http://museum.example.org/de/ausstellung",
-        "https://www.therre.example.com/en/992?utm_source=feed", "http://ththsh.example.net/en/3", "https://city-council.example.org/en/minutes", "http://open-data.example.com/en/tables",
-        "https://river-walks.example.net/en/maps", "http://cook-book.example.org/es/recetas", "https://m.ththat.example.com/fr/245", "http://blog.tionble.example.org/es/71",
-    )]
-)
+# Words that name a site's purpose, unwanted or wanted, and words that say nothing about it. Of these the
+# default table is made up; a user's own table takes its place.
+_UNWANTED = "casino poker bingo roulette blackjack jackpot slots bet bets betting lottery win pills pharmacy viagra replica loan payday xxx adult sex porn escort spam farm ads track tracker warez keygen"
+_WANTED = "library museum weather school news docs blog wiki council data maps recipes history science forum archive theatre university garden music travel health sport language poetry birds energy law cinema market"
+_NEUTRAL = "blue north river hill city old best quick super little open first house team world point"
+_TAILS = (".test/en/page", ".invalid/fr/12.html", ".test/", ".invalid/de/4?page=2", ".test/es/index#top")
+
+
+def sample_table(per_word: int = 6) -> tuple[tuple[str, int], ...]:
+    """(url, 1 for block): each purpose with some neutral words before or behind it, under hosts that can't exist."""
+    out, neutral = [], _NEUTRAL.split()
+    for block, names in ((1, _UNWANTED), (0, _WANTED)):
+        for k, word in enumerate(names.split()):
+            for j in range(per_word):
+                other = neutral[(5 * k + 3 * j) % len(neutral)]
+                host = f"{word}-{other}" if j % 2 else f"{other}-{word}"
+                out.append((f"https://{'www.' if (k + j) % 3 == 0 else ''}{host}{_TAILS[(k + j) % len(_TAILS)]}", block))
+    return tuple(out)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -64,18 +67,28 @@ def features(host: str, path: str) -> np.ndarray:
     return np.unique(np.array(grams("h", host) + grams("p", path), np.int64))
 
 
-def fit(labelled=LABELLED, rounds: int = 400, rate: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent with a ridge; the table is small by design, so this runs at once."""
-    rows = [(features(*split_url(u)), y) for u, y in labelled]
+def labelled_rows(labelled: DataFrame | Iterable[tuple[str, int]], most: int) -> list[tuple[str, int]]:
+    """(url, label) without nulls; at most `most` of a table's distinct rows, the first by a hash."""
+    if isinstance(labelled, DataFrame):
+        table = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).where("url IS NOT NULL AND label IN (0, 1)").distinct()
+        return [(r.url, r.label) for r in table.orderBy(F.xxhash64("url"), "url", "label").limit(most).collect()]
+    return [(u, y) for u, y in labelled if u is not None and y in (0, 1)]
+
+
+def fit(labelled: Iterable[tuple[str, int]], rounds: int = 1500, rate: float = 4.0) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient descent with a ridge; the table is small by contract, so this runs at once.
+
+    An empty table, or one of a single label, gives what the bias alone learns: 0.5 without any row.
+    """
+    found = [(features(*split_url(u)), y) for u, y in labelled]
+    y, size = np.array([y for _, y in found], float), np.array([len(f) for f, _ in found], np.int64)
+    row, col = np.repeat(np.arange(len(y)), size), np.concatenate([np.zeros(0, np.int64), *(f for f, _ in found)])
+    value, n = 1 / np.sqrt(np.maximum(size, 1))[row], max(len(y), 1)
     weight, bias = np.zeros(BUCKETS), 0.0
     for _ in range(rounds):
-        step, shift = RIDGE / max(len(rows), 1) * weight, 0.0
-        for f, y in rows:
-            miss = (1 / (1 + np.exp(-(weight[f].sum() / np.sqrt(len(f) or 1) + bias))) - y) / len(rows)
-            step[f] += miss / np.sqrt(len(f) or 1)
-            shift += miss
-        weight -= rate * step
-        bias -= rate * shift
+        miss = (1 / (1 + np.exp(-(np.bincount(row, value * weight[col], len(y)) + bias))) - y) / n
+        weight -= rate * (np.bincount(col, value * miss[row], BUCKETS) + RIDGE / n * weight)
+        bias -= rate * miss.sum()
     return weight, bias
 
 
@@ -102,14 +115,15 @@ class Rules:
         return best
 
 
-def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules=RULES, labelled=LABELLED) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame | Iterable[tuple[str, int]] | None = None, *, page_id: str = "page_id", url: str = "url", rules=RULES, most: int = LABELLED_ROWS) -> DataFrame:
     """(id, host, path, rule, verdict, score) per row, in one pass over the url column alone.
 
-    Null urls and those without :// have empty host and path; no rule fits them and the model judges the empty
-    parts. Ties between rules: the longer host. Repeated rows: each its own.
+    labelled: a table (url, label), label 1 for block, of which at most `most` rows are learned from, or such pairs;
+    without it the table of `sample_table`. Null urls and those without :// have empty host and path; no rule
+    fits them and the model judges the empty parts. Ties between rules: the longer host. Repeated rows: each its
+    own. Very long urls are judged whole. Empty table: no rows.
     """
-    small_batches(pages.sparkSession, 10_000)
-    model = pages.sparkSession.sparkContext.broadcast(fit(labelled))
+    model = pages.sparkSession.sparkContext.broadcast(fit(labelled_rows(sample_table() if labelled is None else labelled, most)))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -127,4 +141,4 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
                     out[k].append(v)
             yield out
 
-    return map_batches(rows, run, "id long, host string, path string, rule string, verdict string, score double")
+    return map_batches(rows, run, "id long, host string, path string, rule string, verdict string, score double", rows=4096)
