@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, small_batches, text_id
+from .common import map_batches, text_id
 from .fm_index import FMIndex
 
 #: Consecutive words of a window; an item of fewer words is one window.
@@ -107,17 +107,17 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep_text: bool = False, carry: tuple[str, ...] = (), finish: tuple[str, Callable[[dict], dict]] | None = None) -> DataFrame:
     """Per document row: id, n_words, merged word spans that any window covers, items with occurring windows.
 
     A shard is whatever rows a task reads, in slices of SHARD_WORDS candidate words; its index lives only while
     it is searched, so memory doesn't follow the table. The benchmark travels in blocks of BLOCK_CHARS, measured
     first; a block's stage passes rows on to the next one, so any size of benchmark works and nothing shuffles.
+    `finish` (schema, function) turns the last stage's columns into others within the same pass.
     Null or empty texts: no words, no spans. Null items, or items without words: no windows. Repeated rows and
     repeated items: each row is judged by itself, an item's id counts once. Empty tables: no rows, or no hits.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     items = text_id(benchmark, item_id, item_text).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
@@ -127,11 +127,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
     rows = rows.select("*", F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items"))
     for b in range(blocks):
         own = spark.sparkContext.broadcast([(r.id, r.text) for r in items.where(F.col("block") == b).collect()])
-        rows = _stage(rows, own, window, keep_text or b + 1 < blocks, kept)
+        rows = _stage(rows, own, window, keep_text or b + 1 < blocks, kept, finish if b + 1 == blocks else None)
     return rows
 
 
-def _stage(rows: DataFrame, own, window: int, keep_text: bool, kept: str) -> DataFrame:
+def _stage(rows: DataFrame, own, window: int, keep_text: bool, kept: str, finish: tuple[str, Callable[[dict], dict]] | None) -> DataFrame:
     extra = [x.split()[0] for x in kept.split(", ")[1:]]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -177,6 +177,8 @@ def _stage(rows: DataFrame, own, window: int, keep_text: bool, kept: str) -> Dat
         if held:
             yield flush()
 
+    if finish:
+        return map_batches(rows, lambda batches: map(finish[1], run(batches)), finish[0])
     return map_batches(rows, run, f"id long, n_words long, spans {SPANS}, items array<long>" + ", text string" * keep_text + kept)
 
 
@@ -196,20 +198,20 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents without the passages of the benchmark: hit spans go, clean rows stay as they are.
 
-    Keeps the five columns of documents; n_chars follows a changed text. A row of which nothing is left goes.
+    Keeps the five columns of documents, whatever others there are; n_chars follows a changed text. A row of which
+    nothing is left goes; null and empty texts have nothing to cut and stay, repeated rows are each cut. Empty
+    tables: no rows, or all of them as they are.
     """
-    found = find_contamination(documents, benchmark, window=window, keep_text=True, carry=("lang", "source", "n_chars"))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            cols = {k: b[k].to_pylist() for k in ("id", "text", "spans", "c_lang", "c_source", "c_n_chars")}
-            out: dict[str, list] = {"doc_id": [], "text": [], "lang": [], "source": [], "n_chars": []}
-            for i, t, spans, lang, source, n in zip(*cols.values(), strict=True):
-                new = cut_spans(t, spans) if spans else t
-                if spans and not new:
-                    continue
-                for k, v in zip(out, (i, new, lang, source, len(new) if spans else n), strict=True):
-                    out[k].append(v)
-            yield out
-
-    return map_batches(found, run, "doc_id long, text string, lang string, source string, n_chars long")
+    def cut(b: dict) -> dict:
+        out: dict[str, list] = {"doc_id": [], "text": [], "lang": [], "source": [], "n_chars": []}
+        for i, t, spans, lang, source, n in zip(*(b[k] for k in ("id", "text", "spans", "c_lang", "c_source", "c_n_chars")), strict=True):
+            new = cut_spans(t, spans) if spans else t
+            if spans and not new:
+                continue
+            for k, v in zip(out, (i, new, lang, source, len(new) if spans else n), strict=True):
+                out[k].append(v)
+        return out
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return find_contamination(documents, benchmark, window=window, keep_text=True, carry=("lang", "source", "n_chars"), finish=(schema, cut))
