@@ -35,3 +35,15 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         path.getFileSystem(conf).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table comes in fewer splits than there are cores; else as it is.
+
+    Only small tables are moved by that: one of so few splits is at most a few files. Work on texts costs far more
+    than the move. Nothing is run to find out, so a plan that has a shuffle already stays.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
