@@ -144,8 +144,8 @@ BASE = "array<struct<kind:string,start:long,end:long>>"
 TERMS = "array<struct<start:long,end:long>>"
 
 
-def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclose: float = DISCLOSE, min_contexts: int = CONTEXTS, odds: float = ODDS) -> DataFrame:
-    """(id, base, terms) per row: base spans by kind and start, and spans of disclosing terms by start.
+def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclose: float = DISCLOSE, min_contexts: int = CONTEXTS, odds: float = ODDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, base, terms) per row, with the columns to carry (as c_NAME): base spans by kind and start, and spans of disclosing terms by start.
 
     One pass reads whole texts and counts, for every term of the corpus, the documents that hold it (summed in
     each task before they travel). Only texts with entities move besides, as term and entity hashes, once for
@@ -157,7 +157,8 @@ def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     spark = documents.sparkSession
     folder = shared_dir(spark)
-    rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name.startswith("c_"))
 
     def read_texts(batches: Iterator[dict]) -> Iterator[dict]:
         counts: Counter[str] = Counter()
@@ -190,7 +191,7 @@ def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         if docs:
             yield flush()
 
-    read = stash(map_batches(rows, read_texts, "docs long, context long, entities array<long>, terms array<long>, counts array<long>"), folder, "read")
+    read = stash(map_batches(rows.select("id", "text"), read_texts, "docs long, context long, entities array<long>, terms array<long>, counts array<long>"), folder, "read")
     total = float(max(read.agg(F.sum("docs")).collect()[0][0] or 0, 1))
     near = read.where("context IS NOT NULL").groupBy("context").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     near = stash(near, folder, "near")
@@ -249,16 +250,45 @@ def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     out = rows
     for k in range(blocks):
         keys = telling.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).toPandas()["term"].to_numpy(np.int64)
-        out = map_batches(out, marker(spark.sparkContext.broadcast(np.sort(keys)), k == 0), f"id long, text string, base {BASE}, terms {TERMS}")
-    return out.select("id", "base", "terms")
+        out = map_batches(out, marker(spark.sparkContext.broadcast(np.sort(keys)), k == 0), f"id long, text string, base {BASE}, terms {TERMS}{kept}")
+    return out.select("id", "base", "terms", *(f"c_{c}" for c in carry))
+
+
+#: What stands for a generalised term, by its form; entities are generalised to their kind.
+NAME, WORD = "[NAME]", "[WORD]"
 
 
 def sanitise(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with entities replaced by their kind and disclosing terms by a general word."""
+    """The text with entities generalised to their kind and disclosing terms to their form.
+
+    A capitalised term, or one without letter case, becomes NAME, another one WORD; one that overlaps an earlier
+    span goes with it.
+    """
     out, last = [], 0
     for s, e, kind in sorted(spans):
         if s < last:
+            last = max(last, e)
             continue
-        out += [text[last:s], f"[{kind.upper()}]" if kind != "term" else "[...]"]
+        out += [text[last:s], f"[{kind.upper()}]" if kind != "term" else WORD if text[s].islower() else NAME]
         last = e
     return "".join([*out, text[last:]])
+
+
+def sanitise_documents(documents: DataFrame, *, disclose: float = DISCLOSE, min_contexts: int = CONTEXTS, odds: float = ODDS) -> DataFrame:
+    """documents with personal data and the terms that disclose it generalised; n_chars follows a changed text.
+
+    Keeps the five columns; clean rows, null and empty texts stay as they are. Repeated rows are each sanitised.
+    Empty table: no rows.
+    """
+    found = find_pii(documents, disclose=disclose, min_contexts=min_contexts, odds=odds, carry=("text", "lang", "source", "n_chars"))
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            text, n = b["c_text"].to_pylist(), b["c_n_chars"].to_pylist()
+            for k, (base, terms) in enumerate(zip(b["base"].to_pylist(), b["terms"].to_pylist(), strict=True)):
+                if base or terms:
+                    text[k] = sanitise(text[k], [(x["start"], x["end"], x["kind"]) for x in base] + [(x["start"], x["end"], "term") for x in terms])
+                    n[k] = len(text[k])
+            yield {"doc_id": b["id"], "text": text, "lang": b["c_lang"], "source": b["c_source"], "n_chars": n}
+
+    return map_batches(found, run, "doc_id long, text string, lang string, source string, n_chars long")
