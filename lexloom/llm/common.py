@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..shared import discard, shared_dir, stash
+from ..shared import discard, shared_dir, spread, stash
 
 __all__ = ["discard", "shared_dir", "stash"]
 
@@ -68,7 +68,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
             cols = [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in ((out[f.name], f) for f in target)]
             yield pa.RecordBatch.from_arrays(cols, schema=target)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def _arrow_fields(spark: SparkSession, schema: str) -> list[pa.Field]:

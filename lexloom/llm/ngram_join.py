@@ -17,6 +17,7 @@ The plan, in order; every step is exact, and nothing is capped:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,18 @@ WORDS, PERCENT = 5, 80
 HOT_FROM, HOT_LIMIT = 32, 1 << 21
 #: Holders of one shingle that meet in one tile; more are dealt over several by a hash of the class.
 TILE_ROWS = 4096
+#: Members of a side of a tile in step 5, at least, where a group needs several.
+CROSS_ROWS = 1024
 #: Class keys that a scan may get as a broadcast; more are joined with a shuffle.
 SEEK_LIMIT = 1 << 21
 #: Shingles that a task gathers before it hands them on.
 FLUSH = 1 << 18
 #: Leader families: a group's members are first compared with so many of them.
 LEADERS = 3
+#: Bits of a bitmap at most, since pairs carry them.
+MOST_BITS = 1 << 15
+#: Text that one partition of shingles comes from, at most; rows that one file of a small table holds.
+PART_BYTES, FILE_ROWS = 64 << 20, 1 << 15
 #: Members of a small group, whose pairs are all tried at once.
 SMALL = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -122,9 +129,12 @@ def band(n: int) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of at least eight bits a shingle, in a power of two of them, so that larger ones fold."""
+    """A bitmap of eight bits a shingle and more, in a power of two of them, so that larger ones fold.
+
+    Of sets of more than MOST_BITS / 8 shingles it is denser, and bounds less; the exact test follows anyway.
+    """
     bits = 256
-    while bits < 8 * len(s) and bits < 1 << 20:
+    while bits < 8 * len(s) and bits < MOST_BITS:
         bits *= 2
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -170,14 +180,27 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _tiles(spark) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+@dataclass
+class Size:
+    """How the tables of a run are cut, by what was counted in its input."""
+
+    parts: int  # partitions of shingles
+    files: int  # files of tables of about a row a text
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Size:
+        got = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(got["size"] or 0) // PART_BYTES))
+        return cls(parts, max(8, -(-got["n"] // FILE_ROWS)))
+
+    @property
+    def tiles(self) -> int:
+        return 4 * self.parts
 
 
-def _frequent(rows: DataFrame, folder: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(rows: DataFrame, folder: str, k: int, cut_by: Size) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many classes hold among the first of their hashes, with counts; both sorted by shingle."""
-    spark = rows.sparkSession
-    tiles = _tiles(spark)
+    tiles = cut_by.tiles
 
     def collect(batches: Iterator[dict]) -> Iterator[dict]:
         cut, local, held, size = Shingler(k), _Local(), [], 0
@@ -196,7 +219,7 @@ def _frequent(rows: DataFrame, folder: str, k: int) -> tuple[np.ndarray, np.ndar
             for t in b["text"].to_pylist():
                 s = cut(t)
                 if len(s) and local.new(_fingerprint(s)):
-                    held.append(s[: 2 * (len(s) - need(len(s)) + 1)] >> np.uint64(24))
+                    held.append(s[: 2 * (len(s) - need(len(s)) + 1)])
                     size += len(held[-1])
                     if size >= FLUSH:
                         yield flush()
@@ -213,7 +236,7 @@ def _frequent(rows: DataFrame, folder: str, k: int) -> tuple[np.ndarray, np.ndar
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
             hot = n >= HOT_FROM
-            yield {"key": key[hot].astype(np.int64), "n": n[hot]}
+            yield {"key": key[hot].view(np.int64), "n": n[hot]}
 
     dealt = map_batches(rows, collect, "tile int, keys binary, counts binary").repartition(tiles // 4, "tile")
     hot = stash(map_batches(dealt, count, "key long, n long"), folder, "frequent")
@@ -221,8 +244,10 @@ def _frequent(rows: DataFrame, folder: str, k: int) -> tuple[np.ndarray, np.ndar
     floor = 0
     while sum(c for p, c in sizes.items() if p >= floor) > HOT_LIMIT:
         floor += 1
-    got = hot.where(F.col("n") >= 2**floor).toPandas().sort_values("key")
-    return got["key"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(np.int64)
+    got = hot.where(F.col("n") >= 2**floor).toPandas()
+    key = got["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key, kind="stable")
+    return key[order], got["n"].to_numpy(np.int64)[order]
 
 
 def _parts(n: np.ndarray) -> np.ndarray:
@@ -230,10 +255,9 @@ def _parts(n: np.ndarray) -> np.ndarray:
     return n // (16 * TILE_ROWS)
 
 
-def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
+def _gather(rows: DataFrame, hot, k: int, cut_by: Size) -> DataFrame:
     """Rows of two kinds: a text's (id, n, fp, sig), and groups (key, members) of classes that share a prefix shingle."""
-    spark = rows.sparkSession
-    tiles = _tiles(spark)
+    tiles = cut_by.tiles
     blank = {"tile": [], "entries": [], "id": [], "n": [], "fp": [], "sig": []}
     split = mix64(hot.value[0][_parts(hot.value[1]) > 0])
 
@@ -262,7 +286,7 @@ def _gather(rows: DataFrame, hot, k: int) -> DataFrame:
                 if not new:
                     continue
                 first = n - need(n) + 1
-                key = s >> np.uint64(24)
+                key = s
                 part, share = np.zeros(first, np.uint64), 0
                 if len(hot_key):
                     at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
@@ -375,15 +399,13 @@ def _distinct(packed: DataFrame, buckets: int) -> DataFrame:
     return map_batches(packed.repartition(buckets, "bucket"), run, "a binary, b binary")
 
 
-def _first_pairs(gathered: DataFrame) -> DataFrame:
+def _first_pairs(gathered: DataFrame, buckets: int) -> DataFrame:
     """All pairs of small groups; of large ones each member with leaders: about one pair a member.
 
     A group's leader is the member whose prefix is the most frequent, the least edited one of a family of
     copies; ties fall differently in each of LEADERS families of groups.
     """
 
-    buckets = max(1, _tiles(gathered.sparkSession) // 4)
-
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             found = [np.frombuffer(p, "V24") for p in b["pairs"].drop_null().to_pylist()]
@@ -428,11 +450,11 @@ def _bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(wide, run, "a binary, b binary")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str, name: str, k: int) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str, name: str, k: int, files: int) -> DataFrame:
     """Exact links among the pairs, as (u, v) of the classes' ids. Texts of the pairs are read and cut again."""
     spark = rows.sparkSession
     wanted = pairs.select(F.col("a").alias("fp12")).union(pairs.select(F.col("b").alias("fp12"))).distinct().join(classes.select("fp12", "rep"), "fp12")
-    wanted = stash(wanted, folder, f"{name}-wanted")
+    wanted = stash(wanted.coalesce(files), folder, f"{name}-wanted")
     if wanted.count() <= SEEK_LIMIT:
         ids = spark.sparkContext.broadcast(np.sort(wanted.select("rep").toPandas()["rep"].to_numpy(np.int64)))
         some = rows
@@ -453,7 +475,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
             got = [(n, s) for n, s in got if len(s)]
             yield {"rep": [n for n, _ in got], "fp12": [_fingerprint(s)[:12] for _, s in got], "arr": [s.tobytes() for _, s in got]}
 
-    have = stash(map_batches(some, arrays, "rep long, fp12 binary, arr binary").join(wanted.select("fp12", "rep"), ["fp12", "rep"], "left_semi").dropDuplicates(["fp12"]), folder, f"{name}-arrays")
+    have = map_batches(some, arrays, "rep long, fp12 binary, arr binary").join(wanted.select("fp12", "rep"), ["fp12", "rep"], "left_semi").dropDuplicates(["fp12"])
+    have = stash(have.coalesce(files), folder, f"{name}-arrays")
     # a leader's partners are dealt over parts, so that no task gets all of a hot one
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).alias("part"))
     partners = dealt.join(have.select(F.col("fp12").alias("b"), "rep", "arr"), "b").select("a", "part", F.lit(1).alias("side"), "rep", "arr")
@@ -472,15 +495,13 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
                     v.append(rep)
             yield {"u": u, "v": v}
 
-    links = stash(map_batches(tiles, test, "u long, v long"), folder, f"{name}-links")
+    links = stash(map_batches(tiles, test, "u long, v long").coalesce(files), folder, f"{name}-links")
     discard(spark, folder, f"{name}-arrays", f"{name}-wanted")
     return links
 
 
-def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Pairs of different components within a group that the bitmaps leave; large groups meet tile by tile."""
-    buckets = max(1, _tiles(groups.sparkSession) // 4)
-
     def unpack(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             key, fp = [], []
@@ -493,7 +514,9 @@ def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> Da
     label = classes.select("fp12", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp12", F.coalesce("label", "rep").alias("label"))
     flat = map_batches(groups.select("key", "fps"), unpack, "key long, fp12 binary").join(label, "fp12")
     mixed = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("cuts"))
+    # larger cuts for larger groups, whose members go to as many tiles as there are cuts
+    side = F.greatest(F.lit(CROSS_ROWS), F.least(F.lit(TILE_ROWS), F.col("m") / 16))
+    mixed = mixed.select("key", F.ceil(F.col("m") / side).cast("int").alias("cuts"))
     own = flat.join(mixed, "key").withColumn("cut", F.pmod(F.xxhash64("fp12"), F.col("cuts")).cast("int"))
     tile = F.expr("transform(sequence(0, cuts - 1), j -> struct(least(cut, j) AS i, greatest(cut, j) AS j))")
     own = own.select("key", "fp12", "label", F.explode(tile).alias("tile")).select("key", "fp12", "label", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
@@ -537,30 +560,31 @@ def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> Da
     return _distinct(map_batches(own.select("key", "i", "j", "fp12", "label", "n", "sig"), run, "bucket int, pairs binary"), buckets)
 
 
-def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, cut_by: Size | None = None) -> DataFrame:
     """(id, n_shingles, component_id, fp) per document row.
 
     Two texts link when their sets of `words`-word shingles have Jaccard similarity of at least PERCENT / 100;
     component_id is the smallest id that links reach. Null and empty texts and texts without words have no
     shingles and stay alone; so do rows of a null id (component null). Repeated rows are classes of equal sets.
-    Empty table: no rows. Texts of any length are used whole.
+    Empty table: no rows. Texts of any length are used whole. `cut_by`: how tables are cut; counted if not given.
     """
     spark = documents.sparkSession
     folder = shared_dir(spark)
     rows = text_id(documents, doc_id, text)
-    hot = spark.sparkContext.broadcast(_frequent(rows, folder, words))
-    all_rows = stash(_gather(rows, hot, words), folder, "gathered")
+    cut_by = cut_by or Size.of(rows)
+    hot = spark.sparkContext.broadcast(_frequent(rows, folder, words, cut_by))
+    all_rows = stash(_gather(rows, hot, words, cut_by), folder, "gathered")
     texts = all_rows.where("key IS NULL AND pairs IS NULL").select("id", "n", "fp", "sig")
     gathered = all_rows.where("key IS NOT NULL OR pairs IS NOT NULL")
     groups = all_rows.where("key IS NOT NULL").select("key", "fps")
     classes = texts.where("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig", ignorenulls=True).alias("sig"), F.count("*").alias("copies"))
-    classes = stash(classes.withColumn("fp12", F.substring("fp", 1, 12)), folder, "classes")
-    first = _bound(_first_pairs(gathered), classes)
-    links = _verified(rows, stash(first, folder, "first"), classes, folder, "v1", words)
+    classes = stash(classes.withColumn("fp12", F.substring("fp", 1, 12)).coalesce(cut_by.files), folder, "classes")
+    first = _bound(_first_pairs(gathered, cut_by.parts), classes)
+    links = _verified(rows, stash(first.coalesce(cut_by.files), folder, "first"), classes, folder, "v1", words, cut_by.files)
     labels = connected_components(links, folder, "c1")
-    rest = stash(_cross_pairs(groups, classes, labels), folder, "rest")
+    rest = stash(_cross_pairs(groups, classes, labels, cut_by.parts).coalesce(cut_by.files), folder, "rest")
     if rest.limit(1).count():
-        more = _verified(rows, rest, classes, folder, "v2", words)
+        more = _verified(rows, rest, classes, folder, "v2", words, cut_by.files)
         labels = connected_components(links.union(more), folder, "c2")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "copies", F.coalesce("label", "rep").alias("component_id"), "rep")
     # only classes that say something new about a row travel, dealt over parts against hot ones
@@ -575,9 +599,11 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each component: of the smallest doc_id. Texts without words, and rows of a null id, all stay.
 
     Ids of the rows to drop are what travels: as a broadcast up to SEEK_LIMIT of them, else by a shuffle. Rows
-    that repeat the smallest id itself stay.
+    that repeat the smallest id itself stay. Keeps the five columns of documents, whatever others there are.
+    Empty table: no rows.
     """
-    gone = jaccard_components(documents).where("n_shingles > 0 AND id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    gone = stash(gone, shared_dir(documents.sparkSession), "gone")
+    cut_by = Size.of(text_id(documents, "doc_id", "text"))
+    gone = jaccard_components(documents, cut_by=cut_by).where("n_shingles > 0 AND id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    gone = stash(gone.coalesce(cut_by.files), shared_dir(documents.sparkSession), "gone")
     side = F.broadcast(gone) if gone.count() <= SEEK_LIMIT else gone
     return documents.join(side, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
