@@ -15,7 +15,7 @@ from .fm_index import FMIndex
 #: Consecutive words of a window; an item of fewer words is one window.
 WINDOW = 10
 #: Words of candidate runs that one index holds; documents it may cover; bytes of text kept while it fills.
-SHARD_WORDS, SHARD_DOCS, SHARD_BYTES = 1 << 20, 20_000, 64 << 20
+SHARD_WORDS, SHARD_DOCS, SHARD_BYTES = 1 << 19, 5_000, 16 << 20
 #: Benchmark text (characters) that one broadcast block holds; more items make more blocks, one pass of rows each.
 BLOCK_CHARS = 16 << 20
 

@@ -44,7 +44,7 @@ LEADERS = 3
 #: Bits of a bitmap at most, since pairs carry them.
 MOST_BITS = 1 << 15
 #: Text that one partition of shingles comes from, at most; rows that one file of a small table holds.
-PART_BYTES, FILE_ROWS = 64 << 20, 1 << 15
+PART_BYTES, FILE_ROWS = 64 << 20, 1 << 13
 #: Members of a small group, whose pairs are all tried at once.
 SMALL = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
