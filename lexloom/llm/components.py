@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, folder: str, name: str, max_rounds: i
     the shuffle, and a hot node's edges are only ever on the side of a join that can be split. Tables are written
     in files of about FILE_ROWS rows, by the counted edges.
     """
-    files = max(8, -(-2 * edges.count() // FILE_ROWS))
+    files = max(3, -(-2 * edges.count() // FILE_ROWS))
     both = stash(edges.select(F.col("u"), F.col("v")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().coalesce(files), folder, f"{name}-edges")
     labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")).coalesce(files), folder, f"{name}-0")
     for k in range(1, max_rounds + 1):

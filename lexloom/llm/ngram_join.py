@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, map_batches, mix64, shared_dir, stash, text_id
@@ -44,7 +45,7 @@ LEADERS = 3
 #: Bits of a bitmap at most, since pairs carry them.
 MOST_BITS = 1 << 15
 #: Text that one partition of shingles comes from, at most; rows that one file of a small table holds.
-PART_BYTES, FILE_ROWS = 64 << 20, 1 << 13
+PART_BYTES, FILE_ROWS = 64 << 20, 1 << 14
 #: Members of a small group, whose pairs are all tried at once.
 SMALL = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -198,7 +199,7 @@ class Size:
         return 4 * self.parts
 
 
-def _frequent(rows: DataFrame, folder: str, k: int, cut_by: Size) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(rows: DataFrame, k: int, cut_by: Size) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many classes hold among the first of their hashes, with counts; both sorted by shingle."""
     tiles = cut_by.tiles
 
@@ -239,12 +240,13 @@ def _frequent(rows: DataFrame, folder: str, k: int, cut_by: Size) -> tuple[np.nd
             yield {"key": key[hot].view(np.int64), "n": n[hot]}
 
     dealt = map_batches(rows, collect, "tile int, keys binary, counts binary").repartition(tiles // 4, "tile")
-    hot = stash(map_batches(dealt, count, "key long, n long"), folder, "frequent")
+    hot = map_batches(dealt, count, "key long, n long").persist(StorageLevel.DISK_ONLY)
     sizes = {r["p"]: r["c"] for r in hot.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()}
     floor = 0
     while sum(c for p, c in sizes.items() if p >= floor) > HOT_LIMIT:
         floor += 1
     got = hot.where(F.col("n") >= 2**floor).toPandas()
+    hot.unpersist()
     key = got["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key, kind="stable")
     return key[order], got["n"].to_numpy(np.int64)[order]
@@ -572,7 +574,7 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     folder = shared_dir(spark)
     rows = text_id(documents, doc_id, text)
     cut_by = cut_by or Size.of(rows)
-    hot = spark.sparkContext.broadcast(_frequent(rows, folder, words, cut_by))
+    hot = spark.sparkContext.broadcast(_frequent(rows, words, cut_by))
     all_rows = stash(_gather(rows, hot, words, cut_by), folder, "gathered")
     texts = all_rows.where("key IS NULL AND pairs IS NULL").select("id", "n", "fp", "sig")
     gathered = all_rows.where("key IS NOT NULL OR pairs IS NOT NULL")

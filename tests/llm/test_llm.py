@@ -138,7 +138,7 @@ def test_parts_of_a_dealt_shingle_meet(spark, monkeypatch):
     rows = [(100 + k, " ".join(f"w{rng.randrange(10_000)}" for _ in range(30)) + " " + notice) for k in range(300)]
     # two of these share all but one shingle, and in their prefixes only one of the notice
     rows += [(k, f"{notice} end{k}") for k in range(8)]
-    hot = ngram_join._frequent(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"), shared_dir(spark), 5, ngram_join.Size(4, 8))
+    hot = ngram_join._frequent(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"), 5, ngram_join.Size(4, 8))
     assert (ngram_join._parts(hot[1]) > 0).sum() == 8
     got = ngram_join.jaccard_components(docs(spark, rows).repartition(3)).collect()
     assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)

@@ -113,8 +113,8 @@ def test_quality_is_ridge_on_fourier_features_with_isotonic_scores(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(["river", "stone", "walks", "under", "old", "trees,", "and"]) for _ in range(30)) + "."
     bad = lambda: "".join(rng.choice("#$%&*!! 0123") for _ in range(150))
-    rows = [(k, good() if k % 3 else bad()) for k in range(300)]
-    lab = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    rows = [(k, good() if k % 3 else bad()) for k in range(300, 600)]
+    lab = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300, 600)], "doc_id long, quality int, toxic int")
     folder = common.shared_dir(spark)
     model = quality.fit_quality(docs(spark, rows), lab, folder)
     train = labelled.training_texts(docs(spark, rows), lab, "quality", quality.FOLDS, quality.HELD_OUT, quality.statistics, f"{folder}/again").select("id", "y", "x", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)).alias("fifth")).collect()
@@ -128,10 +128,10 @@ def test_quality_is_ridge_on_fourier_features_with_isotonic_scores(spark):
     many = quality.QualityModel(model.mean, model.scale, np.random.default_rng(0).standard_normal((x.shape[1], 20_000)) / width, np.random.default_rng(1).uniform(0, 2 * np.pi, 20_000), np.zeros(1), np.zeros(1), np.zeros(1))
     f = many.features(x[:20])[:, :-1]
     assert np.abs(f @ f.T - np.exp(-((z[:20, None] - z[None, :20]) ** 2).sum(2) / (2 * width**2))).max() < 0.06
-    scores = {r.id: r.score for r in quality.classify_quality(docs(spark, [*rows, (9001, "x " * 400_000), *ODD]), lab).collect()}
+    scores = {r.id: r.score for r in quality.score_quality(docs(spark, [*rows, (9001, "x " * 400_000), *ODD]), model).collect()}
     order = np.argsort(model.raw(np.array([quality.statistics(t) for _, t in rows])), kind="stable")
-    assert (np.diff(np.array([scores[rows[i][0]] for i in order])) >= 0).all() and 0 <= scores[9001] <= 1
-    assert np.mean([(scores[k] >= 0.3) == (k % 3 > 0) for k in range(300)]) > 0.97
+    assert (np.diff(np.array([scores[rows[i][0]] for i in order])) >= -1e-9).all() and 0 <= scores[9001] <= 1
+    assert np.mean([(scores[k] >= 0.3) == (k % 3 > 0) for k in range(300, 600)]) > 0.97
 
 
 # -- op4
@@ -228,8 +228,8 @@ def test_swaps_lower_false_positives_on_neutral_mentions(spark):
 
 def test_toxicity_scores_are_sums_of_part_weights(spark):
     rng = random.Random(6)
-    rows = [(k, " ".join(rng.choice(["calm", "river", "stone", "brisk"]) for _ in range(8)) + (" zorgle" if k % 3 == 0 else "")) for k in range(300)]
-    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
+    rows = [(k, " ".join(rng.choice(["calm", "river", "stone", "brisk"]) for _ in range(8)) + (" zorgle" if k % 3 == 0 else "")) for k in range(300, 600)]
+    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300, 600)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs(spark, rows), lab, common.shared_dir(spark))
     extra = [(900, "zorgle " * 200_000), *ODD]
     for r in toxicity.classify_toxicity(docs(spark, rows + extra), lab).collect():
@@ -246,6 +246,7 @@ def test_bpe_windows_and_long_texts(spark, monkeypatch):
 
     monkeypatch.setattr(bpe, "WINDOW", 50)
     monkeypatch.setattr(bpe, "GAP", 10)
+    monkeypatch.setattr(bpe, "CHUNK", 64)
     t, library = bpe.transducer(), Tokenizer.from_file(bpe.TOKENIZER)
     rng = random.Random(9)
     letters = "abcde ÜZ 19'½ \u0085 \x1c　\t\n.,!$_-—日\U0001f600  "
@@ -283,7 +284,7 @@ def test_sanitised_documents(spark):
     assert out.columns == COLUMNS and got[5].text == ODD[-1][1] and got[1].text is None and got[0].text == rows[0][1]
     for k in range(300, 306):
         t = got[k].text
-        assert t.startswith("[NAME]") and "[WORD]" in t and t.endswith("[EMAIL], call [PHONE]") and got[k].n_chars == len(t)
+        assert t.startswith("[NAME]") and "[WORD]" in t and "[EMAIL], " in t and t.endswith("[PHONE]") and got[k].n_chars == len(t)
     assert pii.sanitise_documents(docs(spark, [])).count() == 0
     base = queries.op9_pii
     assert base is not None and brute_pii(rows[100][1])
