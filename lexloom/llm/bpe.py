@@ -29,7 +29,7 @@ from .common import map_batches, remember
 #: The vocabulary file; a parameter everywhere below.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces and neighbour pairs that a worker remembers; a piece longer than LONG is never remembered.
-PIECES, PAIRS, LONG = 200_000, 1 << 19, 64
+PIECES, PAIRS, LONG = 100_000, 1 << 18, 64
 #: Ids that are handed on at once; characters of a text that are cut into pieces at once, and of these the ones in
 #: which a gap is looked for first.
 CHUNK, WINDOW, GAP = 1 << 16, 1 << 16, 1 << 10
@@ -81,7 +81,8 @@ class Transducer:
                 self.left[t], self.right[t] = (*self.left[a], t), (*self.right[b], t)
                 self.tokens[self.bytes_of[t]] = t
         self.lookahead = max(map(len, self.tokens))
-        self.starts = {b[:k] for b in self.tokens for k in range(1, len(b) + 1)}
+        # every beginning of a token's bytes: the token itself, or -1
+        self.starts = {b[:k]: -1 for b in self.tokens for k in range(1, len(b) + 1)} | self.tokens
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -138,15 +139,52 @@ class Transducer:
                 last[0], back[0] = (last[0] if cut else -1), 0
         yield from self._path(last, back, len(buf))
 
+    def window(self, raw: bytes) -> list[int]:
+        """Tokens of a piece that lies within one window: the same walk, longest tokens first.
+
+        One token alone can end at a place, so a place from which the walk had to turn back is never tried again.
+        """
+        if (t := self.tokens.get(raw)) is not None:
+            return [t]
+        n, grown, stands = len(raw), self.starts.get, self.stands
+        out: list[int] = []
+        places: list[int] = []  # where each token of the walk begins
+        turns: list[list[tuple[int, int]]] = []  # what else may begin there, the longest last
+        dead: set[int] = set()
+        at, before, ways = 0, -1, None
+        while at < n:
+            if ways is None:
+                ways = []
+                for e in range(at + 1, n + 1):
+                    if (t := grown(raw[at:e])) is None:
+                        break
+                    if t >= 0:
+                        ways.append((e, t))
+            while ways:
+                e, t = ways.pop()
+                if e not in dead and (before == -1 or stands(before, t)):
+                    out.append(t)
+                    places.append(at)
+                    turns.append(ways)
+                    at, before, ways = e, t, None
+                    break
+            else:
+                if not out:
+                    raise ValueError("bytes outside the vocabulary")
+                dead.add(at)
+                out.pop()
+                at, ways = places.pop(), turns.pop()
+                before = out[-1] if out else -1
+        return out
+
     def _extend(self, buf: bytes, last: list, back: list, s: int, done: int) -> None:
-        before, starts, tokens = last[s], self.starts, self.tokens
+        before, starts = last[s], self.starts
         if before is None:
             return
         for e in range(s + 1, min(len(buf), s + self.lookahead) + 1):
-            part = buf[s:e]
-            if part not in starts:
+            if (t := starts.get(buf[s:e])) is None:
                 return
-            if e > done and last[e] is None and (t := tokens.get(part)) is not None and (before == -1 or self.stands(before, t)):
+            if e > done and last[e] is None and t >= 0 and (before == -1 or self.stands(before, t)):
                 last[e], back[e] = t, s
 
     def _meeting(self, last: list, back: list, n: int) -> int:
@@ -169,7 +207,7 @@ class Transducer:
         """Ids of one short piece as little-endian 32-bit integers, remembered while there is room."""
         got = self.pieces.get(piece)
         if got is None and (got := self.older.get(piece)) is None:
-            got = np.fromiter(self.stream([piece.encode()]), "<u4").tobytes()
+            got = np.array(self.window(piece.encode()), "<u4").tobytes()
         if len(self.pieces) >= PIECES:
             self.older, self.pieces = self.pieces, {}
         self.pieces[piece] = got

@@ -433,7 +433,9 @@ def _bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a leader, b) that the bitmaps leave."""
     left = classes.select(F.col("fp12").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = classes.select(F.col("fp12").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    wide = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb")
+    # dealt out first: a broadcast join would put this mapping and the one that made the pairs into one task, and
+    # a task with two mappings keeps two Python workers, of which all stay
+    wide = pairs.repartition("b").join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
