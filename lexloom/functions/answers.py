@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from . import text as T
+from . import lexicon as L, text as T
 from .text import col
 
 NOWHERE = 10**9
@@ -47,8 +47,9 @@ def verdicts(c: str | Column, expected: tuple[str, ...], forbidden: tuple[str, .
 
 
 def grammar_issue(c: str | Column) -> Column:
-    """A word twice in a row."""
-    return F.regexp_like(col(c), F.lit(r"(?iU)\b(\w+)\s+\1\b"))
+    """A word twice in a row, or a noun in front of a bare article at the start."""
+    start = rf"(?iU)^\s*(?:{'|'.join(L.BARE_NOUNS)})\s+(?:a|an|the)\b"
+    return F.regexp_like(col(c), F.lit(r"(?iU)\b(\w+)\s+\1\b")) | F.regexp_like(col(c), F.lit(start))
 
 
 def boundary_ok(c: str | Column, raw_starts: tuple[str, ...]) -> Column:
@@ -189,3 +190,57 @@ def top_k(logits: str | Column, k: int) -> Column:
     """Logits below the k-th largest as negative infinity."""
     floor = lambda a: F.element_at(F.sort_array(a, asc=False), F.least(F.lit(k), F.size(a)))
     return T.let(col(logits), lambda a: F.transform(a, lambda x: F.when(x >= floor(a), x).otherwise(float("-inf"))))
+
+
+def top_p(logits: str | Column, p: float) -> Column:
+    """Logits outside the smallest set of the largest ones whose chances pass p as negative infinity; the first always stays.
+
+    Of equal logits those in front count first. p of 0 or less, or 1 and more: all as they are.
+    """
+    if not 0.0 < p < 1.0:
+        return col(logits)
+
+    def cut(a: Column) -> Column:
+        top = F.array_max(a)
+        placed = F.array_sort(F.transform(a, lambda x, i: F.struct((-x).alias("z"), i.alias("i"))))
+        chance = F.transform(placed, lambda s: F.exp(-s["z"] - top))
+        total = F.aggregate(chance, F.lit(0.0), lambda s, x: s + x)
+        # place of the first one whose sum passes p: it stays, what is behind it goes
+        walk = F.aggregate(chance, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + (s["sum"] <= p * total).cast("int")).alias("n")))
+        kept = F.transform(F.slice(placed, 1, walk["n"]), lambda s: s["i"])
+        return T.let(kept, lambda k: F.transform(a, lambda x, i: F.when(F.array_contains(k, i), x).otherwise(float("-inf"))))
+
+    return T.let(col(logits), cut)
+
+
+def _counted(ids: str | Column, window: int | None) -> Column:
+    recent = col(ids) if window is None else F.slice(col(ids), F.greatest(F.size(col(ids)) - window + 1, F.lit(1)), window)
+    return recent
+
+
+def repetition_penalty(logits: str | Column, ids: str | Column, penalty: float = 1.15, window: int = 64) -> Column:
+    """Logits of the last `window` ids made less likely, once for each time they stand there."""
+    if penalty <= 1.0:
+        return col(logits)
+    times = lambda i, r: F.size(F.filter(r, lambda x: x == i))
+    shrink = lambda x, f: F.when(x > 0, x / f).otherwise(x * f)
+    return T.let(_counted(ids, window), lambda r: F.transform(col(logits), lambda x, i: shrink(x, F.pow(F.lit(penalty), times(i, r)))))
+
+
+def presence_penalty(logits: str | Column, ids: str | Column, penalty: float = 0.0) -> Column:
+    """Logits of ids that stand anywhere before, less the penalty."""
+    return col(logits) if penalty <= 0.0 else F.transform(col(logits), lambda x, i: x - F.when(F.array_contains(col(ids), i), penalty).otherwise(0.0))
+
+
+def ngram_ban(logits: str | Column, ids: str | Column, n: int) -> Column:
+    """Negative infinity for each id that would complete an n-gram which the ids hold already."""
+    if n < 2:
+        return col(logits)
+
+    def cut(a: Column) -> Column:
+        tail = F.slice(a, F.greatest(F.size(a) - n + 2, F.lit(1)), n - 1)
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - n + 1, F.lit(1))), lambda i: F.slice(a, i, n - 1) == tail)
+        banned = F.when(F.size(a) >= n, F.transform(at, lambda i: F.get(a, i + n - 2))).otherwise(F.array().cast("array<int>"))
+        return T.let(banned, lambda b: F.transform(col(logits), lambda x, i: F.when(F.array_contains(b, i), float("-inf")).otherwise(x)))
+
+    return T.let(col(ids).cast("array<int>"), cut)

@@ -75,6 +75,32 @@ GENERIC_OPENINGS = (
     "translate", "edit the following", "classify the following",
 )
 
+# Words that make a general pair technical.
+TECHNICAL_KEYWORDS = (
+    "ai", "artificial", "intelligence", "machine", "learning", "model", "token", "transformer", "algorithm", "data", "database", "index", "sql", "query",
+    "python", "function", "code", "api", "software", "engineering", "debug", "test", "security", "cybersecurity", "network", "encryption", "docker",
+)
+
+# Nouns in front of a bare article that tell of a missing verb, at an answer's start.
+BARE_NOUNS = ("attention", "self-attention", "tokenizer", "tokenization", "ai", "index", "database")
+
+# Acronyms that are no gibberish; a word of 5 to 20 letters outside the known ones is, if it falls into so many tokens.
+ACRONYMS = ("ai", "api", "bpe", "cpu", "gpu", "gpt", "json", "llm", "sql", "ui")
+FRAGMENT_LETTERS, FRAGMENT_TOKENS, FRAGMENT_SHARE = (5, 20), 3, 0.3
+
+# Rates from which the risk of memorisation counts points, and the points of its tiers.
+RISK_PARAGRAPH, RISK_LINE, RISK_NEAREST, RISK_REPETITION = ((0.34, 2), (0.0, 1)), 0.34, ((0.90, 2), (0.80, 1)), 0.20
+RISK_HIGH, RISK_MODERATE = 4, 2
+
+# Weights of the checkpoint score.
+CHECKPOINT_WEIGHTS = {"topic": 100.0, "chat": 12.0, "repetitions": -18.0, "gibberish": -2.0, "drifts": -10.0}
+
+# Markers and punctuation that a vocabulary must hold.
+SPECIAL_MARKERS = ("<USER>", "<ASSISTANT>", "<END>")
+
+# Routing accuracy and drop of confusion from which a comparison names its cause.
+ROUTING_FROM, CONFUSION_DROP = 0.8, 0.1
+
 # What makes a question a comparison, and limits of short and of shortened answers.
 COMPARISON = (
     r"(?i)\b(compare|contrast|different|distinguish|versus|\bvs\b|without mixing|not be confused|instead of|operating difference|would not be an example|"

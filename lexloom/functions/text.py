@@ -6,8 +6,9 @@ word dialect, because results differ between them.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import lexicon as L
@@ -131,8 +132,8 @@ def ngrams(array: Column, n: int) -> Column:
 
 
 def occurrences(c: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a substring."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    """Non-overlapping occurrences of a substring; most texts hold none, which a plain search tells first."""
+    return F.when(~F.contains(c, F.lit(word)), 0).otherwise((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")
 
 
 def first_best(scores: dict[str, Column], fallback: str) -> Column:
@@ -148,10 +149,14 @@ def _first(scores: dict[str, Column], top: Column) -> Column:
     return chain
 
 
+def domain_counts(low: str | Column) -> dict[str, Column]:
+    """For each domain, how often its keywords stand in a lower-cased text, as substrings."""
+    return {d: sum((occurrences(col(low), k) for k in ks), F.lit(0)) for d, ks in L.CORPUS_DOMAINS.items()}
+
+
 def corpus_domain(c: str | Column) -> Column:
-    """Domain by how often its keywords stand in the text, as substrings."""
-    low = F.lower(col(c))
-    return first_best({d: sum((occurrences(low, k) for k in ks), F.lit(0)) for d, ks in L.CORPUS_DOMAINS.items()}, "general")
+    """Domain by how often its keywords stand in the text; `corpus.tag_domain` counts each only once for a table."""
+    return first_best(domain_counts(F.lower(col(c))), "general")
 
 
 def pair_domain(c: str | Column, source: str | Column | None = None) -> Column:
@@ -161,12 +166,15 @@ def pair_domain(c: str | Column, source: str | Column | None = None) -> Column:
     return found if source is None else F.when(casefold(source).contains("codealpaca"), "software_engineering").otherwise(found)
 
 
-def language_confidence(c: str | Column) -> Column:
-    """English markers among the words, and ASCII among the characters, weighted; 0 without a word."""
-    c = col(c)
-    n = n_words(c, "latin")
-    hits = F.regexp_count(F.lower(c), F.lit(rf"(?<![a-z'])(?:{'|'.join(L.ENGLISH_MARKERS)})(?![a-z'])"))
-    ascii_share = F.length(F.regexp_replace(c, r"[^\x00-\x7F]", "")) / F.greatest(F.length(c), F.lit(1))
+def language_confidence(c: str | Column, low: str | Column | None = None) -> Column:
+    """English markers among the words, and ASCII among the characters, weighted; 0 without a word.
+
+    `low`: the text in lower case, where a table has it already.
+    """
+    c, low = col(c), F.lower(col(c)) if low is None else col(low)
+    n = F.regexp_count(low, F.lit(DIALECTS["latin"][0]))
+    hits = F.regexp_count(low, F.lit(rf"(?<![a-z'])(?:{'|'.join(L.ENGLISH_MARKERS)})(?![a-z'])"))
+    ascii_share = F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", "")) / F.greatest(F.length(c), F.lit(1))
     return F.when(n > 0, F.least(F.lit(1.0), L.MARKER_WEIGHT * hits / n + L.ASCII_WEIGHT * ascii_share)).otherwise(0.0)
 
 
@@ -177,8 +185,8 @@ def language(c: str | Column) -> Column:
 def clean_lines(c: str | Column) -> Column:
     """Stripped lines without navigation, separators and footers; empty lines stay empty."""
     lines = F.transform(F.split(col(c), LINE_END), strip)
-    bad = (L.NAVIGATION_LINE, L.SEPARATOR_LINE, L.FOOTER_LINE, L.PIPE_LINE)
-    return F.filter(lines, lambda x: (x == "") | ~reduce(lambda a, p: a | x.rlike(p), bad[1:], x.rlike(bad[0])))
+    bad = "|".join(f"(?i:{p.removeprefix('(?i)')})" for p in (L.NAVIGATION_LINE, L.SEPARATOR_LINE, L.FOOTER_LINE, L.PIPE_LINE))
+    return F.filter(lines, lambda x: (x == "") | ~x.rlike(bad))
 
 
 def clean_text(c: str | Column) -> Column:
@@ -224,10 +232,19 @@ def phrase_present(text: str | Column, phrase: str | Column) -> Column:
 
 
 def common_words(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two word arrays."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    total = lambda p: F.aggregate(F.array_intersect(p["a"], p["b"]), F.lit(0), lambda n, x: n + F.least(count(p["a"], x), count(p["b"], x)))
-    return let(F.struct(a.alias("a"), b.alias("b")), total)
+    """Size of the multiset intersection of two arrays of words: linear in their lengths, in Arrow batches.
+
+    Higher-order functions can only count a word by walking the array again for each.
+    """
+    return _common_udf()(a, b)
+
+
+def _common_udf():
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = lambda x, y: 0 if x is None or y is None else (Counter(x) & Counter(y)).total()
+        return pd.Series([both(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    return F.pandas_udf(count, "int")
 
 
 def token_f1(text: str | Column, reference: str | Column) -> Column:

@@ -16,24 +16,33 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str | Column, seq: str) -> DataFrame:
-    """The first row by `seq` of each key: map-side minimum, then a semi-join by that row's own key.
+    """The first row by `seq` of each key: map-side minimum, then a semi-join by key and `seq`.
 
-    No window over the key: its rows needn't meet in one task, however many they are.
+    No window over the key: its rows needn't meet in one task, however many they are. Of rows that repeat both
+    key and `seq` one stays; rows of a null key are one group.
     """
     keyed = df.withColumn("_key", T.col(key))
-    first = keyed.groupBy("_key").agg(F.min(seq).alias(seq))
-    return keyed.join(first.select(seq), seq, "left_semi").drop("_key")
+    first = keyed.groupBy("_key").agg(F.min(seq).alias("_first")).withColumnRenamed("_key", "_k")
+    kept = keyed.join(first, F.col("_key").eqNullSafe(F.col("_k")) & F.col(seq).eqNullSafe(F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["_key", seq]).drop("_key")
 
 
 def quality_scores(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the gate's statistics: counts first, so that ratios can be told from whole numbers."""
-    w = T.words(F.lower(text), "unicode")
-    lines = F.transform(T.text_lines(text), lambda x: F.lower(x))
-    df = df.withColumn("_w", w).withColumn("_l", lines)
+    df = df.withColumn("_low", F.lower(text))
+    df = df.withColumn("_w", T.words("_low", "unicode")).withColumn("_l", T.text_lines("_low"))
     df = df.withColumn("word_count", F.size("_w")).withColumn("distinct_words", F.size(F.array_distinct("_w")))
     df = df.withColumn("line_count", F.size("_l")).withColumn("repeated_lines", F.size("_l") - F.size(F.array_distinct("_l")))
     df = df.withColumn("unique_word_ratio", T.distinct_share(F.col("_w"))).withColumn("line_repetition_ratio", T.repeated_share(F.col("_l")))
-    return df.withColumn("language_confidence", T.language_confidence(text)).drop("_w", "_l")
+    return df.withColumn("language_confidence", T.language_confidence(text, "_low")).drop("_w", "_l", "_low")
+
+
+def tag_domain(df: DataFrame, text: str = "text", name: str = "domain") -> DataFrame:
+    """Adds the domain; lower case and each domain's count are columns, so that they are computed once a row."""
+    df = df.withColumn("_low", F.lower(text))
+    counts = T.domain_counts("_low")
+    df = df.select("*", *(c.alias(f"_d_{d}") for d, c in counts.items()))
+    return df.withColumn(name, T.first_best({d: F.col(f"_d_{d}") for d in counts}, "general")).drop("_low", *(f"_d_{d}" for d in counts))
 
 
 def rounded(c: str) -> Column:
@@ -44,7 +53,7 @@ def rounded(c: str) -> Column:
 def reject_reason(text: str = "text", *, min_words: int = L.MIN_WORDS, min_unique: float = L.MIN_UNIQUE, max_lines: float = L.MAX_LINE_REPETITION, min_language: float = L.MIN_LANGUAGE) -> Column:
     """The first test of the gate that a scored row fails; null when it passes all."""
     return (
-        F.when(F.regexp_like(text, F.lit(L.LOREM)), "lorem_ipsum").when(F.regexp_like(text, F.lit(L.CHARACTER_SPAM)), "char_spam").when(F.col("word_count") < min_words, "too_short")
+        F.when(F.contains(F.lower(text), F.lit("lorem ipsum")) & F.regexp_like(text, F.lit(L.LOREM)), "lorem_ipsum").when(F.regexp_like(text, F.lit(L.CHARACTER_SPAM)), "char_spam").when(F.col("word_count") < min_words, "too_short")
         .when(rounded("unique_word_ratio") < min_unique, "low_unique_words").when(rounded("line_repetition_ratio") > max_lines, "repeated_lines")
         .when(rounded("language_confidence") < min_language, "low_language_confidence")
     )
@@ -52,7 +61,7 @@ def reject_reason(text: str = "text", *, min_words: int = L.MIN_WORDS, min_uniqu
 
 def quality_gate(df: DataFrame, text: str = "text", **limits: float) -> DataFrame:
     """Adds scores, `reason` (null: passes) and `domain`."""
-    return quality_scores(df, text).withColumn("reason", reject_reason(text, **limits)).withColumn("domain", T.corpus_domain(text))
+    return tag_domain(quality_scores(df, text).withColumn("reason", reject_reason(text, **limits)), text)
 
 
 def stage_counters(df: DataFrame, reason: str = "reason") -> DataFrame:

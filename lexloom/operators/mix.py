@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..shared import shared_dir, stash
 
 #: Consecutive order numbers that one task sums at once; running totals over a whole table go block by block.
 BLOCK = 100_000
@@ -62,10 +60,151 @@ def seeded_key(seed: int, key: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), T.col(key).cast("string")))
 
 
+def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """Adds the row's number from 1 in an order of any columns, without one task that sees all rows.
+
+    Rows are dealt over partitions by ranges of the order and written; only the partitions' counts pass through one
+    window, and rows are numbered within theirs. Equal rows get numbers one after the other.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = stash(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), shared_dir(spark), "ranges")
+    counts = cut.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    n = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return cut.withColumn("_n", n).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_n")).drop("_p", "_n", "_b")
+
+
+def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
+    """Adds `place`: the row's number in the seeded order; of equal keys in any order."""
+    return ranked(df.withColumn("_k", seeded_key(seed, key)), "_k", key).drop("_k")
+
+
+def write_shuffled(df: DataFrame, seed: int, key: str, path: str) -> None:
+    """The rows as JSON lines, files and lines in the seeded order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.withColumn("_k", seeded_key(seed, key)).repartitionByRange(parts, "_k", key).sortWithinPartitions("_k", key).drop("_k").write.mode("overwrite").json(path, ignoreNullFields="false")
+
+
+def balanced_tail(df: DataFrame, group: str, item: str, seq: str, want: int, picks: list[Column] | None = None) -> DataFrame:
+    """Adds `split` and `last`: of each group the first `want` items, in order, give one row each to validation, which goes to the end.
+
+    `picks`: conditions on rows that items take in turn (the first item a row of the first one, and so on); of the
+    rows that fit, the first. Items without a fitting row give none.
+    """
+    items = df.groupBy(group, item).agg(F.min(seq).alias("_s"))
+    # a group's first items: those with fewer than `want` others in front, by their numbers
+    turn = items.withColumn("_t", F.row_number().over(Window.partitionBy(group).orderBy("_s")) - 1).where(F.col("_t") < want)
+    rows = df.join(F.broadcast(turn.select(group, item, "_t")), [group, item])
+    if picks:
+        fits = F.lit(False)
+        for k, c in enumerate(picks):
+            fits = fits | ((F.col("_t") % len(picks) == k) & c)
+        rows = rows.where(fits)
+    chosen = rows.groupBy(group, item).agg(F.min(seq).alias(seq)).withColumn("_v", F.lit(True))
+    out = df.join(chosen, [group, item, seq], "left").withColumn("last", F.coalesce("_v", F.lit(False))).drop("_v")
+    return out.withColumn("split", F.when(F.col("last"), "validation").otherwise("train"))
+
+
+def cycled(blocks: DataFrame, seq: str, text: str, target: int, dialect: str = "hyphen", header: str | None = None) -> DataFrame:
+    """(cycle, seq, text): the blocks over and over, as whole cycles, until their words reach `target`; at least one cycle.
+
+    `header`: text in front of each cycle, with its number for %d, whose words count too. Blocks without any word
+    would never end: an error.
+    """
+    words = blocks.agg(F.sum(T.n_words(text, dialect))).first()[0] or 0
+    spark = blocks.sparkSession
+    own = 0 if header is None else spark.range(1).select(T.n_words(F.lit(header % 1), dialect).alias("n")).first().n
+    if words + own <= 0:
+        raise ValueError("blocks without words never reach a target")
+    cycles = max(1, -(-target // (words + own)))
+    rows = spark.range(1, cycles + 1).withColumnRenamed("id", "cycle").crossJoin(F.broadcast(blocks.select(seq, text)))
+    heads = spark.range(1, cycles + 1).select(F.col("id").alias("cycle"), F.lit(-1).cast(blocks.schema[seq].dataType).alias(seq), F.format_string(header, "id").alias(text)) if header is not None else None
+    return rows if heads is None else heads.unionByName(rows)
+
+
+def generated_until(candidates: DataFrame, seq: str, text: str, target: int, have: int = 0, dialect: str = "hyphen", known: DataFrame | None = None) -> DataFrame:
+    """Generated blocks in order, each different text (folded) once and none of the known ones, until words reach `target`.
+
+    `have`: words that are there already. The block that crosses the target stays. Nothing when `have` reaches it.
+    """
+    if have >= target:
+        return candidates.limit(0)
+    rows = candidates.withColumn("_f", T.casefold(text))
+    if known is not None:
+        rows = rows.join(known.select(T.casefold(text).alias("_f")).distinct(), "_f", "left_anti")
+    first = rows.groupBy("_f").agg(F.min(seq).alias(seq))
+    kept = ranked(rows.join(first, ["_f", seq], "left_semi").drop("_f"), seq, name="_r")
+    return prefix_until(kept, "_r", T.n_words(text, dialect), target - have).drop("_r")
+
+
+def grid(spark: SparkSession, **sides: tuple[str, ...]) -> DataFrame:
+    """(n, one column a side): all combinations of small fixed lists, the last side fastest; from a range alone."""
+    total = 1
+    for values in sides.values():
+        total *= len(values)
+    out, step = spark.range(total).withColumnRenamed("id", "n"), total
+    for name, values in sides.items():
+        step //= len(values)
+        at = (F.floor(F.col("n") / step) % len(values)).cast("int")
+        out = out.withColumn(name, F.get(F.array(*map(F.lit, values)), at))
+    return out
+
+
+def compose(template: Column, **parts: Column) -> Column:
+    """A template with {name} replaced by each part, and {Name} by the part with its first letter upper-cased."""
+    out = template
+    for name, value in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+        out = F.replace(out, F.lit("{" + name.capitalize() + "}"), F.concat(F.upper(F.substring(value, 1, 1)), F.substr(value, F.lit(2))))
+    return out
+
+
+def composed_answer(kind: str | Column, variant: str | Column) -> Column:
+    """An answer by its question's kind from a concept's columns; a contrast variant gets the contrast note behind it.
+
+    Columns: definition, comparison, example, importance, mechanism, troubleshooting, contrast_note.
+    """
+    kind, low = T.col(kind), F.concat(F.lower(F.substring("troubleshooting", 1, 1)), F.substr(F.col("troubleshooting"), F.lit(2)))
+    tails = {"comparison": F.col("comparison"), "example": F.col("example"), "why": F.col("importance"), "how": F.col("mechanism"), "troubleshooting": F.concat(F.lit("To troubleshoot it, "), low)}
+    chain = F.when(kind == "definition", F.col("definition"))
+    for name, tail in tails.items():
+        chain = chain.when(kind == name, F.concat_ws(" ", "definition", tail))
+    return F.when(T.col(variant) == "contrast", F.concat_ws(" ", chain, F.col("contrast_note"))).otherwise(chain)
+
+
+def topic_rows(topics: DataFrame, prompt: str, suffix: str) -> DataFrame:
+    """(instruction, response, domain) from (domain, term, definition): the prompt with {term}, and the definition as a sentence."""
+    name = F.concat(F.upper(F.substring("term", 1, 1)), F.lower(F.substr(F.col("term"), F.lit(2))))
+    return topics.select(F.replace(F.lit(prompt), F.lit("{term}"), F.col("term")).alias("instruction"), F.concat(name, F.lit(" is "), F.col("definition"), F.lit(". " + suffix)).alias("response"), "domain")
+
+
+def labelled(df: DataFrame, key: str, labels: DataFrame, name: str = "label") -> DataFrame:
+    """Adds the label of a key from (key, label); keys without one get their own words."""
+    found = labels.select(F.col("key").alias(key), F.col("label").alias("_l"))
+    return df.join(found, key, "left").withColumn(name, F.coalesce("_l", F.replace(key, F.lit("_"), F.lit(" ")))).drop("_l")
+
+
+def resolved(name: str, options: tuple[str, ...], aliases: dict[str, str] | None = None, dashes: bool = False) -> str:
+    """The option that a name, in any case and perhaps by an alias, stands for; an error that lists the options otherwise."""
+    key = name.strip().lower()
+    key = (aliases or {}).get(key, key)
+    key = key.replace("-", "_") if dashes else key
+    if key not in options:
+        raise ValueError(f"unknown name {name!r}; one of {', '.join(sorted(options))}")
+    return key
+
+
+def within(df: DataFrame, group: str, seq: str, name: str) -> DataFrame:
+    """Adds the row's number from 1 within its group, by one order of all rows; a group of any size is dealt over partitions."""
+    rows = ranked(df, group, seq, name="_r")
+    first = rows.groupBy(group).agg(F.min("_r").alias("_f")).withColumnRenamed(group, "_g")
+    return rows.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_r") - F.col("_f") + 1).drop("_r", "_f", "_g")
+
+
 def group_ids(df: DataFrame, group: str, seq: str, width: int = 3) -> DataFrame:
     """Adds `id`: the group's name and a padded number within it."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(seq))
-    return df.withColumn("id", F.concat(F.col(group), F.lit("-"), F.lpad(n.cast("string"), width, "0")))
+    return within(df, group, seq, "_n").withColumn("id", F.concat(F.col(group), F.lit("-"), F.lpad(F.col("_n").cast("string"), width, "0"))).drop("_n")
 
 
 def repeat_rows(df: DataFrame, times: int | Column, name: str = "copy") -> DataFrame:
@@ -85,38 +224,26 @@ def mix_to_ratio(base: DataFrame, chat: DataFrame, seq: str, ratio: float, text:
     return base.withColumn("tag", F.lit("base")).unionByName(picked.withColumn("tag", F.lit("chat")))
 
 
-def spread(df: DataFrame, item: str, seed: int = 42) -> DataFrame:
+#: Copies of an item that one row makes at once.
+COPIES = 1 << 16
+
+
+def apart(df: DataFrame, item: str, seed: int = 42) -> DataFrame:
     """(place, item): all rows in an order without equal neighbours.
 
-    Copies of each item are numbered; the order walks the items by their remaining copies, the most first. Only
-    distinct items with their counts pass through the one task that the rule needs, and it raises when an item
-    has more copies than there are gaps.
+    Rows stand by item, the most frequent first, and take the even places in turn, then the odd ones; that parts
+    all copies of an item of which there are at most half, rounded up. An item of more is an error. Only counts of
+    items are put in order; places come from sums, side by side.
     """
-    counts = df.groupBy(item).agg(F.count("*").alias("n")).select(F.col(item).alias("item"), "n", seeded_key(seed, item).alias("tie")).coalesce(1)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import heapq
-
-        heap: list = []
-        for b in batches:
-            heap += list(zip((-b["n"]).tolist(), b["tie"].tolist(), b["item"].tolist(), strict=True))
-        heapq.heapify(heap)
-        place, held, out = 0, None, []
-        while heap:
-            n, tie, x = heapq.heappop(heap)
-            out.append((place, x))
-            place += 1
-            if held:
-                heapq.heappush(heap, held)
-            held = (n + 1, tie, x) if n < -1 else None
-            if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=["place", "item"])
-                out = []
-        if held:
-            raise ValueError("an item has too many copies to keep them apart")
-        yield pd.DataFrame(out, columns=["place", "item"])
-
-    return counts.mapInPandas(walk, "place long, item string")
+    counts = df.groupBy(item).agg(F.count("*").alias("n")).select(F.col(item).alias("item"), "n", (-F.col("n")).alias("m"), seeded_key(seed, item).alias("tie"))
+    placed = running_total(ranked(counts, "m", "tie", "item", name="_r"), "_r", "n", "_t").withColumn("_b", F.col("_t") - F.col("n"))
+    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.max("n").alias("most")).first()
+    half = -(-facts.total // 2)
+    if facts.most and facts.most > half:
+        raise ValueError("an item has too many copies to keep them apart")
+    parts = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    rows = parts.withColumn("_i", F.explode(F.sequence(F.col("_k") * COPIES, F.least(F.col("n"), (F.col("_k") + 1) * COPIES) - 1))).withColumn("_at", F.col("_b") + F.col("_i"))
+    return rows.select(F.when(F.col("_at") < half, 2 * F.col("_at")).otherwise(2 * (F.col("_at") - half) + 1).alias("place"), "item")
 
 
 def token_windows(ids: str | Column, size: int, stride: int) -> Column:
@@ -178,10 +305,16 @@ def cyclic_answers(df: DataFrame, seq: str, answers: str) -> DataFrame:
 
 
 def hard_negatives(concepts: DataFrame, want: int = 3) -> DataFrame:
-    """(concept, negatives): related, contrast, then the next concepts of its domain in turn, up to `want` distinct ones."""
-    n = F.row_number().over(Window.partitionBy("domain").orderBy("concept")) - 1
-    rows = concepts.withColumn("_n", n)
-    domains = rows.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "concept"))), lambda x: x["concept"]).alias("_all"))
-    turn = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_all") - 1, F.lit(1))), lambda k: F.element_at("_all", ((F.col("_n") + k) % F.size("_all") + 1).cast("int")))
-    own = F.filter(F.array_distinct(F.concat(F.array("related", "contrast"), turn)), lambda x: x.isNotNull() & (x != F.col("concept")))
-    return rows.join(domains, "domain").select("concept", F.slice(own, 1, want).alias("negatives"))
+    """(concept, negatives): related, contrast, then the next concepts of its domain in turn, up to `want` distinct ones.
+
+    The next ones are looked up by their numbers within the domain: `want` and three more, of which at most two
+    are the related and the contrast one, and one the concept itself.
+    """
+    rows = within(concepts.select("concept", "domain", "related", "contrast"), "domain", "concept", "_n").withColumn("_n", F.col("_n") - 1)
+    sizes = rows.groupBy("domain").agg(F.count("*").alias("_m"))
+    asked = rows.join(sizes, "domain").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(want + 3)))).where(F.col("_k") < F.col("_m"))
+    asked = asked.select("domain", F.col("concept").alias("_c"), "_k", ((F.col("_n") + F.col("_k")) % F.col("_m")).alias("_n"))
+    near = asked.join(rows.select("domain", "_n", "concept"), ["domain", "_n"]).groupBy("domain", "_c").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "concept"))), lambda x: x["concept"]).alias("_turn"))
+    rows = rows.join(near, (rows["domain"] == near["domain"]) & (F.col("concept") == F.col("_c")), "left").withColumn("_turn", F.coalesce("_turn", F.array().cast("array<string>")))
+    own = F.filter(F.array_distinct(F.concat(F.array("related", "contrast"), F.col("_turn"))), lambda x: x.isNotNull() & (x != F.col("concept")))
+    return rows.select("concept", F.slice(own, 1, want).alias("negatives"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chat, lexicon as L, text as T
 from ..shared import shared_dir, stash
+from .mix import within
+
+#: Rounds of the greedy deduplication, at most; chains of rows that block each other in turn are short.
+ROUNDS = 10_000
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
@@ -43,17 +49,19 @@ def greedy_pairs(df: DataFrame, seq: str, first: str | Column, second: str | Col
     folder = shared_dir(df.sparkSession)
     rows = df.select(F.col(seq).alias("s"), F.coalesce(T.col(first), F.lit("")).alias("a"), F.coalesce(T.col(second), F.lit("")).alias("b"))
     left = stash(rows, folder, "rows")
-    kept = None
-    for k in range(10_000):
+    kept: list[DataFrame] = []
+    for k in range(ROUNDS):
         lo_a, lo_b = left.groupBy("a").agg(F.min("s").alias("sa")), left.groupBy("b").agg(F.min("s").alias("sb"))
         now = left.join(lo_a, "a").join(lo_b, "b").where("s = sa AND s = sb").select("s", "a", "b")
         now = stash(now, folder, f"kept-{k}")
-        kept = now if kept is None else kept.union(now)
+        kept.append(now)
         left = left.join(now.select("a").distinct(), "a", "left_anti").join(now.select("b").distinct(), "b", "left_anti").select("s", "a", "b")
         left = stash(left, folder, f"left-{k}")
         if left.limit(1).count() == 0:
             break
-    kept = stash(kept, folder, "kept")
+    else:
+        raise RuntimeError(f"rows are still undecided after {ROUNDS} rounds")
+    kept = stash(reduce(DataFrame.union, kept), folder, "kept")
     by_a = kept.select("a", F.col("s").alias("ka"))
     mark = rows.join(by_a, "a", "left").join(kept.select("s", F.lit(True).alias("k")), "s", "left")
     verdict = F.when(F.col("k"), "kept").when(F.col("ka") < F.col("s"), "duplicate_first").otherwise("duplicate_second")
@@ -85,17 +93,19 @@ def scaffold_counters(df: DataFrame, limit: int, band: tuple[int, int]) -> DataF
 
 
 def keep_shortest(df: DataFrame, key: str | Column, size: Column, seq: str) -> DataFrame:
-    """Of each key the row of least size, the first of equals."""
+    """Of each key the row of least size, the first of equals; of rows that repeat key, size and `seq` one stays."""
     best = df.withColumn("_key", T.col(key)).withColumn("_rank", F.struct(size.alias("n"), F.col(seq).alias("s")))
-    low = best.groupBy("_key").agg(F.min("_rank").alias("_low")).select(F.col("_low.s").alias(seq))
-    return df.join(low, seq, "left_semi")
+    low = best.groupBy("_key").agg(F.min("_rank").alias("_low")).select(F.col("_key").alias("_k"), "_low")
+    kept = best.join(low, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_rank") == F.col("_low")), "left_semi")
+    return kept.dropDuplicates(["_key", seq]).drop("_key", "_rank")
 
 
 def base_then_new(base: DataFrame, extra: DataFrame, key: str, seq: str) -> DataFrame:
-    """Of the base each key's last row; of the extra rows each new key's first."""
+    """Of the base each key's last row; of the extra rows each new key's first. Of rows that repeat key and `seq` one stays."""
     last = base.groupBy(key).agg(F.max(seq).alias(seq))
     first = extra.join(base.select(key), key, "left_anti").groupBy(key).agg(F.min(seq).alias(seq))
-    return base.join(last.select(seq), seq, "left_semi").unionByName(extra.join(first.select(seq), seq, "left_semi"))
+    one = lambda rows, at: rows.join(at, [key, seq], "left_semi").dropDuplicates([key, seq])
+    return one(base, last).unionByName(one(extra, first))
 
 
 def short_answers(df: DataFrame) -> DataFrame:
@@ -139,16 +149,51 @@ def take_evenly(df: DataFrame, group: str, seq: str, want: dict[str, int]) -> Da
     i = F.explode(F.sequence(F.lit(0), F.least(F.col("_k").cast("long"), F.col("_n")) - 1))
     places = n.select(group, "_n", "_k", i.alias("_i"))
     at = F.when(F.col("_n") <= F.col("_k"), F.col("_i")).when(F.col("_k") == 1, F.lit(0)).otherwise(F.rint(F.col("_i") * ((F.col("_n") - 1) / (F.col("_k") - 1))).cast("long"))
-    ranked = df.withColumn("_at", (F.row_number().over(Window.partitionBy(group).orderBy(seq)) - 1).cast("long"))
+    ranked = within(df, group, seq, "_at").withColumn("_at", F.col("_at") - 1)
     return ranked.join(F.broadcast(places.select(group, at.alias("_at")).distinct()), [group, "_at"], "left_semi").drop("_at")
 
 
 def is_curated(instruction: str = "instruction", response: str = "response", domain: str = "domain") -> Column:
-    """Lengths in range, a known domain, no generic opening, no phrase of three words twice in the answer."""
+    """Lengths in range, a known domain, no generic opening, no phrase of three or four words twice in the answer.
+
+    A general pair must hold a technical keyword as a word, with or without a plural s.
+    """
     low = T.casefold(T.one_line(instruction))
     generic = F.lit(False)
     for p in L.GENERIC_OPENINGS:
         generic = generic | low.startswith(p)
+    both = T.casefold(F.concat_ws(" ", instruction, response))
+    technical = F.regexp_like(both, F.lit(rf"(?U)\b(?:{'|'.join(L.TECHNICAL_KEYWORDS)})s?\b"))
+    generic = generic | ((F.col(domain) == "general") & ~technical)
+    # a phrase of four words that comes twice holds one of three that does
     grams = T.let(T.ngrams(T.words(response, "lower_space"), 3), lambda g: F.size(g) > F.size(F.array_distinct(g)))
     long_enough = T.n_words(response, "space") >= 6
     return T.n_words(instruction, "hyphen").between(*L.CURATED_INSTRUCTION) & T.n_words(response, "hyphen").between(*L.CURATED_RESPONSE) & F.col(domain).isin(*L.PAIR_DOMAIN_SET) & ~generic & ~(grams & long_enough)
+
+
+def curated(df: DataFrame, seq: str, total: int) -> DataFrame:
+    """Curated rows by bucket at their quotas: security ones before general ones, which fill what is left of their bucket."""
+    rows = df.where(is_curated())
+    want = quotas(total, L.CURATED_BUCKETS)
+    mixed = want[L.CURATED_BUCKETS[-1]]
+    plain = take_evenly(rows.where(F.col("domain").isin(*L.CURATED_BUCKETS[:-1])), "domain", seq, {b: n for b, n in want.items() if b != L.CURATED_BUCKETS[-1]})
+    security = take_evenly(rows.where("domain = 'cybersecurity'"), "domain", seq, {"cybersecurity": mixed})
+    n = min(rows.where("domain = 'cybersecurity'").limit(mixed).count(), mixed)
+    general = take_evenly(rows.where("domain = 'general'"), "domain", seq, {"general": mixed - n})
+    bucket = F.when(F.col("domain").isin("cybersecurity", "general"), L.CURATED_BUCKETS[-1]).otherwise(F.col("domain"))
+    return plain.unionByName(security).unionByName(general).withColumn("bucket", bucket)
+
+
+def report(pairs: DataFrame, teacher: Column, times: int, instruction: str = "instruction", response: str = "response") -> DataFrame:
+    """One row of a chat corpus: examples, teacher examples after repetition, their share, words, repeated blocks."""
+    rows = pairs.select(teacher.alias("t"), chat.format_lines(instruction, response).alias("block")).withColumn("times", F.when(F.col("t"), times).otherwise(1))
+    blocks = rows.groupBy(T.casefold("block").alias("k")).agg(F.sum("times").alias("n"), F.sum(F.when(F.col("t"), F.col("times")).otherwise(0)).alias("teacher"), F.sum(F.col("times") * T.n_words("block", "hyphen")).alias("words"))
+    out = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("final_examples"), F.coalesce(F.sum("teacher"), F.lit(0)).alias("teacher_examples"), F.coalesce(F.sum("words"), F.lit(0)).alias("total_words"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_blocks"))
+    return out.withColumn("teacher_ratio", F.round(F.when(F.col("final_examples") > 0, F.col("teacher_examples") / F.col("final_examples")).otherwise(0.0), 6))
+
+
+def gated(report_: DataFrame, least_teacher: float = 0.3, most_run: int = 1, run: str = "longest") -> DataFrame:
+    """The report as it is; it raises when a gate fails: blocks that follow themselves, too few teacher examples."""
+    bad_run = F.raise_error(F.lit("equal blocks follow each other")).cast("boolean")
+    bad_share = F.raise_error(F.format_string("teacher ratio %.6f is below %.2f", F.col("teacher_ratio"), F.lit(least_teacher))).cast("boolean")
+    return report_.where(F.when(F.col(run) > most_run, bad_run).when(F.col("teacher_ratio") < least_teacher, bad_share).otherwise(True))

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import heapq
+import json
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import groupby, pairwise
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon as L, text as T
+from ..shared import discard, shared_dir, stash
+from .mix import ranked
 
 END_OF_WORD = "</w>"
 
@@ -34,14 +40,25 @@ def pair_counts(frequency: DataFrame) -> DataFrame:
 def vocabulary_by_first_seen(df: DataFrame, seq: str, text: str = "text", dialect: str = "mixed", reserved: tuple[str, ...] = ("<PAD>", "<UNK>")) -> DataFrame:
     """(token, id): reserved ones first, then words in order of their first place in the corpus."""
     at = df.select(F.col(seq).alias("s"), F.posexplode(T.words(text, dialect)).alias("p", "token")).groupBy("token").agg(F.min(F.struct("s", "p")).alias("first"))
-    ranked = at.select("token", (F.row_number().over(Window.orderBy("first")) - 1 + len(reserved)).cast("int").alias("id"))
+    numbers = ranked(at, "first", "token").select("token", (F.col("place") - 1 + len(reserved)).cast("int").alias("id"))
     head = df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(reserved)], "token string, id int")
-    return head.union(ranked)
+    return head.union(numbers)
 
 
 def vocabulary_sorted(tokens: DataFrame, token: str = "token") -> DataFrame:
     """(token, id) of distinct tokens in code point order."""
-    return tokens.select(F.col(token).alias("token")).distinct().select("token", (F.row_number().over(Window.orderBy("token")) - 1).cast("int").alias("id"))
+    return ranked(tokens.select(F.col(token).alias("token")).distinct(), "token").select("token", (F.col("place") - 1).cast("int").alias("id"))
+
+
+def as_ids(df: DataFrame, seq: str, text: str, vocabulary: DataFrame, dialect: str = "mixed", unknown: int = 1) -> DataFrame:
+    """(seq, ids): texts as arrays of a vocabulary's ids; words outside it as `unknown`.
+
+    Each distinct word is looked up once; a text's places then come together again by seq.
+    """
+    places = df.select(F.col(seq).alias("_s"), F.posexplode(T.words(text, dialect)).alias("p", "token"))
+    found = places.join(vocabulary.select("token", "id"), "token", "left").select("_s", F.struct("p", F.coalesce("id", F.lit(unknown)).alias("id")).alias("x"))
+    ids = found.groupBy("_s").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias("ids"))
+    return df.select(F.col(seq)).join(ids, F.col(seq) == F.col("_s"), "left").select(seq, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 @dataclass
@@ -52,7 +69,7 @@ class Merges:
     vocabulary: set[str] = field(default_factory=set)
     initial: int = 0
     repeated_tokens: int = 0
-    stopped: str = "target_vocab_reached"
+    stopped: str = "target_vocab_reached"  # REACHED
 
     @property
     def rank(self) -> dict[tuple[str, str], int]:
@@ -77,64 +94,234 @@ def joined(symbols_: list[str], pair: tuple[str, str]) -> list[str]:
     return [x[0] if isinstance(x, tuple) else x for x in out]
 
 
-def learn_merges(frequency: DataFrame, target: int) -> Merges:
-    """Merge the most frequent pair (of equals the smallest) until the vocabulary has `target` tokens.
+#: Distinct words up to which the merge loop runs on the driver; more stay on the cluster.
+DRIVER_WORDS = 2_000_000
+#: Most frequent pairs that a round on the cluster looks at.
+ROUND_PAIRS = 4096
+
+# Why learning stops.
+REACHED, NO_PAIRS, ALREADY = "target_vocab_reached", "no_adjacent_symbol_pairs_left", "initial_vocab_already_reaches_target"
+
 
-    The corpus is reduced to word counts on the cluster; the merge loop then runs on those alone, on the driver
-    (about 200 bytes a distinct word), with an index from pairs to the words that hold them.
+def learn_merges(frequency: DataFrame, target: int, *, driver_words: int = DRIVER_WORDS, ties: str = "smallest") -> Merges:
+    """Merge the most frequent pair until the vocabulary has `target` tokens.
+
+    Of equally frequent pairs the smallest is taken, or with ties="first" the one that stands first in the words'
+    own order (frequency then needs `seq`; on the driver only). The corpus is reduced to word counts on the cluster.
+    Up to `driver_words` different words, by their count, the loop runs on those alone on the driver (about 200
+    bytes each); beyond, in rounds on the cluster.
     """
-    got = frequency.orderBy("word").toPandas()
-    words = [([*w, END_OF_WORD] if w != "\n" else ["\n"]) for w in got["word"]]
-    counts = got["n"].tolist()
-    total: dict[tuple[str, str], int] = {}
-    holders: dict[tuple[str, str], set[int]] = {}
+    if ties == "first" or frequency.count() <= driver_words:
+        return _merge_loop(frequency.orderBy("seq" if ties == "first" else "word").select("word", "n").toPandas(), target, ties == "first")
+    return _merge_rounds(frequency, target)
+
+
+def _split(word: str) -> list[str]:
+    return [*word, END_OF_WORD] if word != "\n" else ["\n"]
+
+
+def _merge_loop(got: pd.DataFrame, target: int, first: bool) -> Merges:
+    words, counts = [_split(w) for w in got["word"]], got["n"].tolist()
     out = Merges(vocabulary={s for w in words for s in w})
     out.initial = len(out.vocabulary)
+    index = _PairIndex(words, counts)
+    if out.initial >= target:
+        out.stopped = ALREADY
+    while len(out.vocabulary) < target:
+        pair = index.first_counted() if first else index.best()
+        if pair is None:
+            out.stopped = NO_PAIRS
+            break
+        out.repeated_tokens += pair[0] + pair[1] in out.vocabulary
+        out.pairs.append(pair)
+        out.vocabulary.add(pair[0] + pair[1])
+        index.merge(pair)
+    return out
+
+
+class _PairIndex:
+    """Counts of adjacent pairs over weighted words, and which words may hold each; kept up to date as pairs merge."""
 
-    def add(k: int, sign: int, touched: set) -> None:
-        w = words[k]
-        for p in zip(w, w[1:], strict=False):
-            total[p] = total.get(p, 0) + sign * counts[k]
-            touched.add(p)
+    def __init__(self, words: list[list[str]], counts: list[int]):
+        self.words, self.counts = words, counts
+        self.total: Counter[tuple[str, str]] = Counter()
+        self.held: dict[tuple[str, str], set[int]] = {}
+        self.queue: list[tuple[int, tuple[str, str]]] = []
+        for k in range(len(words)):
+            self._count(k, 1)
+        self.queue = [(-n, p) for p, n in self.total.items()]
+        heapq.heapify(self.queue)
+
+    def _count(self, k: int, sign: int) -> set[tuple[str, str]]:
+        own = list(pairwise(self.words[k]))
+        for p in own:
+            self.total[p] += sign * self.counts[k]
             if sign > 0:
-                holders.setdefault(p, set()).add(k)
+                self.held.setdefault(p, set()).add(k)
+        return set(own)
+
+    def best(self) -> tuple[str, str] | None:
+        """The most frequent pair, of equals the smallest; entries of the queue whose count has changed are skipped."""
+        while self.queue:
+            n, p = self.queue[0]
+            if n < 0 and self.total.get(p) == -n:
+                return p
+            heapq.heappop(self.queue)
+        return None
+
+    def first_counted(self) -> tuple[str, str] | None:
+        """The most frequent pair, of equals the one that a count of the words in order meets first."""
+        most = max(self.total.values(), default=0)
+        if most <= 0:
+            return None
+        tied = [p for p, n in self.total.items() if n == most]
+        place = lambda p: min((k, i) for k in self.held[p] for i, q in enumerate(pairwise(self.words[k])) if q == p)
+        return tied[0] if len(tied) == 1 else min(tied, key=place)
+
+    def merge(self, pair: tuple[str, str]) -> None:
+        changed: set[tuple[str, str]] = set()
+        for k in self.held.pop(pair, ()):
+            merged = joined(self.words[k], pair)
+            if len(merged) == len(self.words[k]):
+                continue
+            changed |= self._count(k, -1)
+            self.words[k] = merged
+            changed |= self._count(k, 1)
+        for p in changed:
+            if self.total[p] > 0:
+                heapq.heappush(self.queue, (-self.total[p], p))
+            else:
+                del self.total[p]
+
+
+def independent(top: list[tuple[int, str, str]]) -> list[tuple[str, str]]:
+    """Pairs of a list (count falling, then the pair) that can merge in one round just as one after the other.
+
+    Merging a pair changes only pairs that share a symbol with it, and what it makes anew is no more frequent than
+    the pair it is made from. So pairs are taken as long as all that are as frequent share no symbol with those
+    before them; a group of equals with a shared symbol ends the round in front of it, or gives its first pair alone.
+    """
+    out: list[tuple[str, str]] = []
+    used: set[str] = set()
+    for _, group in groupby(top, key=lambda x: x[0]):
+        own = [(a, b) for _, a, b in group]
+        symbols_ = [s for p in own for s in set(p)]
+        if len(set(symbols_)) < len(symbols_) or used.intersection(symbols_):
+            return out or own[:1]
+        out += own
+        used.update(symbols_)
+    return out
+
 
-    touched: set[tuple[str, str]] = set()
-    for k in range(len(words)):
-        add(k, 1, touched)
-    heap = [(-n, p) for p, n in total.items()]
-    heapq.heapify(heap)
+def _merge_rounds(frequency: DataFrame, target: int) -> Merges:
+    """The merge loop over a table of words as arrays of symbols; a round counts pairs, takes all that it may, and writes the table anew."""
+    spark, out = frequency.sparkSession, Merges()
+    folder = shared_dir(spark)
+    table = stash(frequency.select("n", symbols("word").alias("s")), folder, "words-0")
+    out.vocabulary = {r.c for r in table.select(F.explode("s").alias("c")).distinct().collect()}  # characters, not words
+    out.initial = len(out.vocabulary)
     if out.initial >= target:
-        out.stopped = "initial_vocab_already_reaches_target"
+        out.stopped = ALREADY
+    k = 0
     while len(out.vocabulary) < target:
-        while heap and total.get(heap[0][1], 0) != -heap[0][0]:
-            heapq.heappop(heap)
-        if not heap or heap[0][0] >= 0:
-            out.stopped = "no_adjacent_symbol_pairs_left"
+        both = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("b"))
+        counts = table.where(F.size("s") > 1).select("n", F.explode(both).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
+        top = [(r.n, r.a, r.b) for r in counts.orderBy(F.desc("n"), "a", "b").limit(ROUND_PAIRS).collect()]
+        if len(top) == ROUND_PAIRS and top[0][0] > top[-1][0]:
+            top = [x for x in top if x[0] > top[-1][0]]  # the last group of equals may be cut
+        if not top:
+            out.stopped = NO_PAIRS
             break
-        pair = heap[0][1]
-        new = pair[0] + pair[1]
-        out.repeated_tokens += new in out.vocabulary
-        out.pairs.append(pair)
-        out.vocabulary.add(new)
-        touched = set()
-        for k in holders.pop(pair, ()):
-            merged = joined(words[k], pair)
-            if len(merged) < len(words[k]):
-                add(k, -1, touched)
-                words[k] = merged
-                add(k, 1, touched)
-        for p in touched:
-            if total.get(p, 0) > 0:
-                heapq.heappush(heap, (-total[p], p))
-            else:
-                total.pop(p, None)
+        chosen = []
+        for pair in independent(top) if top[0][0] > 0 else []:
+            if len(out.vocabulary) >= target:
+                break
+            out.repeated_tokens += pair[0] + pair[1] in out.vocabulary
+            out.pairs.append(pair)
+            out.vocabulary.add(pair[0] + pair[1])
+            chosen.append(pair)
+
+        def merge(batches: Iterator[pd.DataFrame], chosen=tuple(chosen)) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"n": b["n"], "s": [reduce(lambda w, p: joined(w, p) if p[0] in w and p[1] in w else w, chosen, list(s)) for s in b["s"]]})
+
+        k += 1
+        table = stash(table.mapInPandas(merge, "n long, s array<string>"), folder, f"words-{k}")
+        discard(spark, folder, f"words-{k - 1}")
     return out
 
 
+def save_merges(merges: Merges, spark: SparkSession, path: str) -> None:
+    """A learned vocabulary as one JSON file, in any store that Spark writes: end_marker, merges, vocab, stoi."""
+    body = json.dumps({"end_marker": END_OF_WORD, "merges": [list(p) for p in merges.pairs], "vocab": sorted(merges.vocabulary), "stoi": merges.ids}, ensure_ascii=False)
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_merges(spark: SparkSession, path: str) -> Merges:
+    """What `save_merges` wrote, or any file of that form on one line or several."""
+    body = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    if sorted(body["stoi"], key=body["stoi"].get) != sorted(body["vocab"]):
+        raise ValueError("ids don't follow the sorted vocabulary")
+    out = Merges([tuple(p) for p in body["merges"]], set(body["vocab"]))
+    out.initial = sum(len(t) == 1 or t in (body.get("end_marker", END_OF_WORD), "\n") for t in out.vocabulary)
+    return out
+
+
+def training_text(base: DataFrame, chats: DataFrame, required: tuple[str, ...], times: int = 200, text: str = "text") -> DataFrame:
+    """(part, text): base texts, the required symbols so many times, and chats, so that every symbol is in the vocabulary; empty ones left out."""
+    lines = base.sparkSession.range(times).select(F.lit("symbols").alias("part"), F.lit(" ".join(required)).alias("text"))
+    tagged = lambda df, part: df.select(F.lit(part).alias("part"), T.strip(text).alias("text"))
+    return tagged(base, "base").union(lines).union(tagged(chats, "chat")).where("text <> ''")
+
+
+def encode_prompts(prompts: DataFrame, seq: str, merges: Merges, text: str = "text") -> DataFrame:
+    """(seq, ids): prompts with unknown characters as spaces, word by word; a prompt of which nothing is left is [0]."""
+    known = sorted(t for t in merges.vocabulary if len(t) == 1 and not t.isspace())
+    inside = "".join("\\" + c if c in "\\]^-[&" else c for c in known)
+    safe = F.regexp_replace(text, f"[^{inside}]", " ") if known else F.lit("")
+    words = prompts.select(F.col(seq).alias("_s"), F.posexplode(F.split(T.one_line(safe), " ")).alias("p", "word")).where("word <> ''")
+    ids = merges.ids
+    number = F.udf(lambda tokens: [ids[t] for t in tokens if t in ids], "array<int>")
+    coded = encode_words(words, merges).select("word", number("tokens").alias("ids"))
+    whole = words.join(coded, "word").groupBy("_s").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "ids"))), lambda x: x["ids"])).alias("ids"))
+    rows = prompts.select(seq).join(whole, F.col(seq) == F.col("_s"), "left")
+    return rows.select(seq, F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(0))).alias("ids"))
+
+
+def coverage_report(chats: DataFrame, new: Merges, old: Merges, seq: str, instruction: str = "instruction", response: str = "response") -> DataFrame:
+    """One row: examples, those without a part, mean tokens by part, totals of both vocabularies, compression, saved tokens, skipped characters."""
+    empty = lambda c: F.coalesce(T.strip(c), F.lit("")) == ""
+    base = chats.agg(F.count("*").alias("examples"), F.count_if(empty(instruction) | empty(response)).alias("parse_failures"))
+    whole = chats.select(seq, F.concat_ws(" ", instruction, response).alias("text"))
+
+    def total(df: DataFrame, merges: Merges, name: str, skipped: str | None = None) -> DataFrame:
+        c = token_counts(df, seq, merges)
+        return c.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias(name), *([F.coalesce(F.sum("skipped"), F.lit(0)).alias(skipped)] if skipped else []))
+
+    part = lambda c: chats.select(seq, F.col(c).alias("text"))
+    out = base
+    for t in (total(part(instruction), new, "instruction_tokens"), total(part(response), new, "response_tokens"), total(whole, new, "new_total", "new_skipped"), total(whole, old, "old_total", "old_skipped")):
+        out = out.crossJoin(F.broadcast(t))  # one row each
+    mean = lambda c: F.round(F.when(F.col("examples") > 0, F.col(c) / F.col("examples")), 2)
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    saved = F.when(F.col("old_total") > 0, 1 - F.col("new_total") / F.col("old_total")).otherwise(0.0)
+    return out.select("examples", "parse_failures", mean("instruction_tokens").alias("avg_instruction_tokens"), mean("response_tokens").alias("avg_response_tokens"), "new_total", "old_total", F.round(share("old_total", "new_total"), 4).alias("compression"), F.round(saved, 4).alias("saved"), "new_skipped", "old_skipped")
+
+
+def estimated_tokens(df: DataFrame, seq: str, merges: Merges, sample: int, text: str = "text") -> DataFrame:
+    """(words, tokens_per_word, estimated_tokens): the ratio of a sample of texts, carried over to all words.
+
+    The sample is a feature here: the first `sample` texts by a hash of seq. All words are counted.
+    """
+    some = df.orderBy(F.xxhash64(seq), seq).limit(sample)
+    ratio = token_counts(some, seq, merges, text).agg(F.when(F.sum("words") > 0, F.sum("tokens") / F.sum("words")).otherwise(0.0).alias("tokens_per_word"))
+    words = df.agg(F.coalesce(F.sum(T.n_words(text, "space")), F.lit(0)).alias("words"))
+    return words.crossJoin(F.broadcast(ratio)).withColumn("estimated_tokens", F.round(F.col("words") * F.col("tokens_per_word")).cast("long"))
+
+
 def encode_word(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
     """The lowest-ranked adjacent pair merged everywhere, until none is known."""
-    s = [*word, END_OF_WORD] if word != "\n" else ["\n"]
+    s = _split(word)
     while len(s) > 1:
         best = min(zip(s, s[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
         if best not in rank:
@@ -145,7 +332,7 @@ def encode_word(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
 
 def replay_word(word: str, merges: list[tuple[str, str]]) -> list[str]:
     """All merges in the order they were learned; differs from rank order where tokens repeat."""
-    s = [*word, END_OF_WORD] if word != "\n" else ["\n"]
+    s = _split(word)
     for p in merges:
         s = joined(s, p)
     return s

@@ -80,9 +80,13 @@ def _sql_domain(c: str) -> str:
     return f"case when {top} = 0 then 'general' " + " ".join(f"when {s} = {top} then '{dom}'" for dom, s in sums.items()) + " end"
 
 
+#: A character eight times in a row; RE2 has no back-references.
+_SQL_SPAM = "len(list_filter(list_distinct(string_split(text, '')), lambda c: contains(text, repeat(c, 8)))) > 0"
+
+
 def _sql_reason(min_words: int = L.MIN_WORDS, min_unique: float = L.MIN_UNIQUE, max_lines: float = L.MAX_LINE_REPETITION, min_language: float = L.MIN_LANGUAGE) -> str:
     return (
-        rf"case when regexp_matches(text, '(?i)\blorem ipsum\b') then 'lorem_ipsum' when word_count < {min_words} then 'too_short' when round(unique_word_ratio, 4) < {min_unique} then 'low_unique_words'"
+        rf"case when regexp_matches(text, '(?i)\blorem ipsum\b') then 'lorem_ipsum' when {_SQL_SPAM} then 'char_spam' when word_count < {min_words} then 'too_short' when round(unique_word_ratio, 4) < {min_unique} then 'low_unique_words'"
         rf" when round(line_repetition_ratio, 4) > {max_lines} then 'repeated_lines' when round(language_confidence, 4) < {min_language} then 'low_language_confidence' end"
     )
 
@@ -119,14 +123,14 @@ def corpus_reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     return C.stage_counters(g)
 
 
-_REASONS = rf"""select count(*) as input, count(*) filter (r is null) as output, count(*) filter (r = 'lorem_ipsum') as lorem_ipsum, 0::bigint as char_spam, count(*) filter (r = 'too_short') as too_short,
+_REASONS = rf"""select count(*) as input, count(*) filter (r is null) as output, count(*) filter (r = 'lorem_ipsum') as lorem_ipsum, count(*) filter (r = 'char_spam') as char_spam, count(*) filter (r = 'too_short') as too_short,
 count(*) filter (r = 'low_unique_words') as low_unique_words, count(*) filter (r = 'repeated_lines') as repeated_lines, count(*) filter (r = 'low_language_confidence') as low_language_confidence
 from (select {_sql_reason(**STRICT)} as r from ({_SQL_RATIOS}))"""
 
 
 def corpus_domain_tags(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), F.element_at(F.array(*[F.lit(k) for k in ("sql table", "llm model training", "docker api git", "the")]), (F.col("doc_id") % 4 + 1).cast("int"))).alias("text"))
-    return t.select("doc_id", T.corpus_domain("text").alias("domain"))
+    return C.tag_domain(t).select("doc_id", "domain")
 
 
 _DOMAINS = f"select doc_id, {_sql_domain('t')} as domain from (select doc_id, text || ' ' || (['sql table', 'llm model training', 'docker api git', 'the'])[doc_id % 4 + 1] as t from documents)"

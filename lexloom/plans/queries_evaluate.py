@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon as L, text as T
+from ..functions.answers import domain_consistency
 from ..operators import evaluate as E
 from .common import ascii_words, ngrams, one_line, table
 from .queries_pairs import SQL_PAIRS, _pairs
@@ -116,26 +117,93 @@ _OVERLAP = f"select item_id from benchmark where exists (select 1 from (select {
 
 
 def nearest_similarity(spark: SparkSession, d: str) -> DataFrame:
-    out = table(spark, d, "benchmark").select("item_id", "text")
-    corpus = E.lines(table(spark, d, "benchmark"), "item_id").select("key", F.col("item_id").alias("s"))
-    return E.nearest_line(out, corpus, "item_id", "text")
+    """Benchmark items as outputs; the most similar line or paragraph of all documents for each."""
+    return E.nearest_snippet(table(spark, d, "benchmark"), E.snippets(table(spark, d, "documents"), "doc_id"), "item_id", "text")
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of benchmark items as outputs of four models, in turn; what the corpus holds of them is measured."""
+    out = E.lines(table(spark, d, "benchmark"), "item_id").distinct().select("item_id", F.col("key").alias("output"))
+    docs = table(spark, d, "documents")
+    inside = E.paragraph_matches(out, E.paragraphs(docs, "doc_id"), "output").withColumn("paragraph", F.lit(True))
+    equal = E.line_matches(out, E.lines(docs, "doc_id"), "output").withColumn("line", F.lit(True))
+    rows = out.join(inside, ["item_id", "output"], "left").join(equal, ["item_id", "output"], "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    grams = T.ngrams(T.words(F.lower("output"), "unicode"), 4)
+    # an equal line is the nearest there can be; of other outputs nothing is claimed here
+    near = F.when(F.col("line"), 1.0).otherwise(0.0).alias("nearest")
+    return rows.select(F.concat(F.lit("m"), (F.col("item_id") % 4).cast("string")).alias("model"), F.length("output").alias("chars"), T.n_words("output", "unicode").alias("words"), T.repeated_share(grams, 0).alias("repetition"), flag("paragraph"), flag("line"), near, domain_consistency("output", CONSISTENT).alias("consistency"))
+
+
+#: Words of our own that the invented texts are full of, as a domain's keywords.
+CONSISTENT = ("the", "of", "de", "en")
 
 
 def memorisation_risk(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs as outputs: flags by number, repetition measured."""
-    p = _pairs(spark, d).select("source", (F.col("seq") % 5 == 0).alias("paragraph"), (F.col("seq") % 4 == 0).alias("line"), ((F.col("seq") % 10) / 10.0).cast("double").alias("nearest"), T.repeated_share(T.ngrams(T.words(F.lower("response"), "unicode"), 4), 0).alias("repetition"))
-    return E.memorisation_risk(p, "source").select("source", "n", F.round("paragraph_rate", 6).alias("paragraph_rate"), F.round("nearest", 6).alias("nearest"), "risk")
+    return E.memorisation_risk(_samples(spark, d), "model").select("model", "n", F.round("paragraph_rate", 6).alias("paragraph_rate"), F.round("nearest", 6).alias("nearest"), "risk")
+
+
+def memorisation_summary(spark: SparkSession, d: str) -> DataFrame:
+    g = E.memorisation_summary(_samples(spark, d), "model")
+    return g.select("model", "n", *(F.round(c, 6).alias(c) for c in ("avg_chars", "avg_words", "repetition", "paragraph_rate", "line_rate", "nearest", "consistency")), "risk")
+
+
+_SAMPLES = f"""(with o as (select distinct item_id, key as output from {_ALL('benchmark', 'item_id')}), p as (select {_LINE('text')} as p from documents), l as (select distinct key from {_ALL('documents', 'doc_id')}),
+w as (select *, regexp_extract_all(output, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') as w from o),
+g as (select 'm' || (item_id % 4) as model, length(output) as chars, len(w) as words, {ngrams("w", 4)} as g, exists (select 1 from p where contains(p, output)) as paragraph, output in (select key from l) as line, {" + ".join(f"contains(output, '{k}')::int" for k in CONSISTENT)} as hits from w)
+select model, chars, words, case when len(g) > 0 then (len(g) - len(list_distinct(g))) / len(g) else 0 end as repetition, paragraph, line, line::int::double as nearest, hits / {len(CONSISTENT)} as consistency from g)"""
+_TIERS = f"""(select *, case when k >= 4 then 'high' when k >= 2 then 'moderate' else 'low' end as risk from (select *, case when paragraph_rate >= 0.34 then 2 when paragraph_rate > 0 then 1 else 0 end + (line_rate >= 0.34)::int + case when nearest >= 0.9 then 2 when nearest >= 0.8 then 1 else 0 end + (repetition >= 0.2)::int as k
+from (select model, count(*) as n, avg(chars) as avg_chars, avg(words) as avg_words, avg(repetition) as repetition, avg(paragraph::int) as paragraph_rate, avg(line::int) as line_rate, avg(nearest) as nearest, avg(consistency) as consistency from {_SAMPLES} group by 1)))"""
+_RISK = f"select model, n, round(paragraph_rate, 6) as paragraph_rate, round(nearest, 6) as nearest, risk from {_TIERS}"
+_MEANS = f"select model, n, {', '.join(f'round({c}, 6) as {c}' for c in ('avg_chars', 'avg_words', 'repetition', 'paragraph_rate', 'line_rate', 'nearest', 'consistency'))}, risk from {_TIERS}"
+
+
+def signature_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as concepts with their first documents as answers; documents as answers to route."""
+    docs = table(spark, d, "documents")
+    known = E.signatures(docs.select(F.concat("source", F.lit("_"), "lang").alias("concept"), F.col("text").alias("answer"), F.col("doc_id").alias("s")), "s")
+    return E.by_signature(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("answer")), known)
+
+
+_SIGNATURE = f"""with w as (select doc_id as id, source || '_' || lang as concept, {ascii_words('text')} as w from documents), s as (select id, concept, array_to_string(w[1:1], ' ') as one, array_to_string(w[1:5], ' ') as five from w),
+k as (select concept, arg_min(one, id) as one, arg_min(five, id) as five, min(id) as s from s group by 1), f as (select five, arg_min(concept, s) as c5 from k group by 1), o as (select one, min(concept) as c1 from k group by 1 having count(*) = 1)
+select id, coalesce(c5, c1) as predicted from s left join f using (five) left join o using (one)"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs' answers with what was right of them: their first word, and all of it."""
+    s = E.score_answers(_answers(spark, d))
+    same = T.word_key("generated") == T.word_key("reference")
+    first = F.slice(T.words("generated", "ascii"), 1, 1) == F.slice(T.words("reference", "ascii"), 1, 1)
+    return s.select("domain", "bucket", first.alias("concept_correct"), same.alias("routing_correct"), "hallucination", same.alias("exact"), F.col("keyword_recall").alias("keyword_overlap"), "overlap")
 
 
-_RISK = f"""with p as (select source, (seq % 5 = 0)::int as p, (seq % 4 = 0)::int as l, (seq % 10) / 10.0::double as s, {ngrams("w", 4)} as g from (select *, regexp_extract_all(lower(response), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') as w from {SQL_PAIRS})),
-m as (select source, count(*) as n, avg(p) as pr, avg(l) as lr, avg(s) as s, avg(case when len(g) > 0 then (len(g) - len(list_distinct(g))) / len(g) else 0 end) as r from p group by 1),
-k as (select *, case when pr >= 0.34 then 2 when pr > 0 then 1 else 0 end + (lr >= 0.34)::int + case when s >= 0.9 then 2 when s >= 0.8 then 1 else 0 end + (r >= 0.2)::int as k from m)
-select source, n, round(pr, 6) as paragraph_rate, round(s, 6) as nearest, case when k >= 4 then 'high' when k >= 2 then 'moderate' else 'low' end as risk from k"""
+def routing_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = E.routing_summary(_scored(spark, d), "domain", "bucket")
+    rounded = ("concept_accuracy", "routing_accuracy", "concept_confusion_rate", "exact_answer_overlap", "keyword_overlap", "reference_token_overlap", "hallucination_rate")
+    return s.select(F.coalesce("field", F.lit("*")).alias("field"), F.coalesce("value", F.lit("*")).alias("value"), "count", *(F.round(c, 6).alias(c) for c in rounded))
+
+
+_SUMMED = f"""with s as (select domain, bucket, gw[1:1] = rw[1:1] as first, array_to_string(gw, ' ') = array_to_string(rw, ' ') as same, hallucination, keyword_recall, overlap from (select *, {ascii_words('reference')} as rw from {_SCORED.replace('select seq, domain, bucket, gw, matched', 'select seq, domain, bucket, reference, gw, matched')}))
+select case when grouping(domain) = 0 then 'domain' when grouping(bucket) = 0 then 'bucket' else '*' end as field, coalesce(domain, bucket, '*') as value, count(*) as count, round(avg(first::int), 6) as concept_accuracy, round(avg(same::int), 6) as routing_accuracy, round(1 - avg(same::int), 6) as concept_confusion_rate,
+round(avg(same::int), 6) as exact_answer_overlap, round(avg(keyword_recall), 6) as keyword_overlap, round(avg(overlap), 6) as reference_token_overlap, round(avg(hallucination::int), 6) as hallucination_rate from s group by grouping sets ((), (domain), (bucket))"""
+
+
+def routing_compared(spark: SparkSession, d: str) -> DataFrame:
+    """The answers of even conversations against those of odd ones."""
+    s = _scored(spark, d)
+    whole = lambda rows: E.routing_summary(rows, "domain").where("field IS NULL")
+    c = E.compared(whole(s.where("bucket IN ('b0', 'b2', 'b4')")), whole(s.where("bucket IN ('b1', 'b3')")), 0.3, 0.0)
+    return c.select(F.round("routing_accuracy", 6).alias("routing_accuracy"), F.round("confusion_drop", 6).alias("confusion_drop"), "conclusion")
+
+
+_COMPARED = f"""with s as (select bucket, array_to_string(gw, ' ') = array_to_string({ascii_words('reference')}, ' ') as same from {_ANSWERS}), t as (select avg(same::int) as a from s where bucket in ('b0', 'b2', 'b4')), b as (select avg(same::int) as a from s where bucket in ('b1', 'b3'))
+select round(t.a, 6) as routing_accuracy, round((1 - b.a) - (1 - t.a), 6) as confusion_drop, case when t.a <= 0.3 then 'capacity' when (1 - b.a) - (1 - t.a) >= 0 then 'training' else 'inconclusive' end as conclusion from t, b"""
 
 
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as concepts; their first words of six letters on as phrases, the first one primary."""
-    w = F.slice(F.array_distinct(F.filter(T.words("text", "ascii"), lambda x: F.length(x) >= 6)), 1, 3)
+    """Benchmark items as concepts; all their different words of six letters on as phrases, the first one primary."""
+    w = F.array_distinct(F.filter(T.words("text", "ascii"), lambda x: F.length(x) >= 6))
     return table(spark, d, "benchmark").select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("concept"), F.posexplode(w).alias("k", "phrase")).select("concept", "phrase", (F.col("k") == 0).alias("primary"), F.lit(False).alias("anchor"))
 
 
@@ -143,7 +211,7 @@ def idf_weights(spark: SparkSession, d: str) -> DataFrame:
     return E.phrase_weights(_profiles(spark, d)).select("phrase", F.round("weight", 9).alias("weight"))
 
 
-_PHRASES = f"""(select 'c' || item_id as concept, unnest(x) as phrase, generate_subscripts(x, 1) - 1 as k from (select item_id, list_slice(list_transform(list_sort(list_transform(list_distinct(w), lambda v: [lpad(list_position(w, v)::varchar, 6, '0'), v])), lambda v: v[2]), 1, 3) as x
+_PHRASES = f"""(select 'c' || item_id as concept, unnest(x) as phrase, generate_subscripts(x, 1) - 1 as k from (select item_id, list_transform(list_sort(list_transform(list_distinct(w), lambda v: [lpad(list_position(w, v)::varchar, 6, '0'), v])), lambda v: v[2]) as x
 from (select item_id, list_filter({ascii_words('text')}, lambda v: length(v) >= 6) as w from benchmark)))"""
 _IDF_W = f"(select phrase, ln((1 + (select count(distinct concept) from {_PHRASES})) / (1 + count(distinct concept))) + 1.0 as weight from {_PHRASES} group by 1)"
 _IDF = f"select phrase, round(weight, 9) as weight from {_IDF_W}"
@@ -185,9 +253,11 @@ _TOP = f"select expected, predicted, count(*) as n from {_R} where expected <> p
 
 
 def checkpoint_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Sources as checkpoints, documents as their prompt results."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("checkpoint"), (F.col("doc_id") % 3 == 0).alias("repeated"), (F.col("doc_id") % 4 / 4.0).cast("double").alias("topic"), F.size(E.suspicious_words("text")).alias("gibberish"), (F.col("doc_id") % 5 == 0).alias("drift"), (F.col("doc_id") % 2 == 0).alias("chat_prompt"), (F.col("doc_id") % 6 == 0).alias("chat_ok"), F.lit(1.0).alias("val_loss"))
-    s = E.checkpoint_scores(docs)
+    """Sources as checkpoints, documents as their prompt results, measured: repetition, English as the topic, gibberish, drift into other languages."""
+    grams = T.ngrams(T.words("text", "ascii"), 3)
+    docs = table(spark, d, "documents").withColumn("g", grams).withColumn("topic", T.language_confidence("text"))
+    rows = docs.select(F.col("source").alias("checkpoint"), (F.size("g") > F.size(F.array_distinct("g"))).alias("repeated"), "topic", F.size(E.suspicious_words("text")).alias("gibberish"), (F.col("topic") < L.ENGLISH_FROM).alias("drift"), F.contains("text", F.lit("\n")).alias("chat_prompt"), (F.length("text") >= 200).alias("chat_ok"), F.lit(1.0).alias("val_loss"))
+    s = E.checkpoint_scores(rows)
     return s.join(E.recommend(s).withColumn("best", F.lit(True)), "checkpoint", "left").select("checkpoint", "repetitions", "drifts", "chat", F.round("topic", 9).alias("topic"), F.coalesce("best", F.lit(False)).alias("best"), "gibberish")
 
 
@@ -195,21 +265,21 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The largest inner product of every hundredth vector with the others."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return v.crossJoin(F.broadcast(q)).where("id <> query_id").groupBy("query_id").agg(F.max_by("id", F.struct(F.round(dot, 9), -F.col("id"))).alias("nearest"))
+    return E.dots(v, q).where("id <> query_id").groupBy("query_id").agg(F.max_by("id", F.struct(F.round("z", 9), -F.col("id"))).alias("nearest"))
 
 
 _COSINE = """select query_id, arg_max(id, round(s, 9)) as nearest from (select q.vec_id as query_id, e.vec_id as id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) as s from embeddings e, embeddings q where q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) group by 1"""
 
 
 def embedding_attention(spark: SparkSession, d: str) -> DataFrame:
+    """Attention of every hundredth vector: the largest weight, and the first component of the weighted sum."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     w = E.attention(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    return w.groupBy("query_id").agg(F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
+    return w.groupBy("query_id").agg(F.round(F.sum(F.col("weight") * F.get("v", F.lit(0))), 9).alias("first"), F.round(F.max("weight"), 9).alias("largest"))
 
 
-_ATTENTION = """with z as (select q.vec_id as query_id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) / sqrt(64.0) as z from embeddings e, embeddings q where q.vec_id % 100 = 0),
-s as (select query_id, exp(z) as e from z) select query_id, round(sum(e) / sum(e), 6) as total, round(max(e) / sum(e), 6) as largest from s group by 1"""
+_ATTENTION = """with z as (select q.vec_id as query_id, e.embedding[1]::double as v, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) / sqrt(64.0) as z from embeddings e, embeddings q where q.vec_id % 100 = 0),
+s as (select query_id, v, exp(z) as e from z) select query_id, round(sum(e * v) / sum(e), 9) as first, round(max(e) / sum(e), 9) as largest from s group by 1"""
 
 
 def param_count(spark: SparkSession, d: str) -> DataFrame:
@@ -221,6 +291,25 @@ _PARAMS = """with c as (select n_nationkey * 100 + 1000 as v, n_nationkey * 8 +
 select v::bigint as vocab, (v * d + case when learned then 256 * d else 0 end + l * (4 * d * d + 4 * d) + l * (2 * d * f + f + d) + (2 * l + 1) * 2 * d + case when tied then 0 else d * v + v end)::bigint as parameters from c"""
 
 
+def training_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as configurations: memory, batch arithmetic, and the count as people write it."""
+    n = table(spark, d, "nation").select((F.col("n_nationkey").cast("long") * 100_000_000 + 500).alias("parameters"), F.lit(8).cast("long").alias("batch"), (F.col("n_nationkey") % 4 + 1).cast("long").alias("accumulation"), F.lit(256).cast("long").alias("block"), (F.col("n_nationkey").cast("long") * 8 + 64).alias("d"), (F.col("n_nationkey") % 5 + 2).cast("long").alias("layers"))
+    return E.memory_estimate(E.batch_sizes(n)).select("parameters", E.short_count("parameters").alias("short"), "effective_batch", "tokens_per_step", F.round("memory_mb", 6).alias("memory_mb"))
+
+
+_MEMORY = """with c as (select n_nationkey::bigint as k, n_nationkey::bigint * 100000000 + 500 as p, n_nationkey::bigint % 4 + 1 as a, n_nationkey::bigint * 8 + 64 as d, n_nationkey::bigint % 5 + 2 as l from nation)
+select p as parameters, case when p >= 1e9 then printf('%.1fB', p / 1e9) when p >= 1e6 then printf('%.1fM', p / 1e6) when p >= 1e3 then printf('%.1fK', p / 1e3) else p::varchar end as short, 8 * a as effective_batch, 8 * a * 256 as tokens_per_step, round((p * 16 + 8 * 256 * d * 4 * l * 8) / 1048576.0::double, 6) as memory_mb from c"""
+
+
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as timings by their flag: quantity as tokens, tax and one as seconds."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("mode"), F.col("l_quantity").alias("tokens"), (F.col("l_tax") + 1).alias("seconds"), F.col("l_extendedprice").alias("peak_mb"))
+    return E.throughput(li, "mode").select("mode", F.round(F.col("tokens").cast("double"), 2).alias("tokens"), F.round(F.col("tokens_per_second").cast("double"), 6).alias("tokens_per_second"), F.round(F.col("peak_mb").cast("double"), 2).alias("peak_mb"))
+
+
+_THROUGHPUT = "select l_returnflag as mode, round(sum(l_quantity)::double, 2) as tokens, round((sum(l_quantity) / sum(l_tax + 1))::double, 6) as tokens_per_second, round(max(l_extendedprice)::double, 2) as peak_mb from lineitem group by 1"
+
+
 def linear_gradient(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 100000).alias("y"))
     return E.linear_gradient(li, "x", "y", 0.7, 0.1).select(*(F.round(c, 9).alias(c) for c in ("mse", "dw", "db")))
@@ -238,10 +327,12 @@ _VIOLATIONS = """select rule, n from (select 'even_id' as rule, count(*) filter
 
 QUERIES = {f.__name__: f for f in (
     expected_keywords, token_f1, general_score, grouped_summary, heldout_split, train_eval_antijoin, exact_line_match, exact_paragraph_match, benchmark_overlap, nearest_similarity, memorisation_risk, idf_weights, routing_predict,
-    confusion_matrix, top_confusions, checkpoint_rank, cosine_topk, embedding_attention, param_count, linear_gradient, contract_violations,
+    confusion_matrix, top_confusions, checkpoint_rank, cosine_topk, embedding_attention, param_count, linear_gradient, contract_violations, memorisation_summary, signature_predict, routing_summary, routing_compared,
+    training_memory, throughput,
 )}
 ORACLE_SQL = {
     "expected_keywords": _EXPECTED, "token_f1": _TOKEN_F1, "general_score": _GENERAL, "grouped_summary": _SUMMARY, "heldout_split": _HELD, "train_eval_antijoin": _ANTI, "exact_line_match": _LINES, "exact_paragraph_match": _PARAGRAPHS,
     "benchmark_overlap": _OVERLAP, "memorisation_risk": _RISK, "idf_weights": _IDF, "routing_predict": _ROUTE, "confusion_matrix": _CONFUSION, "top_confusions": _TOP, "cosine_topk": _COSINE, "embedding_attention": _ATTENTION,
-    "param_count": _PARAMS, "linear_gradient": _LINEAR, "contract_violations": _VIOLATIONS,
+    "param_count": _PARAMS, "linear_gradient": _LINEAR, "contract_violations": _VIOLATIONS, "memorisation_summary": _MEANS, "signature_predict": _SIGNATURE, "routing_summary": _SUMMED, "routing_compared": _COMPARED,
+    "training_memory": _MEMORY, "throughput": _THROUGHPUT,
 }

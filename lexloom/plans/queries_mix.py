@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import mix as M
-from .common import one_line, table
+from .common import HYPHEN, one_line, table
 from .queries_pairs import SQL_PAIRS, _pairs
 
 _WS = "len(regexp_extract_all(text, '\\S+'))"
@@ -60,11 +60,11 @@ _LAST = "select split, count(*) as n, sum(doc_id)::bigint as ids from (select do
 
 
 def seeded_order(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", M.seeded_key(42, "doc_id").alias("k"))
-    return docs.orderBy("k").limit(50)
+    """Every document with its place in the seeded order."""
+    return M.shuffled(table(spark, d, "documents").select("doc_id"), 42, "doc_id").select("doc_id", "place")
 
 
-_SEEDED = "select doc_id, md5('42|' || doc_id) as k from documents order by k limit 50"
+_SEEDED = "select doc_id, row_number() over (order by md5('42|' || doc_id), doc_id) as place from documents"
 
 
 def group_numbering(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ _REPEAT = "select copy, count(*) as n from (select unnest(range(1, item_id % 3 +
 def no_adjacent_dups(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items, each a few times, spread so that none follows itself; told by the longest run, which must be 1."""
     rows = M.repeat_rows(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item")), F.col("item").cast("long") % 4 + 1)
-    placed = M.spread(rows, "item").withColumn("g", F.lit(0))
+    placed = M.apart(rows, "item").withColumn("g", F.lit(0))
     from ..operators.corpus import longest_equal_run
 
     n = placed.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"))
@@ -160,11 +160,78 @@ def running_word_total(spark: SparkSession, d: str) -> DataFrame:
 
 _TOTAL = f"select doc_id, (sum({_WS}) over (order by doc_id))::bigint as total from documents"
 
+def balanced_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Languages as domains, sources as concepts: two of each give a document to validation, a long and a short one in turn."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    out = M.balanced_tail(docs, "lang", "source", "doc_id", 2, [F.col("n_chars") >= 1000, F.col("n_chars") < 1000])
+    return out.where("last").select("doc_id", "lang", "source")
+
+
+_TAIL_PICKS = """with i as (select lang, source, min(doc_id) as s from documents group by 1, 2), t as (select *, row_number() over (partition by lang order by s) - 1 as t from i),
+r as (select doc_id, d.lang, d.source from documents d join t using (lang, source) where t.t < 2 and ((t.t % 2 = 0 and n_chars >= 1000) or (t.t % 2 = 1 and n_chars < 1000)))
+select min(doc_id) as doc_id, lang, source from r group by 2, 3"""
+
+_PARTS = ("{Topic} helps a team in {place}.", "In {place} people ask what {topic} means.", "A note on {topic} and {place}.")
+
+
+def generated_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as topics, regions as places, templates in turn, until the words reach a target; texts that come twice count once."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.lower("n_name").alias("topic"), F.col("n_regionkey").alias("n_regionkey")).join(F.broadcast(table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.lower("r_name").alias("place"))), "n_regionkey")
+    cells = M.grid(spark, template=_PARTS, cycle=("0", "1")).withColumnRenamed("n", "t")
+    rows = n.crossJoin(F.broadcast(cells)).withColumn("seq", F.col("t") * 25 + F.col("k"))
+    rows = rows.withColumn("text", M.compose(F.col("template"), topic=F.col("topic"), place=F.col("place")))
+    return M.generated_until(rows.select("seq", "text"), "seq", "text", 500, have=20).select("seq", "text")
+
+
+_UP = lambda c: f"upper({c}[1:1]) || {c}[2:]"
+_GENERATED = f"""with c as (select (t - 1) * 50 + (case when c then 25 else 0 end) + n_nationkey as seq, lower(n_name) as topic, lower(r_name) as place, t from nation join region on r_regionkey = n_regionkey, range(1, 4) x(t), (select unnest([false, true]) as c)),
+x as (select seq, case t when 1 then {_UP('topic')} || ' helps a team in ' || place || '.' when 2 then 'In ' || place || ' people ask what ' || topic || ' means.' else 'A note on ' || topic || ' and ' || place || '.' end as text from c),
+u as (select * from x qualify row_number() over (partition by lower(text) order by seq) = 1), w as (select *, len(regexp_extract_all(text, '{HYPHEN}')) as w from u)
+select seq, text from (select *, sum(w) over (order by seq) - w as before from w) where before < 480"""
+
+
+def cycled_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items over and over with a header until their words reach a target; counted by cycle."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    return M.cycled(b, "item_id", "text", 20_000, "space", "=== Book %d ===").groupBy("cycle").agg(F.count("*").alias("blocks"), F.sum(T.n_words("text", "space")).alias("words"))
+
+
+_CYCLED = f"""with b as (select count(*) as n, sum({_WS}) + 4 as w from benchmark) select c as cycle, n + 1 as blocks, w::bigint as words from b, range(1, 10000) x(c) where (c - 1) * w < 20000"""
+
+_KINDS = ("definition", "comparison", "example", "why", "how", "troubleshooting")
+
+
+def composed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as concepts: an answer for each kind of question, every second one a contrast."""
+    n = table(spark, d, "nation")
+    parts = {c: F.concat(F.lit(f"{c.capitalize()} of "), "n_name", F.lit(".")) for c in ("definition", "comparison", "example", "importance", "mechanism", "troubleshooting", "contrast_note")}
+    rows = n.select("n_nationkey", "n_name", *(v.alias(k) for k, v in parts.items())).crossJoin(F.broadcast(M.grid(spark, kind=_KINDS, variant=("plain", "contrast"))))
+    label = spark.createDataFrame([("FRANCE", "la France"), ("CHINA", "Zhongguo")], "key string, label string")
+    out = M.labelled(rows.withColumn("key", F.col("n_name")), "key", label)
+    return out.select("n_nationkey", "kind", "variant", "label", M.composed_answer("kind", "variant").alias("answer"))
+
+
+def _part(name: str) -> str:
+    return f"'{name.capitalize()} of ' || n_name || '.'"
+
+
+_COMPOSED = f"""select n_nationkey, kind, variant, case n_name when 'FRANCE' then 'la France' when 'CHINA' then 'Zhongguo' else replace(n_name, '_', ' ') end as label, {_part('definition')} || case kind when 'definition' then '' when 'comparison' then ' ' || {_part('comparison')} when 'example' then ' ' || {_part('example')}
+when 'why' then ' ' || {_part('importance')} when 'how' then ' ' || {_part('mechanism')} else ' To troubleshoot it, troubleshooting of ' || n_name || '.' end || case when variant = 'contrast' then ' Contrast_note of ' || n_name || '.' else '' end as answer
+from nation, (select unnest({list(_KINDS)}) as kind), (select unnest(['plain', 'contrast']) as variant)"""
+
+
+def topic_rows(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("domain"), F.col("n_name").alias("term"), F.concat(F.lit("a nation numbered "), F.col("n_nationkey").cast("string")).alias("definition"))
+    return M.topic_rows(n, "What is {term}?", "It has customers.")
+
+
+_TOPICS = "select 'What is ' || n_name || '?' as instruction, upper(n_name[1:1]) || lower(n_name[2:]) || ' is a nation numbered ' || n_nationkey || '. It has customers.' as response, n_regionkey::varchar as domain from nation"
+
 QUERIES = {f.__name__: f for f in (
-    prefix_to_target, chat_mix_ratio, domain_word_share, stride_sample, tail_split, hold_out_last, seeded_order, group_numbering, repeat_rows, no_adjacent_dups, next_token_windows, sft_loss_weights, arithmetic_grid,
+    balanced_tail, generated_corpus, cycled_corpus, composed_answers, topic_rows, prefix_to_target, chat_mix_ratio, domain_word_share, stride_sample, tail_split, hold_out_last, seeded_order, group_numbering, repeat_rows, no_adjacent_dups, next_token_windows, sft_loss_weights, arithmetic_grid,
     template_questions, hard_negatives, running_word_total,
 )}
 ORACLE_SQL = {
-    "prefix_to_target": _PREFIX, "chat_mix_ratio": _MIX, "domain_word_share": _SHARE, "stride_sample": _STRIDE, "tail_split": _TAIL, "hold_out_last": _LAST, "seeded_order": _SEEDED, "group_numbering": _NUMBER, "repeat_rows": _REPEAT,
+    "balanced_tail": _TAIL_PICKS, "generated_corpus": _GENERATED, "cycled_corpus": _CYCLED, "composed_answers": _COMPOSED, "topic_rows": _TOPICS, "prefix_to_target": _PREFIX, "chat_mix_ratio": _MIX, "domain_word_share": _SHARE, "stride_sample": _STRIDE, "tail_split": _TAIL, "hold_out_last": _LAST, "seeded_order": _SEEDED, "group_numbering": _NUMBER, "repeat_rows": _REPEAT,
     "no_adjacent_dups": _SPREAD, "next_token_windows": _WINDOWS, "sft_loss_weights": _LOSS, "arithmetic_grid": _GRID, "template_questions": _TEMPLATE, "hard_negatives": _NEGATIVES, "running_word_total": _TOTAL,
 }

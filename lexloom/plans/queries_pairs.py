@@ -152,25 +152,38 @@ select domain, coalesce(case when {_WC('short')} < 12 then 'short' when {_WC('sh
 
 
 def curated_sample(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where(P.is_curated()).withColumn("bucket", F.when(F.col("domain").isin("cybersecurity", "general"), "cybersecurity_general").otherwise(F.col("domain")))
-    return P.take_evenly(p, "bucket", "seq", P.quotas(18, L.CURATED_BUCKETS)).select("bucket", "seq")
+    """Curated pairs at their buckets' quotas; a made-up ending gives some general pairs a technical word."""
+    p = _pairs(spark, d).withColumn("instruction", F.when(F.col("seq") % 2 == 0, F.concat("instruction", F.lit(" tests"))).otherwise(F.col("instruction")))
+    return P.curated(p, "seq", 18).select("bucket", "seq")
 
 
+_TECHNICAL = f"regexp_matches({fold("instruction || ' ' || response")}, '(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(?:{'|'.join(L.TECHNICAL_KEYWORDS)})s?(?:$|[^\\p{{L}}\\p{{N}}\\p{{M}}_])')"
 _CURATED_OK = " and ".join([
     f"{_WC('instruction')} between 4 and 25", f"{_WC('response')} between 20 and 90", *(f"not starts_with({fold(one_line('instruction'))}, '{g}')" for g in L.GENERIC_OPENINGS),
-    "not (len(w) >= 6 and len(g) > len(list_distinct(g)))",
+    "not (len(w) >= 6 and len(g) > len(list_distinct(g)))", f"(domain <> 'general' or {_TECHNICAL})",
 ])
-_CURATED = f"""with p as (select *, regexp_extract_all(lower(response), '\\S+') as w from {SQL_PAIRS}),
+_CURATED = f"""with o as (select * replace (case when seq % 2 = 0 then instruction || ' tests' else instruction end as instruction) from {SQL_PAIRS}), p as (select *, regexp_extract_all(lower(response), '\\S+') as w from o),
 q as (select *, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(list_slice(w, i, i + 2), chr(31))) as g from p),
-c as (select case when domain in ('cybersecurity', 'general') then 'cybersecurity_general' else domain end as bucket, seq from q where {_CURATED_OK}),
-r as (select *, row_number() over (partition by bucket order by seq) - 1 as place, count(*) over (partition by bucket) as n, case when bucket in ('ai', 'databases') then 5 else 4 end as k from c),
-t as (select distinct bucket, round_even(i * ((n - 1) / (k - 1)), 0)::bigint as place from (select distinct bucket, n, k from r where n > k), range(0, 5) x(i) where i < k)
-select bucket, seq from r where n <= k union all select r.bucket, r.seq from r join t using (bucket, place) where r.n > r.k"""
+c as (select case when domain in ('cybersecurity', 'general') then 'cybersecurity_general' else domain end as bucket, domain, seq from q where {_CURATED_OK}),
+n as (select count(*) as n from c where domain = 'cybersecurity'),
+r as (select *, row_number() over (partition by domain order by seq) - 1 as place, count(*) over (partition by domain) as n, case when domain in ('ai', 'databases') then 5 when domain = 'general' then 4 - least(4, (select n from n)) else 4 end as k from c),
+t as (select distinct domain, case when k = 1 then 0 else round_even(i * ((n - 1) / (k - 1)), 0)::bigint end as place from (select distinct domain, n, k from r where n > k and k > 0), range(0, 5) x(i) where i < k)
+select bucket, seq from r where n <= k and k > 0 union all select r.bucket, r.seq from r join t using (domain, place) where r.n > r.k"""
+
+
+def chat_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth conversation as the teacher's, repeated three times."""
+    return P.gated(P.report(_pairs(spark, d), F.col("conv_id") % 5 == 0, 3).withColumn("longest", F.lit(1))).drop("longest")
+
+
+_BLOCK = "'<USER>' || chr(10) || instruction || chr(10) || '<ASSISTANT>' || chr(10) || response || chr(10) || '<END>'"
+_REPORT = f"""with b as (select {fold(_BLOCK)} as k, len(regexp_extract_all({_BLOCK}, '{HYPHEN}')) as w, conv_id % 5 = 0 as t, case when conv_id % 5 = 0 then 3 else 1 end as n from {SQL_PAIRS})
+select sum(n)::bigint as final_examples, sum(n) filter (t)::bigint as teacher_examples, sum(n * w)::bigint as total_words, (sum(n) - count(distinct k))::bigint as duplicate_blocks, round(sum(n) filter (t) / sum(n), 6) as teacher_ratio from b"""
 
 QUERIES = {f.__name__: f for f in (
-    pair_turns, pair_clean_greedy, pair_clean_capped, pair_stats, pair_adapters, chat_format, chat_parse_roundtrip, scaffold_counters, merge_keep_shortest, merge_left_biased, shorten_response, cross_domain_reject, curated_sample,
+    pair_turns, pair_clean_greedy, pair_clean_capped, pair_stats, pair_adapters, chat_format, chat_parse_roundtrip, scaffold_counters, merge_keep_shortest, merge_left_biased, shorten_response, cross_domain_reject, curated_sample, chat_report,
 )}
 ORACLE_SQL = {
     "pair_turns": _TURNS, "pair_clean_greedy": _GREEDY, "pair_clean_capped": _CAPPED, "pair_stats": _STATS, "pair_adapters": _ADAPT, "chat_format": _FORMAT, "chat_parse_roundtrip": _PARSE, "scaffold_counters": _SCAFFOLD,
-    "merge_keep_shortest": _SHORTEST, "merge_left_biased": _BIASED, "shorten_response": _SHORTEN, "cross_domain_reject": _CROSS, "curated_sample": _CURATED,
+    "merge_keep_shortest": _SHORTEST, "merge_left_biased": _BIASED, "shorten_response": _SHORTEN, "cross_domain_reject": _CROSS, "curated_sample": _CURATED, "chat_report": _REPORT,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import tokens as K
 from .common import table
+from .queries_pairs import _pairs
 
 _W = "(select unnest(regexp_extract_all(text, '\\S+')) as word from {})"
 _MIXED = r"\n|[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]"
@@ -19,19 +20,19 @@ _FREQ = f"select word, count(*) as n from {_W.format('documents')} group by 1"
 
 
 def pair_counts_step0(spark: SparkSession, d: str) -> DataFrame:
-    return K.pair_counts(K.word_frequency(table(spark, d, "benchmark")))
+    return K.pair_counts(K.word_frequency(table(spark, d, "documents")))
 
 
-_PAIRS = f"""with f as (select word, count(*) as n from {_W.format('benchmark')} group by 1), s as (select n, list_append(string_split(word, ''), '</w>') as s from f),
+_PAIRS = f"""with f as (select word, count(*) as n from {_W.format('documents')} group by 1), s as (select n, list_append(string_split(word, ''), '</w>') as s from f),
 p as (select n, unnest(list_zip(s[:-2], s[2:])) as p from s) select p[1] as "left", p[2] as "right", sum(n)::bigint as n from p group by 1, 2"""
 
 
 def vocab_by_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    return K.vocabulary_by_first_seen(table(spark, d, "benchmark"), "item_id")
+    return K.vocabulary_by_first_seen(table(spark, d, "documents"), "doc_id")
 
 
-_SEEN = f"""with t as (select item_id, unnest(regexp_extract_all(text, '{_MIXED}')) as token, generate_subscripts(regexp_extract_all(text, '{_MIXED}'), 1) as p from benchmark),
-f as (select token, min(item_id * 100000 + p) as first from t group by 1) select token, (row_number() over (order by first) + 1)::int as id from f union all select '<PAD>', 0 union all select '<UNK>', 1"""
+_SEEN = f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{_MIXED}')) as token, generate_subscripts(regexp_extract_all(text, '{_MIXED}'), 1) as p from documents),
+f as (select token, min(doc_id * 1000000 + p) as first from t group by 1) select token, (row_number() over (order by first) + 1)::int as id from f union all select '<PAD>', 0 union all select '<UNK>', 1"""
 
 
 def vocab_sorted(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ where c <> '' and c not in (select distinct unnest(string_split(text, '')) from
 
 
 def _merges(spark: SparkSession, d: str) -> K.Merges:
-    return K.learn_merges(K.word_frequency(table(spark, d, "benchmark")), 200)
+    return K.learn_merges(K.word_frequency(table(spark, d, "documents")), 400)
 
 
 def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
@@ -86,15 +87,34 @@ _DECODE = f"select count(*) as words, count(*) as same from (select distinct wor
 
 
 def token_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens a word of two vocabularies over the benchmark."""
-    f = K.word_frequency(table(spark, d, "benchmark"))
+    """Tokens a word of two vocabularies over the documents."""
+    docs = table(spark, d, "documents")
+    f = K.word_frequency(docs)
     rows = []
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    for target in (80, 200):
-        c = K.token_counts(docs, "doc_id", K.learn_merges(f, target)).agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
+    for target in (200, 400):
+        c = K.token_counts(docs.select("doc_id", "text"), "doc_id", K.learn_merges(f, target)).agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
         rows.append(c.withColumn("target", F.lit(target)))
     return rows[0].union(rows[1])
 
 
-QUERIES = {f.__name__: f for f in (word_freq, pair_counts_step0, vocab_by_first_seen, vocab_sorted, unk_rate, skipped_chars_top20, bpe_merges, bpe_encode_counts, bpe_decode, token_ratio)}
-ORACLE_SQL = {"word_freq": _FREQ, "pair_counts_step0": _PAIRS, "vocab_by_first_seen": _SEEN, "vocab_sorted": _SORTED, "unk_rate": _UNK, "skipped_chars_top20": _SKIPPED, "bpe_decode": _DECODE}
+def tokenizer_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations' pairs under the vocabulary of documents, against one of single characters."""
+    pairs = _pairs(spark, d).select("seq", "instruction", "response")
+    return K.coverage_report(pairs, _merges(spark, d), K.Merges(vocabulary=_merges(spark, d).vocabulary), "seq")
+
+
+def prompt_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as prompts, by the vocabulary of the documents' characters alone: ids of characters."""
+    chars = {r.token for r in K.vocabulary_sorted(table(spark, d, "documents").select(F.explode(F.split(F.regexp_replace("text", r"(?U)\s", ""), "")).alias("token")).where("token <> ''")).collect()}
+    ids = K.encode_prompts(table(spark, d, "benchmark"), "item_id", K.Merges(vocabulary=chars | {K.END_OF_WORD}))
+    return ids.select("item_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+_PROMPT = """with v as (select token, row_number() over (order by token) - 1 as id from (select '</w>' as token union select distinct unnest(string_split(regexp_replace(text, '\\s', '', 'g'), '')) from documents) where token <> ''),
+w as (select item_id, unnest(regexp_extract_all(text, '\\S+')) as w, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) as p from benchmark),
+c as (select item_id, p, unnest(list_append(string_split(w, ''), '</w>')) as c, generate_subscripts(list_append(string_split(w, ''), '</w>'), 1) as q from w)
+select b.item_id, coalesce(x.ids, '0') as ids from benchmark b left join (select item_id, string_agg(v.id::varchar, ',' order by p, q) as ids from c join v on v.token = c.c group by 1) x using (item_id)"""
+
+
+QUERIES = {f.__name__: f for f in (word_freq, pair_counts_step0, vocab_by_first_seen, vocab_sorted, unk_rate, skipped_chars_top20, bpe_merges, bpe_encode_counts, bpe_decode, token_ratio, tokenizer_coverage, prompt_ids)}
+ORACLE_SQL = {"word_freq": _FREQ, "pair_counts_step0": _PAIRS, "vocab_by_first_seen": _SEEN, "vocab_sorted": _SORTED, "unk_rate": _UNK, "skipped_chars_top20": _SKIPPED, "bpe_decode": _DECODE, "prompt_ids": _PROMPT}

@@ -6,8 +6,9 @@ import html as html_entities
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 
@@ -73,21 +74,29 @@ def pdf_pages(content: bytes) -> str:
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
 
 
-def parse_jsonl(lines: DataFrame, line: str = "line", seq: str = "seq", source: str | Column = "unknown") -> DataFrame:
-    """(seq, text, source, language, domain) of JSON lines; blank ones skipped, malformed ones raise with their place."""
+def parse_jsonl(lines: DataFrame, line: str = "line", seq: str = "seq", source: str | Column = "unknown", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, text, source, language, domain) of JSON lines, and columns to keep; blank ones skipped, malformed ones raise with their place (seq)."""
     rows = lines.where(T.strip(line) != "").withColumn("_r", F.from_json(line, JSONL, {"mode": "PERMISSIVE"}))
     bad = F.col("_r").isNull() | (F.col("_r.text").isNull() & F.col("_r.content").isNull() & ~F.col(line).rlike(r"^\s*\{.*\}\s*$"))
     row = F.when(bad, F.raise_error(F.concat(F.lit("invalid JSON line "), F.col(seq).cast("string"))).cast(JSONL)).otherwise(F.col("_r"))
-    rows = rows.select(seq, row.alias("r"))
+    rows = rows.select(seq, *keep, row.alias("r"))
     fallback = F.lit(source) if isinstance(source, str) else source
     pick = lambda name, default: F.coalesce(F.nullif(F.col(f"r.{name}"), F.lit("")), default)
-    return rows.select(seq, F.coalesce(F.nullif(F.col("r.text"), F.lit("")), F.col("r.content"), F.lit("")).alias("text"), pick("source", fallback).alias("source"), pick("language", F.lit("en")).alias("language"), pick("domain", F.lit("general")).alias("domain"))
+    return rows.select(seq, *keep, F.coalesce(F.nullif(F.col("r.text"), F.lit("")), F.col("r.content"), F.lit("")).alias("text"), pick("source", fallback).alias("source"), pick("language", F.lit("en")).alias("language"), pick("domain", F.lit("general")).alias("domain"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with their file and a running number within it (files are read whole lines at a time)."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
-    return parse_jsonl(lines).join(lines.select("seq", "path"), "seq")
+    """(place, path, line_number, text, source, language, domain) of JSON lines; place is path:line, which errors name too.
+
+    Spark reads large files in blocks side by side. Lines are counted by block first (without parsing), so that a
+    line's number is that of its block's lines before it, and those of the blocks in front.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    blocks = lines.groupBy("path", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(blocks.select("path", "block", "first", before.alias("before")), ["path", "block"]).withColumn("line_number", F.col("before") + F.col("n") - F.col("first") + 1)
+    placed = numbered.withColumn("place", F.concat_ws(":", "path", F.col("line_number").cast("string")))
+    return parse_jsonl(placed, seq="place", keep=("path", "line_number"))
 
 
 def source_tag(path: Column, root: str) -> Column:
@@ -117,22 +126,31 @@ def ingest(spark: SparkSession, root: str) -> DataFrame:
 def assign_shards(df: DataFrame, seq: str, size: str, most: int) -> DataFrame:
     """Adds `shard`: rows in order fill one until the next row would pass `most` bytes (a lone row may).
 
-    The rule is sequential, so only (seq, size) pairs, not texts, pass through one task, in order and as a
-    stream; the result joins back on seq.
+    The rule is sequential: where a shard ends depends on where the one before did. So (seq, size) pairs, 16 bytes
+    a row and no texts, stream through one task in order; there a shard's end is found by halving the batch's
+    running sizes, so that the work is a sum a row and a search a shard. The result joins back on seq.
     """
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, used, held = 0, 0, 0
+        shard, used, held = 0, 0, False  # the open shard, its bytes, and whether it has rows
         for b in batches:
-            out = []
-            for n in b["_size"].tolist():
-                if held and used + n > most:
-                    shard, used, held = shard + 1, 0, 0
-                used, held = used + n, held + 1
-                out.append(shard)
+            sizes = b["_size"].to_numpy(np.int64)
+            total = np.cumsum(sizes)
+            out, at, before = np.empty(len(sizes), np.int64), 0, 0
+            while at < len(sizes):
+                end = int(np.searchsorted(total, most - used + before, "right"))
+                if end <= at and not held:  # a row that is too large by itself
+                    end = at + 1
+                out[at:end] = shard
+                if end > at:
+                    used, held = used + int(total[end - 1]) - before, True
+                    before = int(total[end - 1])
+                if end < len(sizes):
+                    shard, used, held = shard + 1, 0, False
+                at = max(at, end)
             yield pd.DataFrame({"_seq": b["_seq"], "shard": out})
 
-    pairs = df.select(F.col(seq).alias("_seq"), F.col(size).alias("_size")).coalesce(1).sortWithinPartitions("_seq")
+    pairs = df.select(F.col(seq).alias("_seq"), F.col(size).cast("long").alias("_size")).coalesce(1).sortWithinPartitions("_seq")
     filled = pairs.mapInPandas(fill, f"_seq {df.schema[seq].dataType.simpleString()}, shard long")
     return df.join(filled, F.col(seq) == F.col("_seq")).drop("_seq")
 
@@ -157,3 +175,10 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path, ignoreNullFields="false")
     return seen.get["n"]
+
+
+def write_merged(df: DataFrame, path: str, group: str, seq: str, text: str) -> None:
+    """Each group's stripped texts in order below its own folder, an empty line between; no group has to fit in a row or a task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(group, seq, T.strip(text).alias("value")).where("value <> ''")
+    rows.repartitionByRange(parts, group, seq).sortWithinPartitions(group, seq).select("value", group).write.mode("overwrite").option("lineSep", "\n\n").partitionBy(group).text(path)

@@ -101,11 +101,11 @@ def test_chat_parsing(spark):
 
 def test_no_equal_neighbours(spark):
     rows = spark.createDataFrame([(x,) for x, n in (("a", 4), ("b", 3), ("c", 1)) for _ in range(n)], "item string")
-    got = [r.item for r in M.spread(rows, "item").orderBy("place").collect()]
+    got = [r.item for r in M.apart(rows, "item").orderBy("place").collect()]
     assert len(got) == 8 and all(a != b for a, b in zip(got, got[1:], strict=False))
-    assert got == [r.item for r in M.spread(rows, "item").orderBy("place").collect()]
+    assert got == [r.item for r in M.apart(rows, "item").orderBy("place").collect()]
     with pytest.raises(Exception, match="too many copies"):
-        M.spread(spark.createDataFrame([("a",)] * 3 + [("b",)], "item string"), "item").collect()
+        M.apart(spark.createDataFrame([("a",)] * 3 + [("b",)], "item string"), "item").collect()
 
 
 def test_running_total_over_blocks(spark, monkeypatch):
@@ -154,12 +154,6 @@ def test_answers(spark):
     assert list(r.matched) == ["index", "lookup fast"] and not r.repetition and not r.empty and r.length_sane and abs(r.overlap - 2 * 3 / 11) < 1e-9
 
 
-def test_nearest_line_is_the_library_ratio(spark):
-    out = spark.createDataFrame([(1, "The quick brown fox jumps over it")], "k long, text string")
-    lines = [(1, "the quick brown fox jumped over it all"), (2, "something else that is long enough here")]
-    r = E.nearest_line(out, spark.createDataFrame(lines, "s long, key string"), "k", "text").first()
-    assert r.snippet == lines[0][1] and abs(r.similarity - E.similarity("the quick brown fox jumps over it", lines[0][1])) < 1e-12
-
 
 def test_suspicious_words_and_trailing(spark):
     assert one(spark, "sql xkcdwrt looong a1b fine strengths", lambda c: E.suspicious_words(c)) == ["xkcdwrt", "looong", "a1b"]
