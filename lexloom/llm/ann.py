@@ -132,22 +132,23 @@ def once(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(id, v) of vectors that take part: not null or zero, all components finite numbers; null ids don't."""
-    v = F.col(embedding).cast("array<double>")
-    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    low, high = F.array_min("v"), F.array_max("v")  # NaN counts as the largest
+    good = (F.size(F.array_compact("v")) == F.size("v")) & (high < float("inf")) & (low > -float("inf")) & ((low != 0) | (high != 0))
+    return rows.where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
 def _norm(v: Column) -> Column:
     """Length of a vector; squares of large components don't overflow."""
-    top = F.array_max(F.transform(v, F.abs))
-    return top * F.sqrt(F.aggregate(F.transform(v, lambda x: x / top), F.lit(0.0), lambda s, x: s + x * x))
+    top = F.greatest(F.array_max(v), -F.array_min(v))
+    return top * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
 
 
 def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, top: int = TOP, factor: float = FACTOR, trees: int = TREES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's `top` nearest found; queries: ids divisible by `every`.
 
     Every usable row is indexed, together with those of its length: vectors of other lengths have no inner
-    product with it. Repeated ids: each row is a candidate, and an id is listed once, with its best score; a
+    product with it. Rows that repeat id and vector count once. Repeated ids: each vector is a candidate, and an id is listed once, with its best score; a
     query never lists its own id, and a query id of several rows gets the best of all of them. Ties go to the
     smaller id; equal vectors have equal scores. `factor=float("inf")` makes every vector a candidate, which is
     exact. Empty tables, and queries without candidates: no rows.
@@ -160,11 +161,12 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     sizes = sizes.select("d", "n", "largest", shards.alias("shards"), F.greatest(F.ceil(F.col("q") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
     sizes = stash(sizes, shared_dir(spark), "sizes")
     rows = rows.join(F.broadcast(sizes) if sizes.count() <= LENGTHS else sizes, "d")
-    columns = ("d", "shard", "block", "side", "id", "n", "largest", "shards", "v")
+    rows = rows.withColumn("h", F.xxhash64("id", "v"))
+    columns = ("d", "shard", "block", "side", "id", "h", "n", "largest", "shards", "v")
     deal = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
-    own = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    own = rows.withColumn("shard", F.pmod("h", "shards").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
     ask = rows.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("block", deal(1, "blocks")).withColumn("side", F.lit(1))
-    tiles = own.select(*columns).union(ask.select(*columns)).repartition(slots, "d", "shard", "block").sortWithinPartitions("d", "shard", "block", "side", "id")
+    tiles = own.select(*columns).union(ask.select(*columns)).repartition(slots, "d", "shard", "block").sortWithinPartitions("d", "shard", "block", "side", "id", "h")
 
     def tile(n: int, largest: float, shards: int, ids: np.ndarray, v: np.ndarray, qid: np.ndarray, qv: np.ndarray) -> Iterator[dict]:
         want = min(len(ids), max(LEAST, top + 1, int(min(factor * n**POWER / shards, len(ids)))))
@@ -196,7 +198,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
         yield out
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        key, held = None, ([], [], [], [])
+        key, held, last = None, ([], [], [], []), None
 
         def close() -> Iterator[dict]:
             if held[0] and held[2]:
@@ -207,14 +209,18 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
         for b in batches:
             keys = np.stack([b[c].to_numpy() for c in ("d", "shard", "block")], 1).astype(np.int64)
             edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]])) if len(keys) else np.zeros(1, np.int64)
-            ids, side = b["id"].to_numpy(), b["side"].to_numpy()
+            ids, side, h = b["id"].to_numpy(), b["side"].to_numpy(), b["h"].to_numpy()
+            # rows that repeat id and vector stand side by side; one of them will do, and so memory doesn't follow a hot one
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (side[1:] != side[:-1])])[: len(ids)]
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if (k := tuple(keys[s].tolist())) != key:
                     yield from close()
-                    key, facts = k, (b["n"][s].as_py(), b["largest"][s].as_py(), b["shards"][s].as_py())
+                    key, facts, last = k, (b["n"][s].as_py(), b["largest"][s].as_py(), b["shards"][s].as_py()), None
+                new[s] = last != (side[s], ids[s], h[s])
+                last = (side[e - 1], ids[e - 1], h[e - 1])
                 v = b["v"].slice(s, e - s).flatten().to_numpy(zero_copy_only=False).reshape(e - s, k[0])
                 for z in (0, 1):
-                    use = np.flatnonzero(side[s:e] == z)
+                    use = np.flatnonzero((side[s:e] == z) & new[s:e])
                     if len(use):
                         held[2 * z].append(ids[s:e][use])
                         held[2 * z + 1].append(v[use])

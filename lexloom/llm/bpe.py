@@ -29,7 +29,7 @@ from .common import map_batches, remember
 #: The vocabulary file; a parameter everywhere below.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces and neighbour pairs that a worker remembers; a piece longer than LONG is never remembered.
-PIECES, PAIRS, LONG = 100_000, 1 << 18, 64
+PIECES, PAIRS, LONG = 160_000, 1 << 19, 64
 #: Ids that are handed on at once; characters of a text that are cut into pieces at once, and of these the ones in
 #: which a gap is looked for first.
 CHUNK, WINDOW, GAP = 1 << 16, 1 << 16, 1 << 10
@@ -146,7 +146,7 @@ class Transducer:
         """
         if (t := self.tokens.get(raw)) is not None:
             return [t]
-        n, grown, stands = len(raw), self.starts.get, self.stands
+        n, grown, known, stands = len(raw), self.starts.get, self.pairs.get, self.stands
         out: list[int] = []
         places: list[int] = []  # where each token of the walk begins
         turns: list[list[tuple[int, int]]] = []  # what else may begin there, the longest last
@@ -162,7 +162,10 @@ class Transducer:
                         ways.append((e, t))
             while ways:
                 e, t = ways.pop()
-                if e not in dead and (before == -1 or stands(before, t)):
+                if e in dead:
+                    continue
+                fits = before == -1 or known(before << 32 | t)
+                if fits or fits is None and stands(before, t):
                     out.append(t)
                     places.append(at)
                     turns.append(ways)
@@ -264,7 +267,9 @@ class Transducer:
 
 # The pattern of pieces, in the exact form, and one for texts whose characters mean the same to both.
 EXACT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_FAST = re.compile(r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+# Letters first: what the other forms begin with is none, so the order between them doesn't matter.
+_FAST = re.compile(r""" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+_ASCII = re.compile(r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.A)
 
 
 @cache
@@ -285,6 +290,12 @@ def _odd_characters() -> re.Pattern:
     return re.compile("[" + "".join(f"{re.escape(every[a])}-{re.escape(every[b])}" for a, b in zip(first, last, strict=True)) + "]")
 
 
+@cache
+def _odd_latin() -> re.Pattern:
+    """Those of them in the first 256, a class that is searched much faster."""
+    return re.compile("[" + re.escape("".join(c for c in map(chr, range(256)) if _odd_characters().match(c))) + "]")
+
+
 @cache
 def _exact():
     import regex
@@ -293,8 +304,14 @@ def _exact():
 
 
 def _pattern(text: str):
-    odd = not text.isascii() and _odd_characters().search(text) or text.isascii() and not _PLAIN_CONTROL.isdisjoint(text)
-    return _exact() if odd else _FAST
+    if text.isascii():
+        return _ASCII
+    try:
+        text.encode("latin-1")
+        odd = _odd_latin()
+    except UnicodeEncodeError:
+        odd = _odd_characters()
+    return _exact() if odd.search(text) else _FAST
 
 
 def pieces(text: str) -> list[str]:
@@ -323,10 +340,6 @@ def windows(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-#: ASCII characters that one library calls blank and the other doesn't.
-_PLAIN_CONTROL = frozenset("\x1c\x1d\x1e\x1f")
-
-
 @cache
 def transducer(path: str = TOKENIZER) -> Transducer:
     """One of each file in a process; a worker drops it when other stages need the room."""

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, text_id
+from .common import map_batches, shared_dir, stash, text_id
 from .fm_index import FMIndex
 
 #: Consecutive words of a window; an item of fewer words is one window.
@@ -112,7 +112,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
 
     A shard is whatever rows a task reads, in slices of SHARD_WORDS candidate words; its index lives only while
     it is searched, so memory doesn't follow the table. The benchmark travels in blocks of BLOCK_CHARS, measured
-    first; a block's stage passes rows on to the next one, so any size of benchmark works and nothing shuffles.
+    first; a block's stage writes rows for the next one, so any size of benchmark works and nothing shuffles.
     `finish` (schema, function) turns the last stage's columns into others within the same pass.
     Null or empty texts: no words, no spans. Null items, or items without words: no windows. Repeated rows and
     repeated items: each row is judged by itself, an item's id counts once. Empty tables: no rows, or no hits.
@@ -121,13 +121,15 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
     items = text_id(benchmark, item_id, item_text).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    items = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    items = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name.startswith("c_"))
     rows = rows.select("*", F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items"))
+    folder = shared_dir(spark)
     for b in range(blocks):
         own = spark.sparkContext.broadcast([(r.id, r.text) for r in items.where(F.col("block") == b).collect()])
         rows = _stage(rows, own, window, keep_text or b + 1 < blocks, kept, finish if b + 1 == blocks else None)
+        rows = rows if b + 1 == blocks else stash(rows, folder, f"block-{b}")  # a task has one mapping, however many blocks
     return rows
 
 
