@@ -244,3 +244,27 @@ def ngram_ban(logits: str | Column, ids: str | Column, n: int) -> Column:
         return T.let(banned, lambda b: F.transform(col(logits), lambda x, i: F.when(F.array_contains(b, i), float("-inf")).otherwise(x)))
 
     return T.let(col(ids).cast("array<int>"), cut)
+
+
+def postprocessed(c: str | Column, stop: str | None, least: int = 1, most: int = 5) -> Column:
+    """Text in front of the stop sequence, cut to whole sentences."""
+    return whole_sentences(until_stop(c, stop), least, most)
+
+
+def technical(c: str | Column) -> Column:
+    """Whether a technical keyword stands as a word, with or without a plural s."""
+    return F.regexp_like(T.casefold(c), F.lit(rf"(?U)\b(?:{'|'.join(L.TECHNICAL_KEYWORDS)})s?\b"))
+
+
+def teacher_verdict(c: str | Column, expected: tuple[str, ...], band: tuple[int, int] = (4, 70)) -> Column:
+    """An answer that names an expected term, in so many words, and repeats no three of them."""
+    w = T.words(T.casefold(T.one_line(c)), "hyphen")
+    named = _any([contains_term(c, t) for t in expected])
+    loop = T.let(T.ngrams(w, 3), lambda g: F.size(g) > F.size(F.array_distinct(g)))
+    return named & F.size(w).between(*band) & ~(loop & (F.size(w) >= 6))
+
+
+def chat_verdict(c: str | Column, raw_starts: tuple[str, ...], raw_phrases: tuple[str, ...], end: str = L.END) -> Column:
+    """A generated turn that stays within its bounds, with nothing of another turn or raw text behind the end marker."""
+    head, tail = F.substring_index(col(c), end, 1), F.when(F.contains(col(c), F.lit(end)), F.substr(col(c), F.locate(end, col(c)) + len(end))).otherwise("")
+    return boundary_ok(head, raw_starts) & clean_after_end(tail, raw_phrases)

@@ -61,3 +61,18 @@ def preview(text: str | Column, size: int = 260) -> Column:
     """On one line, cut to a size with dots."""
     c = one_line(text)
     return F.when(F.length(c) <= size, c).otherwise(F.concat(F.substring(c, 1, size - 3), F.lit("...")))
+
+
+def load(rows, text: str = "text", instruction: str = "instruction", response: str = "response"):
+    """DataFrame with instruction, response and text: rows with both parts get the missing text, rows with tagged text alone the parts.
+
+    Rows that have neither are left out; columns that are missing count as null.
+    """
+    have = set(rows.columns)
+    get = lambda c: F.nullif(strip(c), F.lit("")) if c in have else F.lit(None).cast("string")
+    told = rows.withColumn("_p", parse(text) if text in have else F.lit(None).cast("struct<instruction:string,response:string>"))
+    both = get(instruction).isNotNull() & get(response).isNotNull()
+    i = F.when(both, get(instruction)).otherwise(F.col("_p.instruction"))
+    r = F.when(both, get(response)).otherwise(F.col("_p.response"))
+    out = told.withColumn("_i", i).withColumn("_r", r).withColumn("_t", F.coalesce(get(text), format_lines("_i", "_r"))).drop(*(have & {text, instruction, response}), "_p")
+    return out.where("_i IS NOT NULL AND _r IS NOT NULL").withColumnsRenamed({"_i": "instruction", "_r": "response", "_t": "text"})

@@ -121,6 +121,21 @@ def longest_run(c: str | Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(col(c), F.lit(r"(?s)(.)\1*"), F.lit(0)), lambda x: F.length(x))), F.lit(0))
 
 
+def character_repetition(c: str | Column) -> Column:
+    """The longest run of one character over all characters; 0 for none."""
+    return F.when(F.length(col(c)) > 0, longest_run(c) / F.length(col(c))).otherwise(0.0)
+
+
+def char_count(c: str | Column) -> Column:
+    """Characters of the stripped text."""
+    return F.length(strip(c))
+
+
+def characters(c: str | Column) -> Column:
+    """Array of single characters."""
+    return F.filter(F.split(col(c), ""), lambda x: x != "")
+
+
 def ngrams(array: Column, n: int) -> Column:
     """Array of n-grams, each joined by a character no word holds."""
 

@@ -257,6 +257,42 @@ def token_windows(ids: str | Column, size: int, stride: int) -> Column:
     return T.let(T.col(ids), cut)
 
 
+def random_windows(df: DataFrame, seq: str, ids: str, size: int, count: int, seed: int = 42) -> DataFrame:
+    """(seq, k, x, y): `count` windows of each row's ids at starts that look random, the same on any cluster; none for shorter rows."""
+    last = F.size(ids) - size - 1
+    rows = df.where(last >= 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(seq).cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long"), last + 1).cast("int")
+    return rows.withColumn("_s", start).select(seq, "k", F.slice(ids, F.col("_s") + 1, size).alias("x"), F.slice(ids, F.col("_s") + 2, size).alias("y"))
+
+
+def contrast_cycled(df: DataFrame, seq: str, comparison: Column, answer: str, contrasts: tuple[str, ...]) -> DataFrame:
+    """Adds `cycled`: comparison questions take the next contrast answer in turn, others keep their own."""
+    rows = running_total(df.withColumn("_c", comparison.cast("int")), seq, "_c", "_n")
+    turn = F.get(F.array(*map(F.lit, contrasts)), F.pmod(F.col("_n") - 1, F.lit(len(contrasts))).cast("int"))
+    return rows.withColumn("cycled", F.when(F.col("_c") == 1, turn).otherwise(F.col(answer))).drop("_c", "_n")
+
+
+def sampled(df: DataFrame, key: str, want: int, seed: int = 42) -> DataFrame:
+    """`want` rows that look random, the same on any cluster: a sampling operator."""
+    return df.withColumn("_k", seeded_key(seed, key)).orderBy("_k", key).limit(want).drop("_k")
+
+
+def paraphrases(concepts: DataFrame, templates: DataFrame, most: int = 10) -> DataFrame:
+    """Every concept with every template (t, template), each different question once, the first `most` by template."""
+    rows = template_rows(concepts, templates)
+    first = rows.groupBy("concept", "instruction").agg(F.min("t").alias("t"))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("concept").orderBy("t"))).where(F.col("n") <= most)
+
+
+def with_generated(existing: DataFrame, generated: DataFrame, seq: str, text: str = "text") -> DataFrame:
+    """Existing blocks as they are, and generated ones whose folded text is new, the first of each; `generated` tells which."""
+    fold = T.casefold(text)
+    new = generated.withColumn("_f", fold).join(existing.select(fold.alias("_f")).distinct(), "_f", "left_anti")
+    first = new.groupBy("_f").agg(F.min(seq).alias(seq))
+    kept = new.join(first, ["_f", seq], "left_semi").drop("_f")
+    return existing.withColumn("generated", F.lit(False)).unionByName(kept.withColumn("generated", F.lit(True)))
+
+
 def find_slice(array: Column, needle: list[int]) -> Column:
     """The first place (from 0) where a fixed sequence stands in an array; null if nowhere."""
     target = F.array(*map(F.lit, needle))

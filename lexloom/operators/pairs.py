@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chat, lexicon as L, text as T
+from ..functions.answers import technical
 from ..shared import shared_dir, stash
 from .mix import within
 
@@ -162,9 +163,7 @@ def is_curated(instruction: str = "instruction", response: str = "response", dom
     generic = F.lit(False)
     for p in L.GENERIC_OPENINGS:
         generic = generic | low.startswith(p)
-    both = T.casefold(F.concat_ws(" ", instruction, response))
-    technical = F.regexp_like(both, F.lit(rf"(?U)\b(?:{'|'.join(L.TECHNICAL_KEYWORDS)})s?\b"))
-    generic = generic | ((F.col(domain) == "general") & ~technical)
+    generic = generic | ((F.col(domain) == "general") & ~technical(F.concat_ws(" ", instruction, response)))
     # a phrase of four words that comes twice holds one of three that does
     grams = T.let(T.ngrams(T.words(response, "lower_space"), 3), lambda g: F.size(g) > F.size(F.array_distinct(g)))
     long_enough = T.n_words(response, "space") >= 6
@@ -197,3 +196,41 @@ def gated(report_: DataFrame, least_teacher: float = 0.3, most_run: int = 1, run
     bad_run = F.raise_error(F.lit("equal blocks follow each other")).cast("boolean")
     bad_share = F.raise_error(F.format_string("teacher ratio %.6f is below %.2f", F.col("teacher_ratio"), F.lit(least_teacher))).cast("boolean")
     return report_.where(F.when(F.col(run) > most_run, bad_run).when(F.col("teacher_ratio") < least_teacher, bad_share).otherwise(True))
+
+
+def in_band(df: DataFrame, least: int = 10, most: int | None = 300, response: str = "response") -> DataFrame:
+    """Pairs whose answers have so many words."""
+    n = T.n_words(response, "hyphen")
+    return df.where(n >= least) if most is None else df.where(n.between(least, most))
+
+
+def band_counters(df: DataFrame, least: int = 10, most: int = 300, response: str = "response") -> DataFrame:
+    """One row: pairs, those with too short and too long answers, and the rest."""
+    n = T.n_words(response, "hyphen")
+    return df.agg(F.count("*").alias("input"), F.count_if(n < least).alias("too_short"), F.count_if(n > most).alias("too_long"), F.count_if(n.between(least, most)).alias("kept"))
+
+
+def boost_reason(domain: str | Column, response: str | Column, signatures: dict[str, tuple[str, ...]], band: tuple[int, int] = L.SHORT_WORDS) -> Column:
+    """Why an added row can't stay: its length, more than one sentence, another domain's terms; null when it can."""
+    n = T.n_words(response, "hyphen")
+    other = cross_domain(T.col(domain), response, signatures)
+    return F.when(~n.between(*band), "length").when(T.sentence_count(response) > 1, "multisentence").when(other.isNotNull(), F.concat(F.lit("cross_"), other))
+
+
+def without_held_out(df: DataFrame, split: str = "split") -> DataFrame:
+    """The rows as they are; a held-out one among them raises when it is read."""
+    bad = F.raise_error(F.lit("a held-out row in training data")).cast("boolean")
+    return df.where(F.when(F.col(split).isin("held_out", "eval", "test"), bad).otherwise(True))
+
+
+def require_unique(df: DataFrame, key: str | Column) -> DataFrame:
+    """The rows as they are; a key that comes twice raises, with the key, when they are read."""
+    twice = df.groupBy(T.col(key).alias("_k")).agg(F.count("*").alias("_c")).where("_c > 1").agg(F.min("_k").alias("_twice"))
+    bad = F.raise_error(F.concat(F.lit("comes more than once: "), F.col("_twice").cast("string"))).cast("boolean")
+    return df.crossJoin(F.broadcast(twice)).where(F.when(F.col("_twice").isNotNull(), bad).otherwise(True)).drop("_twice")
+
+
+def require_length(df: DataFrame, column: str, band: tuple[int, int]) -> DataFrame:
+    """The rows as they are; one whose words are outside the band raises, with its text, when it is read."""
+    bad = F.raise_error(F.concat(F.lit("words outside the band: "), F.col(column))).cast("boolean")
+    return df.where(F.when(T.n_words(column, "hyphen").between(*band), True).otherwise(bad))

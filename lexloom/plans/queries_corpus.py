@@ -179,13 +179,13 @@ _TRIGRAM = rf"select doc_id, len(g) > len(list_distinct(g)) as repeats from (sel
 
 
 def longest_character_run(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.longest_run("text").alias("longest"))
+    return table(spark, d, "documents").select("doc_id", T.longest_run("text").alias("longest"), F.round(T.character_repetition("text"), 9).alias("share"), T.char_count("text").alias("characters"))
 
 
 _CHAR_RUN = """with c as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from documents where length(text) > 0),
 n as (select doc_id, i, case when c = lag(c) over (partition by doc_id order by i) then 0 else 1 end as new from c),
 r as (select doc_id, sum(new) over (partition by doc_id order by i) as run from n)
-select doc_id, max(n)::int as longest from (select doc_id, run, count(*) as n from r group by 1, 2) group by 1"""
+select doc_id, longest, round(longest / length(text), 9) as share, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::int as characters from (select doc_id, max(n)::int as longest from (select doc_id, run, count(*) as n from r group by 1, 2) group by 1) join documents using (doc_id)"""
 
 
 def line_dup_report(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import mix as M
-from .common import HYPHEN, one_line, table
+from .common import HYPHEN, fold, one_line, table
 from .queries_pairs import SQL_PAIRS, _pairs
 
 _WS = "len(regexp_extract_all(text, '\\S+'))"
@@ -227,11 +227,43 @@ def topic_rows(spark: SparkSession, d: str) -> DataFrame:
 
 _TOPICS = "select 'What is ' || n_name || '?' as instruction, upper(n_name[1:1]) || lower(n_name[2:]) || ' is a nation numbered ' || n_nationkey || '. It has customers.' as response, n_regionkey::varchar as domain from nation"
 
+
+def random_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of documents as vocabulary ids of their characters' code points, at starts that look random."""
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    rows = M.random_windows(table(spark, d, "documents").select("doc_id", ids.alias("ids")), "doc_id", "ids", 16, 2)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("doc_id", "k", text("x").alias("x"), text("y").alias("y"))
+
+
+_RANDOM = """with c as (select doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) as ids from documents), w as (select doc_id, ids, k, (('0x' || substr(md5('42|' || doc_id || '|' || k), 1, 8))::bigint % (len(ids) - 16))::int as s from c, range(0, 2) x(k) where len(ids) >= 17)
+select doc_id, k::int as k, array_to_string(ids[s + 1:s + 16], ',') as x, array_to_string(ids[s + 2:s + 17], ',') as y from w"""
+
+
+def contrast_cycled(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as questions; those with a comma count as comparisons."""
+    docs = table(spark, d, "documents").select("doc_id", F.contains("text", F.lit(",")).alias("c"), F.lit("own").alias("own"))
+    return M.contrast_cycled(docs, "doc_id", F.col("c"), "own", ("first", "second", "third")).select("doc_id", "cycled")
+
+
+_CONTRAST = "select doc_id, case when c then (['first', 'second', 'third'])[(n - 1) % 3 + 1] else 'own' end as cycled from (select doc_id, contains(text, ',') as c, sum(contains(text, ',')::int) over (order by doc_id)::bigint as n from documents)"
+
+
+def with_generated(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of benchmark items as existing blocks, of documents as generated ones."""
+    lines = lambda t, i: table(spark, d, t).select(F.col(i).alias("i"), F.posexplode(F.split("text", "\n")).alias("p", "text")).select((F.col("i") * 1000 + F.col("p")).alias("seq"), "text")
+    return M.with_generated(lines("benchmark", "item_id"), lines("documents", "doc_id"), "seq").groupBy("generated").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
+
+
+_L = lambda t, i: f"(select {i} * 1000 + generate_subscripts(string_split(text, chr(10)), 1) - 1 as seq, unnest(string_split(text, chr(10))) as text from {t})"
+_WITH = f"""with e as (select text, {fold('text')} as f from {_L('benchmark', 'item_id')}), g as (select seq, text, {fold('text')} as f from {_L('documents', 'doc_id')}), n as (select * from g where f not in (select f from e) qualify row_number() over (partition by f order by seq) = 1)
+select false as generated, count(*) as n, count(distinct text) as texts from e union all select true, count(*), count(distinct text) from n"""
+
 QUERIES = {f.__name__: f for f in (
-    balanced_tail, generated_corpus, cycled_corpus, composed_answers, topic_rows, prefix_to_target, chat_mix_ratio, domain_word_share, stride_sample, tail_split, hold_out_last, seeded_order, group_numbering, repeat_rows, no_adjacent_dups, next_token_windows, sft_loss_weights, arithmetic_grid,
+    random_windows, contrast_cycled, with_generated, balanced_tail, generated_corpus, cycled_corpus, composed_answers, topic_rows, prefix_to_target, chat_mix_ratio, domain_word_share, stride_sample, tail_split, hold_out_last, seeded_order, group_numbering, repeat_rows, no_adjacent_dups, next_token_windows, sft_loss_weights, arithmetic_grid,
     template_questions, hard_negatives, running_word_total,
 )}
 ORACLE_SQL = {
-    "balanced_tail": _TAIL_PICKS, "generated_corpus": _GENERATED, "cycled_corpus": _CYCLED, "composed_answers": _COMPOSED, "topic_rows": _TOPICS, "prefix_to_target": _PREFIX, "chat_mix_ratio": _MIX, "domain_word_share": _SHARE, "stride_sample": _STRIDE, "tail_split": _TAIL, "hold_out_last": _LAST, "seeded_order": _SEEDED, "group_numbering": _NUMBER, "repeat_rows": _REPEAT,
+    "random_windows": _RANDOM, "contrast_cycled": _CONTRAST, "with_generated": _WITH, "balanced_tail": _TAIL_PICKS, "generated_corpus": _GENERATED, "cycled_corpus": _CYCLED, "composed_answers": _COMPOSED, "topic_rows": _TOPICS, "prefix_to_target": _PREFIX, "chat_mix_ratio": _MIX, "domain_word_share": _SHARE, "stride_sample": _STRIDE, "tail_split": _TAIL, "hold_out_last": _LAST, "seeded_order": _SEEDED, "group_numbering": _NUMBER, "repeat_rows": _REPEAT,
     "no_adjacent_dups": _SPREAD, "next_token_windows": _WINDOWS, "sft_loss_weights": _LOSS, "arithmetic_grid": _GRID, "template_questions": _TEMPLATE, "hard_negatives": _NEGATIVES, "running_word_total": _TOTAL,
 }

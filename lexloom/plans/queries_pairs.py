@@ -180,10 +180,29 @@ _BLOCK = "'<USER>' || chr(10) || instruction || chr(10) || '<ASSISTANT>' || chr(
 _REPORT = f"""with b as (select {fold(_BLOCK)} as k, len(regexp_extract_all({_BLOCK}, '{HYPHEN}')) as w, conv_id % 5 = 0 as t, case when conv_id % 5 = 0 then 3 else 1 end as n from {SQL_PAIRS})
 select sum(n)::bigint as final_examples, sum(n) filter (t)::bigint as teacher_examples, sum(n * w)::bigint as total_words, (sum(n) - count(distinct k))::bigint as duplicate_blocks, round(sum(n) filter (t) / sum(n), 6) as teacher_ratio from b"""
 
+
+def band_counters(spark: SparkSession, d: str) -> DataFrame:
+    return P.band_counters(_pairs(spark, d), 20, 60)
+
+
+_BAND = f"select count(*) as input, count(*) filter (w < 20) as too_short, count(*) filter (w > 60) as too_long, count(*) filter (w between 20 and 60) as kept from (select {_WC('response')} as w from {SQL_PAIRS})"
+
+
+def boost_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """First sentences of every third answer, whole ones of the others."""
+    short = F.when(F.col("seq") % 3 == 0, F.element_at(T.sentences(T.one_line("response")), 1)).otherwise(T.one_line("response"))
+    p = _pairs(spark, d).withColumn("short", F.coalesce(short, F.lit("")))
+    return p.groupBy(F.coalesce(P.boost_reason("domain", "short", SIGNATURES), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+_BOOST = f"""with s as (select domain, coalesce(case when seq % 3 = 0 then ({_SENT})[1] else {one_line('response')} end, '') as short from {SQL_PAIRS}),
+r as (select coalesce(case when {_WC('short')} not between 12 and 35 then 'length' when len(list_filter(regexp_split_to_array(short, '[.!?]+'), lambda x: {strip('x')} <> '')) > 1 then 'multisentence' end, 'cross_' || {_OTHER}, 'kept') as reason from s)
+select reason, count(*) as n from r group by 1"""
+
 QUERIES = {f.__name__: f for f in (
-    pair_turns, pair_clean_greedy, pair_clean_capped, pair_stats, pair_adapters, chat_format, chat_parse_roundtrip, scaffold_counters, merge_keep_shortest, merge_left_biased, shorten_response, cross_domain_reject, curated_sample, chat_report,
+    pair_turns, pair_clean_greedy, pair_clean_capped, pair_stats, pair_adapters, chat_format, chat_parse_roundtrip, scaffold_counters, merge_keep_shortest, merge_left_biased, shorten_response, cross_domain_reject, curated_sample, chat_report, band_counters, boost_reasons,
 )}
 ORACLE_SQL = {
     "pair_turns": _TURNS, "pair_clean_greedy": _GREEDY, "pair_clean_capped": _CAPPED, "pair_stats": _STATS, "pair_adapters": _ADAPT, "chat_format": _FORMAT, "chat_parse_roundtrip": _PARSE, "scaffold_counters": _SCAFFOLD,
-    "merge_keep_shortest": _SHORTEST, "merge_left_biased": _BIASED, "shorten_response": _SHORTEN, "cross_domain_reject": _CROSS, "curated_sample": _CURATED, "chat_report": _REPORT,
+    "merge_keep_shortest": _SHORTEST, "merge_left_biased": _BIASED, "shorten_response": _SHORTEN, "cross_domain_reject": _CROSS, "curated_sample": _CURATED, "chat_report": _REPORT, "band_counters": _BAND, "boost_reasons": _BOOST,
 }

@@ -60,3 +60,19 @@ def decide(routing: float, hallucination: float, prompts_pass: bool, good: float
 def champion(candidates: DataFrame, incumbent: float, score: str = "routing") -> DataFrame:
     """The best candidate, if it beats the incumbent; else nothing."""
     return candidates.where(F.col(score) > incumbent).orderBy(F.desc(score), candidates.columns[0]).limit(1)
+
+
+def checkpoint_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(checkpoint, step, train_loss, val_loss) from JSON files of metrics, one a checkpoint, named by their folders; what is missing is null."""
+    rows = spark.read.schema("step long, train_loss double, val_loss double").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.select(name.alias("checkpoint"), "step", "train_loss", "val_loss")
+
+
+def write_latest(spark: SparkSession, runs: str, path: str) -> str:
+    """The latest value of every archived metric as one Markdown file; gives its text."""
+    latest = spark.read.parquet(runs).groupBy("metric").agg(F.max_by("value", F.struct("at", "run")).alias("value"), F.max_by("run", F.struct("at", "run")).alias("run")).orderBy("metric")
+    text = markdown(latest, "Latest")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(text, encoding="utf-8")
+    return text

@@ -345,3 +345,57 @@ def test_report_gates(spark):
         P.gated(P.report(pairs, F.col("teacher"), 1).withColumn("longest", F.lit(1)), 0.5).collect()
     with pytest.raises(Exception, match="follow each other"):
         P.gated(good.withColumn("longest", F.lit(2))).collect()
+
+
+# -- guards and small rules
+
+
+def test_guards_raise(spark):
+    rows = spark.createDataFrame([(1, "a b c", "train"), (2, "a", "train")], "seq long, text string, split string")
+    assert P.without_held_out(rows).count() == 2 and P.require_unique(rows, "seq").count() == 2 and P.require_length(rows, "text", (1, 3)).count() == 2
+    for bad, what in ((P.without_held_out(rows.withColumn("split", F.lit("held_out"))), "held-out"), (P.require_unique(rows, "split"), "more than once: train"), (P.require_length(rows, "text", (2, 3)), "outside the band: a")):
+        with pytest.raises(Exception, match=what):
+            bad.collect()
+    assert P.require_unique(rows.limit(0), "seq").count() == 0
+
+
+def test_chats_are_loaded_with_their_text(spark):
+    rows = [(1, "q", "a", None), (2, None, None, "<USER> hi <ASSISTANT> fine <END>"), (3, "q", "", "no markers"), (4, "x", "y", "own text")]
+    from lexloom.functions import chat
+
+    got = {r.seq: (r.instruction, r.response, r.text) for r in chat.load(spark.createDataFrame(rows, "seq long, instruction string, response string, text string")).collect()}
+    assert got == {1: ("q", "a", "<USER>\nq\n<ASSISTANT>\na\n<END>"), 2: ("hi", "fine", rows[1][3]), 4: ("x", "y", "own text")}
+    assert chat.load(spark.createDataFrame([("<USER> a <ASSISTANT> b",)], "text string")).first().response == "b"
+
+
+def test_suites_samples_and_paraphrases(spark):
+    res = spark.createDataFrame([("m", True), ("m", None), ("n", True)], "model string, passes boolean")
+    assert {r.model: (r.prompts, r.passed, r.suite_passes) for r in E.suite_passes(res, "passes", "model").collect()} == {"m": (2, 1, False), "n": (1, 1, True)}
+    assert not E.suite_passes(res.limit(0)).first().suite_passes
+    df = spark.range(100).withColumnRenamed("id", "seq")
+    some = [r.seq for r in M.sampled(df, "seq", 7).collect()]
+    assert len(set(some)) == 7 and some == [r.seq for r in M.sampled(df.repartition(5), "seq", 7).collect()]
+    t = spark.createDataFrame([(0, "What is {}?"), (1, "What is {}?"), (2, "Why {}?"), (3, "How {}?")], "t int, template string")
+    assert sorted(r.instruction for r in M.paraphrases(spark.createDataFrame([("x",)], "concept string"), t, 2).collect()) == ["What is x?", "Why x?"]
+    got = E.parameters_checked(spark.createDataFrame([(110, 100), (5, 0)], "parameters long, actual long").coalesce(1)).collect()
+    assert [(r.difference, r.error) for r in got] == [(10, 0.1), (5, None)]
+
+
+def test_verdicts_of_answers(spark):
+    assert one(spark, "An index helps the table. And more", lambda c: A.teacher_verdict(c, ("index",))) and not one(spark, "index index index index index index index", lambda c: A.teacher_verdict(c, ("index",)))
+    assert one(spark, "fine answer <END>", lambda c: A.chat_verdict(c, ("scene",), ("thou",))) and not one(spark, "fine <END> <USER> x", lambda c: A.chat_verdict(c, ("scene",), ("thou",)))
+    assert one(spark, "One. Two. Three <END> x", lambda c: A.postprocessed(c, "<END>", 1, 2)) == "One. Two." and one(spark, "many Tokens", A.technical) and not one(spark, "plain", A.technical)
+    assert one(spark, "aab", T.characters) == ["a", "a", "b"]
+
+
+def test_checkpoint_files_and_latest(spark, tmp_path):
+    from lexloom.sources import reports
+
+    for k in (1, 2):
+        (tmp_path / f"m/step-{k}").mkdir(parents=True)
+        (tmp_path / f"m/step-{k}/metrics.json").write_text(json.dumps({"step": k, "val_loss": 1.5 / k}, indent=1))
+    assert sorted((r.checkpoint, r.step, r.train_loss, r.val_loss) for r in reports.checkpoint_metadata(spark, str(tmp_path / "m")).collect()) == [("step-1", 1, None, 1.5), ("step-2", 2, None, 0.75)]
+    reports.archive_run(spark, str(tmp_path / "runs"), "r1", {"a": 1.0, "b": 2.0})
+    reports.archive_run(spark, str(tmp_path / "runs"), "r2", {"a": 3.0})
+    text = reports.write_latest(spark, str(tmp_path / "runs"), str(tmp_path / "out/latest.md"))
+    assert "| a | 3.0000 | r2 |" in text and "| b | 2.0000 | r1 |" in text and (tmp_path / "out/latest.md").read_text() == text
