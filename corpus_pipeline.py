@@ -2,7 +2,9 @@
 
 STAGES: (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes
 as Parquet into the shared folder and reads again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, whatever others a table has. An empty table passes through every stage; a null text counts as
+an empty one, stays null, and only the quality classifier may drop it; rows of a null id, and rows that repeat an id
+or a text, are each treated by themselves, but where a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -15,17 +17,23 @@ from lexloom.llm import bpe, decontaminate, ngram_join, quality, secrets
 from lexloom.llm.common import shared_dir, stash
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier rejects go. It learns from the labels outside its held-out fold."""
+    """Rows that the quality classifier rejects go; it learns from the labels outside its held-out fold.
+
+    Without labels, or with one kind of them, every row gets the labels' mean (0.5 without any) as its score.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the row with the smallest id stays; texts without words, which link with nothing, stay."""
+    """Of each group of linked texts the row with the smallest id stays, with rows that repeat this id.
+
+    Texts without words link with nothing and stay, as do rows of a null id.
+    """
     return ngram_join.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut from the texts; clean rows stay as they are."""
+    """Passages of the benchmark are cut from the texts; a row of which nothing is left goes, clean rows stay as they are."""
     return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -47,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE encoding", encoding_stage),
 ]
 
-#: Learned scores and token ids are not for SQL; tests hold the stages against brute force instead.
+#: Learned scores and token ids are not for SQL; tests/llm/test_methods.py holds every stage against brute force.
 ORACLE_SQL: str | None = None
 
 
