@@ -95,7 +95,7 @@ def balanced_tail(df: DataFrame, group: str, item: str, seq: str, want: int, pic
     items = df.groupBy(group, item).agg(F.min(seq).alias("_s"))
     # a group's first items: those with fewer than `want` others in front, by their numbers
     turn = items.withColumn("_t", F.row_number().over(Window.partitionBy(group).orderBy("_s")) - 1).where(F.col("_t") < want)
-    rows = df.join(F.broadcast(turn.select(group, item, "_t")), [group, item])
+    rows = df.join(turn.select(group, item, "_t"), [group, item])
     if picks:
         fits = F.lit(False)
         for k, c in enumerate(picks):

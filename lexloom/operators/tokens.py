@@ -146,20 +146,14 @@ class _PairIndex:
         self.words, self.counts = words, counts
         self.total: Counter[tuple[str, str]] = Counter()
         self.held: dict[tuple[str, str], set[int]] = {}
-        self.queue: list[tuple[int, tuple[str, str]]] = []
-        for k in range(len(words)):
-            self._count(k, 1)
+        for k, w in enumerate(words):
+            n = counts[k]
+            for p in pairwise(w):
+                self.total[p] += n
+                self.held.setdefault(p, set()).add(k)
         self.queue = [(-n, p) for p, n in self.total.items()]
         heapq.heapify(self.queue)
 
-    def _count(self, k: int, sign: int) -> set[tuple[str, str]]:
-        own = list(pairwise(self.words[k]))
-        for p in own:
-            self.total[p] += sign * self.counts[k]
-            if sign > 0:
-                self.held.setdefault(p, set()).add(k)
-        return set(own)
-
     def best(self) -> tuple[str, str] | None:
         """The most frequent pair, of equals the smallest; entries of the queue whose count has changed are skipped."""
         while self.queue:
@@ -179,19 +173,36 @@ class _PairIndex:
         return tied[0] if len(tied) == 1 else min(tied, key=place)
 
     def merge(self, pair: tuple[str, str]) -> None:
+        """Merge a pair everywhere. Only counts of pairs beside it change: with what stands on its left, perhaps just merged, and on its right."""
+        a, b = pair
+        new, total, held = a + b, self.total, self.held
         changed: set[tuple[str, str]] = set()
-        for k in self.held.pop(pair, ()):
-            merged = joined(self.words[k], pair)
-            if len(merged) == len(self.words[k]):
-                continue
-            changed |= self._count(k, -1)
-            self.words[k] = merged
-            changed |= self._count(k, 1)
+        for k in held.pop(pair, ()):
+            w, n, out, i = self.words[k], self.counts[k], [], 0
+            last = len(w) - 1
+            while i <= last:
+                x = w[i]
+                if x != a or i == last or w[i + 1] != b:
+                    out.append(x)
+                    i += 1
+                    continue
+                for gone, come in (((out[-1], a), (out[-1], new)) if out else (None, None), ((b, w[i + 2]), (new, w[i + 2])) if i + 2 <= last else (None, None)):
+                    if gone:
+                        total[gone] -= n
+                        total[come] += n
+                        changed.add(gone)
+                        changed.add(come)
+                        held.setdefault(come, set()).add(k)
+                total[pair] -= n
+                out.append(new)
+                i += 2
+            self.words[k] = out
+        changed.add(pair)
         for p in changed:
-            if self.total[p] > 0:
-                heapq.heappush(self.queue, (-self.total[p], p))
+            if total[p] > 0:
+                heapq.heappush(self.queue, (-total[p], p))
             else:
-                del self.total[p]
+                del total[p]
 
 
 def independent(top: list[tuple[int, str, str]]) -> list[tuple[str, str]]:

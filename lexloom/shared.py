@@ -37,13 +37,19 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where a table comes in fewer splits than there are cores; else as it is.
+#: Bytes of a table that are worth a partition of their own.
+LEAST_PART = 1 << 20
+
+
+def spread(df: DataFrame, least: int = LEAST_PART) -> DataFrame:
+    """The rows over more cores, where a table comes in fewer splits than its size is worth and there are cores; else as it is.
 
     Only small tables are moved by that: one of so few splits is at most a few files. Work on texts costs far more
     than the move. Nothing is run to find out, so a plan that has a shuffle already stays.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= slots:
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
         return df
-    return df.repartition(slots)
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    want = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // least))
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

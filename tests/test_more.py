@@ -84,7 +84,8 @@ def test_merged_corpora_as_files(spark, tmp_path):
 def test_small_tables_are_spread(spark, tmp_path):
     spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
     small = spark.read.parquet(str(tmp_path / "one"))
-    assert small.rdd.getNumPartitions() == 1 and spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert small.rdd.getNumPartitions() == 1 and spread(small).rdd.getNumPartitions() == 1
+    assert spread(small, 1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     grouped = small.groupBy("id").count()
     assert spread(grouped) is grouped
 
