@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import mix as M
+from ..operators import mix as M, tokens as K
 from .common import HYPHEN, fold, one_line, table
 from .queries_pairs import SQL_PAIRS, _pairs
 
@@ -94,27 +94,43 @@ def no_adjacent_dups(spark: SparkSession, d: str) -> DataFrame:
 _SPREAD = "select 1::bigint as longest, sum(item_id % 4 + 1)::bigint as n, count(*) as items from benchmark"
 
 
+def _word_ids(df: DataFrame, seq: str, text: str, known: DataFrame) -> DataFrame:
+    """(seq, ids) by the sorted vocabulary of the texts' own words."""
+    words = known.select(F.explode(T.words("text", "space")).alias("token"))
+    return K.as_ids(df, seq, text, K.vocabulary_sorted(words), "space", -1)
+
+
 def next_token_windows(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
-    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(M.token_windows(ids, 8, 5)).alias("k", "p"))
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    rows = _word_ids(b, "item_id", "text", b).select("item_id", F.posexplode(M.token_windows("ids", 8, 5)).alias("k", "p"))
     return rows.select("item_id", "k", F.array_join(F.col("p.x").cast("array<string>"), ",").alias("x"), F.array_join(F.col("p.y").cast("array<string>"), ",").alias("y"))
 
 
-_WINDOWS = """select item_id, (k - 1)::int as k, array_to_string(ids[s + 1:s + 8], ',') as x, array_to_string(ids[s + 2:s + 9], ',') as y from (select item_id, ids, unnest(range(0, len(ids) - 8, 5)) as s, generate_subscripts(range(0, len(ids) - 8, 5), 1) as k
-from (select item_id, list_transform(string_split(text, ' '), lambda w: length(w)) as ids from benchmark) where len(ids) > 8)"""
+def _sql_ids(key: str, source: str) -> str:
+    """(key, ids) of a table (key, text) by the sorted vocabulary of its own words."""
+    return f"""(with src as {source}, w as (select {key}, unnest(x) as word, generate_subscripts(x, 1) as p from (select {key}, regexp_extract_all(text, '\\S+') as x from src)), v as (select word, row_number() over (order by word) - 1 as id from (select distinct word from w))
+select {key}, list(id order by p) as ids from w join v using (word) group by 1)"""
+
+
+_WINDOWS = f"""select item_id, (k - 1)::int as k, array_to_string(ids[s + 1:s + 8], ',') as x, array_to_string(ids[s + 2:s + 9], ',') as y from (select item_id, ids, unnest(range(0, len(ids) - 8, 5)) as s, generate_subscripts(range(0, len(ids) - 8, 5), 1) as k
+from {_sql_ids('item_id', '(select item_id, text from benchmark)')} where len(ids) > 8)"""
 
 
 def sft_loss_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Token ids are word lengths here; 901 stands for the answer's marker, 902 for the end."""
-    ids = lambda c: F.transform(F.split(T.one_line(c), " "), lambda w: F.length(w))
-    rows = _pairs(spark, d).select("seq", F.concat(ids("instruction"), F.array(F.lit(901)), ids("response"), F.array(F.lit(902))).alias("ids"))
-    out = M.loss_rows(rows, "ids", 64, [901], [902])
+    """Pairs as ids of their words, behind the markers' own: -91 stands for the answer's, -92 for the end."""
+    p = _pairs(spark, d).select("seq", "instruction", "response")
+    sides = p.select((F.col("seq") * 2).alias("s"), F.col("instruction").alias("text")).union(p.select((F.col("seq") * 2 + 1).alias("s"), F.col("response").alias("text")))
+    ids = _word_ids(sides, "s", "text", sides).withColumn("seq", F.floor(F.col("s") / 2))
+    side = lambda k, name: ids.where(F.col("s") % 2 == k).select("seq", F.col("ids").alias(name))
+    rows = side(0, "i").join(side(1, "r"), "seq").select("seq", F.concat("i", F.array(F.lit(-91)), "r", F.array(F.lit(-92))).alias("ids"))
+    out = M.loss_rows(rows, "ids", 64, [-91], [-92])
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return out.select("seq", text("x").alias("x"), text("y").alias("y"), F.array_join(F.col("w").cast("array<int>").cast("array<string>"), ",").alias("w"))
 
 
-_LOSS_IDS = f"list_concat(list_transform(string_split({one_line('instruction')}, ' '), lambda w: length(w)), [901], list_transform(string_split({one_line('response')}, ' '), lambda w: length(w)), [902])"
-_LOSS = f"""with r as (select seq, ({_LOSS_IDS})[1:65] as i from {SQL_PAIRS}), m as (select seq, i, list_position(i, 901) - 1 as a, list_position(i, 902) - 1 as e from r),
+_SIDES = _sql_ids("s", f"(select seq * 2 as s, instruction as text from {SQL_PAIRS} union all select seq * 2 + 1, response from {SQL_PAIRS})")
+_LOSS_ROWS = f"(with i as {_SIDES} select a.s // 2 as seq, list_concat(a.ids, [-91], b.ids, [-92])[1:65] as i from i a join i b on b.s = a.s + 1 where a.s % 2 = 0)"
+_LOSS = f"""with r as {_LOSS_ROWS}, m as (select seq, i, list_position(i, -91) - 1 as a, list_position(i, -92) - 1 as e from r),
 f as (select seq, i, a, e, case when e is null then len(i) - 2 else least(len(i) - 2, e - 1) end as l from m where a is not null and a < len(i) - 1),
 p as (select *, list_concat(i, list_transform(range(0, 65 - len(i)), lambda x: 0)) as z from f)
 select seq, array_to_string(z[1:64], ',') as x, array_to_string(z[2:65], ',') as y,
