@@ -112,7 +112,7 @@ def learn_merges(frequency: DataFrame, target: int, *, driver_words: int = DRIVE
     bytes each); beyond, in rounds on the cluster.
     """
     if ties == "first" or frequency.count() <= driver_words:
-        return _merge_loop(frequency.orderBy("seq" if ties == "first" else "word").select("word", "n").toPandas(), target, ties == "first")
+        return _merge_loop(frequency.orderBy("seq" if ties == "first" else "word").select("word", "n").toArrow().to_pandas(), target, ties == "first")
     return _merge_rounds(frequency, target)
 
 
