@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, stash, text_id
+from .common import map_batches, text_id
 
 #: Labelled rows that a classifier learns from, at most: the first by a hash of the id.
 TRAIN_ROWS = 20_000
 
 
-def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, fn: Callable[[str], list], folder: str, *, rows: int = TRAIN_ROWS, kind: str = "double") -> DataFrame:
+def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, fn: Callable[[str], list], *, rows: int = TRAIN_ROWS, kind: str = "double") -> DataFrame:
     """(id, y, x): `fn` of the labelled texts outside the held-out fold.
 
     Only ids and labels of at most `rows` rows travel, as a broadcast; texts are read once, where they lie.
-    Ids labelled both ways, null labels and null ids are left out; of repeated ids each row counts.
+    Ids labelled both ways, null labels and null ids are left out; of repeated ids each row counts. The rows stay
+    on the executors' disks until the caller drops them (unpersist); a lost part is read again.
     """
     spark = documents.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(target).cast("int").alias("y"))
@@ -32,7 +34,7 @@ def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds:
             use = [(i, t) for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True) if i in label]
             yield {"id": [i for i, _ in use], "y": [label[i] for i, _ in use], "x": [fn(t or "") for _, t in use]}
 
-    return stash(map_batches(text_id(documents, "doc_id", "text"), run, f"id long, y int, x array<{kind}>"), folder, f"train-{target}")
+    return map_batches(text_id(documents, "doc_id", "text"), run, f"id long, y int, x array<{kind}>").persist(StorageLevel.DISK_ONLY)
 
 
 def is_held_out(column: str, folds: int, held_out: int):

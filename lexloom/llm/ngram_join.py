@@ -45,7 +45,7 @@ LEADERS = 3
 #: Bits of a bitmap at most, since pairs carry them.
 MOST_BITS = 1 << 15
 #: Text that one partition of shingles comes from, at most; rows that one file of a small table holds.
-PART_BYTES, FILE_ROWS = 64 << 20, 1 << 14
+PART_BYTES, FILE_ROWS = 32 << 20, 1 << 14
 #: Members of a small group, whose pairs are all tried at once.
 SMALL = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -191,7 +191,7 @@ class Size:
     @classmethod
     def of(cls, rows: DataFrame) -> Size:
         got = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
-        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(got["size"] or 0) // PART_BYTES))
+        parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-(got["size"] or 0) // PART_BYTES))
         return cls(parts, max(8, -(-got["n"] // FILE_ROWS)))
 
     @property
@@ -458,7 +458,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
     """Exact links among the pairs, as (u, v) of the classes' ids. Texts of the pairs are read and cut again."""
     spark = rows.sparkSession
     wanted = pairs.select(F.col("a").alias("fp12")).union(pairs.select(F.col("b").alias("fp12"))).distinct().join(classes.select("fp12", "rep"), "fp12")
-    wanted = stash(wanted.coalesce(files), folder, f"{name}-wanted")
+    wanted = wanted.persist(StorageLevel.DISK_ONLY)
     if wanted.count() <= SEEK_LIMIT:
         ids = spark.sparkContext.broadcast(np.sort(wanted.select("rep").toPandas()["rep"].to_numpy(np.int64)))
         some = rows
@@ -500,7 +500,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
             yield {"u": u, "v": v}
 
     links = stash(map_batches(tiles, test, "u long, v long").coalesce(files), folder, f"{name}-links")
-    discard(spark, folder, f"{name}-arrays", f"{name}-wanted")
+    wanted.unpersist()
+    discard(spark, folder, f"{name}-arrays")
     return links
 
 
@@ -584,12 +585,16 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     classes = texts.where("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig", ignorenulls=True).alias("sig"), F.count("*").alias("copies"))
     classes = stash(classes.withColumn("fp12", F.substring("fp", 1, 12)).coalesce(cut_by.files), folder, "classes")
     first = _bound(_first_pairs(gathered, cut_by.parts), classes)
-    links = _verified(rows, stash(first.coalesce(cut_by.files), folder, "first"), classes, folder, "v1", words, cut_by.files)
+    # what is read a few times and soon gone stays on the executors' disks; a lost part is made again from the tables
+    first = first.persist(StorageLevel.DISK_ONLY)
+    links = _verified(rows, first, classes, folder, "v1", words, cut_by.files)
+    first.unpersist()
     labels = connected_components(links, folder, "c1")
-    rest = stash(_cross_pairs(groups, classes, labels, cut_by.parts).coalesce(cut_by.files), folder, "rest")
+    rest = _cross_pairs(groups, classes, labels, cut_by.parts).persist(StorageLevel.DISK_ONLY)
     if rest.limit(1).count():
         more = _verified(rows, rest, classes, folder, "v2", words, cut_by.files)
         labels = connected_components(links.union(more), folder, "c2")
+    rest.unpersist()
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "copies", F.coalesce("label", "rep").alias("component_id"), "rep")
     # only classes that say something new about a row travel, dealt over parts against hot ones
     parts = 32

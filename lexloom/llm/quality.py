@@ -10,7 +10,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, shared_dir, text_id
+from .common import map_batches, text_id
 from .labelled import TRAIN_ROWS, is_held_out, isotonic, training_texts
 
 #: The fold that never trains, of so many.
@@ -89,13 +89,14 @@ def _summed(train: DataFrame, fn, size: int) -> np.ndarray:
     return sum((np.frombuffer(r.total) for r in parts), np.zeros(size))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, folder: str, *, rows: int = TRAIN_ROWS, features: int = FEATURES, seed: int = 7) -> QualityModel:
+def fit_quality(documents: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, features: int = FEATURES, seed: int = 7) -> QualityModel:
     """Fit on a bounded sample of labelled rows (documented parameter `rows`), outside the held-out fold.
 
     Four fifths of the sample give the ridge weights, the rest the calibration. With no labelled row, or only
     one label, every text gets the labels' mean (0.5 without any).
     """
-    train = training_texts(documents, labels, "quality", FOLDS, HELD_OUT, statistics, folder, rows=rows).coalesce(8)
+    whole = training_texts(documents, labels, "quality", FOLDS, HELD_OUT, statistics, rows=rows)
+    train = whole.coalesce(8)
     d = N_STATISTICS
     m = _summed(train, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x**2).sum(0)]), 2 + 2 * d)
     n = max(m[0], 1)
@@ -108,6 +109,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folder: str, *, rows: i
     rng = np.random.default_rng(seed)
     model = QualityModel(mean, scale, rng.standard_normal((d, features)) / width, rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.zeros(1), np.full(1, m[1] / m[0] if m[0] else 0.5))
     if not 0 < m[1] < m[0]:
+        whole.unpersist()
         return model
     fifth = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5))
     f = features + 1
@@ -120,6 +122,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folder: str, *, rows: i
     a = s[: f * f].reshape(f, f) + RIDGE * max(s[-1], 1) / features * np.diag(np.append(np.ones(features), 0)) + 1e-9 * np.eye(f)
     model.weight = np.linalg.solve(a, s[f * f : -1])
     check = train.where(fifth == 0).orderBy("id").collect() or train.orderBy("id").collect()
+    whole.unpersist()
     model.at, model.value = isotonic(model.raw(np.array([r.x for r in check])), np.array([float(r.y) for r in check]))
     return model
 
@@ -144,13 +147,12 @@ def score_quality(documents: DataFrame, model: QualityModel, carry: tuple[str, .
 
 def classify_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, held_out, score, passes) per document row. An empty table gives no rows."""
-    folder = shared_dir(documents.sparkSession)
-    scored = score_quality(text_id(documents, "doc_id", "text").withColumnRenamed("id", "doc_id"), fit_quality(documents, labels, folder))
+    scored = score_quality(text_id(documents, "doc_id", "text").withColumnRenamed("id", "doc_id"), fit_quality(documents, labels))
     return scored.withColumn("held_out", is_held_out("id", FOLDS, HELD_OUT))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without the rows that the classifier rejects; the five columns stay as they are."""
-    model = fit_quality(documents, labels, shared_dir(documents.sparkSession))
+    model = fit_quality(documents, labels)
     out = score_quality(documents, model, carry=("text", "lang", "source", "n_chars")).where("passes")
     return out.select(F.col("id").alias("doc_id"), *(F.col(f"c_{c}").alias(c) for c in ("text", "lang", "source", "n_chars")))

@@ -119,8 +119,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, folder: str, *, rows:
     most `rows` x `most_parts` small numbers. With one label: no weights, and the labels' mean as every score;
     without any labelled row every score is 0. `swap` weighs the counterfactual penalty (0: none).
     """
-    train = training_texts(documents, labels, "toxic", FOLDS, HELD_OUT, lambda t: sorted(words(t)), folder, rows=rows, kind="string")
-    train = stash(train.dropDuplicates(["y", "x"]), folder, "toxic-distinct").coalesce(8)
+    whole = training_texts(documents, labels, "toxic", FOLDS, HELD_OUT, lambda t: sorted(words(t)), rows=rows, kind="string")
+    train = stash(whole.dropDuplicates(["y", "x"]).coalesce(8), folder, "toxic-distinct")
+    whole.unpersist()
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         remember(_remembered.cache_clear)

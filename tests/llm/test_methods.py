@@ -115,9 +115,8 @@ def test_quality_is_ridge_on_fourier_features_with_isotonic_scores(spark):
     bad = lambda: "".join(rng.choice("#$%&*!! 0123") for _ in range(150))
     rows = [(k, good() if k % 3 else bad()) for k in range(300, 600)]
     lab = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300, 600)], "doc_id long, quality int, toxic int")
-    folder = common.shared_dir(spark)
-    model = quality.fit_quality(docs(spark, rows), lab, folder)
-    train = labelled.training_texts(docs(spark, rows), lab, "quality", quality.FOLDS, quality.HELD_OUT, quality.statistics, f"{folder}/again").select("id", "y", "x", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)).alias("fifth")).collect()
+    model = quality.fit_quality(docs(spark, rows), lab)
+    train = labelled.training_texts(docs(spark, rows), lab, "quality", quality.FOLDS, quality.HELD_OUT, quality.statistics).select("id", "y", "x", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)).alias("fifth")).collect()
     x, y = np.array([r.x for r in train if r.fifth]), np.array([float(r.y) for r in train if r.fifth])
     z = np.clip((x - model.mean) / model.scale, -8, 8)
     p = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(z @ model.frequency + model.phase), np.ones((len(z), 1))])
