@@ -400,3 +400,14 @@ def test_checkpoint_files_and_latest(spark, tmp_path):
     reports.archive_run(spark, str(tmp_path / "runs"), "r2", {"a": 3.0})
     text = reports.write_latest(spark, str(tmp_path / "runs"), str(tmp_path / "out/latest.md"))
     assert "| a | 3.0000 | r2 |" in text and "| b | 2.0000 | r1 |" in text and (tmp_path / "out/latest.md").read_text() == text
+
+
+@pytest.mark.parametrize(("words", "n", "least", "rows"), [
+    (lambda c: T.words(T.casefold(c), "hyphen"), 3, None, {"A well-known fact, a WELL-known fact": "a well-known fact", "one two three one two": None}),
+    (lambda c: T.words(c, "apostrophe"), 3, 3, {"it's all so it's all so": "it's all so", "a b c": None, "x y x y x": "x y x"}),
+    (lambda c: F.transform(F.split(c, " "), lambda x: x.cast("int").cast("string")), 5, 5, {"1 2 3 4 5 1 2 3 4 5": "1 2 3 4 5", "1 2 3 4 5 6 7 8 9 1": None, "7 7 7 7 7 7": "7 7 7 7 7"}),
+])
+def test_first_repeated_phrases_by_dialect(spark, words, n, least, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "seq long, text string")
+    got = {r.seq: r.phrase for r in C.first_repeated_ngram(df, "seq", words("text"), n, least).collect()}
+    assert got == {k: v for k, v in enumerate(rows.values()) if v}
