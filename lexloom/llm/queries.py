@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, ngram_join, pii, quality, secrets, toxicity, url_filter, warc
+from . import ann, bpe, decontaminate, lexical_search, ngram_join, pii, quality, secrets, toxicity, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,23 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_RANKED = f"""with d as (select row_number() over () as k, doc_id, {_TERMS} as w from documents where text is not null), h as (select k, doc_id, w, len(w)::bigint as n from d where len(w) > 0),
+a as (select count(*)::bigint as nd, sum(n)::bigint as l from h), i as (select item_id, unnest(w) as t from (select distinct item_id, text, {_TERMS} as w from benchmark)), q as (select item_id, t, count(*)::bigint as c from i group by 1, 2),
+f as (select k, t, count(*)::bigint as tf from (select k, unnest(w) as t from h) where t in (select t from q) group by 1, 2), v as (select t, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)))::bigint as w from (select t, count(*)::bigint as df from f group by 1), a),
+s as (select q.item_id, h.doc_id, sum(c * v.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // l))))::bigint as score from q join f using (t) join v using (t) join h using (k), a group by q.item_id, h.doc_id, k),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0) select item_id, rank, doc_id, score from r where rank <= 10"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_ngram_join": op2_ngram_join,
@@ -87,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_urls": op10_urls,
+    "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_lexical_search": _RANKED}
