@@ -16,7 +16,7 @@ The plan, in order; every step is exact, and nothing is capped:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,17 +83,25 @@ class Shingler:
                 gaps = np.flatnonzero(self.SPACE[raw[at:end]])
                 if len(gaps):
                     end = at + int(gaps[-1]) + 1
-                else:  # a word longer than a stretch: hashed by itself
+                else:  # a word longer than a stretch
                     gaps = np.flatnonzero(self.SPACE[raw[end:]])
                     end = end + int(gaps[0]) if len(gaps) else len(raw)
-                    low = raw[at:end].tobytes().lower()
-                    out.append(np.array([xxhash.xxh3_64_intdigest(low)], np.uint64))
+                    out.append(self._long(raw[at:end]))
                     at = end
                     continue
             out.append(self._stretch(raw[at:end]))
             at = end
         return np.concatenate(out)
 
+    def _long(self, word: np.ndarray) -> np.ndarray:
+        """The same polynomial, stretch by stretch."""
+        total, up = 0, 1
+        for at in range(0, len(word), self.STRETCH):
+            piece = self.value[word[at : at + self.STRETCH]]
+            total += up * int((piece * self.up[: len(piece)]).sum(dtype=np.uint64))
+            up = up * pow(self.BASE, self.STRETCH, 1 << 64) % (1 << 64)
+        return mix64(np.array([total % (1 << 64)], np.uint64))
+
     def _stretch(self, raw: np.ndarray) -> np.ndarray:
         inside = np.empty(len(raw) + 2, bool)
         inside[0] = inside[-1] = False
@@ -124,9 +132,9 @@ def need(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def band(n: int) -> int:
-    """Size bands whose limits grow by 100/PERCENT: partners are in the same or in neighbouring bands."""
-    return min(255, int(np.floor(np.log(max(n, 1)) / np.log(100 / PERCENT) + 1e-9)))
+def band(n: int, percent: int = PERCENT) -> int:
+    """Size bands whose limits grow by 100/percent: partners are in the same or in neighbouring bands."""
+    return min(255, int(np.floor(np.log(max(n, 1)) / np.log(100 / percent) + 1e-9)))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -155,11 +163,11 @@ def may_link(na, nb, a_only, b_only):
     return 100 * both >= PERCENT * (na + nb - both)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """The exact test on sorted arrays."""
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     both = int((a[at] == b).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 class _Local:
@@ -326,42 +334,50 @@ def _gather(rows: DataFrame, hot, k: int, cut_by: Size) -> DataFrame:
             return
         e = np.unique(np.concatenate(parts))
         parts.clear()
-        cut = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1], [True]]))
-        lo, m = cut[:-1], np.diff(cut)
-        # a part of a dealt shingle, however small, keeps its key, by which step 5 joins the parts
-        keyed = (m > SMALL) | np.isin(e["key"][lo], split)
-        # small groups: all pairs of neighbouring bands, once a task
-        pairs = [np.zeros(0, "V24")]
-        for size in range(2, SMALL + 1):
-            at = lo[(m == size) & ~keyed]
-            if len(at):
-                i, j = np.triu_indices(size, 1)
-                x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]
-                near = np.abs(x["band"].astype(np.int16) - y["band"]) <= 1
-                pairs.append(np.unique(_ordered(x["fp"][near], y["fp"][near])))
-        pairs = np.unique(np.concatenate(pairs))
-        for at in range(0, len(pairs), 1 << 15):
-            yield empty | {"pairs": [pairs[at : at + (1 << 15)].tobytes()]} | {c: [None] for c in empty if c != "pairs"}
-        out = {c: [] for c in empty}
-        for at, size in zip(lo[keyed], m[keyed], strict=True):
-            own = e[at : at + size]
-            own = own[np.argsort(own["band"], kind="stable")]
-            for k in range(0, size, TILE_ROWS):
-                piece = own[k : k + TILE_ROWS]
-                for c in ("id", "n", "fp", "sig", "pairs"):
-                    out[c].append(None)
-                for c, v in (("key", int(piece["key"][0].astype(np.int64))), ("fps", piece["fp"].tobytes()), ("bands", piece["band"].tobytes()), ("hots", piece["hot"].tobytes())):
-                    out[c].append(v)
-            if len(out["key"]) >= 500:
-                yield out
-                out = {c: [] for c in empty}
-        if out["key"]:
-            yield out
+        for out in grouped(e, split, SMALL, TILE_ROWS):
+            size = len(out["pairs"])
+            yield {c: [None] * size for c in ("id", "n", "fp", "sig")} | out
 
     sent = map_batches(rows, collect, "tile int, entries binary, id long, n long, fp binary, sig binary").repartition(tiles // 4, "tile")
     return map_batches(sent, group, "id long, n long, fp binary, sig binary, pairs binary, key long, fps binary, bands binary, hots binary")
 
 
+def grouped(e: np.ndarray, split: np.ndarray, small: int, rows: int) -> Iterator[dict]:
+    """Groups of sorted entries of one key: all pairs of those of up to `small`, packed, and larger ones as (key, members), `rows` of them at once.
+
+    split: keys of which this task may hold only a part. A part, however small, keeps its key, by which step 5 joins the parts.
+    """
+    cut = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1], [True]]))
+    lo, m = cut[:-1], np.diff(cut)
+    keyed = (m > small) | np.isin(e["key"][lo], split)
+    # small groups: all pairs of neighbouring bands, once a task
+    pairs = [np.zeros(0, "V24")]
+    for size in range(2, small + 1):
+        at = lo[(m == size) & ~keyed]
+        if len(at):
+            i, j = np.triu_indices(size, 1)
+            x, y = e[(at[:, None] + i).ravel()], e[(at[:, None] + j).ravel()]
+            near = np.abs(x["band"].astype(np.int16) - y["band"]) <= 1
+            pairs.append(np.unique(_ordered(x["fp"][near], y["fp"][near])))
+    pairs = np.unique(np.concatenate(pairs))
+    columns = ("pairs", "key", "fps", "bands", "hots")
+    for at in range(0, len(pairs), 1 << 15):
+        yield {c: [None] for c in columns} | {"pairs": [pairs[at : at + (1 << 15)].tobytes()]}
+    out: dict[str, list] = {c: [] for c in columns}
+    for at, size in zip(lo[keyed], m[keyed], strict=True):
+        own = e[at : at + size]
+        own = own[np.argsort(own["band"], kind="stable")]
+        for k in range(0, size, rows):
+            piece = own[k : k + rows]
+            for c, v in zip(columns, (None, int(piece["key"][0].astype(np.int64)), piece["fp"].tobytes(), piece["band"].tobytes(), piece["hot"].tobytes()), strict=True):
+                out[c].append(v)
+        if len(out["key"]) >= 500:
+            yield out
+            out = {c: [] for c in columns}
+    if out["key"]:
+        yield out
+
+
 def _ordered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Pairs of class keys as 24 bytes, the smaller first."""
     both = np.stack([np.ascontiguousarray(x).view(np.uint8).reshape(-1, 12), np.ascontiguousarray(y).view(np.uint8).reshape(-1, 12)], 1)
@@ -429,8 +445,18 @@ def _first_pairs(gathered: DataFrame, buckets: int) -> DataFrame:
     return _distinct(map_batches(gathered.select("pairs", "key", "fps", "bands", "hots"), run, "bucket int, pairs binary"), buckets)
 
 
-def _bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a leader, b) that the bitmaps leave."""
+def bits_allow(na: int, nb: int, sa: bytes, sb: bytes) -> bool:
+    """The bound on two sets' bitmaps."""
+    if 100 * min(na, nb) < PERCENT * max(na, nb):
+        return False
+    p, q = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
+    size = min(len(p), len(q))
+    p, q = fold(p, size), fold(q, size)
+    return bool(may_link(na, nb, int(np.bitwise_count(p & ~q).sum()), int(np.bitwise_count(q & ~p).sum())))
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, allow: Callable[[int, int, bytes, bytes], bool] = bits_allow) -> DataFrame:
+    """Pairs (a leader, b) that a test of their sizes and signatures leaves."""
     left = classes.select(F.col("fp12").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = classes.select(F.col("fp12").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     # dealt out first: a broadcast join would put this mapping and the one that made the pairs into one task, and
@@ -441,12 +467,7 @@ def _bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             keep_a, keep_b = [], []
             for x, y, na, nb, sa, sb in zip(*(b[c].to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb")), strict=True):
-                if 100 * min(na, nb) < PERCENT * max(na, nb):
-                    continue
-                p, q = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                size = min(len(p), len(q))
-                p, q = fold(p, size), fold(q, size)
-                if may_link(na, nb, int(np.bitwise_count(p & ~q).sum()), int(np.bitwise_count(q & ~p).sum())):
+                if allow(na, nb, sa, sb):
                     keep_a.append(x)
                     keep_b.append(y)
             yield {"a": keep_a, "b": keep_b}
@@ -454,7 +475,7 @@ def _bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(wide, run, "a binary, b binary")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str, name: str, k: int, files: int) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str, name: str, k: int, files: int, percent: int) -> DataFrame:
     """Exact links among the pairs, as (u, v) of the classes' ids. Texts of the pairs are read and cut again."""
     spark = rows.sparkSession
     wanted = pairs.select(F.col("a").alias("fp12")).union(pairs.select(F.col("b").alias("fp12"))).distinct().join(classes.select("fp12", "rep"), "fp12")
@@ -494,7 +515,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
             for a, part, side, rep, arr in zip(*(b[c].to_pylist() for c in ("a", "part", "side", "rep", "arr")), strict=True):
                 if not side:
                     at, head, head_id = (a, part), np.frombuffer(arr, np.uint64), rep
-                elif at == (a, part) and linked(head, np.frombuffer(arr, np.uint64)):
+                elif at == (a, part) and linked(head, np.frombuffer(arr, np.uint64), percent):
                     u.append(head_id)
                     v.append(rep)
             yield {"u": u, "v": v}
@@ -504,19 +525,51 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
     return links
 
 
-def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of different components within a group that the bitmaps leave; large groups meet tile by tile."""
-    def unpack(batches: Iterator[dict]) -> Iterator[dict]:
+#: Of a tile's rows (key, class, label, size, signature), rising by size: pairs of classes of different labels that may link.
+Compare = Callable[[list[tuple]], Iterator[tuple[bytes, bytes]]]
+
+
+def compare_bits(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    """Those that the bitmaps leave."""
+    n = np.array([r[3] for r in rows])
+    lab = np.array([r[2] for r in rows])
+    sig = [np.frombuffer(r[4], np.uint64) for r in rows]
+    size = np.array([len(s) for s in sig])
+    for s in np.unique(size).tolist():
+        use = np.flatnonzero((size == s) | (size == 2 * s))
+        table = np.stack([fold(sig[i], s) for i in use])
+        place = {int(i): p for p, i in enumerate(use)}
+        for i in np.flatnonzero(size == s).tolist():
+            p = place[i]
+            end = np.searchsorted(n[use], n[i] * 100 // PERCENT, "right")
+            other = np.flatnonzero(lab[use[p + 1 : end]] != lab[i]) + p + 1
+            if len(other):
+                t = table[other]
+                a = np.bitwise_count(table[p] & ~t).sum(1).astype(np.int64)
+                b = np.bitwise_count(t & ~table[p]).sum(1).astype(np.int64)
+                for q in other[may_link(n[i], n[use[other]], a, b)].tolist():
+                    yield rows[i][1], rows[use[q]][1]
+
+
+def unpacked(groups: DataFrame) -> DataFrame:
+    """(key, fp12, band, m): members of groups, each with the number of members in its row of them."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            key, fp = [], []
-            for k, fps in zip(b["key"].to_pylist(), b["fps"].to_pylist(), strict=True):
+            out: dict[str, list] = {"key": [], "fp12": [], "band": [], "m": []}
+            for k, fps, bands in zip(b["key"].to_pylist(), b["fps"].to_pylist(), b["bands"].to_pylist(), strict=True):
                 own = _members(fps)
-                key += [k] * len(own)
-                fp += own
-            yield {"key": key, "fp12": fp}
+                for c, v in zip(out, ([k] * len(own), own, list(bands), [len(own)] * len(own)), strict=True):
+                    out[c] += v
+            yield out
+
+    return map_batches(groups.select("key", "fps", "bands"), run, "key long, fp12 binary, band int, m int")
 
+
+def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, buckets: int, compare: Compare) -> DataFrame:
+    """Pairs of different components within a group that `compare` leaves; large groups meet tile by tile."""
     label = classes.select("fp12", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp12", F.coalesce("label", "rep").alias("label"))
-    flat = map_batches(groups.select("key", "fps"), unpack, "key long, fp12 binary").join(label, "fp12")
+    flat = unpacked(groups).select("key", "fp12").join(label, "fp12")
     mixed = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     # larger cuts for larger groups, whose members go to as many tiles as there are cuts
     side = F.greatest(F.lit(CROSS_ROWS), F.least(F.lit(TILE_ROWS), F.col("m") / 16))
@@ -526,26 +579,6 @@ def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, bucke
     own = own.select("key", "fp12", "label", F.explode(tile).alias("tile")).select("key", "fp12", "label", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
     own = own.join(classes.select("fp12", "n", "sig"), "fp12").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        n = np.array([r[3] for r in rows])
-        lab = np.array([r[2] for r in rows])
-        sig = [np.frombuffer(r[4], np.uint64) for r in rows]
-        size = np.array([len(s) for s in sig])
-        for s in np.unique(size).tolist():
-            use = np.flatnonzero((size == s) | (size == 2 * s))
-            table = np.stack([fold(sig[i], s) for i in use])
-            place = {int(i): p for p, i in enumerate(use)}
-            for i in np.flatnonzero(size == s).tolist():
-                p = place[i]
-                end = np.searchsorted(n[use], n[i] * 100 // PERCENT, "right")
-                other = np.flatnonzero(lab[use[p + 1 : end]] != lab[i]) + p + 1
-                if len(other):
-                    t = table[other]
-                    a = np.bitwise_count(table[p] & ~t).sum(1).astype(np.int64)
-                    b = np.bitwise_count(t & ~table[p]).sum(1).astype(np.int64)
-                    for q in other[may_link(n[i], n[use[other]], a, b)].tolist():
-                        yield rows[i][1], rows[use[q]][1]
-
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, held = None, []
         for b in batches:
@@ -580,15 +613,25 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     all_rows = stash(_gather(rows, hot, words, cut_by), folder, "gathered")
     texts = all_rows.where("key IS NULL AND pairs IS NULL").select("id", "n", "fp", "sig")
     gathered = all_rows.where("key IS NOT NULL OR pairs IS NOT NULL")
-    groups = all_rows.where("key IS NOT NULL").select("key", "fps")
+    groups = all_rows.where("key IS NOT NULL").select("key", "fps", "bands")
+    classes = classes_of(texts, folder, cut_by)
+    first = bounded(_first_pairs(gathered, cut_by.parts), classes)
+    return components_of(rows, texts, classes, first, groups, folder, words, cut_by, compare_bits, PERCENT)
+
+
+def classes_of(texts: DataFrame, folder: str, cut_by: Size) -> DataFrame:
+    """(fp, rep, n, sig, copies, fp12): texts of equal shingle sets, without those of none and those of a null id."""
     classes = texts.where("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig", ignorenulls=True).alias("sig"), F.count("*").alias("copies"))
-    classes = stash(classes.withColumn("fp12", F.substring("fp", 1, 12)).coalesce(cut_by.files), folder, "classes")
-    first = _bound(_first_pairs(gathered, cut_by.parts), classes)
-    links = _verified(rows, stash(first.coalesce(cut_by.files), folder, "first"), classes, folder, "v1", words, cut_by.files)
+    return stash(classes.withColumn("fp12", F.substring("fp", 1, 12)).coalesce(cut_by.files), folder, "classes")
+
+
+def components_of(rows: DataFrame, texts: DataFrame, classes: DataFrame, first: DataFrame, groups: DataFrame, folder: str, words: int, cut_by: Size, compare: Compare, percent: int) -> DataFrame:
+    """(id, n_shingles, component_id, fp): first pairs are verified and linked, then groups that still hold different components."""
+    links = _verified(rows, stash(first.coalesce(cut_by.files), folder, "first"), classes, folder, "v1", words, cut_by.files, percent)
     labels = connected_components(links, folder, "c1")
-    rest = stash(_cross_pairs(groups, classes, labels, cut_by.parts).coalesce(cut_by.files), folder, "rest")
+    rest = stash(_cross_pairs(groups, classes, labels, cut_by.parts, compare).coalesce(cut_by.files), folder, "rest")
     if rest.limit(1).count():
-        more = _verified(rows, rest, classes, folder, "v2", words, cut_by.files)
+        more = _verified(rows, rest, classes, folder, "v2", words, cut_by.files, percent)
         labels = connected_components(links.union(more), folder, "c2")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "copies", F.coalesce("label", "rep").alias("component_id"), "rep")
     # only classes that say something new about a row travel, dealt over parts against hot ones

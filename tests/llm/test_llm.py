@@ -81,7 +81,7 @@ def test_secrets_of_small_alphabets_and_repeated_keys():
 # -- op2
 
 
-def brute_components(rows, words=5):
+def brute_components(rows, words=5, percent=80):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
@@ -98,7 +98,7 @@ def brute_components(rows, words=5):
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
