@@ -10,7 +10,8 @@
    not SIGMAS standard deviations below the threshold is confirmed on the full sets.
 5. Of small groups all pairs are tried. Members of large ones are first compared with the member that stands in the
    largest groups elsewhere, the original of a family of copies; what this links are components. Then come all pairs of
-   large groups that still hold different components, in tiles of bounded size: no cap, and about n pairs for n copies.
+   large groups that still hold different components, in tiles of bounded size, where a bitmap of each set bounds what the
+   estimate leaves: no cap, and about n pairs for n copies.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, mix64, shared_dir, stash, text_id
-from .ngram_join import _KEY, _P, FLUSH, SMALL, TILE_ROWS, WORDS, Shingler, Size, _distinct, _fingerprint, _Local, _members, _sent, band, bounded, classes_of, components_of, grouped, unpacked
+from .ngram_join import _KEY, _P, FLUSH, SMALL, TILE_ROWS, WORDS, Shingler, Size, _distinct, _fingerprint, _Local, _members, _sent, band, bounded, classes_of, components_of, cut_again, fold, grouped, may_link, signature, unpacked
 
 #: Least similarity, in hundredths.
 PERCENT = 85
@@ -124,19 +125,35 @@ def estimate_allows(na: int, nb: int, sa: bytes, sb: bytes) -> bool:
 
 
 def compare_sketches(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of a tile's classes (rising by size) of different labels that the estimate leaves."""
+    """Pairs of a tile's classes (rising by size) of different labels that the estimate leaves, and then a bitmap of the set behind the sketch.
+
+    Members of one family are as like as the threshold, give or take the estimate's error; the bits of one set that the
+    other lacks tell what is left of them apart.
+    """
     n = np.array([r[3] for r in rows])
     lab = np.array([r[2] for r in rows])
-    table = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
+    table = np.stack([np.frombuffer(r[4], np.uint16, BUCKETS) for r in rows])
+    bits = [np.frombuffer(r[4], np.uint64, offset=2 * BUCKETS) for r in rows]
+    size = np.array([len(x) for x in bits])
     filled = table != EMPTY
-    for i in range(len(rows)):
-        end = np.searchsorted(n, n[i] * 100 // PERCENT, "right")
-        other = np.flatnonzero(lab[i + 1 : end] != lab[i]) + i + 1
-        if len(other):
-            used = (filled[other] | filled[i]).sum(1)
-            equal = ((table[other] == table[i]) & filled[i]).sum(1)
-            for j in other[estimate(n[i], n[i], equal, used) >= _least(used)].tolist():
-                yield rows[i][1], rows[j][1]
+    place = np.zeros(len(rows), np.int64)
+    for s in np.unique(size).tolist():  # a partner's bitmap is as long, or twice as long
+        use = np.flatnonzero((size == s) | (size == 2 * s))
+        place[use] = np.arange(len(use))
+        folded = np.stack([fold(bits[i], s) for i in use])
+        for i in np.flatnonzero(size == s).tolist():
+            end = np.searchsorted(n, n[i] * 100 // PERCENT, "right")
+            other = np.flatnonzero(lab[i + 1 : end] != lab[i]) + i + 1
+            if len(other):
+                used = (filled[other] | filled[i]).sum(1)
+                equal = ((table[other] == table[i]) & filled[i]).sum(1)
+                other = other[estimate(n[i], n[i], equal, used) >= _least(used)]
+            if len(other):
+                own, theirs = folded[place[i]], folded[place[other]]
+                a = np.bitwise_count(own & ~theirs).sum(1).astype(np.int64)
+                b = np.bitwise_count(theirs & ~own).sum(1).astype(np.int64)
+                for j in other[may_link(n[i], n[other], a, b, PERCENT)].tolist():
+                    yield rows[i][1], rows[j][1]
 
 
 def _sketched(rows: DataFrame, k: int) -> DataFrame:
@@ -247,7 +264,13 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     gathered = stash(_gathered(classes, cut_by), folder, "gathered")
     first = bounded(_first_pairs(gathered, cut_by.parts), classes, estimate_allows)
     groups = gathered.where("key IS NOT NULL").select("key", "fps", "bands")
-    found = components_of(rows, texts, classes, first, groups, folder, words, cut_by, compare_sketches, PERCENT)
+
+    def with_bits(members: DataFrame) -> DataFrame:
+        members = stash(members.coalesce(cut_by.files), folder, "members")
+        bits = cut_again(rows, members, signature, words).select("fp12", "x")
+        return members.join(bits, "fp12").select("fp12", "n", F.concat("sig", "x").alias("sig"))
+
+    found = components_of(rows, texts, classes, first, groups, folder, words, cut_by, compare_sketches, PERCENT, with_bits)
     return found.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

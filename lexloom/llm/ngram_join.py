@@ -157,10 +157,10 @@ def fold(sig: np.ndarray, size: int) -> np.ndarray:
     return sig
 
 
-def may_link(na, nb, a_only, b_only):
-    """The bound: with so many bits of each set outside the other, can 100 |A and B| >= PERCENT |A or B| hold?"""
+def may_link(na, nb, a_only, b_only, percent: int = PERCENT):
+    """The bound: with so many bits of each set outside the other, can 100 |A and B| >= percent |A or B| hold?"""
     both = np.minimum(na - a_only, nb - b_only)
-    return 100 * both >= PERCENT * (na + nb - both)
+    return 100 * both >= percent * (na + nb - both)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -475,19 +475,16 @@ def bounded(pairs: DataFrame, classes: DataFrame, allow: Callable[[int, int, byt
     return map_batches(wide, run, "a binary, b binary")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str, name: str, k: int, files: int, percent: int) -> DataFrame:
-    """Exact links among the pairs, as (u, v) of the classes' ids. Texts of the pairs are read and cut again."""
-    spark = rows.sparkSession
-    wanted = pairs.select(F.col("a").alias("fp12")).union(pairs.select(F.col("b").alias("fp12"))).distinct().join(classes.select("fp12", "rep"), "fp12")
-    wanted = stash(wanted.coalesce(files), folder, f"{name}-wanted")
+def cut_again(rows: DataFrame, wanted: DataFrame, make: Callable[[np.ndarray], bytes], k: int) -> DataFrame:
+    """(rep, fp12, x): what `make` gives for the sets of the wanted classes (fp12, rep), whose texts are read and cut again."""
     if wanted.count() <= SEEK_LIMIT:
-        ids = spark.sparkContext.broadcast(np.sort(wanted.select("rep").toPandas()["rep"].to_numpy(np.int64)))
+        ids = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.select("rep").toPandas()["rep"].to_numpy(np.int64)))
         some = rows
     else:
         ids = None
         some = rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
 
-    def arrays(batches: Iterator[dict]) -> Iterator[dict]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         cut, seek = Shingler(k), ids.value if ids else None
         for b in batches:
             i = b["id"]
@@ -498,9 +495,17 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
                 b = {c: x.filter(hit) for c, x in b.items()}
             got = [(n, cut(t)) for n, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True)]
             got = [(n, s) for n, s in got if len(s)]
-            yield {"rep": [n for n, _ in got], "fp12": [_fingerprint(s)[:12] for _, s in got], "arr": [s.tobytes() for _, s in got]}
+            yield {"rep": [n for n, _ in got], "fp12": [_fingerprint(s)[:12] for _, s in got], "x": [make(s) for _, s in got]}
+
+    return map_batches(some, run, "rep long, fp12 binary, x binary").join(wanted.select("fp12", "rep"), ["fp12", "rep"], "left_semi").dropDuplicates(["fp12"])
 
-    have = map_batches(some, arrays, "rep long, fp12 binary, arr binary").join(wanted.select("fp12", "rep"), ["fp12", "rep"], "left_semi").dropDuplicates(["fp12"])
+
+def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str, name: str, k: int, files: int, percent: int) -> DataFrame:
+    """Exact links among the pairs, as (u, v) of the classes' ids."""
+    spark = rows.sparkSession
+    wanted = pairs.select(F.col("a").alias("fp12")).union(pairs.select(F.col("b").alias("fp12"))).distinct().join(classes.select("fp12", "rep"), "fp12")
+    wanted = stash(wanted.coalesce(files), folder, f"{name}-wanted")
+    have = cut_again(rows, wanted, np.ndarray.tobytes, k).withColumnRenamed("x", "arr")
     have = stash(have.coalesce(files), folder, f"{name}-arrays")
     # a leader's partners are dealt over parts, so that no task gets all of a hot one
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).alias("part"))
@@ -527,6 +532,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
 
 #: Of a tile's rows (key, class, label, size, signature), rising by size: pairs of classes of different labels that may link.
 Compare = Callable[[list[tuple]], Iterator[tuple[bytes, bytes]]]
+#: Classes (fp12, rep, n, sig) of groups of different components, with signatures that say more.
+Sharper = Callable[[DataFrame], DataFrame]
 
 
 def compare_bits(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
@@ -566,7 +573,7 @@ def unpacked(groups: DataFrame) -> DataFrame:
     return map_batches(groups.select("key", "fps", "bands"), run, "key long, fp12 binary, band int, m int")
 
 
-def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, buckets: int, compare: Compare) -> DataFrame:
+def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, buckets: int, compare: Compare, sharper: Sharper | None) -> DataFrame:
     """Pairs of different components within a group that `compare` leaves; large groups meet tile by tile."""
     label = classes.select("fp12", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp12", F.coalesce("label", "rep").alias("label"))
     flat = unpacked(groups).select("key", "fp12").join(label, "fp12")
@@ -577,7 +584,8 @@ def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, bucke
     own = flat.join(mixed, "key").withColumn("cut", F.pmod(F.xxhash64("fp12"), F.col("cuts")).cast("int"))
     tile = F.expr("transform(sequence(0, cuts - 1), j -> struct(least(cut, j) AS i, greatest(cut, j) AS j))")
     own = own.select("key", "fp12", "label", F.explode(tile).alias("tile")).select("key", "fp12", "label", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
-    own = own.join(classes.select("fp12", "n", "sig"), "fp12").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+    known = sharper(flat.join(mixed, "key").select("fp12").distinct().join(classes, "fp12").select("fp12", "rep", "n", "sig")) if sharper else classes
+    own = own.join(known.select("fp12", "n", "sig"), "fp12").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, held = None, []
@@ -625,11 +633,11 @@ def classes_of(texts: DataFrame, folder: str, cut_by: Size) -> DataFrame:
     return stash(classes.withColumn("fp12", F.substring("fp", 1, 12)).coalesce(cut_by.files), folder, "classes")
 
 
-def components_of(rows: DataFrame, texts: DataFrame, classes: DataFrame, first: DataFrame, groups: DataFrame, folder: str, words: int, cut_by: Size, compare: Compare, percent: int) -> DataFrame:
+def components_of(rows: DataFrame, texts: DataFrame, classes: DataFrame, first: DataFrame, groups: DataFrame, folder: str, words: int, cut_by: Size, compare: Compare, percent: int, sharper: Sharper | None = None) -> DataFrame:
     """(id, n_shingles, component_id, fp): first pairs are verified and linked, then groups that still hold different components."""
     links = _verified(rows, stash(first.coalesce(cut_by.files), folder, "first"), classes, folder, "v1", words, cut_by.files, percent)
     labels = connected_components(links, folder, "c1")
-    rest = stash(_cross_pairs(groups, classes, labels, cut_by.parts, compare).coalesce(cut_by.files), folder, "rest")
+    rest = stash(_cross_pairs(groups, classes, labels, cut_by.parts, compare, sharper).coalesce(cut_by.files), folder, "rest")
     if rest.limit(1).count():
         more = _verified(rows, rest, classes, folder, "v2", words, cut_by.files, percent)
         labels = connected_components(links.union(more), folder, "c2")
