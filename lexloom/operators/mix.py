@@ -6,48 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..shared import shared_dir, stash
+from .order import numbered, prefix_until, random_stream_windows, ranked, running_total, stream_split, stream_windows, stride_sample, tail_split, within
 
-#: Consecutive order numbers that one task sums at once; running totals over a whole table go block by block.
-BLOCK = 100_000
-
-
-def running_total(df: DataFrame, seq: str, value: str | Column, name: str = "total") -> DataFrame:
-    """Adds the sum of `value` over all rows up to and with this one, in order of a whole-number `seq`.
-
-    Blocks of `seq` are summed first; only those sums pass through one ordered window. Rows are then summed
-    within their blocks, side by side.
-    """
-    rows = df.withColumn("_block", F.floor(F.col(seq) / BLOCK)).withColumn("_v", T.col(value))
-    blocks = rows.groupBy("_block").agg(F.sum("_v").alias("_s"))
-    before = blocks.select("_block", F.coalesce(F.sum("_s").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = F.sum("_v").over(Window.partitionBy("_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_in", inner).join(before, "_block").withColumn(name, F.col("_before") + F.col("_in")).drop("_block", "_v", "_in", "_before")
-
-
-def prefix_until(df: DataFrame, seq: str, weight: str | Column, target: float) -> DataFrame:
-    """Rows in order until their weights reach the target, with the row that crosses it; at least one row."""
-    rows = running_total(df.withColumn("_w", T.col(weight)), seq, "_w", "_t")
-    first = df.agg(F.min(seq).alias("_first"))
-    return rows.crossJoin(F.broadcast(first)).where((F.col("_t") - F.col("_w") < target) | (F.col(seq) == F.col("_first"))).drop("_w", "_t", "_first")
-
-
-def numbered(df: DataFrame, seq: str, name: str = "n") -> DataFrame:
-    """Adds the row's number from 1 in order of `seq`."""
-    return running_total(df, seq, F.lit(1), name)
-
-
-def stride_sample(df: DataFrame, seq: str, count: int) -> DataFrame:
-    """At most `count` rows at a fixed stride of the order, the first one included."""
-    step = max(1, df.count() // count) if count else 1
-    return numbered(df, seq, "_n").where((F.col("_n") - 1) % step == 0).orderBy(seq).limit(count).drop("_n")
-
-
-def tail_split(df: DataFrame, seq: str, share: float) -> DataFrame:
-    """Adds `split`: the last `share` of the order is validation."""
-    total = df.agg(F.count("*").alias("_total"))
-    cut = (F.col("_total") * (1 - share)).cast("long")
-    return numbered(df, seq, "_n").crossJoin(F.broadcast(total)).withColumn("split", F.when(F.col("_n") <= cut, "train").otherwise("validation")).drop("_n", "_total")
-
+__all__ = ["numbered", "prefix_until", "random_stream_windows", "ranked", "running_total", "stream_split", "stream_windows", "stride_sample", "tail_split", "within"]
 
 def hold_out_last(df: DataFrame, group: str, seq: str) -> DataFrame:
     """Adds `split`: each group's last row is held out."""
@@ -60,21 +21,6 @@ def seeded_key(seed: int, key: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), T.col(key).cast("string")))
 
 
-def ranked(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
-    """Adds the row's number from 1 in an order of any columns, without one task that sees all rows.
-
-    Rows are dealt over partitions by ranges of the order and written; only the partitions' counts pass through one
-    window, and rows are numbered within theirs. Equal rows get numbers one after the other.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = stash(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), shared_dir(spark), "ranges")
-    counts = cut.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    n = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return cut.withColumn("_n", n).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_n")).drop("_p", "_n", "_b")
-
-
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     """Adds `place`: the row's number in the seeded order; of equal keys in any order."""
     return ranked(df.withColumn("_k", seeded_key(seed, key)), "_k", key).drop("_k")
@@ -118,7 +64,9 @@ def cycled(blocks: DataFrame, seq: str, text: str, target: int, dialect: str = "
     if words + own <= 0:
         raise ValueError("blocks without words never reach a target")
     cycles = max(1, -(-target // (words + own)))
-    rows = spark.range(1, cycles + 1).withColumnRenamed("id", "cycle").crossJoin(F.broadcast(blocks.select(seq, text)))
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((cycles - 1) // COPIES).cast("long")))
+    every = F.explode(F.sequence(F.col("_k") * COPIES + 1, F.least(F.lit(cycles), (F.col("_k") + 1) * COPIES)))
+    rows = blocks.select(seq, text).withColumn("_k", turns).select(every.alias("cycle"), seq, text)  # each block makes its own copies
     heads = spark.range(1, cycles + 1).select(F.col("id").alias("cycle"), F.lit(-1).cast(blocks.schema[seq].dataType).alias(seq), F.format_string(header, "id").alias(text)) if header is not None else None
     return rows if heads is None else heads.unionByName(rows)
 
@@ -195,13 +143,6 @@ def resolved(name: str, options: tuple[str, ...], aliases: dict[str, str] | None
     return key
 
 
-def within(df: DataFrame, group: str, seq: str, name: str) -> DataFrame:
-    """Adds the row's number from 1 within its group, by one order of all rows; a group of any size is dealt over partitions."""
-    rows = ranked(df, group, seq, name="_r")
-    first = rows.groupBy(group).agg(F.min("_r").alias("_f")).withColumnRenamed(group, "_g")
-    return rows.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_r") - F.col("_f") + 1).drop("_r", "_f", "_g")
-
-
 def group_ids(df: DataFrame, group: str, seq: str, width: int = 3) -> DataFrame:
     """Adds `id`: the group's name and a padded number within it."""
     return within(df, group, seq, "_n").withColumn("id", F.concat(F.col(group), F.lit("-"), F.lpad(F.col("_n").cast("string"), width, "0"))).drop("_n")
@@ -229,21 +170,33 @@ COPIES = 1 << 16
 
 
 def apart(df: DataFrame, item: str, seed: int = 42) -> DataFrame:
-    """(place, item): all rows in an order without equal neighbours.
+    """(place, item): all rows from place 0 on, without equal neighbours: always the item with the most copies left but for the one just placed, ties by a seeded order.
 
-    Rows stand by item, the most frequent first, and take the even places in turn, then the odd ones; that parts
-    all copies of an item of which there are at most half, rounded up. An item of more is an error. Only counts of
-    items are put in order; places come from sums, side by side.
+    A row has a level, the copies left when its turn comes. By (level falling, tie) all rows stand as wanted if two items or more share
+    the most copies. One item ahead of all others takes every second place, and the others go between in their own order,
+    until one of them comes before it; from there on the order of levels holds again. So one ranking of the copies
+    gives every place. An item of more than half of all rows, rounded up, is an error.
     """
-    counts = df.groupBy(item).agg(F.count("*").alias("n")).select(F.col(item).alias("item"), "n", (-F.col("n")).alias("m"), seeded_key(seed, item).alias("tie"))
-    placed = running_total(ranked(counts, "m", "tie", "item", name="_r"), "_r", "n", "_t").withColumn("_b", F.col("_t") - F.col("n"))
-    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.max("n").alias("most")).first()
-    half = -(-facts.total // 2)
-    if facts.most and facts.most > half:
+    counts = df.groupBy(item).agg(F.count("*").alias("n")).select(F.col(item).alias("item"), "n", seeded_key(seed, item).alias("tie"))
+    counts = stash(ranked(counts, "tie", "item", name="_t"), shared_dir(df.sparkSession), "counts")
+    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    top = counts.orderBy(F.desc("n"), "_t").limit(2).collect()
+    if top and top[0].n > -(-facts.total // 2):
         raise ValueError("an item has too many copies to keep them apart")
-    parts = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
-    rows = parts.withColumn("_i", F.explode(F.sequence(F.col("_k") * COPIES, F.least(F.col("n"), (F.col("_k") + 1) * COPIES) - 1))).withColumn("_at", F.col("_b") + F.col("_i"))
-    return rows.select(F.when(F.col("_at") < half, 2 * F.col("_at")).otherwise(2 * (F.col("_at") - half) + 1).alias("place"), "item")
+    parts = counts.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    rows = parts.select("item", "_t", F.explode(F.sequence(F.col("_k") * COPIES + 1, F.least(F.col("n"), (F.col("_k") + 1) * COPIES))).alias("_l"))
+    rows = ranked(rows.withColumn("_down", -F.col("_l")), "_down", "_t", name="_g").drop("_down")
+    if not top or len(top) > 1 and top[0].n == top[1].n:
+        return rows.select((F.col("_g") - 1).alias("place"), "item")
+    rows = stash(rows, shared_dir(df.sparkSession), "copies")
+    first, most = top[0]._t, top[0].n
+    turn = F.col("_g") - (most - F.col("_l")) - (F.col("_t") > first).cast("long")  # the number among the other items' rows
+    other = F.col("_t") != first
+    wins = (F.col("_l") > most - turn + 1) | ((F.col("_l") == most - turn + 1) & (F.col("_t") < first))
+    lost = rows.where(other & (turn >= 2) & wins).agg(F.min(turn).alias("j")).first().j
+    alone = most if lost is None else lost - 1  # copies of the first item that take every second place
+    place = F.when(~other & (F.col("_l") > most - alone), 2 * (most - F.col("_l"))).when(other & (turn <= alone), 2 * turn - 1).otherwise(F.col("_g") - 1)
+    return rows.select(place.alias("place"), "item")
 
 
 def token_windows(ids: str | Column, size: int, stride: int) -> Column:
@@ -267,9 +220,9 @@ def random_windows(df: DataFrame, seq: str, ids: str, size: int, count: int, see
 
 def contrast_cycled(df: DataFrame, seq: str, comparison: Column, answer: str, contrasts: tuple[str, ...]) -> DataFrame:
     """Adds `cycled`: comparison questions take the next contrast answer in turn, others keep their own."""
-    rows = running_total(df.withColumn("_c", comparison.cast("int")), seq, "_c", "_n")
+    turns = ranked(df.where(comparison).select(F.col(seq).alias("_s")), "_s", name="_n")  # the questions' numbers alone are put in order
     turn = F.get(F.array(*map(F.lit, contrasts)), F.pmod(F.col("_n") - 1, F.lit(len(contrasts))).cast("int"))
-    return rows.withColumn("cycled", F.when(F.col("_c") == 1, turn).otherwise(F.col(answer))).drop("_c", "_n")
+    return df.join(turns, F.col(seq) == F.col("_s"), "left").withColumn("cycled", F.when(F.col("_n").isNotNull(), turn).otherwise(F.col(answer))).drop("_s", "_n")
 
 
 def sampled(df: DataFrame, key: str, want: int, seed: int = 42) -> DataFrame:

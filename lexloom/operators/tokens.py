@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import heapq
 import json
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
-from itertools import groupby, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon as L, text as T
-from ..shared import discard, shared_dir, stash
-from .mix import ranked
+from .merges import ALREADY, END_OF_WORD, NO_PAIRS, REACHED, Merges, joined, learn_merges, symbols
+from .order import ranked
 
-END_OF_WORD = "</w>"
+__all__ = ["ALREADY", "NO_PAIRS", "REACHED", "learn_merges"]
 
 
 def word_frequency(df: DataFrame, text: str = "text", dialect: str = "space") -> DataFrame:
@@ -25,12 +20,6 @@ def word_frequency(df: DataFrame, text: str = "text", dialect: str = "space") ->
     return df.select(F.explode(T.words(text, dialect)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def symbols(word: str | Column) -> Column:
-    """A word's characters and the end marker; a lone line end is itself."""
-    c = T.col(word)
-    return F.when(c == "\n", F.array(F.lit("\n"))).otherwise(F.array_append(F.split(c, ""), F.lit(END_OF_WORD)))
-
-
 def pair_counts(frequency: DataFrame) -> DataFrame:
     """(left, right, n): adjacent symbols weighted by word frequency."""
     pairs = T.let(symbols("word"), lambda s: F.transform(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.struct(F.element_at(s, i).alias("left"), F.element_at(s, i + 1).alias("right"))))
@@ -61,207 +50,6 @@ def as_ids(df: DataFrame, seq: str, text: str, vocabulary: DataFrame, dialect: s
     return df.select(F.col(seq)).join(ids, F.col(seq) == F.col("_s"), "left").select(seq, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
-@dataclass
-class Merges:
-    """Learned merges in order, the vocabulary, and why learning stopped."""
-
-    pairs: list[tuple[str, str]] = field(default_factory=list)
-    vocabulary: set[str] = field(default_factory=set)
-    initial: int = 0
-    repeated_tokens: int = 0
-    stopped: str = "target_vocab_reached"  # REACHED
-
-    @property
-    def rank(self) -> dict[tuple[str, str], int]:
-        out: dict[tuple[str, str], int] = {}
-        for k, p in enumerate(self.pairs):
-            out.setdefault(p, k)
-        return out
-
-    @property
-    def ids(self) -> dict[str, int]:
-        return {t: k for k, t in enumerate(sorted(self.vocabulary))}
-
-
-def joined(symbols_: list[str], pair: tuple[str, str]) -> list[str]:
-    """All of a pair merged, from the left, without overlap."""
-    out: list[str] = []
-    for s in symbols_:
-        if out and (out[-1], s) == pair and out[-1] is not None:
-            out[-1] = (pair[0] + pair[1],)  # closed: takes part in no further merge of this pass
-        else:
-            out.append(s)
-    return [x[0] if isinstance(x, tuple) else x for x in out]
-
-
-#: Distinct words up to which the merge loop runs on the driver; more stay on the cluster.
-DRIVER_WORDS = 2_000_000
-#: Most frequent pairs that a round on the cluster looks at.
-ROUND_PAIRS = 4096
-
-# Why learning stops.
-REACHED, NO_PAIRS, ALREADY = "target_vocab_reached", "no_adjacent_symbol_pairs_left", "initial_vocab_already_reaches_target"
-
-
-def learn_merges(frequency: DataFrame, target: int, *, driver_words: int = DRIVER_WORDS, ties: str = "smallest") -> Merges:
-    """Merge the most frequent pair until the vocabulary has `target` tokens.
-
-    Of equally frequent pairs the smallest is taken, or with ties="first" the one that stands first in the words'
-    own order (frequency then needs `seq`; on the driver only). The corpus is reduced to word counts on the cluster.
-    Up to `driver_words` different words, by their count, the loop runs on those alone on the driver (about 200
-    bytes each); beyond, in rounds on the cluster.
-    """
-    if ties == "first" or frequency.count() <= driver_words:
-        return _merge_loop(frequency.orderBy("seq" if ties == "first" else "word").select("word", "n").toArrow().to_pandas(), target, ties == "first")
-    return _merge_rounds(frequency, target)
-
-
-def _split(word: str) -> list[str]:
-    return [*word, END_OF_WORD] if word != "\n" else ["\n"]
-
-
-def _merge_loop(got: pd.DataFrame, target: int, first: bool) -> Merges:
-    words, counts = [_split(w) for w in got["word"]], got["n"].tolist()
-    out = Merges(vocabulary={s for w in words for s in w})
-    out.initial = len(out.vocabulary)
-    index = _PairIndex(words, counts)
-    if out.initial >= target:
-        out.stopped = ALREADY
-    while len(out.vocabulary) < target:
-        pair = index.first_counted() if first else index.best()
-        if pair is None:
-            out.stopped = NO_PAIRS
-            break
-        out.repeated_tokens += pair[0] + pair[1] in out.vocabulary
-        out.pairs.append(pair)
-        out.vocabulary.add(pair[0] + pair[1])
-        index.merge(pair)
-    return out
-
-
-class _PairIndex:
-    """Counts of adjacent pairs over weighted words, and which words may hold each; kept up to date as pairs merge."""
-
-    def __init__(self, words: list[list[str]], counts: list[int]):
-        self.words, self.counts = words, counts
-        self.total: Counter[tuple[str, str]] = Counter()
-        self.held: dict[tuple[str, str], set[int]] = {}
-        for k, w in enumerate(words):
-            n = counts[k]
-            for p in pairwise(w):
-                self.total[p] += n
-                self.held.setdefault(p, set()).add(k)
-        self.queue = [(-n, p) for p, n in self.total.items()]
-        heapq.heapify(self.queue)
-
-    def best(self) -> tuple[str, str] | None:
-        """The most frequent pair, of equals the smallest; entries of the queue whose count has changed are skipped."""
-        while self.queue:
-            n, p = self.queue[0]
-            if n < 0 and self.total.get(p) == -n:
-                return p
-            heapq.heappop(self.queue)
-        return None
-
-    def first_counted(self) -> tuple[str, str] | None:
-        """The most frequent pair, of equals the one that a count of the words in order meets first."""
-        most = max(self.total.values(), default=0)
-        if most <= 0:
-            return None
-        tied = [p for p, n in self.total.items() if n == most]
-        place = lambda p: min((k, i) for k in self.held[p] for i, q in enumerate(pairwise(self.words[k])) if q == p)
-        return tied[0] if len(tied) == 1 else min(tied, key=place)
-
-    def merge(self, pair: tuple[str, str]) -> None:
-        """Merge a pair everywhere. Only counts of pairs beside it change: with what stands on its left, perhaps just merged, and on its right."""
-        a, b = pair
-        new, total, held = a + b, self.total, self.held
-        changed: set[tuple[str, str]] = set()
-        for k in held.pop(pair, ()):
-            w, n, out, i = self.words[k], self.counts[k], [], 0
-            last = len(w) - 1
-            while i <= last:
-                x = w[i]
-                if x != a or i == last or w[i + 1] != b:
-                    out.append(x)
-                    i += 1
-                    continue
-                for gone, come in (((out[-1], a), (out[-1], new)) if out else (None, None), ((b, w[i + 2]), (new, w[i + 2])) if i + 2 <= last else (None, None)):
-                    if gone:
-                        total[gone] -= n
-                        total[come] += n
-                        changed.add(gone)
-                        changed.add(come)
-                        held.setdefault(come, set()).add(k)
-                total[pair] -= n
-                out.append(new)
-                i += 2
-            self.words[k] = out
-        changed.add(pair)
-        for p in changed:
-            if total[p] > 0:
-                heapq.heappush(self.queue, (-total[p], p))
-            else:
-                del total[p]
-
-
-def independent(top: list[tuple[int, str, str]]) -> list[tuple[str, str]]:
-    """Pairs of a list (count falling, then the pair) that can merge in one round just as one after the other.
-
-    Merging a pair changes only pairs that share a symbol with it, and what it makes anew is no more frequent than
-    the pair it is made from. So pairs are taken as long as all that are as frequent share no symbol with those
-    before them; a group of equals with a shared symbol ends the round in front of it, or gives its first pair alone.
-    """
-    out: list[tuple[str, str]] = []
-    used: set[str] = set()
-    for _, group in groupby(top, key=lambda x: x[0]):
-        own = [(a, b) for _, a, b in group]
-        symbols_ = [s for p in own for s in set(p)]
-        if len(set(symbols_)) < len(symbols_) or used.intersection(symbols_):
-            return out or own[:1]
-        out += own
-        used.update(symbols_)
-    return out
-
-
-def _merge_rounds(frequency: DataFrame, target: int) -> Merges:
-    """The merge loop over a table of words as arrays of symbols; a round counts pairs, takes all that it may, and writes the table anew."""
-    spark, out = frequency.sparkSession, Merges()
-    folder = shared_dir(spark)
-    table = stash(frequency.select("n", symbols("word").alias("s")), folder, "words-0")
-    out.vocabulary = {r.c for r in table.select(F.explode("s").alias("c")).distinct().collect()}  # characters, not words
-    out.initial = len(out.vocabulary)
-    if out.initial >= target:
-        out.stopped = ALREADY
-    k = 0
-    while len(out.vocabulary) < target:
-        both = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("b"))
-        counts = table.where(F.size("s") > 1).select("n", F.explode(both).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
-        top = [(r.n, r.a, r.b) for r in counts.orderBy(F.desc("n"), "a", "b").limit(ROUND_PAIRS).collect()]
-        if len(top) == ROUND_PAIRS and top[0][0] > top[-1][0]:
-            top = [x for x in top if x[0] > top[-1][0]]  # the last group of equals may be cut
-        if not top:
-            out.stopped = NO_PAIRS
-            break
-        chosen = []
-        for pair in independent(top) if top[0][0] > 0 else []:
-            if len(out.vocabulary) >= target:
-                break
-            out.repeated_tokens += pair[0] + pair[1] in out.vocabulary
-            out.pairs.append(pair)
-            out.vocabulary.add(pair[0] + pair[1])
-            chosen.append(pair)
-
-        def merge(batches: Iterator[pd.DataFrame], chosen=tuple(chosen)) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"n": b["n"], "s": [reduce(lambda w, p: joined(w, p) if p[0] in w and p[1] in w else w, chosen, list(s)) for s in b["s"]]})
-
-        k += 1
-        table = stash(table.mapInPandas(merge, "n long, s array<string>"), folder, f"words-{k}")
-        discard(spark, folder, f"words-{k - 1}")
-    return out
-
-
 def save_merges(merges: Merges, spark: SparkSession, path: str) -> None:
     """A learned vocabulary as one JSON file, in any store that Spark writes: end_marker, merges, vocab, stoi."""
     body = json.dumps({"end_marker": END_OF_WORD, "merges": [list(p) for p in merges.pairs], "vocab": sorted(merges.vocabulary), "stoi": merges.ids}, ensure_ascii=False)
@@ -274,7 +62,8 @@ def load_merges(spark: SparkSession, path: str) -> Merges:
     if sorted(body["stoi"], key=body["stoi"].get) != sorted(body["vocab"]):
         raise ValueError("ids don't follow the sorted vocabulary")
     out = Merges([tuple(p) for p in body["merges"]], set(body["vocab"]))
-    out.initial = sum(len(t) == 1 or t in (body.get("end_marker", END_OF_WORD), "\n") for t in out.vocabulary)
+    out.alphabet = frozenset(t for t in out.vocabulary if len(t) == 1 or t == body.get("end_marker", END_OF_WORD))
+    out.initial = len(out.alphabet)
     return out
 
 
@@ -330,6 +119,10 @@ def estimated_tokens(df: DataFrame, seq: str, merges: Merges, sample: int, text:
     return words.crossJoin(F.broadcast(ratio)).withColumn("estimated_tokens", F.round(F.col("words") * F.col("tokens_per_word")).cast("long"))
 
 
+def _split(word: str) -> list[str]:
+    return [*word, END_OF_WORD] if word != "\n" else ["\n"]
+
+
 def encode_word(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
     """The lowest-ranked adjacent pair merged everywhere, until none is known."""
     s = _split(word)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import mix as M, tokens as K
+from ..operators.order import equal_runs, longest_run, without_repeats
 from .common import HYPHEN, fold, one_line, table
 from .queries_pairs import SQL_PAIRS, _pairs
 
@@ -82,16 +83,70 @@ _REPEAT = "select copy, count(*) as n from (select unnest(range(1, item_id % 3 +
 
 
 def no_adjacent_dups(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items, each a few times, spread so that none follows itself; told by the longest run, which must be 1."""
-    rows = M.repeat_rows(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item")), F.col("item").cast("long") % 4 + 1)
-    placed = M.apart(rows, "item").withColumn("g", F.lit(0))
-    from ..operators.corpus import longest_equal_run
+    """Benchmark items, each a few times and one of them often, in an order without equal neighbours: every place."""
+    times = F.when(F.col("item") == "0", 25).otherwise(F.col("item").cast("long") % 4 + 1)
+    rows = M.repeat_rows(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item")), times)
+    return M.apart(rows, "item")
 
-    n = placed.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"))
-    return longest_equal_run(placed, "g", "place", "item").join(n, "g").select("longest", "n", "items")
 
+# the heap's rule step by step: the most copies left, but for the item just placed; ties by the seeded order
+_SPREAD = """with recursive i as (select list(item order by md5('42|' || item)) as items, list(n order by md5('42|' || item)) as n, sum(n)::bigint as total from (select item_id::varchar as item, case when item_id = 0 then 25 else item_id % 4 + 1 end as n from benchmark)),
+s as (select -1::bigint as place, n, 0::bigint as last from i union all select place + 1, list_transform(n, lambda c, k: case when k = best then c - 1 else c end), best
+from (select s.place, s.n, list_position(m, list_max(m))::bigint as best from (select place, n, list_transform(n, lambda c, k: case when k = last then 0 else c end) as m from s) s, i where place + 1 < total))
+select place, items[last] as item from s, i where last > 0"""
 
-_SPREAD = "select 1::bigint as longest, sum(item_id % 4 + 1)::bigint as n, count(*) as items from benchmark"
+
+def corpus_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of one language in the order of the whole corpus, three or more."""
+    return equal_runs(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 3)
+
+
+_RUNS = """with r as (select doc_id, row_number() over (order by doc_id) - row_number() over (partition by lang order by doc_id) as g, lang from documents)
+select min(doc_id) as first, count(*) as n from r group by g, lang having count(*) >= 3"""
+
+
+def corpus_without_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose language isn't that of the one before, and the longest run of folded sources."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return without_repeats(docs, "doc_id", "lang").select("doc_id").crossJoin(F.broadcast(longest_run(docs, "doc_id", "source")))
+
+
+_FIRSTS = f"""with s as (select row_number() over (order by doc_id) - row_number() over (partition by {fold('source')} order by doc_id) as g, {fold('source')} as f from documents), m as (select max(n) as longest from (select count(*) as n from s group by g, f))
+select doc_id, longest from (select doc_id, lang, lag(lang) over (order by doc_id) as b from documents), m where lang is distinct from b"""
+
+
+def sparse_running_total(spark: SparkSession, d: str) -> DataFrame:
+    """Running totals over keys that are far apart."""
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") * 1_000_000_007_000).alias("seq"), F.col("o_custkey").alias("v"))
+    return M.running_total(rows, "seq", "v")
+
+
+_SPARSE = "select o_orderkey * 1000000007000 as seq, o_custkey as v, sum(o_custkey) over (order by o_orderkey)::bigint as total from orders"
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"))
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of the characters' code points of all documents as one stream, across documents, at starts that look random."""
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return M.random_stream_windows(_stream(spark, d), "doc_id", "ids", 3000, 40).select("k", text("x"), text("y"))
+
+
+_CODES = lambda at: f"array_to_string(list_transform(string_split(substr(s, b + {at}, 3000), ''), lambda c: unicode(c)), ',')"
+_STREAM = f"""with a as (select string_agg(text, '' order by doc_id) as s, sum(length(text))::bigint as n from documents), w as (select k, ('0x' || substr(md5('42|' || k), 1, 15))::bigint % (n - 3000) as b from range(0, 40) x(k), a)
+select k, {_CODES(1)} as x, {_CODES(2)} as y from w, a"""
+
+
+def stream_split(spark: SparkSession, d: str) -> DataFrame:
+    """The last tenth of all characters as validation, with the document across the border in both parts."""
+    rows = M.stream_split(_stream(spark, d), "doc_id", "ids", 0.1)
+    return rows.select("doc_id", "split", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"))
+
+
+_STREAM_SPLIT = """with r as (select doc_id, text, length(text) as n, sum(length(text)) over (order by doc_id) - length(text) as b, sum(length(text)) over () as t from documents), c as (select *, least(greatest(trunc(t * (1 - 0.1::double))::bigint - b, 0), n)::bigint as k from r)
+select doc_id, 'train' as split, k::int as n, unicode(text) as first from c where k > 0 union all select doc_id, 'validation', (n - k)::int, unicode(substr(text, k + 1, 1)) from c where n > k"""
 
 
 def _word_ids(df: DataFrame, seq: str, text: str, known: DataFrame) -> DataFrame:
@@ -277,9 +332,10 @@ select false as generated, count(*) as n, count(distinct text) as texts from e u
 
 QUERIES = {f.__name__: f for f in (
     random_windows, contrast_cycled, with_generated, balanced_tail, generated_corpus, cycled_corpus, composed_answers, topic_rows, prefix_to_target, chat_mix_ratio, domain_word_share, stride_sample, tail_split, hold_out_last, seeded_order, group_numbering, repeat_rows, no_adjacent_dups, next_token_windows, sft_loss_weights, arithmetic_grid,
-    template_questions, hard_negatives, running_word_total,
+    template_questions, hard_negatives, running_word_total, corpus_runs, corpus_without_repeats, sparse_running_total, stream_windows, stream_split,
 )}
 ORACLE_SQL = {
     "random_windows": _RANDOM, "contrast_cycled": _CONTRAST, "with_generated": _WITH, "balanced_tail": _TAIL_PICKS, "generated_corpus": _GENERATED, "cycled_corpus": _CYCLED, "composed_answers": _COMPOSED, "topic_rows": _TOPICS, "prefix_to_target": _PREFIX, "chat_mix_ratio": _MIX, "domain_word_share": _SHARE, "stride_sample": _STRIDE, "tail_split": _TAIL, "hold_out_last": _LAST, "seeded_order": _SEEDED, "group_numbering": _NUMBER, "repeat_rows": _REPEAT,
     "no_adjacent_dups": _SPREAD, "next_token_windows": _WINDOWS, "sft_loss_weights": _LOSS, "arithmetic_grid": _GRID, "template_questions": _TEMPLATE, "hard_negatives": _NEGATIVES, "running_word_total": _TOTAL,
+    "corpus_runs": _RUNS, "corpus_without_repeats": _FIRSTS, "sparse_running_total": _SPARSE, "stream_windows": _STREAM, "stream_split": _STREAM_SPLIT,
 }

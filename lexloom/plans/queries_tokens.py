@@ -88,19 +88,18 @@ _DECODE = f"select count(*) as words, count(*) as same from (select distinct wor
 
 def token_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Tokens a word of two vocabularies over the documents."""
-    docs = table(spark, d, "documents")
-    f = K.word_frequency(docs)
+    docs, merges = table(spark, d, "documents"), _merges(spark, d)
     rows = []
     for target in (200, 400):
-        c = K.token_counts(docs.select("doc_id", "text"), "doc_id", K.learn_merges(f, target)).agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
+        c = K.token_counts(docs.select("doc_id", "text"), "doc_id", merges.until(target)).agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
         rows.append(c.withColumn("target", F.lit(target)))
     return rows[0].union(rows[1])
 
 
 def tokenizer_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Conversations' pairs under the vocabulary of documents, against one of single characters."""
-    pairs = _pairs(spark, d).select("seq", "instruction", "response")
-    return K.coverage_report(pairs, _merges(spark, d), K.Merges(vocabulary=_merges(spark, d).vocabulary), "seq")
+    pairs, merges = _pairs(spark, d).select("seq", "instruction", "response"), _merges(spark, d)
+    return K.coverage_report(pairs, merges, K.Merges(vocabulary=merges.vocabulary), "seq")
 
 
 def prompt_ids(spark: SparkSession, d: str) -> DataFrame:

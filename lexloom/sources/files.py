@@ -6,11 +6,11 @@ import html as html_entities
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..operators.order import next_fit
 
 # File kinds read, tags whose content is dropped, tags that end a line.
 KINDS = ("txt", "md", "jsonl", "html", "htm", "pdf")
@@ -124,34 +124,8 @@ def ingest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def assign_shards(df: DataFrame, seq: str, size: str, most: int) -> DataFrame:
-    """Adds `shard`: rows in order fill one until the next row would pass `most` bytes (a lone row may).
-
-    The rule is sequential: where a shard ends depends on where the one before did. So (seq, size) pairs, 16 bytes
-    a row and no texts, stream through one task in order; there a shard's end is found by halving the batch's
-    running sizes, so that the work is a sum a row and a search a shard. The result joins back on seq.
-    """
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, used, held = 0, 0, False  # the open shard, its bytes, and whether it has rows
-        for b in batches:
-            sizes = b["_size"].to_numpy(np.int64)
-            total = np.cumsum(sizes)
-            out, at, before = np.empty(len(sizes), np.int64), 0, 0
-            while at < len(sizes):
-                end = int(np.searchsorted(total, most - used + before, "right"))
-                if end <= at and not held:  # a row that is too large by itself
-                    end = at + 1
-                out[at:end] = shard
-                if end > at:
-                    used, held = used + int(total[end - 1]) - before, True
-                    before = int(total[end - 1])
-                if end < len(sizes):
-                    shard, used, held = shard + 1, 0, False
-                at = max(at, end)
-            yield pd.DataFrame({"_seq": b["_seq"], "shard": out})
-
-    pairs = df.select(F.col(seq).alias("_seq"), F.col(size).cast("long").alias("_size")).coalesce(1).sortWithinPartitions("_seq")
-    filled = pairs.mapInPandas(fill, f"_seq {df.schema[seq].dataType.simpleString()}, shard long")
+    """Adds `shard`: rows in order fill one until the next row would pass `most` bytes (a lone row may). (seq, size) alone are put in order."""
+    filled = next_fit(df, seq, size, most).withColumnRenamed(seq, "_seq")
     return df.join(filled, F.col(seq) == F.col("_seq")).drop("_seq")
 
 

@@ -1,16 +1,19 @@
 """Operators that SQL can't check, against brute force on small tables; rules for repeats, nulls and errors."""
 
+import heapq
+import itertools
 import json
 import math
 import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import answers as A, lexicon as L, text as T
-from lexloom.operators import corpus as C, evaluate as E, mix as M, pairs as P, tokens as K
+from lexloom.operators import corpus as C, evaluate as E, mix as M, order as O, pairs as P, tokens as K
 from lexloom.shared import spread
 from lexloom.sources import files
 
@@ -70,6 +73,115 @@ def test_shards_are_those_of_the_sequential_rule(spark):
         got = files.assign_shards(spark.createDataFrame(list(enumerate(sizes)), "seq long, n long"), "seq", "n", most).orderBy("seq").collect()
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert [r.shard for r in got] == want
+    assert files.assign_shards(spark.createDataFrame([], "seq long, n long"), "seq", "n", 9).count() == 0
+
+
+def test_ranges_act_on_the_open_shard_as_their_rows_do(monkeypatch):
+    """Step functions of ranges, put together in any grouping, against the sequential rule; steps for the rows of one shard at most."""
+    rng = random.Random(5)
+    for _ in range(300):
+        most = rng.choice((1, 5, 20, 200))
+        sizes = np.array([rng.choice((0, 1, 2, 7, 30)) for _ in range(rng.randint(1, 60))])
+        total, at = np.cumsum(sizes), sorted({0, *(rng.randrange(len(sizes)) for _ in range(5)), len(sizes)})
+        parts = [O._summary(total[a:b], int(total[a - 1]) if a else 0, most) for a, b in itertools.pairwise(at)]
+        starts, used, held = [], 0, False
+        for k, n in enumerate(sizes.tolist()):
+            if not held or used + n > most:
+                starts.append(k)
+                used, held = 0, True
+            used += n
+        want = int(total[starts[-1] - 1] if starts[-1] else 0) + most
+        whole = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        reach = -1
+        for p in parts:
+            whole, reach = O._joined(whole, p), O._through(p, reach)
+        assert O._through(whole, -1) == reach == want
+    steps = O._summary(np.cumsum(np.random.default_rng(1).integers(1, 100, 100_000)), 0, 50_000)
+    assert len(steps[0]) < 200  # of about 1,000 rows in which the first shard may end
+
+
+def test_shards_by_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "FAN", 2)
+    rng = random.Random(6)
+    sizes = [rng.choice([1, 3, 9, 60]) for _ in range(500)]
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = files.assign_shards(spark.createDataFrame([(k * 10**12, n) for k, n in enumerate(sizes)], "seq long, n long").repartition(3), "seq", "n", 100).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    shard = used = 0
+    for r, n in zip(got, sizes, strict=True):
+        shard, used = (shard + 1, n) if used and used + n > 100 else (shard, used + n)
+        assert r.shard == shard
+
+
+# -- orders
+
+
+def test_sparse_keys_make_no_more_blocks_than_ranges(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(100)) for k in {rng.randrange(-(2**62), 2**62) for _ in range(3000)}]
+    df = spark.createDataFrame(rows, "seq long, v long").repartition(5)
+    assert O.dealt(df, "seq").select("_p").distinct().count() <= 4
+    got = M.running_total(df, "seq", "v").orderBy("seq").collect()
+    assert [r.total for r in got] == list(itertools.accumulate(v for _, v in sorted(rows)))
+    both = O.scanned(df.withColumn("s", F.col("seq").cast("string")), "s", a="v", b=F.lit(1)).orderBy("s").collect()
+    assert [r.a for r in both] == list(itertools.accumulate(v for _, v in sorted((str(k), v) for k, v in rows))) and [r.b for r in both] == list(range(1, 3001))
+    assert M.prefix_until(df, "seq", "v", 10**9).count() == 3000 and M.tail_split(df, "seq", 1.0).where("split = 'train'").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_of_the_stream(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k * 7, [rng.randrange(1000) for _ in range(rng.choice((0, 1, 2, 50, 3000)))] if rng.random() < 0.9 else None) for k in range(40)]
+    stream = [x for _, ids in rows for x in ids or ()]
+    df = spark.createDataFrame(rows, "seq long, ids array<int>").repartition(3)
+    size = rng.choice((1, 8, 700))
+    at = [0, len(stream) - size - 1, len(stream) - size, -1, *(rng.randrange(len(stream)) for _ in range(20))]
+    got = {r.k: (r.x, r.y) for r in M.stream_windows(df, "seq", "ids", spark.createDataFrame(list(enumerate(at)), "k long, start long"), size).collect()}
+    assert got == {k: (stream[s : s + size], stream[s + 1 : s + size + 1]) for k, s in enumerate(at) if 0 <= s < len(stream) - size}
+    some = M.random_stream_windows(df, "seq", "ids", size, 9).collect()
+    assert len(some) == 9 and all(r.x[1:] == r.y[:-1] and len(r.y) == size for r in some)
+    keep = int(len(stream) * 0.75)
+    parts = M.stream_split(df, "seq", "ids", 0.25).orderBy("seq").collect()
+    assert [x for r in parts if r.split == "train" for x in r.ids] == stream[:keep] and [x for r in parts if r.split == "validation" for x in r.ids] == stream[keep:]
+    with pytest.raises(ValueError, match="holds no window"):
+        M.random_stream_windows(df, "seq", "ids", len(stream), 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_across_ranges(spark, seed):
+    rng = random.Random(seed)
+    items = ["a"] * 60 if seed == 0 else [x for _ in range(rng.choice((3, 40))) for x in [rng.choice(("a", "A", "b", None))] * rng.choice((1, 1, 2, 30))]
+    df = spark.createDataFrame([(k * 10**9, x) for k, x in enumerate(items)], "seq long, x string").repartition(3)
+    want, at = [], 0
+    for _, group in itertools.groupby(items):
+        n = len(list(group))
+        want.append((at * 10**9, n))
+        at += n
+    assert sorted((r["first"], r.n) for r in O.equal_runs(df, "seq", "x").collect()) == want
+    assert O.longest_run(df, "seq", "x").first().longest == max(len(list(g)) for _, g in itertools.groupby(x and x.lower() for x in items))
+    assert sorted(r.seq for r in O.without_repeats(df, "seq", "x").collect()) == [k for k, _ in want]
+    assert O.longest_run(df.limit(0), "seq", "x").first().longest == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_copies_stand_as_the_heap_places_them(spark, seed):
+    rng = random.Random(seed)
+    counts = [[1], [3, 2], [5, 1, 1, 1, 1], [9, 4, 4, 2], [4, 4, 1]][seed] if seed < 3 else [rng.randint(1, 9) for _ in range(9)] + [30]
+    rows = [(f"i{k}",) for k, n in enumerate(counts) for _ in range(n)]
+    df = spark.createDataFrame(rows, "item string").repartition(2)
+    tie = {r.item: r.key for r in df.distinct().select("item", M.seeded_key(42, "item").alias("key")).collect()}
+    heap, out, held = [(-n, tie[f"i{k}"], f"i{k}") for k, n in enumerate(counts)], [], None
+    heapq.heapify(heap)
+    while heap:
+        n, t, item = heapq.heappop(heap)
+        out.append(item)
+        if held:
+            heapq.heappush(heap, held)
+        held = (n + 1, t, item) if n + 1 < 0 else None
+    got = M.apart(df, "item").orderBy("place").collect()
+    assert [r.item for r in got] == out and [r.place for r in got] == list(range(len(rows)))
 
 
 def test_merged_corpora_as_files(spark, tmp_path):
@@ -157,26 +269,44 @@ def brute_merges(words, target, first):
     return merges, vocabulary
 
 
-def test_merges_on_driver_in_rounds_and_by_first_count(spark):
+@pytest.mark.parametrize("ahead, guess_words", [(256, 1 << 16), (7, 1 << 16), (256, 6), (3, 40), (1, 1)])
+def test_merges_are_those_of_the_sequential_loop(spark, ahead, guess_words):
     rng = random.Random(7)
-    counts = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(400))
+    counts = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(400)) + Counter({"aaaa": 3, "aaa": 2, "\n": 9, "ééé": 1})
     words = sorted(counts.items())
-    df = spark.createDataFrame([(w, n, k) for k, (w, n) in enumerate(words)], "word string, n long, seq long")
-    want = brute_merges(words, 60, False)
-    for limit in (10**6, 0):
-        got = K.learn_merges(df, 60, driver_words=limit)
-        assert (got.pairs, got.vocabulary, got.stopped, got.initial) == (*want, K.REACHED, 5)
-    order = words[::-1]
-    turned = spark.createDataFrame([(w, n, k) for k, (w, n) in enumerate(order)], "word string, n long, seq long")
-    assert K.learn_merges(turned, 40, ties="first").pairs == brute_merges(order, 40, True)[0]
-    few = spark.createDataFrame([("ab", 1), ("\n", 3)], "word string, n long")
-    assert [K.learn_merges(few, 99, driver_words=k).stopped for k in (9, 0)] == [K.NO_PAIRS] * 2 and K.learn_merges(few, 2, driver_words=0).stopped == K.ALREADY
+    df = spark.createDataFrame([(w, n, k) for k, (w, n) in enumerate(words)], "word string, n long, seq long").repartition(5)
+    target = 60 if ahead > 1 else 16
+    got = K.learn_merges(df, target, ahead=ahead, guess_words=guess_words)
+    assert (got.pairs, got.vocabulary, got.stopped, got.initial) == (*brute_merges(words, target, False), K.REACHED, 7)
+    assert got.until(20 if ahead > 1 else 12).pairs == brute_merges(words, 20 if ahead > 1 else 12, False)[0] and got.until(3).stopped == K.ALREADY
+
 
+@pytest.mark.parametrize("guess_words", [1 << 16, 5])
+def test_merges_by_first_place(spark, guess_words):
+    rng = random.Random(9)
+    words = list(Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(60)).items())
+    df = spark.createDataFrame([(w, n, 10 * k) for k, (w, n) in enumerate(words)], "word string, n long, seq long").repartition(3)
+    assert K.learn_merges(df, 20, ties="first", guess_words=guess_words).pairs == brute_merges(words, 20, True)[0]
 
-def test_independent_pairs_stop_at_shared_symbols():
-    assert K.independent([(9, "a", "b"), (8, "c", "d"), (7, "b", "e"), (6, "x", "y")]) == [("a", "b"), ("c", "d")]
-    assert K.independent([(9, "a", "a"), (9, "a", "b"), (3, "x", "y")]) == [("a", "a")]
-    assert K.independent([(9, "a", "b"), (8, "c", "d"), (8, "d", "e")]) == [("a", "b")] and K.independent([]) == []
+
+def test_merges_end_without_pairs(spark):
+    few = spark.createDataFrame([("ab", 1), ("\n", 3)], "word string, n long")
+    got = K.learn_merges(few, 99)
+    assert got.stopped == K.NO_PAIRS and got.pairs == [("a", "b"), ("ab", "</w>")] and K.learn_merges(few, 2).stopped == K.ALREADY
+    assert K.learn_merges(few.limit(0), 9).stopped == K.NO_PAIRS and got.until(99).stopped == K.NO_PAIRS
+
+
+def test_words_never_reach_the_driver(spark, monkeypatch):
+    """What is collected while merges are learned: guessed pairs, and best pairs by step; never more rows than steps or characters."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    words = ["".join(p) for n in range(1, 6) for p in itertools.product("abc", repeat=n)]
+    df = spark.createDataFrame([(w, 1 + k % 17) for k, w in enumerate(words)], "word string, n long").repartition(4)
+    sizes, collect = [], Classic.collect
+    monkeypatch.setattr(Classic, "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+    monkeypatch.setattr(Classic, "toPandas", lambda self: pytest.fail("toPandas"))
+    monkeypatch.setattr(Classic, "toArrow", lambda self: pytest.fail("toArrow"))
+    assert len(K.learn_merges(df, 14, ahead=5, guess_words=20).pairs) >= 10 and len(words) == 363 and max(sizes) <= 6
 
 
 def test_vocabularies_are_stored(spark, tmp_path):

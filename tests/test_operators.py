@@ -108,13 +108,6 @@ def test_no_equal_neighbours(spark):
         M.apart(spark.createDataFrame([("a",)] * 3 + [("b",)], "item string"), "item").collect()
 
 
-def test_running_total_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(M, "BLOCK", 3)
-    rows = [(k * 2, k) for k in range(20)]
-    got = M.running_total(spark.createDataFrame(rows, "seq long, v long"), "seq", "v").orderBy("seq").collect()
-    assert [r.total for r in got] == [sum(range(k + 1)) for k in range(20)]
-
-
 def test_prefix_keeps_the_crossing_row(spark):
     df = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "seq long, w long")
     assert [r.seq for r in M.prefix_until(df, "seq", "w", 6).orderBy("seq").collect()] == [1, 2]
