@@ -142,7 +142,10 @@ class Transducer:
     def window(self, raw: bytes) -> list[int]:
         """Tokens of a piece that lies within one window: the same walk, longest tokens first.
 
-        One token alone can end at a place, so a place from which the walk had to turn back is never tried again.
+        It is `stream` with a lookahead of the whole piece. Both follow the same tokens under the same test of neighbours, and
+        by that test one token alone can end at a place, whichever way a walk came there; so the tokens that end at the
+        piece's end, and in front of each of those, are the same. For that reason a place from which the walk had to turn back is never
+        tried again, either. Short pieces take it because nothing of them could leave earlier.
         """
         if (t := self.tokens.get(raw)) is not None:
             return [t]

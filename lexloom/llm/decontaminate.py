@@ -16,8 +16,9 @@ from .fm_index import FMIndex
 WINDOW = 10
 #: Words of candidate runs that one index holds; documents it may cover; bytes of text kept while it fills.
 SHARD_WORDS, SHARD_DOCS, SHARD_BYTES = 1 << 19, 5_000, 16 << 20
-#: Benchmark text (characters) that one broadcast block holds; more items make more blocks, one pass of rows each.
-BLOCK_CHARS = 16 << 20
+#: Benchmark text (characters) that one broadcast block holds, and so windows: half as many at most, 40 bytes each and the
+#: items' numbers. More items make more blocks, one pass of rows each.
+BLOCK_CHARS = 2 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -29,28 +30,32 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of items, by length, and the items that hold each."""
+    """The distinct windows of a block of items, by length, and the items that hold each: arrays, made once and sent to all tasks."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], int] = {}
-        owners: list[set[int]] = []
+        found: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
-            if not w or item is None:
-                continue
-            k = min(window, len(w))
-            for i in range(len(w) - k + 1):
-                n = seen.setdefault(tuple(w[i : i + k]), len(owners))
-                if n == len(owners):
-                    owners.append(set())
-                owners[n].add(item)
-        self.owners = [sorted(x) for x in owners]
-        by_len: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-        for key, n in seen.items():
-            by_len.setdefault(len(key), []).append((n, key))
-        self.tables = [(k, np.array([n for n, _ in x]), np.array([key for _, key in x], np.int64)) for k, x in sorted(by_len.items())]
-        self.shortest = min(by_len, default=0)
+            w = np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)], np.int32)
+            if len(w) and item is not None:
+                k = min(window, len(w))
+                found.setdefault(k, []).append((item, np.lib.stride_tricks.sliding_window_view(w, k)))
+        self.shortest = min(found, default=0)
+        #: by length: number of the first window, and the windows, one a row
+        self.tables: list[tuple[int, int, np.ndarray]] = []
+        holders, counts, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for k, own in sorted(found.items()):
+            table, at = np.unique(np.concatenate([w for _, w in own]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([at.ravel(), np.repeat(np.array([i for i, _ in own], np.int64), [len(w) for _, w in own])], 1), axis=0)
+            self.tables.append((k, first, table))
+            holders.append(pairs[:, 1])
+            counts.append(np.bincount(pairs[:, 0], minlength=len(table)))
+            first += len(table)
+        self.holders, self.ends = np.concatenate(holders), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+    def items(self, numbers: np.ndarray) -> list[int]:
+        """The items that hold any of these windows."""
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(self.holders[self.ends[n] : self.ends[n + 1]] for n in numbers.tolist())])).tolist()
 
 
 def _candidate_runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +79,12 @@ def search_shard(phrases: Phrases, ids: list[np.ndarray]) -> Iterator[tuple[list
     hits: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
     if len(seq):
         index = FMIndex(seq)
-        for k, number, table in phrases.tables:
+        for k, first, table in phrases.tables:
             lo, hi = index.search(table)
             n = hi - lo
             rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             at = place[index.locate(rows)]
-            hits.append(np.stack([at, at + k, np.repeat(number, n)], axis=1))
+            hits.append(np.stack([at, at + k, np.repeat(np.arange(first, first + len(table)), n)], axis=1))
     found = np.concatenate(hits)
     found = found[np.argsort(found[:, 0], kind="stable")]
     cut = np.searchsorted(found[:, 0], starts)
@@ -91,7 +96,7 @@ def search_shard(phrases: Phrases, ids: list[np.ndarray]) -> Iterator[tuple[list
         ends = np.maximum.accumulate(own[:, 1])
         new = np.concatenate([[True], own[1:, 0] > ends[:-1]])
         begin, end = own[new, 0] - starts[d], ends[np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)] - starts[d]
-        yield list(zip(begin.tolist(), end.tolist(), strict=True)), sorted({i for p in np.unique(own[:, 2]).tolist() for i in phrases.owners[p]})
+        yield list(zip(begin.tolist(), end.tolist(), strict=True)), phrases.items(np.unique(own[:, 2]))
 
 
 SPANS = "array<struct<start:long,end:long>>"
@@ -114,7 +119,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
     it is searched, so memory doesn't follow the table. The benchmark travels in blocks of BLOCK_CHARS, measured
     first; a block's stage writes rows for the next one, so any size of benchmark works and nothing shuffles.
     `finish` (schema, function) turns the last stage's columns into others within the same pass.
-    Null or empty texts: no words, no spans. Null items, or items without words: no windows. Repeated rows and
+    Null or empty texts: no words, no spans. Very long texts: their words are held as numbers, and fill a shard alone. Null items, or items without words: no windows. Repeated rows and
     repeated items: each row is judged by itself, an item's id counts once. Empty tables: no rows, or no hits.
     """
     spark = documents.sparkSession
@@ -127,17 +132,17 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
     rows = rows.select("*", F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items"))
     folder = shared_dir(spark)
     for b in range(blocks):
-        own = spark.sparkContext.broadcast([(r.id, r.text) for r in items.where(F.col("block") == b).collect()])
-        rows = _stage(rows, own, window, keep_text or b + 1 < blocks, kept, finish if b + 1 == blocks else None)
+        own = spark.sparkContext.broadcast(Phrases([(r.id, r.text) for r in items.where(F.col("block") == b).collect()], window))
+        rows = _stage(rows, own, keep_text or b + 1 < blocks, kept, finish if b + 1 == blocks else None)
         rows = rows if b + 1 == blocks else stash(rows, folder, f"block-{b}")  # a task has one mapping, however many blocks
     return rows
 
 
-def _stage(rows: DataFrame, own, window: int, keep_text: bool, kept: str, finish: tuple[str, Callable[[dict], dict]] | None) -> DataFrame:
+def _stage(rows: DataFrame, own, keep_text: bool, kept: str, finish: tuple[str, Callable[[dict], dict]] | None) -> DataFrame:
     extra = [x.split()[0] for x in kept.split(", ")[1:]]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        phrases = Phrases(own.value, window)
+        phrases = own.value
         get = phrases.ids.get
         held: list[tuple] = []
         ids: list[np.ndarray] = []

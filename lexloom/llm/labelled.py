@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, stash, text_id
 
-#: Labelled rows that a classifier learns from, at most: the first by a hash of the id.
+#: Labelled rows that a classifier learns from, at most: the first by a hash of id and text.
 TRAIN_ROWS = 20_000
 
 
 def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, fn: Callable[[str], list], folder: str, *, rows: int = TRAIN_ROWS, kind: str = "double") -> DataFrame:
     """(id, y, x): `fn` of the labelled texts outside the held-out fold.
 
-    Only ids and labels of at most `rows` rows travel, as a broadcast; texts are read once, where they lie.
-    Ids labelled both ways, null labels and null ids are left out; of repeated ids each row counts.
+    Ids and labels of at most `rows` ids travel, as a broadcast; texts are read once, where they lie. Of the rows found,
+    which repeated ids can make more, at most `rows` stay, the first by a hash of id and text. Ids labelled both ways,
+    null labels and null ids are left out; rows that repeat an id count by their different texts.
     """
     spark = documents.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(target).cast("int").alias("y"))
@@ -30,9 +32,14 @@ def training_texts(documents: DataFrame, labels: DataFrame, target: str, folds:
         label = known.value
         for b in batches:
             use = [(i, t) for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True) if i in label]
-            yield {"id": [i for i, _ in use], "y": [label[i] for i, _ in use], "x": [fn(t or "") for _, t in use]}
-
-    return stash(map_batches(text_id(documents, "doc_id", "text"), run, f"id long, y int, x array<{kind}>"), folder, f"train-{target}")
+            h = [xxhash.xxh3_64_intdigest((t or "").encode(), i & (2**64 - 1)) - 2**63 for i, t in use]
+            yield {"id": [i for i, _ in use], "h": h, "y": [label[i] for i, _ in use], "x": [fn(t or "") for _, t in use]}
+
+    found = map_batches(text_id(documents, "doc_id", "text"), run, f"id long, h long, y int, x array<{kind}>").dropDuplicates(["id", "h"])
+    found = stash(found, folder, f"train-{target}")
+    if found.count() > rows:
+        found = found.where(F.col("h") <= found.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0])
+    return found.select("id", "y", "x")
 
 
 def is_held_out(column: str, folds: int, held_out: int):

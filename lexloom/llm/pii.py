@@ -24,8 +24,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LETTERS, DISCLOSE, CONTEXTS, ODDS = 2, 0.8, 3, 0.5
 #: Terms whose counts a task hands on at once; disclosing terms that go round the texts at once.
 FLUSH, BLOCK_TERMS = 100_000, 1 << 21
-#: Terms whose verdict a task remembers; documents from which a term's counts go to every task.
-KNOWN, HOT = 100_000, 5_000
+#: Terms whose verdict a task remembers; documents from which a term's counts go to every task, if such terms are so many at most.
+KNOWN, HOT, HOT_LIMIT = 100_000, 5_000, 1 << 20
 
 # The base patterns. Quantifiers are possessive where that can't change a match, so that time stays linear.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -207,9 +207,13 @@ def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     who = near.select("context", "copies", part.alias("part"), F.explode("entities").alias("entity")).join(held.withColumn("part", spread), ["entity", "part"]).select("context", "copies", "entity", "n_entity")
     who = stash(who, folder, "who")
     said = near.select("context", "terms").join(who.groupBy("context").agg(F.max("n_entity").alias("limit")), "context").select("context", "limit", F.explode("terms").alias("term"))
-    # there are few terms of HOT documents and more, so that they need no shuffle, which would gather each in one task
+    # terms of HOT documents and more go round if they are few; else they meet their texts in many parts, as a shuffle by
+    # term alone would gather each in one task
     hot = known.where(F.col("n_term") >= HOT).select("term", F.col("n_term").alias("n_hot"))
-    said = said.join(F.broadcast(hot), "term", "left")
+    if hot.count() <= HOT_LIMIT:
+        said = said.join(F.broadcast(hot), "term", "left")
+    else:
+        said = said.withColumn("part", part).join(hot.withColumn("part", spread), ["term", "part"], "left").drop("part")
     rare = said.where("n_hot IS NULL").join(known.where(F.col("n_term") < HOT), "term").select("context", "limit", "term", "n_term")
     said = rare.union(said.where("n_hot IS NOT NULL").select("context", "limit", "term", F.col("n_hot").alias("n_term"))).where(F.col("n_term") * odds <= F.col("limit"))
     pairs = said.select("context", "term", "n_term").join(who, "context").where(F.col("n_term") * odds <= F.col("n_entity"))
@@ -251,6 +255,7 @@ def find_pii(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     for k in range(blocks):
         keys = telling.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).toPandas()["term"].to_numpy(np.int64)
         out = map_batches(out, marker(spark.sparkContext.broadcast(np.sort(keys)), k == 0), f"id long, text string, base {BASE}, terms {TERMS}{kept}")
+        out = out if k + 1 == blocks else stash(out, folder, f"marked-{k}")  # a task has one mapping, however many blocks
     return out.select("id", "base", "terms", *(f"c_{c}" for c in carry))
 
 

@@ -17,7 +17,7 @@ from .labelled import TRAIN_ROWS, is_held_out, isotonic, training_texts
 FOLDS, HELD_OUT = 5, 0
 #: Random Fourier features; ridge weight a row; score from which a text passes.
 FEATURES, RIDGE, PASS = 256, 1e-3, 0.3
-#: Rows of the training sample whose distances give the kernel's width.
+#: Rows of the training sample whose distances give the kernel's width (parameter `width_rows` of `fit_quality`).
 WIDTH_ROWS = 400
 
 _CLASSES = {
@@ -89,10 +89,10 @@ def _summed(train: DataFrame, fn, size: int) -> np.ndarray:
     return sum((np.frombuffer(r.total) for r in parts), np.zeros(size))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, folder: str, *, rows: int = TRAIN_ROWS, features: int = FEATURES, seed: int = 7) -> QualityModel:
+def fit_quality(documents: DataFrame, labels: DataFrame, folder: str, *, rows: int = TRAIN_ROWS, features: int = FEATURES, width_rows: int = WIDTH_ROWS, seed: int = 7) -> QualityModel:
     """Fit on a bounded sample of labelled rows (documented parameter `rows`), outside the held-out fold.
 
-    Four fifths of the sample give the ridge weights, the rest the calibration. With no labelled row, or only
+    Four fifths of the sample give the ridge weights, the rest the calibration; `width_rows` of it the kernel's width. With no labelled row, or only
     one label, every text gets the labels' mean (0.5 without any).
     """
     train = training_texts(documents, labels, "quality", FOLDS, HELD_OUT, statistics, folder, rows=rows).coalesce(8)
@@ -101,7 +101,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folder: str, *, rows: i
     n = max(m[0], 1)
     mean = m[2 : 2 + d] / n
     scale = np.sqrt(np.maximum(m[2 + d :] / n - mean**2, 1e-9))
-    some = np.array([r.x for r in train.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(WIDTH_ROWS).collect()]).reshape(-1, d)
+    some = np.array([r.x for r in train.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(width_rows).collect()]).reshape(-1, d)
     z = np.clip((some - mean) / scale, -8, 8)
     far = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))[np.triu_indices(len(z), 1)]
     width = float(np.median(far)) if len(far) and np.median(far) > 0 else 1.0
@@ -127,7 +127,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folder: str, *, rows: i
 def score_quality(documents: DataFrame, model: QualityModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, score, passes) per row, in one pass over whole texts, besides the columns to carry (as c_NAME).
 
-    Null texts count as empty ones; empty texts get the score of their (all zero) statistics.
+    Null texts count as empty ones; empty texts get the score of their (all zero) statistics. Repeated rows are each
+    scored, alike, as are rows of a null id; ties can't matter, since rows aren't compared. Very long texts are read whole, one at a
+    time. Empty table: no rows.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
@@ -143,14 +145,17 @@ def score_quality(documents: DataFrame, model: QualityModel, carry: tuple[str, .
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, held_out, score, passes) per document row. An empty table gives no rows."""
+    """(id, held_out, score, passes) per document row, in the same way for odd rows as `score_quality`. Rows of a null id never train."""
     folder = shared_dir(documents.sparkSession)
     scored = score_quality(text_id(documents, "doc_id", "text").withColumnRenamed("id", "doc_id"), fit_quality(documents, labels, folder))
     return scored.withColumn("held_out", is_held_out("id", FOLDS, HELD_OUT))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents without the rows that the classifier rejects; the five columns stay as they are."""
+    """documents without the rows that the classifier rejects; the five columns stay as they are.
+
+    Null texts are judged as empty ones and stay null; repeated rows and rows of a null id are each judged. Empty table: no rows.
+    """
     model = fit_quality(documents, labels, shared_dir(documents.sparkSession))
     out = score_quality(documents, model, carry=("text", "lang", "source", "n_chars")).where("passes")
     return out.select(F.col("id").alias("doc_id"), *(F.col(f"c_{c}").alias(c) for c in ("text", "lang", "source", "n_chars")))

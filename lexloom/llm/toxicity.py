@@ -113,7 +113,7 @@ def _descend(indptr: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, folder: str, *, rows: int = TRAIN_ROWS, most_parts: int = PARTS, swap: float = SWAP) -> ToxicModel:
-    """Fit on a bounded sample of labelled rows (parameter `rows`) outside the held-out fold; equal texts count once.
+    """Fit on a bounded sample of labelled rows (parameter `rows`) outside the held-out fold; texts of equal words count once.
 
     Class counts of parts are summed within partitions; of the texts only the kept parts reach the driver, at
     most `rows` x `most_parts` small numbers. With one label: no weights, and the labels' mean as every score;
