@@ -33,6 +33,8 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 #: An empty register; no count of leading zeros gives it.
 EMPTY = 0xFFFF
+#: Of the large groups, one in so many is led.
+LED = 3
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SIGMAS = 6.0
 
@@ -222,10 +224,10 @@ def _gathered(classes: DataFrame, cut_by: Size) -> DataFrame:
 def _first_pairs(gathered: DataFrame, buckets: int) -> DataFrame:
     """All pairs of small groups; of large ones each member with the leaders of its size band and of those beside it.
 
-    A leader stands in the largest groups, summed over all of its bands: of a family of copies that is the text from which
-    the others differ least.
+    A leader stands in the largest groups, summed over its bands: of a family of copies that is the text from which the
+    others differ least. One large group in LED is enough, as a member stands in many, and step 5 compares what is left apart in all.
     """
-    large = gathered.where("key IS NOT NULL")
+    large = gathered.where((F.col("key").isNotNull()) & (F.pmod("key", F.lit(LED)) == 0))
     members = unpacked(large)
     rank = members.groupBy("fp12").agg(F.sum("m").alias("rank"))
     top = members.join(rank, "fp12").groupBy("key", "band").agg(F.max(F.struct("rank", "fp12")).alias("top"))

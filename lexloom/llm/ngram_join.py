@@ -532,7 +532,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, folder: str
 
 #: Of a tile's rows (key, class, label, size, signature), rising by size: pairs of classes of different labels that may link.
 Compare = Callable[[list[tuple]], Iterator[tuple[bytes, bytes]]]
-#: Classes (fp12, rep, n, sig) of groups of different components, with signatures that say more.
+#: Classes (fp12, rep, n, sig) of large groups, with signatures that say more.
 Sharper = Callable[[DataFrame], DataFrame]
 
 
@@ -576,16 +576,20 @@ def unpacked(groups: DataFrame) -> DataFrame:
 def _cross_pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame, buckets: int, compare: Compare, sharper: Sharper | None) -> DataFrame:
     """Pairs of different components within a group that `compare` leaves; large groups meet tile by tile."""
     label = classes.select("fp12", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp12", F.coalesce("label", "rep").alias("label"))
-    flat = unpacked(groups).select("key", "fp12").join(label, "fp12")
+    flat = unpacked(groups).select("key", "fp12")
+    if sharper:  # signatures come with the labels, in one join of the members
+        label = sharper(flat.select("fp12").distinct().join(classes, "fp12").select("fp12", "rep", "n", "sig")).join(label, "fp12")
+    flat = flat.join(label, "fp12")
     mixed = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     # larger cuts for larger groups, whose members go to as many tiles as there are cuts
     side = F.greatest(F.lit(CROSS_ROWS), F.least(F.lit(TILE_ROWS), F.col("m") / 16))
     mixed = mixed.select("key", F.ceil(F.col("m") / side).cast("int").alias("cuts"))
     own = flat.join(mixed, "key").withColumn("cut", F.pmod(F.xxhash64("fp12"), F.col("cuts")).cast("int"))
     tile = F.expr("transform(sequence(0, cuts - 1), j -> struct(least(cut, j) AS i, greatest(cut, j) AS j))")
-    own = own.select("key", "fp12", "label", F.explode(tile).alias("tile")).select("key", "fp12", "label", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
-    known = sharper(flat.join(mixed, "key").select("fp12").distinct().join(classes, "fp12").select("fp12", "rep", "n", "sig")) if sharper else classes
-    own = own.join(known.select("fp12", "n", "sig"), "fp12").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+    known = ["n", "sig"] if sharper else []
+    own = own.select("key", "fp12", "label", *known, F.explode(tile).alias("tile")).select("key", "fp12", "label", *known, F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
+    own = own if sharper else own.join(classes.select("fp12", "n", "sig"), "fp12")
+    own = own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, held = None, []
