@@ -58,6 +58,13 @@ def boundary_ok(c: str | Column, raw_starts: tuple[str, ...]) -> Column:
     return (low != "") & ~low.contains("<user>") & ~_any([low.startswith(p) for p in raw_starts])
 
 
+def chat_response_ok(c: str | Column, topic: str | Column, repeated: str | Column, raw_starts: tuple[str, ...] = L.RAW_STARTS) -> Column:
+    """An answer within its turn: not empty, no repetition, no further user turn, no marker or raw corpus text in front, and on its topic."""
+    low = T.casefold(T.one_line(c))
+    ahead = low.startswith("<assistant>") | low.startswith("<end>")
+    return boundary_ok(c, raw_starts) & ~ahead & ~F.coalesce(col(repeated), F.lit(False)) & (F.coalesce(col(topic), F.lit(0.0)) > 0)
+
+
 def clean_after_end(c: str | Column, raw_phrases: tuple[str, ...]) -> Column:
     """Nothing after the end marker, or nothing that looks like another turn or raw corpus text."""
     low = T.casefold(T.one_line(c))
@@ -152,6 +159,14 @@ def after_prompt(c: str | Column, prompt: str | Column) -> Column:
     return F.when(F.startswith(col(c), col(prompt)), F.substr(col(c), F.length(col(prompt)) + 1)).otherwise(col(c))
 
 
+def styled_prompt(prompt: str | Column, style: str | None = None, hint: str | Column | None = None, templates: dict[str, str] | None = None) -> Column:
+    """A prompt in a style (None as it is, "paragraph" with its prefix), behind its domain's hint if there is one."""
+    if style not in (None, "paragraph"):
+        raise ValueError(f"unknown style {style!r}; one of paragraph")
+    own = F.concat(F.lit(L.PARAGRAPH_PREFIX), col(prompt)) if style else col(prompt)
+    return own if hint is None else with_hint(own, hint, templates or {})
+
+
 def with_hint(prompt: str | Column, hint: str | Column, templates: dict[str, str]) -> Column:
     """A prompt behind its domain's hint; unknown domains get a plain one."""
     key = F.regexp_replace(F.lower(T.strip(hint)), "[ -]", "_")

@@ -108,3 +108,8 @@ COMPARISON = (
 )
 SHORT_WORDS = (12, 35)
 SHORTEN_SENTENCES, SHORTEN_WORDS, SHORTEN_LEAST = 3, 55, 8
+
+# What a contrast concept's routing score counts of itself; how raw corpus text begins; the style prefix of prompts.
+CONTRAST_DISCOUNT = 0.20
+RAW_STARTS = ("teams should write", "example note", "database systems need", "this text is about", "topic:")
+PARAGRAPH_PREFIX = "Write one coherent paragraph about "

@@ -59,6 +59,8 @@ def cycled(blocks: DataFrame, seq: str, text: str, target: int, dialect: str = "
     would never end: an error.
     """
     words = blocks.agg(F.sum(T.n_words(text, dialect))).first()[0] or 0
+    if target < 1:
+        raise ValueError(f"a target of {target} words")
     spark = blocks.sparkSession
     own = 0 if header is None else spark.range(1).select(T.n_words(F.lit(header % 1), dialect).alias("n")).first().n
     if words + own <= 0:
@@ -160,6 +162,8 @@ def word_share(df: DataFrame, group: str, text: str = "text", target: Column | N
 
 def mix_to_ratio(base: DataFrame, chat: DataFrame, seq: str, ratio: float, text: str = "text") -> DataFrame:
     """Base blocks and as many chat blocks, in order, as make up the ratio of all words; with a tag each."""
+    if not 0 < ratio < 1:
+        raise ValueError(f"a chat ratio of {ratio} is not between 0 and 1")
     words = base.agg(F.sum(T.n_words(text, "space"))).first()[0] or 0
     picked = prefix_until(chat, seq, T.n_words(text, "space"), words * ratio / (1 - ratio))
     return base.withColumn("tag", F.lit("base")).unionByName(picked.withColumn("tag", F.lit("chat")))
@@ -201,6 +205,8 @@ def apart(df: DataFrame, item: str, seed: int = 42) -> DataFrame:
 
 def token_windows(ids: str | Column, size: int, stride: int) -> Column:
     """Array of struct(x, y): windows of `size` ids at a stride, y one step on; none for shorter inputs."""
+    if size < 1 or stride < 1:
+        raise ValueError(f"windows of {size} ids at a stride of {stride}")
 
     def cut(a: Column) -> Column:
         last = F.size(a) - size - 1

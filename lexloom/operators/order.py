@@ -70,6 +70,8 @@ def prefix_until(df: DataFrame, seq: str, weight: str | Column, target: float) -
 
 def stride_sample(df: DataFrame, seq: str, count: int) -> DataFrame:
     """At most `count` rows at a fixed stride of the order, the first one included; those seqs alone travel."""
+    if count < 0:
+        raise ValueError(f"a sample of {count} rows")
     rows = ranked(df.select(F.col(seq).alias("_s")), "_s", name="_n")
     step = max(1, rows.count() // count) if count else 1
     chosen = rows.where((F.col("_n") - 1) % step == 0).orderBy("_n").limit(count).select(F.col("_s").alias(seq))
@@ -78,6 +80,8 @@ def stride_sample(df: DataFrame, seq: str, count: int) -> DataFrame:
 
 def tail_split(df: DataFrame, seq: str, share: float) -> DataFrame:
     """Adds `split`: the last `share` of the order is validation."""
+    if not 0 <= share <= 1:
+        raise ValueError(f"a share of {share} is not between 0 and 1")
     rows = ranked(df.select(F.col(seq).alias("_s")), "_s", name="_n")
     keep = int(rows.count() * (1 - share))
     last = rows.where(F.col("_n") == keep).agg(F.max("_s").alias("s")).first().s
@@ -132,6 +136,8 @@ def random_stream_windows(df: DataFrame, seq: str, ids: str, size: int, count: i
 
 def stream_split(df: DataFrame, seq: str, ids: str, share: float) -> DataFrame:
     """(seq, split, ids): the last `share` of all tokens is validation; the row across the border gives to both."""
+    if not 0 <= share <= 1:
+        raise ValueError(f"a share of {share} is not between 0 and 1")
     index = stash(offsets(df, seq, ids), shared_dir(df.sparkSession), "offsets")
     total = index.agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
     keep = F.least(F.greatest(F.lit(int(total * (1 - share))) - F.col("begin"), F.lit(0)), F.col("end") - F.col("begin")).cast("int")
@@ -266,6 +272,8 @@ def next_fit(df: DataFrame, seq: str, size: str | Column, most: int) -> DataFram
     range is summed up as a step function; the functions are put together by pairs of neighbours, which tells what is open
     when each range begins; then every range cuts its own rows, and shards are numbered by sums.
     """
+    if most < 1:
+        raise ValueError(f"shards of {most} bytes")
     spark = df.sparkSession
     cut = dealt(df.select(F.col(seq).alias("_s"), T.col(size).cast("long").alias("_z")), "_s")
     rows = cut.join(F.broadcast(_before(cut, ["_z"])), "_p")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon as L, text as T
 from .merges import ALREADY, END_OF_WORD, NO_PAIRS, REACHED, Merges, joined, learn_merges, symbols
-from .order import ranked
+from .order import ranked, scanned
 
 __all__ = ["ALREADY", "NO_PAIRS", "REACHED", "learn_merges"]
 
@@ -80,9 +80,7 @@ def encode_prompts(prompts: DataFrame, seq: str, merges: Merges, text: str = "te
     inside = "".join("\\" + c if c in "\\]^-[&" else c for c in known)
     safe = F.regexp_replace(text, f"[^{inside}]", " ") if known else F.lit("")
     words = prompts.select(F.col(seq).alias("_s"), F.posexplode(F.split(T.one_line(safe), " ")).alias("p", "word")).where("word <> ''")
-    ids = merges.ids
-    number = F.udf(lambda tokens: [ids[t] for t in tokens if t in ids], "array<int>")
-    coded = encode_words(words, merges).select("word", number("tokens").alias("ids"))
+    coded = encode_words(words, merges, numbers=True).select("word", "ids")
     whole = words.join(coded, "word").groupBy("_s").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "ids"))), lambda x: x["ids"])).alias("ids"))
     rows = prompts.select(seq).join(whole, F.col(seq) == F.col("_s"), "left")
     return rows.select(seq, F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(0))).alias("ids"))
@@ -108,15 +106,24 @@ def coverage_report(chats: DataFrame, new: Merges, old: Merges, seq: str, instru
     return out.select("examples", "parse_failures", mean("instruction_tokens").alias("avg_instruction_tokens"), mean("response_tokens").alias("avg_response_tokens"), "new_total", "old_total", F.round(share("old_total", "new_total"), 4).alias("compression"), F.round(saved, 4).alias("saved"), "new_skipped", "old_skipped")
 
 
-def estimated_tokens(df: DataFrame, seq: str, merges: Merges, sample: int, text: str = "text") -> DataFrame:
-    """(words, tokens_per_word, estimated_tokens): the ratio of a sample of texts, carried over to all words.
+def estimated_tokens(df: DataFrame, seq: str, merges: Merges, sample: int = 50_000, text: str = "text") -> DataFrame:
+    """(words, sample_words, sample_tokens, tokens_per_word, estimated_tokens): the ratio of the first `sample` words in order, carried over to all words.
 
-    The sample is a feature here: the first `sample` texts by a hash of seq. All words are counted.
+    The sample is a feature here: whole texts in order of seq, and of the one that crosses its end the first words. Characters
+    outside the vocabulary are skipped; a word of none of them has no tokens and still counts.
     """
-    some = df.orderBy(F.xxhash64(seq), seq).limit(sample)
-    ratio = token_counts(some, seq, merges, text).agg(F.when(F.sum("words") > 0, F.sum("tokens") / F.sum("words")).otherwise(0.0).alias("tokens_per_word"))
-    words = df.agg(F.coalesce(F.sum(T.n_words(text, "space")), F.lit(0)).alias("words"))
-    return words.crossJoin(F.broadcast(ratio)).withColumn("estimated_tokens", F.round(F.col("words") * F.col("tokens_per_word")).cast("long"))
+    if sample < 1:
+        raise ValueError("a sample of no words has no ratio")
+    sizes = df.select(F.col(seq).alias("_s"), T.n_words(text, "space").cast("long").alias("_n"))
+    first = scanned(sizes, "_s", _end="_n").where((F.col("_n") > 0) & (F.col("_end") - F.col("_n") < sample))
+    rows = df.join(first, F.col(seq) == F.col("_s"))
+    word = F.explode(F.slice(T.words(text, "space"), 1, F.least(F.lit(sample) - F.col("_end") + F.col("_n"), F.col("_n")).cast("int"))).alias("word")
+    counted = rows.select(word).groupBy("word").agg(F.count("*").alias("n"))
+    coded = counted.join(encode_words(counted, merges).select("word", F.size("tokens").alias("t")), "word")
+    ratio = coded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sample_words"), F.coalesce(F.sum(F.col("n") * F.col("t")), F.lit(0)).alias("sample_tokens"))
+    words = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("words"))
+    per = F.col("sample_tokens") / F.greatest(F.col("sample_words"), F.lit(1))
+    return words.crossJoin(F.broadcast(ratio)).select("words", "sample_words", "sample_tokens", F.bround(per, 4).alias("tokens_per_word"), F.bround(F.col("words") * per).cast("long").alias("estimated_tokens"))
 
 
 def _split(word: str) -> list[str]:
@@ -142,18 +149,19 @@ def replay_word(word: str, merges: list[tuple[str, str]]) -> list[str]:
     return s
 
 
-def encode_words(words: DataFrame, merges: Merges, replay: bool = False) -> DataFrame:
-    """Adds `tokens` to distinct words, in Arrow batches; characters outside the vocabulary are dropped first."""
-    sent = words.sparkSession.sparkContext.broadcast((merges.pairs, merges.rank, {t for t in merges.vocabulary if len(t) == 1}, merges.vocabulary))
+def encode_words(words: DataFrame, merges: Merges, replay: bool = False, numbers: bool = False) -> DataFrame:
+    """Adds `tokens` (and `ids`, if `numbers`) to distinct words, in Arrow batches; characters outside the vocabulary are dropped first."""
+    sent = words.sparkSession.sparkContext.broadcast((merges.pairs, merges.rank, {t for t in merges.vocabulary if len(t) == 1}, merges.vocabulary, merges.ids if numbers else {}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, rank, known, vocabulary = sent.value
+        pairs, rank, known, vocabulary, ids = sent.value
         for b in batches:
             safe = ["".join(c for c in w if c in known) for w in b["word"]]
             tokens = [[t for t in (replay_word(w, pairs) if replay else encode_word(w, rank)) if t in vocabulary] if w else [] for w in safe]
-            yield pd.DataFrame({"word": b["word"], "tokens": tokens, "skipped": [len(w) - len(s) for w, s in zip(b["word"], safe, strict=True)]})
+            out = {"word": b["word"], "tokens": tokens, "skipped": [len(w) - len(s) for w, s in zip(b["word"], safe, strict=True)]}
+            yield pd.DataFrame(out | ({"ids": [[ids[t] for t in own] for own in tokens]} if numbers else {}))
 
-    return words.select("word").distinct().mapInPandas(run, "word string, tokens array<string>, skipped int")
+    return words.select("word").distinct().mapInPandas(run, "word string, tokens array<string>, skipped int" + ", ids array<int>" * numbers)
 
 
 def token_counts(df: DataFrame, seq: str, merges: Merges, text: str = "text") -> DataFrame:

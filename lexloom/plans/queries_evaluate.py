@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import lexicon as L, text as T
+from ..functions import answers as A, lexicon as L, text as T
 from ..functions.answers import domain_consistency
 from ..operators import evaluate as E
+from ..operators.learn import attended, train_net
 from .common import ascii_words, ngrams, one_line, table
 from .queries_pairs import SQL_PAIRS, _pairs
 
@@ -235,6 +236,23 @@ b as (select *, row_number() over (partition by id order by rank is not null des
 select a.id, coalesce(concept, '__unknown__') as predicted, round(coalesce(score, 0.0), 6) as score from a left join b on b.id = a.id and r = 1"""
 
 
+def routing_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Routing where the concepts c3 and c7 are brought up by the questions, in turn; their scores are discounted."""
+    p = _profiles(spark, d)
+    answers = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.when(F.col("doc_id") % 2 == 0, "c3").otherwise("c7").alias("contrast"))
+    return E.route(answers, p, E.phrase_weights(p)).select("id", "predicted", F.round("score", 6).alias("score"))
+
+
+_CONTRASTED = _ROUTE.replace("sum(s) as score", "sum(s) * case when concept = case when id % 2 = 0 then 'c3' else 'c7' end then 0.2::double else 1.0 end as score")
+
+
+def network_losses(spark: SparkSession, d: str) -> DataFrame:
+    """A two-layer net learns the sum of two of lineitem's columns: the error in front of each of a few steps."""
+    rows = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2")).withColumn("y", F.col("x1") + F.col("x2"))
+    _, losses = train_net(rows, ["x1", "x2"], "y", rounds=4)
+    return spark.createDataFrame([(k, round(x, 9)) for k, x in enumerate(losses)], "step int, loss double")
+
+
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     r = _routes(spark, d).withColumn("expected", F.concat(F.lit("c"), (F.col("id") % 40).cast("string")))
     return E.confusion(r, "expected", "predicted")
@@ -256,7 +274,7 @@ def checkpoint_rank(spark: SparkSession, d: str) -> DataFrame:
     """Sources as checkpoints, documents as their prompt results, measured: repetition, English as the topic, gibberish, drift into other languages."""
     grams = T.ngrams(T.words("text", "ascii"), 3)
     docs = table(spark, d, "documents").withColumn("g", grams).withColumn("topic", T.language_confidence("text"))
-    rows = docs.select(F.col("source").alias("checkpoint"), (F.size("g") > F.size(F.array_distinct("g"))).alias("repeated"), "topic", F.size(E.suspicious_words("text")).alias("gibberish"), (F.col("topic") < L.ENGLISH_FROM).alias("drift"), F.contains("text", F.lit("\n")).alias("chat_prompt"), (F.length("text") >= 200).alias("chat_ok"), F.lit(1.0).alias("val_loss"))
+    rows = docs.select(F.col("source").alias("checkpoint"), (F.size("g") > F.size(F.array_distinct("g"))).alias("repeated"), "topic", F.size(E.suspicious_words("text")).alias("gibberish"), (F.col("topic") < L.ENGLISH_FROM).alias("drift"), F.contains("text", F.lit("\n")).alias("chat_prompt"), A.chat_response_ok("text", "topic", F.size("g") > F.size(F.array_distinct("g"))).alias("chat_ok"), (F.col("doc_id") % 97 / 10).alias("val_loss"))
     s = E.checkpoint_scores(rows)
     return s.join(E.recommend(s).withColumn("best", F.lit(True)), "checkpoint", "left").select("checkpoint", "repetitions", "drifts", "chat", F.round("topic", 9).alias("topic"), F.coalesce("best", F.lit(False)).alias("best"), "gibberish")
 
@@ -274,8 +292,8 @@ _COSINE = """select query_id, arg_max(id, round(s, 9)) as nearest from (select q
 def embedding_attention(spark: SparkSession, d: str) -> DataFrame:
     """Attention of every hundredth vector: the largest weight, and the first component of the weighted sum."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    w = E.attention(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    return w.groupBy("query_id").agg(F.round(F.sum(F.col("weight") * F.get("v", F.lit(0))), 9).alias("first"), F.round(F.max("weight"), 9).alias("largest"))
+    w = attended(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+    return w.select("query_id", F.round(F.get("value", F.lit(0)) / F.col("total"), 9).alias("first"), F.round(1 / F.col("total"), 9).alias("largest"))
 
 
 _ATTENTION = """with z as (select q.vec_id as query_id, e.embedding[1]::double as v, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) / sqrt(64.0) as z from embeddings e, embeddings q where q.vec_id % 100 = 0),
@@ -327,12 +345,12 @@ _VIOLATIONS = """select rule, n from (select 'even_id' as rule, count(*) filter
 
 QUERIES = {f.__name__: f for f in (
     expected_keywords, token_f1, general_score, grouped_summary, heldout_split, train_eval_antijoin, exact_line_match, exact_paragraph_match, benchmark_overlap, nearest_similarity, memorisation_risk, idf_weights, routing_predict,
-    confusion_matrix, top_confusions, checkpoint_rank, cosine_topk, embedding_attention, param_count, linear_gradient, contract_violations, memorisation_summary, signature_predict, routing_summary, routing_compared,
+    routing_contrast, network_losses, confusion_matrix, top_confusions, checkpoint_rank, cosine_topk, embedding_attention, param_count, linear_gradient, contract_violations, memorisation_summary, signature_predict, routing_summary, routing_compared,
     training_memory, throughput,
 )}
 ORACLE_SQL = {
     "expected_keywords": _EXPECTED, "token_f1": _TOKEN_F1, "general_score": _GENERAL, "grouped_summary": _SUMMARY, "heldout_split": _HELD, "train_eval_antijoin": _ANTI, "exact_line_match": _LINES, "exact_paragraph_match": _PARAGRAPHS,
-    "benchmark_overlap": _OVERLAP, "memorisation_risk": _RISK, "idf_weights": _IDF, "routing_predict": _ROUTE, "confusion_matrix": _CONFUSION, "top_confusions": _TOP, "cosine_topk": _COSINE, "embedding_attention": _ATTENTION,
+    "benchmark_overlap": _OVERLAP, "memorisation_risk": _RISK, "idf_weights": _IDF, "routing_predict": _ROUTE, "routing_contrast": _CONTRASTED, "confusion_matrix": _CONFUSION, "top_confusions": _TOP, "cosine_topk": _COSINE, "embedding_attention": _ATTENTION,
     "param_count": _PARAMS, "linear_gradient": _LINEAR, "contract_violations": _VIOLATIONS, "memorisation_summary": _MEANS, "signature_predict": _SIGNATURE, "routing_summary": _SUMMED, "routing_compared": _COMPARED,
     "training_memory": _MEMORY, "throughput": _THROUGHPUT,
 }

@@ -96,6 +96,19 @@ def token_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].union(rows[1])
 
 
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of all documents from their first 5,000 words, by a vocabulary of the benchmark's characters alone."""
+    chars = table(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace("text", r"(?U)\s", ""), "")).alias("c")).where("c <> ''").distinct()
+    known = {r.c for r in chars.collect()}
+    return K.estimated_tokens(table(spark, d, "documents"), "doc_id", K.Merges(vocabulary=known | {K.END_OF_WORD}), 5000)
+
+
+_ESTIMATE = """with w as (select doc_id, unnest(regexp_extract_all(text, '\\S+')) as w, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) as p from documents), n as (select count(*) as words from w), s as (select w from w order by doc_id, p limit 5000),
+k as (select list(distinct c) as known from (select unnest(string_split(regexp_replace(text, '\\s', '', 'g'), '')) as c from benchmark) where c <> ''), t as (select len(list_filter(string_split(w, ''), lambda c: list_contains(known, c))) as t from s, k),
+a as (select count(*) as sample_words, sum(case when t > 0 then t + 1 else 0 end)::bigint as sample_tokens from t)
+select words, sample_words, sample_tokens, round_even(sample_tokens / sample_words, 4) as tokens_per_word, round_even(words * (sample_tokens / sample_words), 0)::bigint as estimated_tokens from n, a"""
+
+
 def tokenizer_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Conversations' pairs under the vocabulary of documents, against one of single characters."""
     pairs, merges = _pairs(spark, d).select("seq", "instruction", "response"), _merges(spark, d)
@@ -115,5 +128,5 @@ c as (select item_id, p, unnest(list_append(string_split(w, ''), '</w>')) as c,
 select b.item_id, coalesce(x.ids, '0') as ids from benchmark b left join (select item_id, string_agg(v.id::varchar, ',' order by p, q) as ids from c join v on v.token = c.c group by 1) x using (item_id)"""
 
 
-QUERIES = {f.__name__: f for f in (word_freq, pair_counts_step0, vocab_by_first_seen, vocab_sorted, unk_rate, skipped_chars_top20, bpe_merges, bpe_encode_counts, bpe_decode, token_ratio, tokenizer_coverage, prompt_ids)}
-ORACLE_SQL = {"word_freq": _FREQ, "pair_counts_step0": _PAIRS, "vocab_by_first_seen": _SEEN, "vocab_sorted": _SORTED, "unk_rate": _UNK, "skipped_chars_top20": _SKIPPED, "bpe_decode": _DECODE, "prompt_ids": _PROMPT}
+QUERIES = {f.__name__: f for f in (word_freq, pair_counts_step0, vocab_by_first_seen, vocab_sorted, unk_rate, skipped_chars_top20, bpe_merges, bpe_encode_counts, bpe_decode, token_ratio, token_estimate, tokenizer_coverage, prompt_ids)}
+ORACLE_SQL = {"word_freq": _FREQ, "pair_counts_step0": _PAIRS, "vocab_by_first_seen": _SEEN, "vocab_sorted": _SORTED, "unk_rate": _UNK, "skipped_chars_top20": _SKIPPED, "bpe_decode": _DECODE, "prompt_ids": _PROMPT, "token_estimate": _ESTIMATE}

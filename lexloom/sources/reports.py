@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,11 +18,20 @@ def rows_of(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in got]
 
 
-def json_report(path: str, **parts: DataFrame) -> dict:
-    """One indented JSON file of named aggregates."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as the one part file of a folder, in any store that Spark writes."""
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """What `write_text` wrote."""
+    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def json_report(spark: SparkSession, path: str, **parts: DataFrame) -> dict:
+    """Indented JSON of named aggregates."""
     out = {name: rows_of(df) for name, df in parts.items()}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(out, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+    write_text(spark, path, json.dumps(out, indent=2, ensure_ascii=False, default=str))
     return out
 
 
@@ -52,9 +60,20 @@ def log_counts(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.agg(F.sum(F.regexp_count(c, F.lit(r"\bPASS\b"))).alias("passed"), F.sum(F.regexp_count(c, F.lit(r"\bFAIL\b"))).alias("failed"), F.last(F.when(F.size(ratio) > 0, F.element_at(ratio, -1)), ignorenulls=True).alias("ratio"))
 
 
-def decide(routing: float, hallucination: float, prompts_pass: bool, good: float = 0.30, poor: float = 0.10) -> str:
-    """promote, continue or retrain, from the metrics of a run."""
-    return "promote" if routing >= good and prompts_pass else "retrain" if routing < poor or hallucination > 0.9 else "continue"
+def decide(metrics: dict[str, float] | None, passed: int, total: int, good: float = 0.30, poor: float = 0.10) -> str:
+    """What a run's metrics say: missing, promote, extend, retrain or continue.
+
+    Routing of `good` and more is enough. Below, a run whose prompts all pass goes on with the same steps from `poor` on;
+    under `poor` the steps are done again.
+    """
+    if not metrics:
+        return "missing"
+    routing = float(metrics.get("routing_accuracy") or 0)
+    if routing >= good:
+        return "promote"
+    if 0 < total == passed and routing >= poor:
+        return "extend"
+    return "retrain" if routing < poor else "continue"
 
 
 def champion(candidates: DataFrame, incumbent: float, score: str = "routing") -> DataFrame:
@@ -70,9 +89,8 @@ def checkpoint_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_latest(spark: SparkSession, runs: str, path: str) -> str:
-    """The latest value of every archived metric as one Markdown file; gives its text."""
+    """The latest value of every archived metric as a Markdown table in the store of `path`; gives its text."""
     latest = spark.read.parquet(runs).groupBy("metric").agg(F.max_by("value", F.struct("at", "run")).alias("value"), F.max_by("run", F.struct("at", "run")).alias("run")).orderBy("metric")
     text = markdown(latest, "Latest")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    write_text(spark, path, text)
     return text

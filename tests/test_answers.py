@@ -1,5 +1,7 @@
 """Answer checks, prompt transforms and reports on literal values."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def test_top_k_and_block_size(spark):
 
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a|b", 0.123456), ("c", 2.0)], "k string, v double")
-    assert reports.json_report(str(tmp_path / "r.json"), part=df)["part"][0]["k"] == "a|b"
+    assert reports.json_report(spark, str(tmp_path / "r"), part=df) == json.loads(reports.read_text(spark, str(tmp_path / "r"))) == {"part": [{"k": "a|b", "v": 0.123456}, {"k": "c", "v": 2.0}]}
     assert "| a\\|b | 0.1235 |" in reports.markdown(df, "T")
     runs = str(tmp_path / "runs")
     reports.archive_run(spark, runs, "one", {"m": 1})
@@ -61,4 +63,7 @@ def test_reports(spark, tmp_path):
     assert (latest.value, latest.run) == (3.0, "two")
     log = spark.createDataFrame([("x PASS 1/6",), ("FAIL and PASS 5 / 6",)], "value string")
     assert tuple(reports.log_counts(log).first()) == (2, 1, "5 / 6")
-    assert reports.champion(df.withColumnRenamed("v", "routing"), 5.0).count() == 0 and reports.decide(0.4, 0.2, True) == "promote"
+    assert reports.champion(df.withColumnRenamed("v", "routing"), 5.0).count() == 0
+    run = lambda x: {"routing_accuracy": x}
+    said = [reports.decide(*x) for x in ((None, 6, 6), ({}, 0, 0), (run(0.3), 0, 6), (run(0.2), 6, 6), (run(0.2), 5, 6), (run(0.2), 0, 0), (run(0.1), 6, 6), (run(0.09), 6, 6), ({"other": 1}, 1, 1))]
+    assert said == ["missing", "missing", "promote", "extend", "continue", "continue", "extend", "retrain", "retrain"]

@@ -337,8 +337,13 @@ def test_prompts_texts_and_coverage(spark):
     assert (r.examples, r.parse_failures, r.new_total, r.old_total, r.new_skipped) == (3, 2, new_total, old_total, 2)
     assert r.compression == round(old_total / new_total, 4) and r.avg_response_tokens == round(sum(size(o, merges.rank) for _, _, o in chats) / 3, 2)
     docs = spark.createDataFrame([(k, "low new") for k in range(10)], "seq long, text string")
-    e = K.estimated_tokens(docs, "seq", merges, 3).first()
-    assert e.words == 20 and e.estimated_tokens == round(20 * size("low new", merges.rank) / 2)
+    docs = docs.union(spark.createDataFrame([(10, "zz low"), (-1, None), (-2, " ")], docs.schema))
+    for n in (1, 2, 3, 20, 21, 22, 10**6):
+        first = [w for k in range(10) for w in ("low", "new")] + ["zz", "low"]
+        tokens = sum(size(w, merges.rank) for w in first[:n])
+        e = K.estimated_tokens(docs, "seq", merges, n).first()
+        assert (e.words, e.sample_words, e.sample_tokens, e.estimated_tokens) == (22, min(n, 22), tokens, round(22 * tokens / min(n, 22))) and e.tokens_per_word == round(tokens / min(n, 22), 4)
+    assert K.estimated_tokens(docs.limit(0), "seq", merges, 5).first().estimated_tokens == 0
 
 
 def test_texts_as_ids(spark):
@@ -529,7 +534,7 @@ def test_checkpoint_files_and_latest(spark, tmp_path):
     reports.archive_run(spark, str(tmp_path / "runs"), "r1", {"a": 1.0, "b": 2.0})
     reports.archive_run(spark, str(tmp_path / "runs"), "r2", {"a": 3.0})
     text = reports.write_latest(spark, str(tmp_path / "runs"), str(tmp_path / "out/latest.md"))
-    assert "| a | 3.0000 | r2 |" in text and "| b | 2.0000 | r1 |" in text and (tmp_path / "out/latest.md").read_text() == text
+    assert "| a | 3.0000 | r2 |" in text and "| b | 2.0000 | r1 |" in text and reports.read_text(spark, str(tmp_path / "out/latest.md")) == text
 
 
 @pytest.mark.parametrize(("words", "n", "least", "rows"), [
