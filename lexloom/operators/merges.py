@@ -26,8 +26,8 @@ END_OF_WORD = "</w>"
 # Why learning stops.
 REACHED, NO_PAIRS, ALREADY = "target_vocab_reached", "no_adjacent_symbol_pairs_left", "initial_vocab_already_reaches_target"
 
-#: Merges guessed for a round; words that the guess is made from, at most; words that one task works on.
-AHEAD, GUESS_WORDS, TASK_WORDS = 256, 1 << 16, 50_000
+#: Merges guessed for a round, at most; words and pairs that the guess is made from, at most; words that one task works on.
+AHEAD, GUESS_WORDS, GUESS_PAIRS, TASK_WORDS = 64, 1 << 14, 1 << 14, 50_000
 
 
 @dataclass
@@ -149,50 +149,67 @@ class PairIndex:
 Pair = tuple[str, str]
 
 
-def _index(batches: Iterator[pd.DataFrame], done: list[Pair]) -> tuple[PairIndex, list[int], list[bool]]:
-    """A task's words, in order of seq, after the merges that their table hasn't seen."""
-    rows = pd.concat([*batches, pd.DataFrame({"n": [], "s": [], "seq": [], "g": []})])
-    rows = rows.sort_values("seq", kind="stable")
-    index = PairIndex([list(s) for s in rows["s"]], [int(n) for n in rows["n"]])
+def _index(rows: pd.DataFrame, done: list[Pair], counts: list[int]) -> PairIndex:
+    """Words after the merges that their table hasn't seen."""
+    index = PairIndex([list(s) for s in rows["s"]], counts)
     for p in done:
         index.merge(p)
-    return index, rows["seq"].astype("int64").tolist(), rows["g"].astype(bool).tolist()
+    return index
 
 
-def _guess(words: DataFrame, done: list[Pair], known: Pair, want: int) -> list[Pair]:
-    """The known next merge and those that would follow if the sample were all, as one task finds them."""
+def _all(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A task's words in order of seq."""
+    return pd.concat([*batches, pd.DataFrame({"n": [], "s": [], "seq": [], "g": []})]).sort_values("seq", kind="stable")
+
+
+def _guess(words: DataFrame, pairs: DataFrame, done: list[Pair], known: Pair, want: int) -> list[Pair]:
+    """The known next merge and those that would follow, as one task estimates them from a bounded sample.
+
+    Counts of the most frequent pairs are the true ones; what a merge changes beside it is taken from the sample, in
+    which a word stands for `g` of its frequency, in the proportion of the merged pair's true count.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, _, _ = _index(batches, done)
+        rows = _all(batches)
+        true, rows = rows[rows["g"] == 0], rows[rows["g"] > 0]
+        index = _index(rows, done, [int(n * g) for n, g in zip(rows["n"], rows["g"], strict=True)])
+        counts: dict[Pair, float] = dict(index.total) | {tuple(s): float(n) for s, n in zip(true["s"], true["n"], strict=True)}
+        queue = [(-n, p) for p, n in counts.items()]
+        heapq.heapify(queue)
         out, pair = [], known
         while pair is not None and len(out) < want:
             out.append(pair)
-            index.merge(pair)
-            pair = index.best()
+            share = counts.get(pair, 0) / max(index.total.get(pair, 0), 1)
+            for p, d in index.merge(pair).items():
+                counts[p] = counts.get(p, 0) + d * share
+                heapq.heappush(queue, (-counts[p], p))
+            counts[pair] = 0
+            while queue and counts[queue[0][1]] != -queue[0][0]:
+                heapq.heappop(queue)
+            pair = queue[0][1] if queue and queue[0][0] < 0 else None
         yield pd.DataFrame({"k": range(len(out)), "a": [a for a, _ in out], "b": [b for _, b in out]})
 
-    rows = words.where("g").coalesce(1).mapInPandas(run, "k int, a string, b string").collect()
+    top = pairs.orderBy(F.desc("n"), "a", "b").limit(GUESS_PAIRS).select("n", F.array("a", "b").alias("s"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("g"))
+    rows = words.where("g > 0").unionAll(top).coalesce(1).mapInPandas(run, "k int, a string, b string").collect()
     return [(r.a, r.b) for r in sorted(rows, key=lambda r: r.k)] or [known]
 
 
-_WORDS = "n long, s array<string>, seq long, g boolean"
+_WORDS = "n long, s array<string>, seq long, g int"
 
 
 def _tried(words: DataFrame, done: list[Pair], guess: list[Pair]) -> DataFrame:
     """The words after `done`, and rows (step, a, b, d) of what merging the guessed pairs one by one changes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, seq, g = _index(batches, done)
-        none = [None] * len(seq)
-        yield pd.DataFrame({"n": index.counts, "s": list(index.words), "seq": seq, "g": g, "step": pd.Series(none, dtype="Int32"), "a": none, "b": none, "d": pd.Series(none, dtype="Int64")})
-        for step, p in enumerate(guess, 1):
-            change = index.merge(p)
-            if change:
-                gone = [None] * len(change)
-                yield pd.DataFrame({
-                    "n": pd.Series(gone, dtype="Int64"), "s": gone, "seq": pd.Series(gone, dtype="Int64"), "g": pd.Series(gone, dtype="boolean"),
-                    "step": [step] * len(change), "a": [a for a, _ in change], "b": [b for _, b in change], "d": list(change.values()),
-                })
+        rows = _all(batches)
+        index = _index(rows, done, rows["n"].astype("int64").tolist())
+        none = [None] * len(rows)
+        yield pd.DataFrame({"n": index.counts, "s": list(index.words), "seq": rows["seq"].astype("int64").tolist(), "g": rows["g"].astype("int32").tolist(), "step": pd.Series(none, dtype="Int32"), "a": none, "b": none, "d": pd.Series(none, dtype="Int64")})
+        changes = [(step, a, b, d) for step, p in enumerate(guess, 1) for (a, b), d in index.merge(p).items()]
+        if changes:
+            gone = [None] * len(changes)
+            step, a, b, d = zip(*changes, strict=True)
+            yield pd.DataFrame({"n": pd.Series(gone, dtype="Int64"), "s": gone, "seq": pd.Series(gone, dtype="Int64"), "g": pd.Series(gone, dtype="Int32"), "step": step, "a": a, "b": b, "d": d})
 
     return words.mapInPandas(run, _WORDS + ", step int, a string, b string, d long")
 
@@ -213,24 +230,37 @@ class _Best:
         self.tied = self.pair is not None and any((r.high.a, r.high.b) != self.pair for r in rows)
 
 
-def _bests(pairs: DataFrame, changes: DataFrame, steps: int) -> list[_Best]:
-    """The best pair of each state: before any guessed merge, and after each."""
+def _bests(pairs: DataFrame, changes: DataFrame, guess: list[Pair], folder: str, k: int) -> list[_Best]:
+    """The best pair of each state, before any guessed merge and after each but the last, as far as the guess may be right.
+
+    The best count never rises as pairs merge. So a guess that is more frequent than the one before it shows that one to be
+    wrong, and up to there only pairs as frequent as the last guessed one can be the best of any state.
+    """
+    spark = pairs.sparkSession
     touched = changes.select("a", "b").distinct()
     base = pairs.join(touched, ["a", "b"], "left_semi").select("a", "b", F.lit(0).alias("step"), F.col("n").alias("d"))
     w = Window.partitionBy("a", "b").orderBy("step")
-    path = changes.select("a", "b", "step", "d").unionAll(base).withColumn("c", F.sum("d").over(w)).withColumn("next", F.coalesce(F.lead("step").over(w), F.lit(steps + 1)))
-    states = path.where("c > 0").select("a", "b", "c", F.explode(F.sequence(F.col("step"), F.col("next") - 1)).alias("k"))
+    path = changes.select("a", "b", "step", "d").unionAll(base).withColumn("c", F.sum("d").over(w)).withColumn("next", F.coalesce(F.lead("step").over(w), F.lit(len(guess))))
+    path = stash(path.where("c > 0 AND step < next").select("a", "b", "c", "step", "next"), folder, f"path-{k}")
+    asked = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(guess)], "k int, a string, b string"))
+    found = {r.k: r.c for r in path.join(asked, ["a", "b"]).where("step <= k AND k < next").select("k", "c").collect()}
+    counts = [found.get(i, 0) for i in range(len(guess))]
+    end = next((i for i in range(1, len(guess)) if counts[i] > counts[i - 1]), len(guess))
+    near = path.where((F.col("c") >= counts[end - 1]) & (F.col("step") < end))
+    states = near.select("a", "b", "c", F.explode(F.sequence(F.col("step"), F.least(F.col("next"), F.lit(end)) - 1)).alias("k"))
     moving = {r.k: r for r in states.groupBy("k").agg(*_extremes()).collect()}
     still = pairs.join(touched, ["a", "b"], "left_anti").withColumn("c", F.col("n")).agg(*_extremes()).first()
-    return [_Best([r for r in (moving.get(k), still) if r is not None]) for k in range(steps + 1)]
+    discard(spark, folder, f"path-{k}")
+    return [_Best([r for r in (moving.get(i), still) if r is not None]) for i in range(end)]
 
 
 def _first_counted(words: DataFrame, done: list[Pair], pairs: DataFrame, n: int) -> Pair:
     """Of the pairs that occur n times, the one that stands first in the words' own order: the least place of any task's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, seq, _ = _index(batches, done)
-        found = index.places()
+        rows = _all(batches)
+        seq = rows["seq"].astype("int64").tolist()
+        found = _index(rows, done, rows["n"].astype("int64").tolist()).places()
         yield pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found], "seq": [seq[k] for k, _ in found.values()], "i": [i for _, i in found.values()]})
 
     tied = pairs.where(F.col("n") == n).select("a", "b")
@@ -239,7 +269,7 @@ def _first_counted(words: DataFrame, done: list[Pair], pairs: DataFrame, n: int)
 
 
 def _prepared(frequency: DataFrame, folder: str, ordered: bool, guess_words: int) -> DataFrame:
-    """Words as (n, s, seq, g), in partitions of at most TASK_WORDS; g: whether the guess uses the word."""
+    """Words as (n, s, seq, g), in partitions of about TASK_WORDS at most; g: how often the word counts in the guess, 0 if it has no part in it."""
     spark = frequency.sparkSession
     raw = stash(frequency.select("word", F.col("n").cast("long").alias("n"), (F.col("seq").cast("long") if ordered else F.lit(0).cast("long")).alias("seq")), folder, "counted")
     total = raw.count()
@@ -248,7 +278,7 @@ def _prepared(frequency: DataFrame, folder: str, ordered: bool, guess_words: int
         least = raw.select("n").orderBy(F.desc("n")).limit(guess_words).agg(F.min("n")).first()[0]
         room = max(1, guess_words - raw.where(F.col("n") > least).count())
         share = -(-raw.where(F.col("n") == least).count() // room)
-    chosen = (F.col("n") > least) | ((F.col("n") == least) & (F.pmod(F.xxhash64("word"), F.lit(share)) == 0))
+    chosen = F.when(F.col("n") > least, 1).when((F.col("n") == least) & (F.pmod(F.xxhash64("word"), F.lit(share)) == 0), share).otherwise(0).cast("int")
     parts = max(min(spark.sparkContext.defaultParallelism, -(-total // 1000)), -(-total // TASK_WORDS), 1)
     words = stash(raw.select("n", symbols("word").alias("s"), "seq", chosen.alias("g")).repartition(parts), folder, "words-0")
     discard(spark, folder, "counted")
@@ -259,7 +289,8 @@ def learn_merges(frequency: DataFrame, target: int, *, ties: str = "smallest", a
     """Merge the most frequent pair of a table of words (word, n) until the vocabulary has `target` tokens.
 
     Of equally frequent pairs the smallest is taken, or with ties="first" the one that stands first in the words' own
-    order (frequency then needs a whole-number `seq`). `ahead` merges are guessed a round, from `guess_words` words.
+    order (frequency then needs a whole-number `seq`). Up to `ahead` merges are guessed a round, and twice as many as were
+    right the round before, from `guess_words` words.
     """
     spark, folder, first = frequency.sparkSession, shared_dir(frequency.sparkSession), ties == "first"
     words = _prepared(frequency, folder, first, guess_words)
@@ -272,25 +303,26 @@ def learn_merges(frequency: DataFrame, target: int, *, ties: str = "smallest", a
     pairs = stash(pairs.where("n > 0"), folder, "pairs-0")
     best = _Best(pairs.withColumn("c", F.col("n")).agg(*_extremes()).collect())
     done: list[Pair] = []
-    k = 0
+    k, want = 0, ahead
     while len(out.vocabulary) < target:
         if best.pair is None:
             out.stopped = NO_PAIRS
             break
         known = _first_counted(words, done, pairs, best.n) if first and best.tied else best.pair
-        guess = _guess(words, done, known, min(ahead, target - len(out.vocabulary)))
+        guess = _guess(words, pairs, done, known, min(want, target - len(out.vocabulary)))
         k += 1
         tried = stash(_tried(words, done, guess), folder, f"words-{k}")
         changes = stash(tried.where("step IS NOT NULL").groupBy("step", "a", "b").agg(F.sum("d").alias("d")), folder, f"changes-{k}")
-        bests, right = _bests(pairs, changes, len(guess)), 1
-        while right < len(guess) and bests[right].pair == guess[right] and not (first and bests[right].tied):
+        bests, right = _bests(pairs, changes, guess, folder, k), 1
+        while right < len(bests) and bests[right].pair == guess[right] and not (first and bests[right].tied):
             right += 1
-        done, best = guess[:right], bests[right]
+        done, want = guess[:right], min(ahead, max(16, 2 * right))
         for pair in done:
             out.add(pair)
         moved = changes.where(F.col("step") <= right).select("a", "b", F.col("d").alias("n"))
         pairs = stash(pairs.unionAll(moved).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"), folder, f"pairs-{k}")
         words = tried.where("step IS NULL").select("n", "s", "seq", "g")
+        best = bests[right] if right < len(bests) else _Best(pairs.withColumn("c", F.col("n")).agg(*_extremes()).collect())
         discard(spark, folder, f"words-{k - 1}", f"pairs-{k - 1}", f"changes-{k}")
     discard(spark, folder, f"words-{k}", f"pairs-{k}")
     return out
