@@ -545,3 +545,13 @@ def test_first_repeated_phrases_by_dialect(spark, words, n, least, rows):
     df = spark.createDataFrame(list(enumerate(rows)), "seq long, text string")
     got = {r.seq: r.phrase for r in C.first_repeated_ngram(df, "seq", words("text"), n, least).collect()}
     assert got == {k: v for k, v in enumerate(rows.values()) if v}
+
+
+def test_first_repeated_phrases_stay_in_their_rows(spark):
+    texts = ["a b c d a b c d", "x y z x y q", None, "", "w w w w w w", "one two three four five six", "p q r s t p q r q r s"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    find = lambda rows: C.first_repeated_ngram(spark.createDataFrame(rows, "seq long, text string"), "seq", T.words("text", "lower_space"))
+    assert {r.seq: r.phrase for r in find(rows).collect()} == {0: "a b c", 4: "w w w", 6: "p q r"}
+    assert "Exchange" not in find(rows)._jdf.queryExecution().executedPlan().toString()
+    shared = [*rows, (10, "g h i j k l"), (10, "m n g h i o"), (10, "g h i j k l"), (None, "u v w u v w"), (None, "short")]
+    assert {r.seq: r.phrase for r in find(shared).collect()} == {0: "a b c", 4: "w w w", 6: "p q r", 10: "g h i", None: "u v w"}
