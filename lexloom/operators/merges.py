@@ -26,8 +26,10 @@ END_OF_WORD = "</w>"
 # Why learning stops.
 REACHED, NO_PAIRS, ALREADY = "target_vocab_reached", "no_adjacent_symbol_pairs_left", "initial_vocab_already_reaches_target"
 
-#: Merges guessed for a round, at most; words and pairs that the guess is made from, at most; words that one task works on.
+#: Merges guessed for a round, at most; words and pairs that the guess is made from, at most; words for which a task is made;
+#: words, and their symbols, that a task holds at once (Spark reads several small files in one task); changes that it sums up.
 AHEAD, GUESS_WORDS, GUESS_PAIRS, TASK_WORDS = 64, 1 << 14, 1 << 14, 50_000
+HELD_WORDS, HELD_SYMBOLS, HELD_CHANGES = 16_384, 1 << 18, 1 << 17
 
 
 @dataclass
@@ -162,6 +164,17 @@ def _all(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat([*batches, pd.DataFrame({"n": [], "s": [], "seq": [], "g": []})]).sort_values("seq", kind="stable")
 
 
+def _held(batches: Iterator[pd.DataFrame], most: int, size: int) -> Iterator[pd.DataFrame]:
+    """A task's words by and by, each time at most `most` of about `size` symbols, or one word; each portion in order of seq."""
+    for b in batches:
+        start, ends = 0, b["s"].map(len).cumsum().to_numpy()
+        while start < len(b):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, min(start + most, int(ends.searchsorted(before + size, side="right"))))
+            yield b.iloc[start:stop].sort_values("seq", kind="stable")
+            start = stop
+
+
 def _guess(words: DataFrame, pairs: DataFrame, done: list[Pair], known: Pair, want: int) -> list[Pair]:
     """The known next merge and those that would follow, as one task estimates them from a bounded sample.
 
@@ -200,16 +213,25 @@ _WORDS = "n long, s array<string>, seq long, g int"
 def _tried(words: DataFrame, done: list[Pair], guess: list[Pair]) -> DataFrame:
     """The words after `done`, and rows (step, a, b, d) of what merging the guessed pairs one by one changes."""
 
+    def told(changes: Counter[tuple[int, str, str]]) -> pd.DataFrame:
+        gone = [None] * len(changes)
+        step, a, b = zip(*changes, strict=True)
+        return pd.DataFrame({"n": pd.Series(gone, dtype="Int64"), "s": gone, "seq": pd.Series(gone, dtype="Int64"), "g": pd.Series(gone, dtype="Int32"), "step": step, "a": a, "b": b, "d": list(changes.values())})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _all(batches)
-        index = _index(rows, done, rows["n"].astype("int64").tolist())
-        none = [None] * len(rows)
-        yield pd.DataFrame({"n": index.counts, "s": list(index.words), "seq": rows["seq"].astype("int64").tolist(), "g": rows["g"].astype("int32").tolist(), "step": pd.Series(none, dtype="Int32"), "a": none, "b": none, "d": pd.Series(none, dtype="Int64")})
-        changes = [(step, a, b, d) for step, p in enumerate(guess, 1) for (a, b), d in index.merge(p).items()]
+        changes: Counter[tuple[int, str, str]] = Counter()
+        for rows in _held(batches, HELD_WORDS, HELD_SYMBOLS):
+            index = _index(rows, done, rows["n"].astype("int64").tolist())
+            none = [None] * len(rows)
+            yield pd.DataFrame({"n": index.counts, "s": list(index.words), "seq": rows["seq"].astype("int64").tolist(), "g": rows["g"].astype("int32").tolist(), "step": pd.Series(none, dtype="Int32"), "a": none, "b": none, "d": pd.Series(none, dtype="Int64")})
+            for step, p in enumerate(guess, 1):
+                for (a, b), d in index.merge(p).items():
+                    changes[step, a, b] += d
+            if len(changes) > HELD_CHANGES:
+                yield told(changes)
+                changes.clear()
         if changes:
-            gone = [None] * len(changes)
-            step, a, b, d = zip(*changes, strict=True)
-            yield pd.DataFrame({"n": pd.Series(gone, dtype="Int64"), "s": gone, "seq": pd.Series(gone, dtype="Int64"), "g": pd.Series(gone, dtype="Int32"), "step": step, "a": a, "b": b, "d": d})
+            yield told(changes)
 
     return words.mapInPandas(run, _WORDS + ", step int, a string, b string, d long")
 
@@ -258,10 +280,10 @@ def _first_counted(words: DataFrame, done: list[Pair], pairs: DataFrame, n: int)
     """Of the pairs that occur n times, the one that stands first in the words' own order: the least place of any task's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _all(batches)
-        seq = rows["seq"].astype("int64").tolist()
-        found = _index(rows, done, rows["n"].astype("int64").tolist()).places()
-        yield pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found], "seq": [seq[k] for k, _ in found.values()], "i": [i for _, i in found.values()]})
+        for rows in _held(batches, HELD_WORDS, HELD_SYMBOLS):
+            seq = rows["seq"].astype("int64").tolist()
+            found = _index(rows, done, rows["n"].astype("int64").tolist()).places()
+            yield pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found], "seq": [seq[k] for k, _ in found.values()], "i": [i for _, i in found.values()]})
 
     tied = pairs.where(F.col("n") == n).select("a", "b")
     row = words.mapInPandas(run, "a string, b string, seq long, i int").join(tied, ["a", "b"], "left_semi").agg(F.min(F.struct("seq", "i", "a", "b")).alias("x")).first().x
