@@ -11,28 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..shared import discard, shared_dir, spread, stash
-
-__all__ = ["discard", "shared_dir", "stash"]
-
-#: Rows and bytes of a batch that an operator sees at once. Spark's own batches may be larger (up to its
-#: spark.sql.execution.arrow.maxBytesPerBatch); they are cut here, so that no session setting is touched.
-BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
-
-
-def cut_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows` rows, and of at most `size` bytes but for single larger rows."""
-    for whole in batches:
-        stack = [whole.slice(k, rows) for k in range(0, whole.num_rows, rows)][::-1]
-        del whole
-        while stack:
-            b = stack.pop()
-            if b.num_rows > 1 and b.nbytes > size:
-                half = b.num_rows // 2
-                stack += [b.slice(half), b.slice(0, half)]
-            else:
-                yield b
+from ..shared import BATCH_BYTES, BATCH_ROWS, cut_batches, discard, shared_dir, spread, stash
 
+__all__ = ["cut_batches", "discard", "shared_dir", "stash"]
 
 #: What to forget when a worker, which outlives its stage, goes on to work that doesn't need it.
 _REMEMBERED: list[Callable[[], None]] = []

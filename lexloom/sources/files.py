@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators.order import next_fit
+from ..shared import cut_batches
 
 # File kinds read, tags whose content is dropped, tags that end a line.
 KINDS = ("txt", "md", "jsonl", "html", "htm", "pdf")
@@ -59,8 +61,14 @@ def _each(fn: Callable, c: str | Column) -> Column:
 
 
 def html_text(df: DataFrame, seq: str, markup: str) -> DataFrame:
-    """(seq, text): parsed in Arrow batches, since nesting is beyond regular expressions."""
-    return df.select(seq, _each(plain_text, markup).alias("text"))
+    """(seq, text): parsed in Arrow batches, since nesting is beyond regular expressions; cut here, so that a worker holds few pages at once."""
+    rows = df.select(seq, F.col(markup).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut_batches(batches):
+            yield b.set_column(1, "text", pa.array([plain_text(x) for x in b.column(1).to_pylist()], pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def pdf_pages(content: bytes) -> str:

@@ -3,8 +3,11 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 
+from lexloom import shared as S
 from lexloom.operators import merges as M
+from lexloom.sources import files
 
 
 def test_merge_tasks_hold_portions_of_their_words(spark, monkeypatch):
@@ -23,3 +26,14 @@ def test_merge_tasks_hold_portions_of_their_words(spark, monkeypatch):
         want.append(whole.best())
         whole.merge(want[-1])
     assert M.learn_merges(df, 5 + 12, ahead=4).pairs == want and M.learn_merges(df, 12, ties="first", ahead=4).pairs == first
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    html = lambda k: None if k == 3 else f"<p>a{k}</p><script>x</script>&amp;amp; b" + "z" * (k % 7)
+    df = spark.createDataFrame([(k, html(k)) for k in range(900)], "page_id long, html string").coalesce(1)
+    sizes = files.html_text(df, "page_id", "html")
+    assert {r.page_id: r.text for r in sizes.collect()} == {k: files.plain_text(html(k)) for k in range(900)}
+    assert sizes.schema.simpleString() == "struct<page_id:bigint,text:string>" and "MapInArrow" in sizes._jdf.queryExecution().executedPlan().toString()
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * (3 << 20)] * 5 + ["y"] * 600})
+    parts = list(S.cut_batches(iter([batch])))
+    assert max(p.num_rows for p in parts) <= S.BATCH_ROWS and all(p.num_rows == 1 or p.nbytes <= S.BATCH_BYTES for p in parts) and sum(p.num_rows for p in parts) == 605
