@@ -283,7 +283,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The largest inner product of every hundredth vector with the others."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return E.dots(v, q).where("id <> query_id").groupBy("query_id").agg(F.max_by("id", F.struct(F.round("z", 9), -F.col("id"))).alias("nearest"))
+    width = v.agg(F.mode(F.size("v"))).first()[0] or 0
+    return E.nearest_dots(v, q, width).groupBy("query_id").agg(F.max_by("id", F.struct(F.round("z", 9), -F.col("id"))).alias("nearest"))
 
 
 _COSINE = """select query_id, arg_max(id, round(s, 9)) as nearest from (select q.vec_id as query_id, e.vec_id as id, list_sum(list_transform(list_zip(q.embedding::double[], e.embedding::double[]), lambda p: p[1] * p[2])) as s from embeddings e, embeddings q where q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) group by 1"""

@@ -4,9 +4,10 @@ import random
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lexloom import shared as S
-from lexloom.operators import merges as M
+from lexloom.operators import evaluate as E, merges as M
 from lexloom.sources import files
 
 
@@ -37,3 +38,18 @@ def test_pages_are_parsed_a_few_at_a_time(spark):
     batch = pa.RecordBatch.from_pydict({"text": ["x" * (3 << 20)] * 5 + ["y"] * 600})
     parts = list(S.cut_batches(iter([batch])))
     assert max(p.num_rows for p in parts) <= S.BATCH_ROWS and all(p.num_rows == 1 or p.nbytes <= S.BATCH_BYTES for p in parts) and sum(p.num_rows for p in parts) == 605
+
+
+def test_nearest_dots_keep_what_rounding_may_choose(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(1, 700)]
+    rows += [(1000, rows[0][1]), (700, rows[0][1]), (701, None), (702, [None] * 6), (703, [1.0, None] * 3), (704, [9.0] * 5), (705, [float("nan")] * 6), (706, [1e200] * 6), (707, [0.0] * 6)]
+    rows += [(800 + k, [50.0 + k * 1e-12, *[0.0] * 5]) for k in range(5)] + [(900, [1.0, *[0.0] * 5]), (None, [60.0] * 6)]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    for asked in ("id IN (900, 1, 700, 707, 802)", "id % 50 = 0 OR id > 700"):
+        for vectors in (v, v.where("id < 701 OR id BETWEEN 707 AND 999")):
+            q = vectors.where(asked).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+            best = lambda df: {r.query_id: r.b for r in df.groupBy("query_id").agg(F.max_by("id", F.struct(F.round("z", 9), -F.col("id"))).alias("b")).collect()}
+            got = E.nearest_dots(vectors, q, 6)
+            assert best(got) == best(E.dots(vectors, q).where("id <> query_id"))
+    assert got.count() < 40 * q.count()  # not every pair
