@@ -8,6 +8,7 @@ from ..functions import answers as A, lexicon as L, text as T
 from ..functions.answers import domain_consistency
 from ..operators import evaluate as E
 from ..operators.learn import attended, train_net
+from ..shared import shared_dir, stash
 from .common import ascii_words, ngrams, one_line, table
 from .queries_pairs import SQL_PAIRS, _pairs
 
@@ -273,9 +274,9 @@ _TOP = f"select expected, predicted, count(*) as n from {_R} where expected <> p
 def checkpoint_rank(spark: SparkSession, d: str) -> DataFrame:
     """Sources as checkpoints, documents as their prompt results, measured: repetition, English as the topic, gibberish, drift into other languages."""
     grams = T.ngrams(T.words("text", "ascii"), 3)
-    docs = table(spark, d, "documents").withColumn("g", grams).withColumn("topic", T.language_confidence("text"))
-    rows = docs.select(F.col("source").alias("checkpoint"), (F.size("g") > F.size(F.array_distinct("g"))).alias("repeated"), "topic", F.size(E.suspicious_words("text")).alias("gibberish"), (F.col("topic") < L.ENGLISH_FROM).alias("drift"), F.contains("text", F.lit("\n")).alias("chat_prompt"), A.chat_response_ok("text", "topic", F.size("g") > F.size(F.array_distinct("g"))).alias("chat_ok"), (F.col("doc_id") % 97 / 10).alias("val_loss"))
-    s = E.checkpoint_scores(rows)
+    docs = table(spark, d, "documents").withColumn("g", grams).withColumn("topic", T.language_confidence("text")).withColumn("repeated", F.size("g") > F.size(F.array_distinct("g")))
+    rows = docs.select(F.col("source").alias("checkpoint"), "repeated", "topic", F.size(E.suspicious_words("text")).alias("gibberish"), (F.col("topic") < L.ENGLISH_FROM).alias("drift"), F.contains("text", F.lit("\n")).alias("chat_prompt"), A.chat_response_ok("text", "topic", "repeated").alias("chat_ok"), (F.col("doc_id") % 97 / 10).alias("val_loss"))
+    s = stash(E.checkpoint_scores(rows), shared_dir(spark), "scores")  # read twice, a row for each checkpoint
     return s.join(E.recommend(s).withColumn("best", F.lit(True)), "checkpoint", "left").select("checkpoint", "repetitions", "drifts", "chat", F.round("topic", 9).alias("topic"), F.coalesce("best", F.lit(False)).alias("best"), "gibberish")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexloom import shared as S
 from lexloom.operators import evaluate as E, merges as M
+from lexloom.plans import queries_evaluate as Q
 from lexloom.sources import files
 
 
@@ -53,3 +54,14 @@ def test_nearest_dots_keep_what_rounding_may_choose(spark):
             got = E.nearest_dots(vectors, q, 6)
             assert best(got) == best(E.dots(vectors, q).where("id <> query_id"))
     assert got.count() < 40 * q.count()  # not every pair
+
+
+def test_checkpoint_scores_are_made_once(spark, monkeypatch):
+    made = []
+    real = Q.stash
+    monkeypatch.setattr(Q, "stash", lambda df, folder, name: made.append(name) or real(df, folder, name))
+    ranked = Q.checkpoint_rank(spark, "/root/testdata/sf0.001")
+    assert made == ["scores"] and "documents" not in "".join(ranked.inputFiles()) and [r.best for r in ranked.collect()].count(True) == 1
+    texts = [("bbbz Aaaab '-xyzzzx-' schtrmpf a1b plain nasa", 4), ("", 0), ("-- '' ok", 0), (None, None)]
+    odd = lambda r: None if r.w is None else len(r.w)
+    assert [odd(r) for r in spark.createDataFrame([(t,) for t, _ in texts], "text string").select(E.suspicious_words("text").alias("w")).collect()] == [5, 0, 0, None]
