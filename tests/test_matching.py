@@ -54,3 +54,22 @@ def test_few_pairs_of_unlike_texts_are_compared_in_full():
             best[k], compared = max(best[k], SequenceMatcher(None, own.texts[k], key).ratio()), compared + 1
     assert best.tolist() == [max(SequenceMatcher(None, a, key).ratio() for key in keys) for a in own.texts]
     assert compared <= 300  # of 6000; the longest common subsequence alone leaves more
+
+
+def test_language_confidence_cuts_a_text_once(spark):
+    import re
+
+    from lexloom.functions import lexicon as L, text as T
+
+    texts = ["The cat is on the mat", "then 'the the' of, by-the-way théatre THE", "", "123 !?", "ñandú and año", "is" * 3, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").withColumn("c", T.language_confidence("text"))
+
+    def score(t):
+        words = re.findall("[a-z']+", (t or "").lower())
+        hits = len(re.findall(rf"(?<![a-z'])(?:{'|'.join(L.ENGLISH_MARKERS)})(?![a-z'])", (t or "").lower()))
+        return min(1.0, L.MARKER_WEIGHT * hits / len(words) + L.ASCII_WEIGHT * (sum(c < "\x80" for c in t) / len(t))) if words else 0.0
+
+    got = {r.seq: r.c for r in df.collect()}
+    assert [got[k] for k in range(len(texts) - 1)] == pytest.approx([score(t) for t in texts[:-1]], abs=1e-12)
+    assert not got[len(texts) - 1]  # as before, a null text has no confidence
+    assert "(?<!" not in df._jdf.queryExecution().optimizedPlan().toString()
