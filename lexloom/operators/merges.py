@@ -15,11 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..shared import discard, shared_dir, stash
+from ..shared import cut_batches, discard, shared_dir, stash
 
 END_OF_WORD = "</w>"
 
@@ -27,9 +30,9 @@ END_OF_WORD = "</w>"
 REACHED, NO_PAIRS, ALREADY = "target_vocab_reached", "no_adjacent_symbol_pairs_left", "initial_vocab_already_reaches_target"
 
 #: Merges guessed for a round, at most; words and pairs that the guess is made from, at most; words for which a task is made;
-#: words, and their symbols, that a task holds at once (Spark reads several small files in one task); changes that it sums up.
+#: words, and their symbols or bytes, that a task holds at once (Spark reads several small files in one task); changes that it sums up.
 AHEAD, GUESS_WORDS, GUESS_PAIRS, TASK_WORDS = 64, 1 << 14, 1 << 14, 50_000
-HELD_WORDS, HELD_SYMBOLS, HELD_CHANGES = 16_384, 1 << 18, 1 << 17
+HELD_WORDS, HELD_SYMBOLS, HELD_BYTES, HELD_CHANGES = 16_384, 1 << 18, 1 << 21, 1 << 17
 
 
 @dataclass
@@ -210,30 +213,82 @@ def _guess(words: DataFrame, pairs: DataFrame, done: list[Pair], known: Pair, wa
 _WORDS = "n long, s array<string>, seq long, g int"
 
 
+def _holding(s: pa.ListArray, pairs: list[Pair]) -> np.ndarray:
+    """Which rows of an array of symbols hold any of the pairs, by numbers of the symbols."""
+    ends = s.offsets.to_numpy()
+    flat = s.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    codes, number = flat.indices.to_numpy().astype(np.int64), {c: k for k, c in enumerate(flat.dictionary.to_pylist())}
+    wanted = [number[a] * len(number) + number[b] for a, b in pairs if a in number and b in number]
+    out = np.zeros(len(s), bool)
+    at = np.flatnonzero(np.isin(codes[:-1] * len(number) + codes[1:], wanted))
+    row = np.searchsorted(ends - ends[0], at, side="right") - 1
+    out[row[at + 1 < (ends - ends[0])[row + 1]]] = True  # both symbols stand in one row
+    return out
+
+
+class _Steps:
+    """Pairs in the order in which they merge, and the merges that a word takes of them."""
+
+    def __init__(self, pairs: list[Pair]):
+        self._of: dict[Pair, list[int]] = {}
+        for k, p in enumerate(pairs, 1):
+            self._of.setdefault(p, []).append(k)
+        self._pairs, self._never = pairs, len(pairs) + 1
+
+    def of(self, word: list[str]) -> Iterator[tuple[int, list[str], list[str]]]:
+        """(step, before, after) of each merge that changes the word: always the next step that one of its pairs has."""
+        last = 0
+        while True:
+            near = [k for p in pairwise(word) if p in self._of for k in self._of[p] if k > last]
+            if not near:
+                return
+            last = min(near)
+            merged = joined(word, self._pairs[last - 1])
+            yield last, word, merged
+            word = merged
+
+
 def _tried(words: DataFrame, done: list[Pair], guess: list[Pair]) -> DataFrame:
-    """The words after `done`, and rows (step, a, b, d) of what merging the guessed pairs one by one changes."""
+    """The words after `done`, and rows (step, a, b, d) of what merging the guessed pairs one by one changes.
+
+    A merge can only begin in a word that holds one of the pairs; all others go on as they came.
+    """
+    schema = pa.schema([("n", pa.int64()), ("s", pa.list_(pa.string())), ("seq", pa.int64()), ("g", pa.int32()), ("step", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("d", pa.int64())])
 
-    def told(changes: Counter[tuple[int, str, str]]) -> pd.DataFrame:
-        gone = [None] * len(changes)
+    def told(changes: Counter[tuple[int, str, str]]) -> pa.RecordBatch:
         step, a, b = zip(*changes, strict=True)
-        return pd.DataFrame({"n": pd.Series(gone, dtype="Int64"), "s": gone, "seq": pd.Series(gone, dtype="Int64"), "g": pd.Series(gone, dtype="Int32"), "step": step, "a": a, "b": b, "d": list(changes.values())})
+        gone = [pa.nulls(len(changes), t) for t in schema.types[:4]]
+        return pa.RecordBatch.from_arrays([*gone, pa.array(step, pa.int32()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(changes.values(), pa.int64())], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kept(n: pa.Array, s: pa.Array, seq: pa.Array, g: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip((n, s, seq, g), schema.types, strict=False)] + [pa.nulls(len(n), t) for t in schema.types[4:]], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changes: Counter[tuple[int, str, str]] = Counter()
-        for rows in _held(batches, HELD_WORDS, HELD_SYMBOLS):
-            index = _index(rows, done, rows["n"].astype("int64").tolist())
-            none = [None] * len(rows)
-            yield pd.DataFrame({"n": index.counts, "s": list(index.words), "seq": rows["seq"].astype("int64").tolist(), "g": rows["g"].astype("int32").tolist(), "step": pd.Series(none, dtype="Int32"), "a": none, "b": none, "d": pd.Series(none, dtype="Int64")})
-            for step, p in enumerate(guess, 1):
-                for (a, b), d in index.merge(p).items():
-                    changes[step, a, b] += d
+        before, tries = _Steps(done), _Steps(guess)
+        for b in cut_batches(batches, HELD_WORDS, HELD_BYTES):
+            held = pa.array(_holding(b["s"], done + guess))
+            rest, b = b.filter(pc.invert(held)), b.filter(held)
+            yield kept(*(rest[c] for c in ("n", "s", "seq", "g")))
+            now = []
+            for n, word in zip(b["n"].to_pylist(), b["s"].to_pylist(), strict=True):
+                for _, _, word in before.of(word):
+                    pass
+                now.append(word)
+                for step, old, new in tries.of(word):
+                    change = Counter(pairwise(new))
+                    change.subtract(pairwise(old))
+                    for (x, y), d in change.items():
+                        if d:
+                            changes[step, x, y] += n * d
+            yield kept(b["n"], pa.array(now, schema.types[1]), b["seq"], b["g"])
             if len(changes) > HELD_CHANGES:
                 yield told(changes)
                 changes.clear()
         if changes:
             yield told(changes)
 
-    return words.mapInPandas(run, _WORDS + ", step int, a string, b string, d long")
+    return words.mapInArrow(run, _WORDS + ", step int, a string, b string, d long")
 
 
 def _extremes() -> tuple[Column, Column]:

@@ -171,6 +171,12 @@ def token_counts(df: DataFrame, seq: str, merges: Merges, text: str = "text") ->
     return words.join(coded, "word").groupBy(seq).agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.col("t")).alias("tokens"), F.sum(F.col("n") * F.col("skipped")).alias("skipped"))
 
 
+def token_totals(frequency: DataFrame, merges: Merges) -> DataFrame:
+    """One row (words, tokens) of counted words (word, n): what `token_counts` of the texts adds up to, without their places."""
+    coded = encode_words(frequency, merges).select("word", F.size("tokens").alias("t"))
+    return frequency.join(coded, "word").agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.col("t")).alias("tokens"))
+
+
 def coverage(df: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """(character, n): characters outside a vocabulary, counted."""
     chars = df.select(F.explode(F.split(F.regexp_replace(text, r"(?U)\s", ""), "")).alias("character")).where("character <> ''").groupBy("character").agg(F.count("*").alias("n"))
